@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, ngram_join, packing
+from . import decontaminate, langid, ngram_join, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,15 +15,30 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identified(docs, langid.fit(docs))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_benchmark_decontamination, op9_best_fit_packing)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_pu_toxicity, op5_benchmark_decontamination, op6_language_id, op9_best_fit_packing, op10_quality_rules)}
 
 #: A-Z to lower case, and nothing else.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -32,9 +47,9 @@ ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": rf"""
         with recursive w as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w from documents),
         s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
-                else list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i+2], ' ')) end) as g from w),
+                else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) end) as g from w),
         n as (select doc_id, count(*) as n from s group by doc_id),
-        few as (select g from s group by g having count(*) between 2 and 400),
+        few as (select g from s group by g having count(*) > 1),
         pair as (select distinct x.doc_id as a, y.doc_id as b from s x join few using (g) join s y on x.g = y.g and x.doc_id <> y.doc_id),
         shared as (select a, b, count(*) as i from pair join s x on x.doc_id = a join s y on y.doc_id = b and y.g = x.g group by a, b),
         link as (select a, b from shared join n p on p.doc_id = a join n q on q.doc_id = b where 100 * i >= 90 * (p.n + q.n - i)),
@@ -44,7 +59,7 @@ ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": rf"""
         with words as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
         item as (select item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
-        win as (select distinct item_id, least(13, len(w)) as n, unnest(list_transform(range(1, greatest(2, len(w) - 11)), i -> array_to_string(w[i:i+12], ' '))) as g from item where len(w) > 0),
+        win as (select distinct item_id, least(13, len(w)) as n, unnest(list_transform(range(1, greatest(2, len(w) - 11)), lambda i: array_to_string(w[i:i+12], ' '))) as g from item where len(w) > 0),
         place as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as i, w from words, (select distinct n from win) where len(w) >= n),
         hit as (select doc_id, item_id, i, p.n from place p join win on win.n = p.n and win.g = array_to_string(w[i:i+p.n-1], ' ')),
         covered as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(i, i + n)) as at from hit) group by doc_id),
