@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, ngram_join, packing, quality, toxicity
+from . import decontaminate, langid, ngram_join, packing, quality, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.found(table(spark, sf_dir, "documents")).drop("strings")
+
+
 def op4_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -29,6 +33,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs, langid.fit(docs))
 
 
+def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
@@ -38,7 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_pu_toxicity, op5_benchmark_decontamination, op6_language_id, op9_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_secret_scan, op4_pu_toxicity, op5_benchmark_decontamination, op6_language_id, op8_warc_normaliser, op9_best_fit_packing, op10_quality_rules)}
 
 #: A-Z to lower case, and nothing else.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -56,6 +64,15 @@ ORACLES: dict[str, str] = {
         reach(doc_id, other) as (select doc_id, doc_id from n union select r.doc_id, l.b from reach r join link l on l.a = r.other)
         select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(min(r.other), d.doc_id) as component_id
         from documents d left join n using (doc_id) left join reach r using (doc_id) group by d.doc_id, n.n""",
+    "op8_warc_normaliser": """
+        with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as x from pages),
+        t as (select *, max(page_id) over (partition by h) as top from p),
+        b as (select *, list_transform(range(0, 160, 5), lambda i: list_sum(list_transform(range(i, i + 5), lambda k:
+                (((strpos('0123456789abcdef', x[k // 4 + 1]) - 1) >> (3 - k % 4)) & 1) << (4 - (k - i))))) as five from t)
+        select page_id, octet_length(encode(h))::bigint as payload_bytes,
+          array_to_string(list_transform(five, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v::int + 1, 1)), '') as payload_digest,
+          case when page_id = top then 'response' else 'revisit' end as record_type,
+          case when page_id <> top then top end as refers_to from b""",
     "op5_benchmark_decontamination": rf"""
         with words as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
         item as (select item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
