@@ -23,12 +23,13 @@ SLOTS = 1 << 18
 #: Sizes of the fitted samples, at most (expected numbers of hash samples of the toxic and of all texts).
 POSITIVES, UNLABELLED = 5_000, 15_000
 INPUTS = 512
+#: Least z score of an input, and positives that have it.
+LEAST_Z, LEAST_TEXTS = 3.0, 4
 THRESHOLD = 0.7
 
 
 def _slots(text: str | None, hashes: WordHash) -> np.ndarray:
-    words = set(split_words(text))
-    return np.unique(hashes.many(list(words)) % np.uint64(SLOTS)).astype(np.int32)
+    return np.unique(hashes.many(list(set(split_words(text)))) % np.uint64(SLOTS)).astype(np.int32)
 
 
 @dataclass
@@ -42,14 +43,18 @@ class Model:
 
 
 def word_sets(texts: DataFrame) -> list[np.ndarray]:
-    """The hashed word sets of a bounded sample, on the driver, in an order that does not depend on partitions."""
+    """The hashed word sets of a bounded sample, on the driver, in an order that does not depend on partitions.
+
+    Copies count once, so that a group of them does not pass for evidence.
+    """
 
     def make():
         hashes = WordHash()
         return lambda batch: {"id": batch.column(0), "slots": list_array([_slots(t, hashes) for t in batch.column(1).to_pylist()], np.int32)}
 
     got = by_batches(texts, make, "id long, slots array<int>").orderBy("id").toArrow()
-    return [np.array(v, np.int32) for v in got.column("slots").to_pylist()]
+    sets = (np.array(v, np.int32) for v in got.column("slots").to_pylist())
+    return list({v.tobytes(): v for v in sets}.values())
 
 
 def _dense(sets: list[np.ndarray], place: np.ndarray, width: int) -> np.ndarray:
@@ -72,7 +77,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     mean = (in_p + in_u + 1) / (n_p + n_u + 2)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u))
     chosen = np.argsort(-np.abs(z), kind="stable")[:INPUTS]
-    chosen = chosen[np.abs(z[chosen]) > 4]
+    chosen = chosen[(np.abs(z[chosen]) >= LEAST_Z) & (in_p[chosen] >= LEAST_TEXTS)]
     place = np.full(SLOTS, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
     x_p, x_u = _dense(positive, place, len(chosen)), _dense(unlabelled, place, len(chosen))
