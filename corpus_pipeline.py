@@ -1,13 +1,64 @@
-"""A cleaning pipeline over ``documents``, stage by stage."""
+"""A cleaning pipeline over ``documents``: quality, repeated lines, near copies, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
+and returns whole rows of ``documents``; the last returns packed pieces. Between
+stages the rows are written and read again.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillframe.llm import decontaminate, linededup, ngram_join, packing, quality
+from quillframe.llm.common import keep, small
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned decision list reject go."""
+    return quality.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat or nearly repeat an earlier line go; n_chars follows the text. Documents stay."""
+    out = linededup.deduplicated(docs)
+    return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8 the one with the smallest id stays."""
+    return ngram_join.keep_one(docs, k=5, percent=80)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more lies in benchmark windows go; a text decides, whatever its id."""
+    texts = docs.select(F.xxhash64("text").alias("_h"), "text")
+    found = decontaminate.marked(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_h")
+    gone = keep(found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    return docs.join(small(gone, ngram_join.BROADCAST_ROWS), F.xxhash64("text") == F.col("_gone"), "left_anti")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, packed into sequences of 2048 ids."""
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Learned rules and tokenisers have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = keep(docs, name)
     return docs

@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ MAX_RULES, MAX_CONDITIONS, CUTS = 12, 4, 64
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
 #: What conditions are about, from the measurements.
 FEATURES = {
     "n_words": "cast(n_words as double)",
@@ -51,6 +54,16 @@ def repeated_words(words: np.ndarray) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
+def measure(texts: list[str | None], hashes: WordHash) -> dict[str, list[int]]:
+    rows = []
+    for text in texts:
+        raw = (text or "").encode()
+        words = raw.split()
+        lines = [x for x in raw.split(b"\n") if x.strip(_SPACE)]
+        rows.append((len(words), len(raw.translate(None, _SPACE).decode()), len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated_words(hashes.many(words))))
+    return {k: list(v) for k, v in zip(MEASURES, zip(*rows))} if rows else {k: [] for k in MEASURES}
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id and the measurements of the whole text (a null one has none).
 
@@ -60,20 +73,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def make():
         hashes = WordHash()
+        return lambda batch: {"doc_id": batch.column(0)} | measure(batch.column(1).to_pylist(), hashes)
 
-        def step(batch):
-            rows = []
-            for text in batch.column(1).to_pylist():
-                raw = (text or "").encode()
-                words = raw.split()
-                lines = [x for x in raw.split(b"\n") if x.strip(_SPACE)]
-                rows.append((len(words), len(raw.translate(None, _SPACE).decode()), len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines), len(lines) - len(set(lines)), repeated_words(hashes.many(words))))
-            names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-            return {"doc_id": batch.column(0)} | {k: list(v) for k, v in zip(names, zip(*rows))}
-
-        return step
-
-    return by_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), make, "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+    schema = "doc_id long, " + ", ".join(f"{k} long" for k in MEASURES)
+    return by_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), make, schema)
 
 
 def base_failed() -> Column:
@@ -169,15 +172,17 @@ def decision(rules: list[Rule]) -> Column:
     return F.expr("case " + " ".join(f"when {' and '.join(f'({c.sql()})' for c in r)} then false" for r in rules) + " else true end")
 
 
-def fit(measures: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
-    """Learn from ``labels`` (doc_id, quality: 0 is rejected) on a hash sample of about ``rows`` labelled rows, each class by its share.
-
-    Rows with a null id or label are not used.
-    """
+def labelled(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """A hash sample of about ``rows`` labelled ids (doc_id, quality); rows with a null id or label are left out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     share = min(1.0, rows / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    got = measures.join(known, "doc_id").select("quality", *(F.expr(e).alias(k) for k, e in FEATURES.items())).where("n_words >= 50").orderBy(*FEATURES, "quality").toPandas()
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def fit(measures: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
+    """Learn from ``labels`` (doc_id, quality: 0 is rejected), on ``labelled`` of them."""
+    got = measures.join(F.broadcast(labelled(labels, rows)), "doc_id").select("quality", *(F.expr(e).alias(k) for k, e in FEATURES.items())).where("n_words >= 50").toPandas()
+    got = got.sort_values([*FEATURES, "quality"], kind="stable")
     return learn({k: got[k].to_numpy(np.float64) for k in FEATURES}, got["quality"].to_numpy() == 0)
 
 
@@ -191,3 +196,16 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     measures = keep(measured(docs, id_col, text_col), "measures")
     rules = fit(measures, labels)
     return measures.select("*", base_failed().alias("base_failed"), (~base_failed() & decision(rules)).alias("kept"))
+
+
+def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, whose text is kept. Every row is judged by its own text, whatever its id."""
+    known = docs.join(F.broadcast(labelled(labels).select(F.col("doc_id").alias("_known")).distinct()), F.col(id_col).cast("long") == F.col("_known"), "left_semi")
+    rules = fit(measured(known, id_col, text_col), labels)
+
+    @F.pandas_udf(", ".join(f"{k} long" for k in MEASURES))
+    def measures(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(measure(texts.tolist(), WordHash()), columns=list(MEASURES), dtype="int64")
+
+    judged_rows = docs.select(F.struct(*docs.columns).alias("row"), measures(F.col(text_col).cast("string")).alias("m")).select("row", "m.*")
+    return judged_rows.where(~base_failed() & decision(rules)).select("row.*")

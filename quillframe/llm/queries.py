@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, langid, ngram_join, packing, pii, quality, secrets, toxicity, warc
+from . import decontaminate, langid, linededup, ngram_join, packing, pii, quality, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(docs, langid.fit(docs))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.deduplicated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_removed").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "text")
+
+
 def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -50,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii_weak_supervision, op3_secret_scan, op4_pu_toxicity, op5_benchmark_decontamination, op6_language_id, op8_warc_normaliser, op9_best_fit_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii_weak_supervision, op3_secret_scan, op4_pu_toxicity, op5_benchmark_decontamination, op6_language_id, op7_line_dedup, op8_warc_normaliser, op9_best_fit_packing, op10_quality_rules)}
 
 #: A-Z to lower case, and nothing else.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -68,6 +74,23 @@ ORACLES: dict[str, str] = {
         reach(doc_id, other) as (select doc_id, doc_id from n union select r.doc_id, l.b from reach r join link l on l.a = r.other)
         select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(min(r.other), d.doc_id) as component_id
         from documents d left join n using (doc_id) left join reach r using (doc_id) group by d.doc_id, n.n""",
+    "op7_line_dedup": rf"""
+        with l as (select doc_id, i, ls[i] as line from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)),
+        s as (select doc_id, i, list_sort(list_distinct(regexp_extract_all({_LOWER.format("line")}, '[^\x20\x09-\x0D]+'))) as w from l),
+        c as (select w, row_number() over () as c, len(w) as n, min(struct_pack(d := doc_id, i := i)) as f from s where len(w) >= 5 group by w),
+        e as (select c, n, f, unnest(w) as t from c),
+        df as (select t, count(*) as n from e group by t),
+        p as (select c, e.n, f, row_number() over (partition by c order by df.n, t) as at, t from e join df using (t)),
+        pair as (select distinct x.c as a, y.c as b from p x join p y on x.t = y.t and x.f < y.f
+          and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and 5 * (x.at - 1) <= x.n and 5 * (y.at - 1) <= y.n),
+        shared as (select a, b, count(*) as i from pair join e x on x.c = a join e y on y.c = b and y.t = x.t group by a, b),
+        bad as (select distinct b from shared join c p on p.c = a join c q on q.c = b where 100 * i >= 80 * (p.n + q.n - i)),
+        gone as (select doc_id, i from s join c on s.w = c.w where c.c in (select b from bad) or struct_pack(d := doc_id, i := i) <> f),
+        kept as (select l.doc_id, count(g.i) as n, string_agg(line, chr(10) order by l.i) filter (where g.i is null) as text
+          from l left join gone g on g.doc_id = l.doc_id and g.i = l.i group by l.doc_id)
+        select d.doc_id, coalesce(k.n, 0)::bigint as n_removed, sha256(case when d.text is not null then coalesce(k.text, '') end) as text_sha256,
+          case when d.text is not null then coalesce(k.text, '') end as text
+        from documents d left join kept k using (doc_id)""",
     "op8_warc_normaliser": """
         with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as x from pages),
         t as (select *, max(page_id) over (partition by h) as top from p),
