@@ -19,11 +19,15 @@ def prepared(docs: DataFrame, config: Config) -> DataFrame:
     return settings.resolved(markdown.segments(docs), config)
 
 
+def with_phrase_spans(segments: DataFrame, config: Config) -> DataFrame:
+    """Adds phrase_spans: where the phrases allowed for the file stand in the segment."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    own = [F.when(F.array_contains("phrases", p), s).otherwise(none) for p, s in terms.phrase_spans(settings.all_phrases(config)).items()]
+    return segments.withColumn("phrase_spans", F.concat(*own) if own else none)
+
+
 def dictionary_findings(segments: DataFrame, dictionary: DataFrame, config: Config) -> DataFrame:
-    spans = terms.phrase_spans(settings.all_phrases(config))
-    own = [F.when(F.array_contains("phrases", p), s).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)")) for p, s in spans.items()]
-    with_spans = segments.withColumn("phrase_spans", F.concat(*own) if own else F.expr("cast(array() as array<struct<start:int,end:int>>)"))
-    return terms.findings(terms.unless_allowed(terms.matches(with_spans, dictionary)))
+    return terms.findings(terms.unless_allowed(terms.matches(with_phrase_spans(segments, config), dictionary)))
 
 
 def findings(docs: DataFrame, config: Config | None = None, dictionary: DataFrame | None = None) -> DataFrame:
