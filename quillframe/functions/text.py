@@ -48,19 +48,21 @@ def running_sum(values: Column) -> Column:
     return let(values, lambda v: let(blocks(v), joined))
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str, gaps: bool = False) -> Column:
     """Matches of a pattern without groups, as array<struct<start, end, value>>, from the gaps between them.
 
-    Offsets are in code points, the end exclusive.
+    Offsets are in code points, the end exclusive. ``gaps`` adds the text between a match and the one before.
     """
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
 
     def placed(x: Column) -> Column:
-        ends = running_sum(F.zip_with(x["m"], F.slice(x["g"], F.lit(1), F.size(x["m"])), lambda m, g: F.length(m) + g))
-        return F.zip_with(x["m"], ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+        before = F.slice(x["g"], F.lit(1), F.size(x["m"]))
+        ends = running_sum(F.zip_with(x["m"], before, lambda m, g: F.length(m) + F.length(g)))
+        pairs = F.zip_with(x["m"], before, lambda m, g: F.struct(m.alias("m"), g.alias("g"))) if gaps else F.transform(x["m"], lambda m: F.struct(m.alias("m")))
+        more = lambda p: [p["g"].alias("gap")] if gaps else []
+        return F.zip_with(pairs, ends, lambda p, e: F.struct((e - F.length(p["m"])).alias("start"), e.alias("end"), p["m"].alias("value"), *more(p)))
 
-    return let(F.struct(found.alias("m"), gaps.alias("g")), placed)
+    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    return let(F.struct(found.alias("m"), F.split(text, pattern, -1).alias("g")), placed)
 
 
 def outside_code(text: Column, pattern: str) -> Column:

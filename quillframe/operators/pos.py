@@ -23,8 +23,8 @@ FINITE = ("moves", "has", "does", "goes", "runs", "opens", "closes", "starts", "
 CLAUSE_BREAKS = ("and", "or", "but", "so", "because", "if", "when", "while", "that", "which", "who", "than", "as")
 ADJECTIVES = ("custom", "manual", "automatic", "primary", "secondary", "standard", "digital", "analog", "external", "internal", "optional", "additional", "main", "backup")
 NO_COMPOUND = ("not", "never", "also", "already", "still", "just", "often")
-#: How many words a determiner may stand before.
-REACH = 3
+#: How many words a determiner may stand before, and the code points looked at first for them.
+REACH, WINDOW = 3, 160
 
 _DETERMINERS = ARTICLES + POSSESSIVES + QUANTIFIERS + PREPOSITIONS
 _FINITE = MODALS + BE + FINITE
@@ -57,32 +57,60 @@ def governing(before: Column) -> Column:
     return F.aggregate(seen, start, step, lambda a: a["word"])
 
 
-def guess(text: Column, start: Column, end: Column, mode: Column) -> Column:
-    """noun, verb or null for the words of ``text`` from ``start`` to ``end``."""
-    head, tail, match = text.substr(F.lit(1), start), text.substr(end + 1, F.length(text)), text.substr(start + 1, end - start)
-    context = F.struct(tokens(head).alias("before"), tokens(tail).alias("after"), head.alias("head"), match.alias("match"))
+def has_finite(text: Column) -> Column:
+    """Whether a segment has a finite verb anywhere."""
+    return F.exists(tokens(text), lambda t: normal(t).isin(*_FINITE))
+
+
+def _before(text: Column, start: Column) -> Column:
+    """The last ``REACH`` tokens or more before an offset, cut from a window where that has enough of them."""
+    window = text.substr(F.greatest(start - WINDOW + 1, F.lit(1)), F.least(start, F.lit(WINDOW)))
+
+    def cut(t: Column) -> Column:
+        near = F.slice(t, F.lit(2), F.size(t))  # the first may be torn
+        return F.when((start > WINDOW) & (F.size(t) > REACH), near).otherwise(tokens(text.substr(F.lit(1), start)))
+
+    return F.when(start <= WINDOW, tokens(window)).otherwise(let(tokens(window), cut))
+
+
+def _after(text: Column, end: Column) -> Column:
+    """The tokens after an offset, from a window where that has more than one."""
+    near = tokens(text.substr(end + 1, F.lit(WINDOW)))
+    return let(near, lambda t: F.when(F.size(t) > 1, t).otherwise(tokens(text.substr(end + 1, F.length(text)))))
+
+
+def _opens(text: Column, start: Column) -> Column:
+    """Whether a sentence begins at an offset."""
+    ends = lambda x: x.rlike(f"[.!?:]{P.S}+\\z")
+    window = text.substr(F.greatest(start - WINDOW + 1, F.lit(1)), F.least(start, F.lit(WINDOW)))
+    return (start == 0) | F.when(window.rlike(f"[^{P.SPACE}]"), ends(window)).otherwise(ends(text.substr(F.lit(1), start)))
+
+
+def guess(text: Column, start: Column, end: Column, mode: Column, finite: Column | None = None) -> Column:
+    """noun, verb or null for the words of ``text`` from ``start`` to ``end``; ``finite`` is ``has_finite`` of the text, if known."""
+    context = F.struct(_before(text, start).alias("before"), F.try_element_at(_after(text, end), F.lit(1)).alias("next"), text.substr(start + 1, end - start).alias("match"))
 
     def decide(c: Column) -> Column:
-        sure = lambda x: F.coalesce(x, F.lit(False))
-        prev, following = normal(F.try_element_at(c["before"], F.lit(-1))), normal(F.try_element_at(c["after"], F.lit(1)))
-        return let(F.struct(prev.alias("prev"), following.alias("next"), governing(c["before"]).alias("gov")), lambda n: _verdict(c, n, sure, text, start, mode))
+        prev, following = normal(F.try_element_at(c["before"], F.lit(-1))), normal(c["next"])
+        imperative = (mode == "procedure") & _opens(text, start)
+        near = F.struct(prev.alias("prev"), following.alias("next"), governing(c["before"]).alias("gov"))
+        return let(near, lambda n: _verdict(c["match"], n, imperative, has_finite(text) if finite is None else finite))
 
     return let(context, decide)
 
 
-def _verdict(c: Column, n: Column, sure, text: Column, start: Column, mode: Column) -> Column:
-    low = F.lower(c["match"])
+def _verdict(match: Column, n: Column, imperative: Column, finite: Column) -> Column:
+    sure = lambda x: F.coalesce(x, F.lit(False))
+    low = F.lower(match)
     number = F.regexp_replace(n["next"], "^[+-]+|[+-]+\\z", "").rlike(r"^[\p{Nd}.]+\z")
     verb = sure(n["prev"] == "to") | sure(n["prev"].isin(*MODALS)) | sure(n["prev"].isin(*BE) & low.endswith("ing")) | _ends(low, "ed", "ing") | sure(n["next"].isin(*ARTICLES)) | sure(number)
-    imperative = (mode == "procedure") & ((start == 0) | c["head"].rlike(f"[.!?:]{P.S}+\\z"))
     compound = (
         n["next"].rlike(r"^\p{L}+\z")
         & ~n["next"].isin(*_DETERMINERS, *CLAUSE_BREAKS, *_FINITE, *NO_COMPOUND)
         & ~_ends(n["next"], "ing", "ed", "ly", "s")
     )
     determined = sure(n["prev"].isin(*_DETERMINERS)) | sure(n["prev"].endswith("'s")) | sure(n["gov"].isin(*_DETERMINERS))
-    plural = c["match"].endswith("s") & ~c["match"].endswith("ss")
-    finite = F.exists(tokens(text), lambda t: normal(t).isin(*_FINITE))
+    plural = match.endswith("s") & ~match.endswith("ss")
 
     def weigh(v: Column) -> Column:
         noun = determined | plural | sure(n["next"] == "of") | sure(n["next"].isin(*_FINITE)) | (sure(compound) & ~v["verb"]) | (~v["verb"] & ~finite)

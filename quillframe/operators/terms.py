@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import patterns as P
-from ..functions.text import located, resolve_line
+from ..functions.text import let, located, resolve_line
 from .lexicon import described
-from .pos import guess
+from .pos import guess, has_finite
 from .rules import DICTIONARY
 
 _PLAIN = re.compile(r"[\w-]+( [\w-]+)*")
@@ -32,19 +32,34 @@ def _by_pattern(term: str) -> bool:
     return not _PLAIN.fullmatch(term) or words[0] in words[1:]
 
 
-def _token_hits(segments: DataFrame, plain: DataFrame, first: list[str] | None) -> DataFrame:
-    found = segments.withColumn("_t", located(F.col("text"), P.TERM_TOKEN))
-    low = F.transform("_t", lambda t: F.lower(t["value"]))
-    gap = F.transform("_t", lambda t, i: F.when(i == 0, False).otherwise(F.col("text").substr(F.get("_t", i - 1)["end"] + 1, t["start"] - F.get("_t", i - 1)["end"]).rlike(f"^{P.S}+\\z")))
-    opens = (lambda x: x["w"].isin(*first)) if first is not None else (lambda x: F.lit(True))
-    starts = F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), opens)
-    found = found.withColumns({"_w": low, "_g": gap}).withColumn("_s", F.explode(starts))
-    hit = found.join(F.broadcast(plain) if first is not None else plain, F.col("_s.w") == F.col("_first"))
+def _token_hits(segments: DataFrame, plain: DataFrame, first: list[str] | None, longest: int) -> DataFrame:
+    """Matches of plain terms. Each token that opens a term takes along only the words that a term may have."""
+
+    def openings(x: Column) -> Column:
+        low = F.transform(x, lambda t: F.lower(t["value"]))
+        near = F.transform(x, lambda t: t["gap"].rlike(f"^{P.S}+\\z"))
+
+        def taken(parts: Column) -> Column:
+            each = F.transform(parts["low"], lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+            starts = F.filter(each, lambda o: o["w"].isin(*first)) if first is not None else each
+            return F.transform(
+                starts,
+                lambda o: F.struct(
+                    o["w"].alias("first"),
+                    F.get(x, o["i"])["start"].alias("start"),
+                    F.slice(parts["low"], o["i"] + 1, F.lit(longest)).alias("words"),
+                    F.slice(parts["near"], o["i"] + 1, F.lit(longest)).alias("near"),
+                    F.transform(F.slice(x, o["i"] + 1, F.lit(longest)), lambda t: t["end"]).alias("ends"),
+                ),
+            )
+
+        return let(F.struct(low.alias("low"), near.alias("near")), taken)
+
+    found = segments.withColumn("_o", F.explode(let(located(F.col("text"), P.TERM_TOKEN, gaps=True), openings)))
+    hit = found.join(F.broadcast(plain) if first is not None else plain, F.col("_o.first") == F.col("_first"))
     n = F.size("words")
-    same = (F.slice("_w", F.col("_s.i") + 1, n) == F.col("words")) & F.forall(F.slice("_g", F.col("_s.i") + 2, n - 1), lambda g: g)
-    hit = hit.where((F.size("_w") >= F.col("_s.i") + n) & same)
-    ends = F.get("_t", F.col("_s.i") + n - 1)["end"]
-    return hit.withColumns({"start": F.get("_t", F.col("_s.i"))["start"], "end": ends}).drop("_t", "_w", "_g", "_s", "_first")
+    same = (F.slice("_o.words", F.lit(1), n) == F.col("words")) & F.forall(F.slice("_o.near", F.lit(2), n - 1), lambda g: g)
+    return hit.where(same).withColumns({"start": F.col("_o.start"), "end": F.get("_o.ends", n - 1)}).drop("_o", "_first")
 
 
 def matches(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -53,15 +68,19 @@ def matches(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
     Terms are matched in either case and across any white space, each on its own: overlapping terms all count.
     """
     spark = segments.sparkSession
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+    segments = segments.withColumns({"_code": F.when(F.col("text").contains("`"), located(F.col("text"), P.CODE)).otherwise(none), "finite": has_finite(F.col("text"))})
     entries = described(dictionary.where("term is not null and term <> ''"))
     few = entries.limit(BROADCAST_TERMS + 1).collect()
     if len(few) > BROADCAST_TERMS:
         plain, odd, first = entries.where(F.col("term").rlike(r"^[\w-]+( [\w-]+)*$")), [], None
+        longest = plain.agg(F.max(F.size("words"))).first()[0] or 1
     else:
         odd = [r for r in few if _by_pattern(r["term"])]
         plain = spark.createDataFrame([r for r in few if not _by_pattern(r["term"])], entries.schema)
         first = sorted({r["words"][0] for r in few if not _by_pattern(r["term"])})
-    out = _token_hits(segments, plain.withColumn("_first", F.col("words")[0]), first) if first != [] else None
+        longest = max((len(r["words"]) for r in few), default=1)
+    out = _token_hits(segments, plain.withColumn("_first", F.col("words")[0]), first, longest) if first != [] else None
     if odd:
         hits = F.concat(*(_tagged(r["term"], k) for k, r in enumerate(odd)))
         table = spark.createDataFrame([(*r, k) for k, r in enumerate(odd)], StructType([*entries.schema, StructField("_k", IntegerType())]))
@@ -70,8 +89,8 @@ def matches(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
     if out is None:
         out = segments.crossJoin(spark.createDataFrame([], entries.schema)).withColumns({"start": F.lit(0), "end": F.lit(0)})
     out = out.withColumn("match", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
-    inside = F.exists(located(F.col("text"), P.CODE), lambda c: (F.col("start") >= c["start"]) & (F.col("end") <= c["end"]))
-    return out.where(~F.col("text").contains("`") | ~inside)
+    inside = F.exists("_code", lambda c: (F.col("start") >= c["start"]) & (F.col("end") <= c["end"]))
+    return out.where(~inside).drop("_code")
 
 
 def _tagged(term: str, k: int) -> Column:
@@ -131,7 +150,7 @@ def message(match: Column, senses: Column, left: Column) -> Column:
 
 def judged(hits: DataFrame) -> DataFrame:
     """Adds pos, the guess, and left, the senses it leaves."""
-    return hits.withColumn("pos", guess(F.col("text"), F.col("start"), F.col("end"), F.col("mode"))).withColumn("left", candidates(F.col("senses"), F.col("pos")))
+    return hits.withColumn("pos", guess(F.col("text"), F.col("start"), F.col("end"), F.col("mode"), F.col("finite"))).withColumn("left", candidates(F.col("senses"), F.col("pos")))
 
 
 def findings(hits: DataFrame) -> DataFrame:
