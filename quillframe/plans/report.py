@@ -10,7 +10,14 @@ from .lint import ORDER
 
 def text_line() -> Column:
     """A finding as a line of text."""
-    place = F.concat_ws(":", "file", "line", F.col("column"))
+    return _text_line(F.concat_ws(":", "file", "line", F.col("column")))
+
+
+def text_line_without_column() -> Column:
+    return _text_line(F.concat_ws(":", "file", "line"))
+
+
+def _text_line(place: Column) -> Column:
     hint = F.when(F.col("suggestion").isNull(), "").otherwise(F.concat(F.lit(" (Suggestion: "), F.col("suggestion"), F.lit(")")))
     return F.concat(place, F.lit(": ["), F.upper("severity"), F.lit("] "), F.col("rule_code"), F.lit(" — "), F.col("message"), hint)
 
