@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -18,16 +19,23 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules["quillframe"])
 
 
+#: Stand-in folders, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
+    """The folder that driver and executors share (``spark.checkpoint.dir``), with its scheme.
 
     A temporary folder stands in where the session names none, as in local tests.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quillframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        root = _OWN.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="quillframe-")
+        _OWN[context.applicationId] = root
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return whole.replace("file:/", "file:///", 1).rstrip("/") if re.match("file:/[^/]", whole) else whole.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -59,7 +67,7 @@ def crc_mod(col, mod: int):
 class WordHash(dict):
     """word bytes -> 64-bit hash, remembered; cleared when it has grown large."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -120,22 +128,27 @@ def list_array(parts: list[np.ndarray], kind=np.int64) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Runs of batches of a partition sorted by ``key``, cut so that no key is split between two of them."""
+def groups_of(batches: Iterator[pa.RecordBatch], key: str, of: Callable[[np.ndarray], np.ndarray] = lambda v: v) -> Iterator[pa.Table]:
+    """Runs of batches of a partition sorted by ``key``, cut so that no key is split between two of them; ``of`` maps the column to keys."""
     held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        keys = of(batch.column(key).to_numpy(zero_copy_only=False))
         start = int(np.searchsorted(keys, keys[-1], "left"))
-        if start:
-            held.append(batch.slice(0, start))
-            yield pa.Table.from_batches(held)
-            held = []
-        elif held and held[-1].column(key)[-1].as_py() != keys[0]:
-            yield pa.Table.from_batches(held)
+        if held and (start or last != keys[0]):
+            if start:
+                same = int(np.searchsorted(keys, last, "right")) if keys[0] == last else 0
+                yield pa.Table.from_batches([*held, batch.slice(0, same)])
+                batch, start = batch.slice(same), start - same
+            else:
+                yield pa.Table.from_batches(held)
             held = []
+        if start:
+            yield pa.Table.from_batches([batch.slice(0, start)])
         held.append(batch.slice(start))
+        last = keys[-1]
     if held:
         yield pa.Table.from_batches(held)
 

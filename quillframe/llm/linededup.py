@@ -5,13 +5,14 @@ Words are ordered from rare to common, by counts over all lines; two lines
 whose Jaccard similarity reaches the threshold share a word among the rarest few of
 both (prefix filter). Under such a word only lines pass whose sizes are close
 (length filter), whose places of the word leave enough words to share
-(positional filter), and whose 64-bit parities differ in no more bits than
-words may. What passes is verified on the words.
+(positional filter), and whose parities, of 64 bits or for longer lines 128,
+differ in no more bits than words may. What passes is verified on the words.
 
 A line goes if an earlier line is similar, earlier by (doc_id, line number).
-First each line is verified against the earliest that passes under each word;
-lines still standing that had more to choose from are verified against all, so a
-line with thousands of variants costs a pair a variant, and none is missed.
+First each line is verified against the few that pass with the nearest parities
+under each of its words; lines still standing that had more to choose from are
+verified against all, so a line with thousands of variants costs a few pairs a
+variant, and none is missed.
 """
 
 from __future__ import annotations
@@ -22,26 +23,93 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_batches, groups_of, keep, mix, rows_under, small
+from .common import by_batches, groups_of, keep, mix, rows_under, small
 
 #: Least words of a line that is compared; shorter ones stay.
 LEAST_WORDS = 5
 #: Bounds of the table of word counts, in slots.
-SLOTS = (1 << 14, 1 << 20)
-#: Counts from which a word's lines are also dealt by size.
-COMMON = 100_000
-BROADCAST_ROWS = 1_000_000
-
-#: Words handled at once in a task.
+SLOTS = (1 << 14, 1 << 16)
+#: A word's code has the logarithm of its count in the top bits; from this one on its lines are also dealt by size.
+COMMON = 17
+BROADCAST_ROWS = 2_000_000
+#: Words from which a line's parity has 128 bits.
+LONG = 48
+#: Partners of a line verified first, under each prefix word.
+NEAREST = 4
+#: Characters, and pairs, handled at once in a task.
 CHUNK = 1_000_000
+#: Bytes of a word that are hashed by place.
+PLACES = 64
+
+_RANDOM = mix(np.arange(1, 256 * PLACES + 1))
+_IN_WORD = np.array([c not in b" \t\n\x0b\x0c\r" for c in range(256)])
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, line number, 64-bit hash) of all words of whole texts, A-Z lower-cased, split at ASCII white space.
+
+    A hash sums a random number for each byte and place; words of over ``PLACES`` bytes take another hash.
+    """
+    each = [(t or "").encode() for t in texts]
+    raw = np.frombuffer(b"\n".join(each).lower(), np.uint8)
+    if not len(raw):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+    inner = _IN_WORD[raw]
+    edge = np.flatnonzero(np.diff(inner.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    own = raw[inner].astype(np.int32)
+    first = np.cumsum(size) - size
+    place = np.minimum(np.arange(len(own), dtype=np.int32) - np.repeat(first.astype(np.int32), size), PLACES - 1)
+    h = mix(np.add.reduceat(_RANDOM[place << 8 | own], first) + size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
+    for k in np.flatnonzero(size > PLACES):
+        h[k] = xxhash.xxh64_intdigest(raw[start[k] : start[k] + size[k]].tobytes())
+    begin = np.cumsum([0, *(len(x) + 1 for x in each[:-1])])
+    text = np.searchsorted(begin, start, "right") - 1
+    breaks = np.flatnonzero(raw == 10)
+    line = np.searchsorted(breaks, start) - np.searchsorted(breaks, begin)[text]
+    return text, line, h
+
+
+def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+    """Texts a few at a time, with the number of the first."""
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and size < CHUNK:
+            size += len(texts[end] or "")
+            end += 1
+        yield start, texts[start:end]
+        start = end
+
+
+def word_counts(rows: DataFrame, slots: int) -> np.ndarray:
+    """How often words of each slot of hashes occur in all texts; counted in tasks, summed by slot."""
+
+    def step(batch):
+        n = np.zeros(slots, np.int64)
+        for _, texts in chunks(batch.column("text").to_pylist()):
+            n += np.bincount((hashed_words(texts)[2] & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+        at = np.flatnonzero(n)
+        return {"slot": at, "n": n[at]}
+
+    got = by_batches(rows.select("text"), lambda: step, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(slots, np.int64)
+    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return counts
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    """The logarithms of counts, as the top bits of codes."""
+    return np.ceil(np.log2(np.maximum(counts, 1))).astype(np.uint64) << np.uint64(58)
 
 
 @dataclass
 class Lines:
-    """Lines with a word: text and line numbers, and the distinct word hashes of all, ascending within each line."""
+    """Lines with a word: text and line numbers, and the distinct word codes of all, ascending within each line."""
 
     text: np.ndarray
     line: np.ndarray
@@ -52,264 +120,254 @@ class Lines:
     def size(self) -> np.ndarray:
         return np.diff(np.r_[self.begin, len(self.words)])
 
-    def pick(self, keep: np.ndarray) -> Lines:
+    def pick(self, wanted: np.ndarray) -> Lines:
         size = self.size
-        begin = np.r_[0, np.cumsum(size[keep])[:-1]] if keep.any() else np.zeros(0, np.int64)
-        return Lines(self.text[keep], self.line[keep], self.words[np.repeat(keep, size)], begin)
+        begin = np.r_[0, np.cumsum(size[wanted])[:-1]] if wanted.any() else np.zeros(0, np.int64)
+        return Lines(self.text[wanted], self.line[wanted], self.words[np.repeat(wanted, size)], begin)
 
     def signatures(self) -> np.ndarray:
         return mix(np.add.reduceat(mix(self.words), self.begin) + self.size.astype(np.uint64)).view(np.int64)
 
-    def parities(self) -> np.ndarray:
-        return np.bitwise_xor.reduceat(np.uint64(1) << (mix(self.words) >> np.uint64(58)), self.begin)
+    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each of 64 bits whether an odd number of words falls there; and the same of half of the words, for lines of ``LONG`` words."""
+        h = mix(self.words)
+        bit = np.uint64(1) << (h >> np.uint64(58))
+        half = np.bitwise_xor.reduceat(np.where(h & np.uint64(1), bit, np.uint64(0)), self.begin)
+        return np.bitwise_xor.reduceat(bit, self.begin), np.where(self.size >= LONG, half, np.uint64(0))
 
-    def prefixes(self, counts: np.ndarray, percent: int) -> pa.Array:
-        """Each line's rarest words, rare to common, ties by hash."""
+    def prefixes(self, percent: int) -> pa.Array:
+        """Each line's rarest words as (key of 32 bits, place): a common word has two keys, of the line's size band and the next."""
         size = self.size
-        owner = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((self.words, counts[(self.words % np.uint64(len(counts))).astype(np.int64)], owner))
-        most = prefix_size(size, percent)
-        within = np.arange(len(self.words)) - np.repeat(self.begin, size) < np.repeat(most, size)
-        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(most)].astype(np.int32)), pa.array(self.words[order][within].view(np.int64)))
-
-
-def lines_of(texts: list[str | None], hashes: WordHash) -> Iterator[Lines]:
-    """Lines of whole texts, some at a time; A-Z lower-cased, words split at ASCII white space."""
-    text, line, size, words = [], [], [], []
-
-    def made() -> Lines:
-        owner, h = np.repeat(np.arange(len(size)), size), hashes.many(words)
-        order = np.lexsort((h, owner))
-        owner, h = owner[order], h[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]
-        owner, h = owner[new], h[new]
-        return Lines(np.array(text), np.array(line), h, np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]))
-
-    for k, t in enumerate(texts):
-        for i, own in enumerate((t or "").encode().lower().split(b"\n")):
-            if own := own.split():
-                text.append(k)
-                line.append(i)
-                size.append(len(own))
-                words += own
-        if len(words) >= CHUNK:
-            yield made()
-            text, line, size, words = [], [], [], []
-    if words:
-        yield made()
-
+        at = np.arange(len(self.words)) - np.repeat(self.begin, size)
+        front = at < np.repeat(prefix_size(size, percent), size)
+        words, at, owner = self.words[front], at[front].astype(np.uint64), np.repeat(np.arange(len(size)), size)[front]
+        common = words >> np.uint64(58) >= COMMON
+        band = bands(size, percent)[owner[common]]
+        key = np.concatenate([mix(words[~common]), *(mix(words[common] + band + np.uint64(k)) for k in (1, 2))])
+        owner, at = (np.concatenate([v[~common], v[common], v[common]]) for v in (owner, at))
+        packed, order = (key >> np.uint64(33)) << np.uint64(32) | at, np.argsort(owner, kind="stable")
+        ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(size)))]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(packed[order].view(np.int64)))
 
-def word_counts(rows: DataFrame, slots: int) -> np.ndarray:
-    """How many lines hold a word of each slot; counted in tasks, summed by slot."""
-
-    def make():
-        hashes = WordHash()
 
-        def step(batch):
-            n = np.zeros(slots, np.int64)
-            for lines in lines_of(batch.column("text").to_pylist(), hashes):
-                n += np.bincount((lines.words % np.uint64(slots)).astype(np.int64), minlength=slots)
-            at = np.flatnonzero(n)
-            return {"slot": at, "n": n[at]}
+def prefix_size(n, percent: int):
+    """Rarest words of a set of n among which any similar set has one."""
+    return n + percent * -n // 100 + 1
 
-        return step
 
-    got = by_batches(rows.select("text"), make, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(slots, np.int64)
-    counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    return counts
+def bands(n: np.ndarray, percent: int) -> np.ndarray:
+    """Size bands so wide that similar sizes lie at most one apart."""
+    return np.floor(np.log(n) / (1.01 * math.log(100 / percent) + 1e-9)).astype(np.uint64)
 
 
-def prefix_size(n, percent: int):
-    """Rarest words of a set of n among which any similar set has one."""
-    return n + percent * -n // 100 + 1
+def _sorted_sets(codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes of each run, ascending: (which run, codes, beginnings). Runs are sorted as rows of tables of like width."""
+    begin, kinds = np.cumsum(size) - size, np.ceil(np.log2(size) * 2).astype(np.int64)
+    runs, flat, sizes = [], [], []
+    for k in np.unique(kinds):
+        own = np.flatnonzero(kinds == k)
+        width = int(size[own].max())
+        filled = np.arange(width) < size[own][:, None]
+        table = np.full(filled.shape, np.iinfo(np.uint64).max, np.uint64)
+        table[filled] = codes[np.repeat(begin[own] - np.r_[0, np.cumsum(size[own])[:-1]], size[own]) + np.arange(size[own].sum())]
+        table.sort(axis=1)
+        new = filled.copy()
+        new[:, 1:] &= table[:, 1:] != table[:, :-1]
+        runs.append(own)
+        flat.append(table[new])
+        sizes.append(new.sum(axis=1))
+    n = np.concatenate(sizes)
+    return np.concatenate(runs), np.concatenate(flat), np.cumsum(n) - n
+
+
+def lines_of(texts: list[str | None], level: np.ndarray) -> Iterator[Lines]:
+    """Lines of whole texts, some at a time. A word's code is the logarithm of its count, then its hash: codes sort from rare to common."""
+    for start, some in chunks(texts):
+        text, line, h = hashed_words(some)
+        if len(h):
+            code = level[(h & np.uint64(len(level) - 1)).astype(np.int64)] | h >> np.uint64(6)
+            begin = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (line[1:] != line[:-1])])
+            run, flat, starts = _sorted_sets(code, np.diff(np.r_[begin, len(h)]))
+            yield Lines(start + text[begin][run], line[begin][run], flat, starts)
 
 
 def line_sets(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
-    """(sig, doc_id, line, n, bits, prefix) of every line with at least ``least`` words."""
+    """(sig, doc_id, place, bits, half, prefix) of every line with at least ``least`` words; place holds the line's number above its size."""
 
     def make():
-        hashes, table = WordHash(), counts.value
+        level = levels(counts.value)
 
         def step(batch):
             ids, out = batch.column("doc_id").to_numpy(), []
-            for lines in lines_of(batch.column("text").to_pylist(), hashes):
+            for lines in lines_of(batch.column("text").to_pylist(), level):
                 lines = lines.pick(lines.size >= least)
                 if len(lines.line):
-                    out.append((lines.signatures(), ids[lines.text], lines.line, lines.size, lines.parities(), lines.prefixes(table, percent)))
+                    out.append((lines.signatures(), ids[lines.text], lines.line << 32 | lines.size, *lines.parities(), lines.prefixes(percent)))
             if not out:
                 return None
-            return {k: pa.concat_arrays(v) if k == "prefix" else np.concatenate(v) for k, v in zip(("sig", "doc_id", "line", "n", "bits", "prefix"), zip(*out))}
+            return {k: pa.concat_arrays(v) if k == "prefix" else np.concatenate(v) for k, v in zip(("sig", "doc_id", "place", "bits", "half", "prefix"), zip(*out))}
 
         return step
 
-    return by_batches(rows.select("doc_id", "text"), make, "sig long, doc_id long, line int, n int, bits long, prefix array<long>")
+    return by_batches(rows.select("doc_id", "text"), make, "sig long, doc_id long, place long, bits long, half long, prefix array<long>")
 
 
-def bands(n: np.ndarray, percent: int) -> np.ndarray:
-    """Size bands so wide that similar sizes lie at most one apart."""
-    return np.floor(np.log(n) / (1.01 * math.log(100 / percent) + 1e-9)).astype(np.uint64)
+def dealt(firsts: DataFrame) -> DataFrame:
+    """A row a line and prefix word: (doc_id, place, bits, half, p), p the word's key above its place in the line."""
+    return firsts.select("doc_id", "place", "bits", "half", F.explode("prefix").alias("p"))
 
 
-def dealt(lines: DataFrame, counts, percent: int) -> DataFrame:
-    """A row a line and prefix word: (key, doc_id, line, n, at, bits, sig). Common words are dealt by size band too, a line under its own and the next."""
+def number(place: str = "place"):
+    return F.shiftright(place, 32).cast("int")
 
-    def make():
-        table = counts.value
 
-        def step(batch):
-            prefix = batch.column("prefix")
-            words, n = prefix.flatten().to_numpy().view(np.uint64), batch.column("n").to_numpy()
-            size = prefix.value_lengths().to_numpy()
-            row = np.repeat(np.arange(len(size)), size)
-            at = np.arange(len(words)) - np.repeat(np.cumsum(size) - size, size)
-            common = table[(words % np.uint64(len(table))).astype(np.int64)] >= COMMON
-            band = bands(n, percent)[row[common]]
-            key = np.concatenate([words[~common], *(mix(words[common] + band + np.uint64(k)) for k in (1, 2))])
-            row, at = (np.concatenate([v[~common], v[common], v[common]]) for v in (row, at))
-            take = pa.array(row)
-            return {"key": key, "at": at} | {c: batch.column(c).take(take) for c in ("doc_id", "line", "n", "bits", "sig")}
-
-        return step
-
-    return by_batches(lines.select("doc_id", "line", "n", "bits", "sig", "prefix"), make, "key long, doc_id long, line int, n int, at int, bits long, sig long")
-
-
-def _passes(n1, at1, bits1, n2, at2, bits2, percent: int) -> np.ndarray:
-    """The length, positional and parity filters, for two lines whose first common word has these places."""
-    need = -(-percent * (n1 + n2) // (100 + percent))
-    ok = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (np.minimum(n1 - at1, n2 - at2) >= need)
-    return ok & (np.bitwise_count(bits1 ^ bits2) <= n1 + n2 - 2 * need)
+def _close(key: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a key, the first no larger than the second, of close sizes; rows are sorted by key and size. Some at a time."""
+    both = key.astype(np.int64) << 32 | n
+    i = np.arange(len(key))
+    count = np.searchsorted(both, key.astype(np.int64) << 32 | 100 * n // percent, "right") - i - 1
+    done, total = 0, np.r_[0, np.cumsum(count)]
+    while done < len(key):
+        upto = max(done + 1, int(np.searchsorted(total, total[done] + CHUNK, "right")) - 1)
+        own, c = i[done:upto], count[done:upto]
+        a = np.repeat(own, c)
+        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
+        done = upto
 
 
 def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of signatures, a the earlier line, that pass the filters under some prefix word.
+    """Pairs of lines, a earlier than b, that pass the filters under some prefix word: (a_doc, a_line, b_doc, b_line, more).
 
-    Not ``every``: only the earliest that passes for each later line; ``more`` tells whether others did too.
-    In rows with ``asks`` false the line is no later line of any pair.
+    Not ``every``: for each later line the ``NEAREST`` by parity under each word; ``more`` tells whether others pass too.
+    Else all pairs whose later line has ``asks``.
     """
+    names = ("a_doc", "a_line", "b_doc", "b_line", "more")
+
+    def nearest(a, b, far):
+        order = np.lexsort((a, far, b))
+        a, b, far = a[order], b[order], far[order]
+        starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else b
+        few = np.arange(len(b)) - np.repeat(starts, np.diff(np.r_[starts, len(b)])) < NEAREST
+        return a[few], b[few], far[few]
 
     def run(batches):
-        for table in groups_of(batches, "key"):
-            key, doc, line, n, at, bits, sig = (table.column(c).to_numpy() for c in ("key", "doc_id", "line", "n", "at", "bits", "sig"))
-            asks = table.column("asks").to_numpy(zero_copy_only=False)
-            n, at, bits = n.astype(np.int64), at.astype(np.int64), bits.view(np.uint64)
-            order = np.lexsort((line, doc, key))
-            key, n, at, bits, sig, asks = (v[order] for v in (key, n, at, bits, sig, asks))
-            starts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
-            size = np.diff(starts)
-            left, right, more = [], [], []
-            # small groups together: every line against the one s places before
-            shared = np.repeat(size <= 16, size)
-            offset = np.arange(len(key)) - np.repeat(starts[:-1], size)
-            for s in range(1, int(size[size <= 16].max(initial=1))):
-                b = np.flatnonzero(shared & (offset >= s) & asks)
-                a = b - s
-                ok = _passes(n[a], at[a], bits[a], n[b], at[b], bits[b], percent)
-                left.append(a[ok])
-                right.append(b[ok])
-            for lo, hi in zip(starts[:-1][size > 16], starts[1:][size > 16]):
-                once = np.zeros(hi - lo, np.int64)
-                for a in range(lo, hi - 1):
-                    b = np.arange(a + 1, hi)
-                    b = b[asks[b] & (every | (once[b - lo] < 2))]
-                    if not len(b):
-                        if not every and not (asks[a + 1 : hi] & (once[a + 1 - lo :] < 2)).any():
-                            break
-                        continue
-                    b = b[_passes(n[a], at[a], bits[a], n[b], at[b], bits[b], percent)]
-                    once[b - lo] += 1
-                    left.append(np.full(len(b), a))
-                    right.append(b)
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-            differ = sig[a] != sig[b]
-            a, b = a[differ], b[differ]
-            if every:
-                flag = np.zeros(len(a), bool)
-            else:
-                first = np.lexsort((a, b))
-                a, b = a[first], b[first]
-                new = np.r_[True, b[1:] != b[:-1]] if len(b) else np.zeros(0, bool)
-                flag = np.r_[b[1:] == b[:-1], False][new] if len(b) else new
-                a, b = a[new], b[new]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[a]), pa.array(sig[b]), pa.array(flag)], names=["a", "b", "more"])
-
-    spread = rows.repartition("key").sortWithinPartitions("key")
-    return spread.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def word_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, words) of the lines in ``wanted`` (sig, doc_id, line)."""
+        for table in groups_of(batches, "p", lambda p: p >> 32):
+            p, doc, place, bits, half = (table.column(c).to_numpy() for c in ("p", "doc_id", "place", "bits", "half"))
+            order = np.argsort((p >> 32) << 32 | place & 0xFFFFFFFF, kind="stable")
+            p, doc, place, bits, half = (v[order] for v in (p, doc, place, bits.view(np.uint64), half.view(np.uint64)))
+            key, at, line, n = p >> 32, p & 0xFFFFFFFF, place >> 32, place & 0xFFFFFFFF
+            asks = table.column("asks").to_numpy(zero_copy_only=False)[order] if every else None
+            passed, kept = np.zeros(len(key), np.int64), [(np.zeros(0, np.int64),) * 3]
+            for i, j in _close(key, n, percent):
+                need = -(-percent * (n[i] + n[j]) // (100 + percent))
+                ok = np.minimum(n[i] - at[i], n[j] - at[j]) >= need
+                i, j, need = i[ok], j[ok], need[ok]
+                most, differ = n[i] + n[j] - 2 * need, bits[i] ^ bits[j]
+                ok = np.bitwise_count(differ) <= most
+                i, j, differ, most = i[ok], j[ok], differ[ok], most[ok]
+                part = half[i] ^ half[j]
+                far = np.where((n[i] < LONG) | (n[j] < LONG), np.bitwise_count(differ), np.bitwise_count(part).astype(np.int64) + np.bitwise_count(differ ^ part))
+                ok = (far <= most) & ((doc[i] != doc[j]) | (line[i] != line[j]))
+                i, j, far = i[ok], j[ok], far[ok].astype(np.int64)
+                swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
+                a, b = np.where(swap, j, i), np.where(swap, i, j)
+                if every:
+                    kept.append((a[asks[b]], b[asks[b]], far[asks[b]]))
+                else:
+                    np.add.at(passed, b, 1)
+                    kept.append(nearest(a, b, far))
+            a, b, far = (np.concatenate(x) for x in zip(*kept))
+            if not every:
+                a, b, far = nearest(a, b, far)
+            if len(a):
+                columns = (doc[a], line[a].astype(np.int32), doc[b], line[b].astype(np.int32), passed[b] > NEAREST)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
+
+    spread = rows.repartition(F.shiftright("p", 32)).sortWithinPartitions("p")
+    found = spread.mapInArrow(run, "a_doc long, a_line int, b_doc long, b_line int, more boolean")
+    return found.groupBy(*names[:4]).agg(F.max("more").alias("more"))
+
+
+def word_sets(rows: DataFrame, counts, wanted: DataFrame) -> DataFrame:
+    """(doc_id, line, words) of the lines in ``wanted`` (doc_id, line); rows that repeat an id give one of each."""
+    few = rows_under(wanted, BROADCAST_ROWS)
     lines = wanted.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-    texts = rows.join(small(lines, BROADCAST_ROWS), "doc_id").select("text", "lines")
+    texts = rows.join(F.broadcast(lines) if few else lines, "doc_id").select("doc_id", "text", "lines")
 
     def make():
-        hashes = WordHash()
+        level = levels(counts.value)
 
         def step(batch):
-            sig, sets, wanted = [], [], [set(v) for v in batch.column("lines").to_pylist()]
-            for lines in lines_of(batch.column("text").to_pylist(), hashes):
-                lines = lines.pick(np.array([i in wanted[k] for k, i in zip(lines.text.tolist(), lines.line.tolist())], bool))
-                if len(lines.line):
-                    sig.append(lines.signatures())
-                    sets += [w.tobytes() for w in np.split(lines.words, lines.begin[1:])]
-            return {"sig": np.concatenate(sig), "words": sets} if sig else None
+            ids, doc, no, sets = batch.column("doc_id").to_numpy(), [], [], []
+            texts = [
+                "\n".join(line if i in chosen else "" for i, line in enumerate((t or "").split("\n")))
+                for t, chosen in zip(batch.column("text").to_pylist(), map(set, batch.column("lines").to_pylist()))
+            ]
+            for lines in lines_of(texts, level):
+                doc.append(ids[lines.text])
+                no.append(lines.line)
+                sets += [w.tobytes() for w in np.split(lines.words, lines.begin[1:])]
+            return {"doc_id": np.concatenate(doc), "line": np.concatenate(no), "words": sets} if doc else None
 
         return step
 
-    return by_batches(texts, make, "sig long, words binary").dropDuplicates(["sig"])
+    return by_batches(texts, make, "doc_id long, line int, words binary").dropDuplicates(["doc_id", "line"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = pairs.join(sets.withColumnsRenamed({"sig": "a", "words": "wa"}), "a").join(sets.withColumnsRenamed({"sig": "b", "words": "wb"}), "b")
-
-    def make():
-        def step(batch):
-            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("wa", "wb"))
-            shared = np.array([len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(x, y)], np.int64)
-            union = np.array([len(u) + len(v) for u, v in zip(x, y)], np.int64) - shared
-            return {"a": batch.column("a"), "b": batch.column("b"), "alike": 100 * shared >= percent * union}
+    """The pairs with alike: whether the words reach the threshold."""
+    side = lambda x: sets.withColumnsRenamed({"doc_id": f"{x}_doc", "line": f"{x}_line", "words": f"{x}_words"})
+    both = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"])
 
-        return step
+    def step(batch):
+        x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("a_words", "b_words"))
+        shared = np.array([len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(x, y)], np.int64)
+        union = np.array([len(u) + len(v) for u, v in zip(x, y)], np.int64) - shared
+        return {c: batch.column(c) for c in ("a_doc", "a_line", "b_doc", "b_line")} | {"alike": 100 * shared >= percent * union}
 
-    return by_batches(both.select("a", "b", "wa", "wb"), make, "a long, b long, alike boolean")
+    return by_batches(both.select("a_doc", "a_line", "b_doc", "b_line", "a_words", "b_words"), lambda: step, "a_doc long, a_line int, b_doc long, b_line int, alike boolean")
 
 
 def similar_earlier(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line) of every line that goes: an earlier line, by (doc_id, line), is at least ``percent`` similar."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    context = docs.sparkSession.sparkContext
     total = rows.count()
-    slots = min(SLOTS[1], max(SLOTS[0], 1 << max(0, total - 1).bit_length() - 1 if total else 0))
-    counts = context.broadcast(word_counts(rows, slots))
+    slots = min(SLOTS[1], max(SLOTS[0], 1 << max(0, total - 1).bit_length()))
+    counts = docs.sparkSession.sparkContext.broadcast(word_counts(rows, slots))
 
     lines = keep(line_sets(rows, counts, percent, least), "lines")
-    place = F.struct("doc_id", "line", "n", "bits", "prefix")
-    firsts = keep(lines.groupBy("sig").agg(F.min(place).alias("f")).select("sig", "f.*"), "first-lines")
-    spread = dealt(firsts, counts, percent).withColumn("asks", F.lit(True))
-    near = keep(candidates(spread, percent, every=False), "near")
+    places = lines.select("sig", "doc_id", "place")
+    leaders = places.groupBy("sig").agg(F.min(F.struct("doc_id", "place")).alias("f")).select("f.*")
+    repeats = keep(places.drop("sig").join(leaders, ["doc_id", "place"], "left_anti").distinct(), "repeats")
+    firsts = lines.drop("sig").join(small(repeats, BROADCAST_ROWS), ["doc_id", "place"], "left_anti")
+
+    later = ["b_doc", "b_line"]
+    near = keep(candidates(dealt(firsts), percent, every=False), "near")
 
     def sets_of(pairs):
-        ids = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-        return keep(word_sets(rows, firsts.select("sig", "doc_id", "line").join(small(ids, BROADCAST_ROWS), "sig")), "word-sets")
+        both = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line")).union(pairs.select(*later)).distinct()
+        return keep(word_sets(rows, counts, keep(both, "wanted")), "word-sets")
 
-    tried = keep(verified(near, sets_of(near), percent), "tried")
-    gone = tried.where("alike").select(F.col("b").alias("sig")).distinct()
+    tried = keep(verified(near.drop("more"), sets_of(near), percent), "tried")
+    matched = tried.where("alike").select(*later).distinct()
+    gone = matched.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line"))
     # lines that others might still match
-    open_lines = near.groupBy("b").agg(F.max("more").alias("more")).where("more").select(F.col("b").alias("sig")).join(gone, "sig", "left_anti")
-    open_lines = keep(open_lines, "open-lines")
-    if not rows_under(open_lines, 0):
-        asked = firsts.join(small(open_lines.withColumn("asks", F.lit(True)), BROADCAST_ROWS), "sig", "left")
-        again = dealt(asked.where("asks"), counts, percent).select("key").distinct()
-        rest = dealt(firsts, counts, percent).join(again, "key").join(small(open_lines.withColumn("asks", F.lit(True)), BROADCAST_ROWS), "sig", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        fresh = keep(candidates(rest, percent, every=True).join(tried, ["a", "b"], "left_anti"), "near")
-        gone = gone.union(verified(fresh, sets_of(fresh), percent).where("alike").select(F.col("b").alias("sig"))).distinct()
-    gone = keep(gone, "gone")
-    repeats = firsts.select("sig", F.col("doc_id").alias("d0"), F.col("line").alias("l0"))
-    ours = lines.select("sig", "doc_id", "line")
-    copies = ours.join(keep(ours.groupBy("sig").count().where("count > 1"), "repeated").select("sig"), "sig").join(repeats, "sig").where("doc_id <> d0 or line <> l0").select("doc_id", "line")
-    led = repeats.join(gone, "sig").select(F.col("d0").alias("doc_id"), F.col("l0").alias("line"))
-    return copies.union(led).distinct()
+    left = near.where("more").select(*later).distinct().join(matched, later, "left_anti")
+    left = keep(left.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line"), F.lit(True).alias("asks")), "open-lines")
+    if not rows_under(left, 0):
+        asked, size = small(left, BROADCAST_ROWS), F.col("place").bitwiseAND(0xFFFFFFFF)
+        numbered = firsts.withColumn("line", number())
+        own = keep(numbered.join(asked, ["doc_id", "line"], "left_semi").select(size.alias("n"), F.explode("prefix").alias("p")), "open-rows")
+        # under a word only lines of sizes near those that ask
+        keys = own.groupBy(F.shiftright("p", 32).alias("key")).agg(F.ceil(F.min("n") * percent / 100).alias("low"), F.floor(F.max("n") * 100 / percent).alias("high"))
+        keys = keep(keys, "open-keys")
+        ends = keys.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
+        marked = numbered.where(size.between(ends["low"], ends["high"])).join(asked, ["doc_id", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        again = marked.select("doc_id", "place", "bits", "half", "asks", F.explode("prefix").alias("p"))
+        again = again.join(small(keys, BROADCAST_ROWS), (F.shiftright("p", 32) == F.col("key")) & size.between(F.col("low"), F.col("high")), "left_semi")
+        fresh = keep(candidates(again, percent, every=True).drop("more").join(tried, ["a_doc", "a_line", *later], "left_anti"), "near")
+        gone = gone.union(verified(fresh, sets_of(fresh), percent).where("alike").select(*later).distinct())
+    return repeats.select("doc_id", number().alias("line")).union(gone).distinct()
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

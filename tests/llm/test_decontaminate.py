@@ -1,0 +1,89 @@
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+
+from quillframe.llm import decontaminate as dc
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def by_hand(docs, items):
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[k : k + 13])].add(i)
+    out = {}
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if own := windows.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    found |= own
+        out[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+def corpus(seed):
+    r = random.Random(seed)
+    vocab = ["the", "of", "and", "Über", "x1", "zig", "zag", "été", "moth", "elk", "oak", "fir"]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, say(r.choice([2, 5, 12, 13, 14, 30]))) for i in range(30)] + [(100, items_text := say(20)), (101, items_text), (102, None), (103, "--"), (104, "moth")]
+    docs = []
+    for i in range(120):
+        parts = [say(r.randint(0, 40))]
+        for _ in range(r.randint(0, 3)):
+            parts += [re.sub(" ", r.choice([" ", ", ", "\n"]), r.choice(items)[1] or ""), say(r.randint(0, 20))]
+        docs.append((i, " ".join(parts)))
+    return docs + [(500, None), (501, ""), (502, "..."), (503, "ÜBER Über")], items
+
+
+def check(spark, docs, items, **options):
+    got = dc.marked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), **options).collect()
+    expected = by_hand(docs, items)
+    for r in got:
+        assert tuple(r)[1:] == expected[r["doc_id"]], dict(docs)[r["doc_id"]]
+    assert len(got) == len(docs)
+
+
+def test_against_brute_force(spark):
+    check(spark, *corpus(1))
+
+
+def test_items_in_blocks(spark):
+    check(spark, *corpus(2), block_chars=300)
+
+
+def test_fm_index():
+    r = np.random.default_rng(4)
+    text = r.integers(0, 6, 3000)
+    text[-1] = 0
+    index = dc.FMIndex(text)
+    patterns = np.array([text[k : k + 4] for k in range(0, 2900, 7) if text[k : k + 4].min() > 0] + [[9, 9, 9, 9], [5, 5, 5, 5]])
+    which, low, high = index.search(patterns, np.full(len(patterns), 4))
+    places = dict(zip(which.tolist(), zip(low, high)))
+    for i, p in enumerate(patterns):
+        true = [k for k in range(len(text) - 3) if (text[k : k + 4] == p).all()]
+        found = sorted(index.locate(np.arange(*places[i]))) if i in places else []
+        assert found == true
+    assert index.sampled.mean() < 0.5
+
+
+def test_cut_spans(spark):
+    docs = spark.createDataFrame([(1, "Keep é this. One two, three! Rest"), (2, "clean"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in dc.cut_spans(dc.occurrences(docs, items)).collect()}
+    assert got == {1: "Keep é this. ! Rest", 2: "clean", 3: None}
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    items = spark.createDataFrame([(None, "plain words"), (1, "Ten plain words"), (2, None)], "item_id long, text string")
+    assert dc.marked(odd_docs, items).where("contaminated").count() == 4
+    assert dc.marked(odd_docs, items.limit(0)).where("contaminated or n_hit > 0").count() == 0
+    assert dc.marked(no_docs, items).count() == 0
