@@ -96,13 +96,17 @@ def with_sentences(segments: DataFrame) -> DataFrame:
     return segments.withColumn("sentences", sentences(F.col("text")))
 
 
+def every(*names: str) -> Column:
+    """The findings of the named rules, all by default, as one array."""
+    return F.concat(*(RULES[n]() for n in names or RULES))
+
+
 def structural(segments: DataFrame, *names: str) -> DataFrame:
     """Findings of the named rules (all of them by default): (file, pass, seg_ord, rank, offset, line, rule_code, severity, message, suggestion).
 
     ``segments`` has mode and rules as well; each segment is read once for all rules. Nothing is shuffled.
     """
-    found = F.concat(*(RULES[n]() for n in names or RULES))
-    rows = with_sentences(segments).select("file", "seg_ord", F.explode(found).alias("f"))
+    rows = with_sentences(segments).select("file", "seg_ord", F.explode(every(*names)).alias("f"))
     return rows.select("file", F.lit(1).alias("pass"), "seg_ord", "f.rank", "f.offset", "f.line", "f.rule_code", "f.severity", "f.message", "f.suggestion")
 
 

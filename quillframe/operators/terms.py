@@ -10,6 +10,7 @@ other characters, or that can overlap themselves, are found by pattern.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,47 +20,95 @@ from ..functions import patterns as P
 from ..functions.text import let, located, resolve_line
 from .lexicon import described
 from .pos import guess, has_finite
-from .rules import DICTIONARY
+from .rules import DICTIONARY, FINDING
 
 _PLAIN = re.compile(r"[\w-]+( [\w-]+)*")
 #: Entries up to which the dictionary is broadcast and its first words are a set in the plan.
 BROADCAST_TERMS = 20_000
 
 
+_OPENING = "struct<first:string,start:int,words:array<string>,near:array<boolean>,ends:array<int>>"
+_ODD_HIT = "struct<k:int,start:int,end:int>"
+OPENING, ODD_HIT = f"array<{_OPENING}>", f"array<{_ODD_HIT}>"
+
+
 def _by_pattern(term: str) -> bool:
     """Whether a term needs a pattern of its own: odd characters, or it could begin again within itself."""
     words = term.lower().split(" ")
     return not _PLAIN.fullmatch(term) or words[0] in words[1:]
 
 
-def _token_hits(segments: DataFrame, plain: DataFrame, first: list[str] | None, longest: int) -> DataFrame:
-    """Matches of plain terms. Each token that opens a term takes along only the words that a term may have."""
+@dataclass
+class Index:
+    """A dictionary made ready: plain terms by first word, odd ones by number. first is None where there are too many for a set in the plan."""
+
+    plain: DataFrame
+    odd: DataFrame | None
+    odd_terms: list[str]
+    first: list[str] | None
+    longest: int
+
+
+def index(dictionary: DataFrame) -> Index:
+    spark = dictionary.sparkSession
+    entries = described(dictionary.where("term is not null and term <> ''"))
+    few = entries.limit(BROADCAST_TERMS + 1).collect()
+    if len(few) > BROADCAST_TERMS:
+        plain = entries.where(F.col("term").rlike(r"^[\w-]+( [\w-]+)*$"))
+        return Index(plain.withColumn("_first", F.col("words")[0]), None, [], None, plain.agg(F.max(F.size("words"))).first()[0] or 1)
+    odd = [r for r in few if _by_pattern(r["term"])]
+    own = [r for r in few if not _by_pattern(r["term"])]
+    plain = spark.createDataFrame(own, entries.schema).withColumn("_first", F.col("words")[0])
+    numbered = spark.createDataFrame([(*r, k) for k, r in enumerate(odd)], StructType([*entries.schema, StructField("_k", IntegerType())])) if odd else None
+    return Index(F.broadcast(plain), F.broadcast(numbered) if odd else None, [r["term"] for r in odd], sorted({r["words"][0] for r in own}), max((len(r["words"]) for r in own), default=1))
+
+
+def openings(found: Index) -> Column:
+    """Tokens of text that open a plain term, each with the words that a term may go on with."""
 
-    def openings(x: Column) -> Column:
+    def opened(x: Column) -> Column:
         low = F.transform(x, lambda t: F.lower(t["value"]))
         near = F.transform(x, lambda t: t["gap"].rlike(f"^{P.S}+\\z"))
 
         def taken(parts: Column) -> Column:
             each = F.transform(parts["low"], lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-            starts = F.filter(each, lambda o: o["w"].isin(*first)) if first is not None else each
+            starts = F.filter(each, lambda o: o["w"].isin(*found.first)) if found.first is not None else each
             return F.transform(
                 starts,
                 lambda o: F.struct(
                     o["w"].alias("first"),
                     F.get(x, o["i"])["start"].alias("start"),
-                    F.slice(parts["low"], o["i"] + 1, F.lit(longest)).alias("words"),
-                    F.slice(parts["near"], o["i"] + 1, F.lit(longest)).alias("near"),
-                    F.transform(F.slice(x, o["i"] + 1, F.lit(longest)), lambda t: t["end"]).alias("ends"),
+                    F.slice(parts["low"], o["i"] + 1, F.lit(found.longest)).alias("words"),
+                    F.slice(parts["near"], o["i"] + 1, F.lit(found.longest)).alias("near"),
+                    F.transform(F.slice(x, o["i"] + 1, F.lit(found.longest)), lambda t: t["end"]).alias("ends"),
                 ),
             )
 
         return let(F.struct(low.alias("low"), near.alias("near")), taken)
 
-    found = segments.withColumn("_o", F.explode(let(located(F.col("text"), P.TERM_TOKEN, gaps=True), openings)))
-    hit = found.join(F.broadcast(plain) if first is not None else plain, F.col("_o.first") == F.col("_first"))
-    n = F.size("words")
-    same = (F.slice("_o.words", F.lit(1), n) == F.col("words")) & F.forall(F.slice("_o.near", F.lit(2), n - 1), lambda g: g)
-    return hit.where(same).withColumns({"start": F.col("_o.start"), "end": F.get("_o.ends", n - 1)}).drop("_o", "_first")
+    return let(located(F.col("text"), P.TERM_TOKEN, gaps=True), opened).cast(OPENING)
+
+
+def odd_hits(found: Index) -> Column:
+    """Matches of the odd terms: number, start, end."""
+    numbered = lambda k: lambda m: F.struct(F.lit(k).alias("k"), m["start"].alias("start"), m["end"].alias("end"))
+    return F.concat(*(F.transform(located(F.col("text"), P.whole_term(t)), numbered(k)) for k, t in enumerate(found.odd_terms))).cast(ODD_HIT)
+
+
+def marked(segments: DataFrame) -> DataFrame:
+    """Adds what is asked of a segment once: its code spans and whether it has a finite verb."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+    return segments.withColumns({"_code": F.when(F.col("text").contains("`"), located(F.col("text"), P.CODE)).otherwise(none), "finite": has_finite(F.col("text"))})
+
+
+def goes_on(opening: Column, words: Column) -> Column:
+    """Whether a term's words follow an opening with white space alone between them."""
+    n = F.size(words)
+    return (F.slice(opening["words"], F.lit(1), n) == words) & F.forall(F.slice(opening["near"], F.lit(2), n - 1), lambda g: g)
+
+
+def outside(start: Column, end: Column) -> Column:
+    return ~F.exists("_code", lambda c: (start >= c["start"]) & (end <= c["end"]))
 
 
 def matches(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -67,40 +116,23 @@ def matches(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     Terms are matched in either case and across any white space, each on its own: overlapping terms all count.
     """
-    spark = segments.sparkSession
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    segments = segments.withColumns({"_code": F.when(F.col("text").contains("`"), located(F.col("text"), P.CODE)).otherwise(none), "finite": has_finite(F.col("text"))})
-    entries = described(dictionary.where("term is not null and term <> ''"))
-    few = entries.limit(BROADCAST_TERMS + 1).collect()
-    if len(few) > BROADCAST_TERMS:
-        plain, odd, first = entries.where(F.col("term").rlike(r"^[\w-]+( [\w-]+)*$")), [], None
-        longest = plain.agg(F.max(F.size("words"))).first()[0] or 1
-    else:
-        odd = [r for r in few if _by_pattern(r["term"])]
-        plain = spark.createDataFrame([r for r in few if not _by_pattern(r["term"])], entries.schema)
-        first = sorted({r["words"][0] for r in few if not _by_pattern(r["term"])})
-        longest = max((len(r["words"]) for r in few), default=1)
-    out = _token_hits(segments, plain.withColumn("_first", F.col("words")[0]), first, longest) if first != [] else None
-    if odd:
-        hits = F.concat(*(_tagged(r["term"], k) for k, r in enumerate(odd)))
-        table = spark.createDataFrame([(*r, k) for k, r in enumerate(odd)], StructType([*entries.schema, StructField("_k", IntegerType())]))
-        by_pattern = segments.select("*", F.explode(hits).alias("_m")).join(F.broadcast(table), F.col("_m.k") == F.col("_k")).withColumns({"start": F.col("_m.start"), "end": F.col("_m.end")}).drop("_m", "_k")
-        out = by_pattern if out is None else out.unionByName(by_pattern)
-    if out is None:
-        out = segments.crossJoin(spark.createDataFrame([], entries.schema)).withColumns({"start": F.lit(0), "end": F.lit(0)})
-    out = out.withColumn("match", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
-    inside = F.exists("_code", lambda c: (F.col("start") >= c["start"]) & (F.col("end") <= c["end"]))
-    return out.where(~inside).drop("_code")
-
-
-def _tagged(term: str, k: int) -> Column:
-    return F.transform(located(F.col("text"), P.whole_term(term)), lambda m: F.struct(F.lit(k).alias("k"), m["start"].alias("start"), m["end"].alias("end")))
+    found, segments = index(dictionary), marked(segments)
+    hit = segments.withColumn("_o", F.explode(openings(found))).join(found.plain, F.col("_o.first") == F.col("_first"))
+    hit = hit.where(goes_on(F.col("_o"), F.col("words"))).withColumns({"start": F.col("_o.start"), "end": F.get("_o.ends", F.size("words") - 1)}).drop("_o", "_first")
+    if found.odd is not None:
+        more = segments.select("*", F.explode(odd_hits(found)).alias("_m")).join(found.odd, F.col("_m.k") == F.col("_k"))
+        hit = hit.unionByName(more.withColumns({"start": F.col("_m.start"), "end": F.col("_m.end")}).drop("_m", "_k"))
+    hit = hit.where(outside(F.col("start"), F.col("end"))).drop("_code")
+    return hit.withColumn("match", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
+
+
+def allowed(term: Column, start: Column, end: Column) -> Column:
+    """Whether a match is let through: its term is allowed for the file (column allowed, lower case), or it lies in an allowed phrase (phrase_spans)."""
+    return F.array_contains("allowed", F.lower(term)) | F.exists("phrase_spans", lambda p: (start >= p["start"]) & (end <= p["end"]))
 
 
 def unless_allowed(hits: DataFrame) -> DataFrame:
-    """Drops matches of terms allowed for the file (column allowed, lower case) and those inside its allowed phrases (column phrases)."""
-    hits = hits.where(~F.array_contains("allowed", F.lower("term")))
-    return hits.where((F.size("phrase_spans") == 0) | ~F.exists("phrase_spans", lambda p: (F.col("start") >= p["start"]) & (F.col("end") <= p["end"])))
+    return hits.where(~allowed(F.col("term"), F.col("start"), F.col("end")))
 
 
 def phrase_spans(phrases: list[str]) -> dict[str, Column]:
@@ -158,3 +190,36 @@ def findings(hits: DataFrame) -> DataFrame:
     told = judged(hits).where(reported(F.col("pos"), F.col("left"))).withColumn("_m", message(F.col("match"), F.col("senses"), F.col("left")))
     line = resolve_line(F.col("line_offsets"), F.col("start"))
     return told.select("file", F.lit(2).alias("pass"), "seg_ord", (-F.col("term_length")).alias("rank"), F.col("start").alias("offset"), line.alias("line"), F.lit(DICTIONARY).alias("rule_code"), F.lit("error").alias("severity"), "_m.message", "_m.suggestion")
+
+
+def with_rules(segments: DataFrame, found: Index, rule_findings: Column) -> DataFrame:
+    """Structural and dictionary findings in one pass over segments: both kinds are exploded together, and only openings meet the dictionary."""
+    rule = f"array<struct<f:{FINDING},o:{_OPENING},m:{_ODD_HIT}>>"
+    null = lambda kind: F.lit(None).cast(kind)
+    parts = [
+        F.transform(rule_findings, lambda f: F.struct(f.alias("f"), null(_OPENING).alias("o"), null(_ODD_HIT).alias("m"))).cast(rule),
+        F.transform(openings(found), lambda o: F.struct(null(FINDING).alias("f"), o.alias("o"), null(_ODD_HIT).alias("m"))).cast(rule),
+    ]
+    if found.odd is not None:
+        parts.append(F.transform(odd_hits(found), lambda m: F.struct(null(FINDING).alias("f"), null(_OPENING).alias("o"), m.alias("m"))).cast(rule))
+    rows = marked(segments).withColumn("_u", F.explode(F.concat(*parts))).join(found.plain, F.col("_u.o.first") == F.col("_first"), "left")
+    entry = ("term", "senses", "unactionable", "self_ref", "term_length")
+    is_rule, here = F.col("_u.f").isNotNull(), F.col("_first").isNotNull() & goes_on(F.col("_u.o"), F.col("words"))
+    start, end = F.col("_u.o.start"), F.get("_u.o.ends", F.size("words") - 1)
+    if found.odd is not None:
+        odd = found.odd.select(*(F.col(c).alias(f"_{c}") for c in entry), "_k")
+        rows = rows.join(odd, F.col("_u.m.k") == F.col("_k"), "left").withColumns({c: F.coalesce(c, f"_{c}") for c in entry})
+        here, start, end = here | F.col("_k").isNotNull(), F.coalesce(start, "_u.m.start"), F.coalesce(end, "_u.m.end")
+    rows = rows.where(is_rule | here).withColumns({"is_rule": is_rule, "start": start, "end": end})
+    let_by = F.col("is_rule") | (outside(F.col("start"), F.col("end")) & ~allowed(F.col("term"), F.col("start"), F.col("end")))
+    rows = rows.where(let_by).withColumn("match", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
+    pos = guess(F.col("text"), F.col("start"), F.col("end"), F.col("mode"), F.col("finite"))
+    rows = rows.withColumn("pos", F.when(~F.col("is_rule"), pos)).withColumn("left", F.when(~F.col("is_rule"), candidates(F.col("senses"), F.col("pos"))))
+    rows = rows.where(F.col("is_rule") | reported(F.col("pos"), F.col("left")))
+    told = message(F.col("match"), F.col("senses"), F.col("left"))
+    own = F.struct(
+        resolve_line(F.col("line_offsets"), F.col("start")).alias("line"), F.lit(DICTIONARY).alias("rule_code"), F.lit("error").alias("severity"),
+        told["message"].alias("message"), told["suggestion"].alias("suggestion"), (-F.col("term_length")).alias("rank"), F.col("start").alias("offset"),
+    ).cast(FINDING)
+    rows = rows.select("file", F.when(F.col("is_rule"), 1).otherwise(2).alias("pass"), "seg_ord", F.when(F.col("is_rule"), F.col("_u.f")).otherwise(own).alias("f"))
+    return rows.select("file", "pass", "seg_ord", "f.rank", "f.offset", "f.line", "f.rule_code", "f.severity", "f.message", "f.suggestion")

@@ -31,14 +31,13 @@ def dictionary_findings(segments: DataFrame, dictionary: DataFrame, config: Conf
 
 
 def findings(docs: DataFrame, config: Config | None = None, dictionary: DataFrame | None = None) -> DataFrame:
-    """All findings with their sort keys. Only the dictionary is broadcast; documents are never shuffled."""
+    """All findings with their sort keys, in one pass over the documents. Only the dictionary is broadcast; documents are never shuffled."""
     config = config or Config()
     segments = prepared(docs, config)
-    found = rules.structural(segments)
-    if config.dictionary.enabled:
-        words = dictionary if dictionary is not None else settings.dictionary(docs.sparkSession, config)
-        found = found.unionByName(dictionary_findings(segments, words, config))
-    return found
+    if not config.dictionary.enabled:
+        return rules.structural(segments)
+    words = dictionary if dictionary is not None else settings.dictionary(docs.sparkSession, config)
+    return terms.with_rules(rules.with_sentences(with_phrase_spans(segments, config)), terms.index(words), rules.every())
 
 
 def lint(docs: DataFrame, config: Config | None = None, dictionary: DataFrame | None = None) -> DataFrame:
