@@ -84,6 +84,8 @@ def described(dictionary: DataFrame) -> DataFrame:
             "words": words,
             "unactionable": (F.size(senses) >= 2) & (F.size(parts) >= 2) & F.forall(senses, own),
             "self_ref": F.exists(senses, own),
+            # senses of any part of speech are left by every guess
+            "guessed": (F.size(senses) == 0) | F.exists(senses, own) | F.exists(senses, lambda s: s["pos"] != "any"),
             "term_length": F.length(term),
         }
     )

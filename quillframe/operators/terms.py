@@ -180,14 +180,15 @@ def message(match: Column, senses: Column, left: Column) -> Column:
     return F.when(F.size(left) == 1, confident).otherwise(ambiguous)
 
 
-def judged(hits: DataFrame) -> DataFrame:
-    """Adds pos, the guess, and left, the senses it leaves."""
-    return hits.withColumn("pos", guess(F.col("text"), F.col("start"), F.col("end"), F.col("mode"), F.col("finite"))).withColumn("left", candidates(F.col("senses"), F.col("pos")))
+def judged(hits: DataFrame, always: bool = True) -> DataFrame:
+    """Adds pos, the guess, and left, the senses it leaves. Not ``always``: no guess where it decides nothing."""
+    pos = guess(F.col("text"), F.col("start"), F.col("end"), F.col("mode"), F.col("finite"))
+    return hits.withColumn("pos", pos if always else F.when(F.col("guessed"), pos)).withColumn("left", candidates(F.col("senses"), F.col("pos")))
 
 
 def findings(hits: DataFrame) -> DataFrame:
     """Findings from allowed-for matches, in the columns of the structural ones; longer terms rank first."""
-    told = judged(hits).where(reported(F.col("pos"), F.col("left"))).withColumn("_m", message(F.col("match"), F.col("senses"), F.col("left")))
+    told = judged(hits, always=False).where(reported(F.col("pos"), F.col("left"))).withColumn("_m", message(F.col("match"), F.col("senses"), F.col("left")))
     line = resolve_line(F.col("line_offsets"), F.col("start"))
     return told.select("file", F.lit(2).alias("pass"), "seg_ord", (-F.col("term_length")).alias("rank"), F.col("start").alias("offset"), line.alias("line"), F.lit(DICTIONARY).alias("rule_code"), F.lit("error").alias("severity"), "_m.message", "_m.suggestion")
 
@@ -203,7 +204,7 @@ def with_rules(segments: DataFrame, found: Index, rule_findings: Column) -> Data
     if found.odd is not None:
         parts.append(F.transform(odd_hits(found), lambda m: F.struct(null(FINDING).alias("f"), null(_OPENING).alias("o"), m.alias("m"))).cast(rule))
     rows = marked(segments).withColumn("_u", F.explode(F.concat(*parts))).join(found.plain, F.col("_u.o.first") == F.col("_first"), "left")
-    entry = ("term", "senses", "unactionable", "self_ref", "term_length")
+    entry = ("term", "senses", "unactionable", "self_ref", "guessed", "term_length")
     is_rule, here = F.col("_u.f").isNotNull(), F.col("_first").isNotNull() & goes_on(F.col("_u.o"), F.col("words"))
     start, end = F.col("_u.o.start"), F.get("_u.o.ends", F.size("words") - 1)
     if found.odd is not None:
@@ -214,7 +215,7 @@ def with_rules(segments: DataFrame, found: Index, rule_findings: Column) -> Data
     let_by = F.col("is_rule") | (outside(F.col("start"), F.col("end")) & ~allowed(F.col("term"), F.col("start"), F.col("end")))
     rows = rows.where(let_by).withColumn("match", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
     pos = guess(F.col("text"), F.col("start"), F.col("end"), F.col("mode"), F.col("finite"))
-    rows = rows.withColumn("pos", F.when(~F.col("is_rule"), pos)).withColumn("left", F.when(~F.col("is_rule"), candidates(F.col("senses"), F.col("pos"))))
+    rows = rows.withColumn("pos", F.when(F.col("guessed"), pos)).withColumn("left", F.when(~F.col("is_rule"), candidates(F.col("senses"), F.col("pos"))))
     rows = rows.where(F.col("is_rule") | reported(F.col("pos"), F.col("left")))
     told = message(F.col("match"), F.col("senses"), F.col("left"))
     own = F.struct(
