@@ -98,18 +98,18 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         move = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     weight[chosen] = w
-    return Model(weight, float(b) + threshold_shift(x_p @ w + b, x_u @ w + b))
+    return Model(weight, float(b) + threshold_shift(x_p @ w + b, x_u @ w + b, prior))
 
 
-def threshold_shift(f_p: np.ndarray, f_u: np.ndarray) -> float:
+def threshold_shift(f_p: np.ndarray, f_u: np.ndarray, prior: float) -> float:
     """What to add to the bias so that ``THRESHOLD`` falls where recall squared over the share of unlabelled text above is greatest.
 
-    That ratio grows with the F score, and needs no negatives.
+    That ratio grows with the F score, and needs no negatives. Above any cut there should be at least the prior's part of the recall.
     """
     cuts = np.unique(np.quantile(f_p, np.linspace(0, 1, 200)))
     recall = 1 - np.searchsorted(np.sort(f_p), cuts) / len(f_p)
     above = 1 - np.searchsorted(np.sort(f_u), cuts) / len(f_u)
-    best = int(np.argmax(recall**2 / np.maximum(above, 1 / len(f_u))))
+    best = int(np.argmax(recall**2 / np.maximum(above, np.maximum(prior * recall, 1 / len(f_u)))))
     lower = f_u[f_u < cuts[best]]
     middle = (cuts[best] + (lower.max() if len(lower) else cuts[best])) / 2
     return float(np.log(THRESHOLD / (1 - THRESHOLD)) - middle)
