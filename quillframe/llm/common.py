@@ -93,8 +93,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def by_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str) -> DataFrame:
-    """mapInArrow with a function made once per task; it returns columns (arrays or lists) for each batch."""
+#: Rows and bytes of a batch handled at once in a task.
+SLICE_ROWS, SLICE_BYTES = 2_000, 8 << 20
+
+
+def by_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, whole: bool = False) -> DataFrame:
+    """mapInArrow with a function made once per task; it returns columns (arrays or lists) for each slice of a batch, or ``whole`` batch."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -103,8 +107,11 @@ def by_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([_arrow(out[f.name], f.type) for f in target], schema=target)
+            n = batch.num_rows
+            size = n if whole else max(1, min(SLICE_ROWS, n * SLICE_BYTES // max(1, batch.nbytes)))
+            for start in range(0, n, size or 1):
+                if (out := step(batch.slice(start, size))) is not None:
+                    yield pa.RecordBatch.from_arrays([_arrow(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)
 

@@ -122,7 +122,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return step
 
     held = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
-    counted = by_batches(sample.select("text", "lang"), make, "gram long, lang long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    counted = by_batches(sample.select("text", "lang"), make, "gram long, lang long, n long", whole=True).groupBy("gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
     got = counted.orderBy(F.desc("n"), "gram", "lang").limit(FIT_GRAMS).toPandas()
     got["rate"] = got["n"] / got["lang"].map(lambda k: held.get(langs[int(k)], 1))
     got = got[got["rate"] >= LEAST_RATE * got.groupby("gram")["rate"].transform("max")]

@@ -96,7 +96,7 @@ def word_counts(rows: DataFrame, slots: int) -> np.ndarray:
         at = np.flatnonzero(n)
         return {"slot": at, "n": n[at]}
 
-    got = by_batches(rows.select("text"), lambda: step, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = by_batches(rows.select("text"), lambda: step, "slot long, n long", whole=True).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(slots, np.int64)
     counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return counts
