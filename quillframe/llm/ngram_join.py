@@ -98,6 +98,11 @@ def block_keys(h: np.ndarray, percent: int, ends: list[int]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def signature(h: np.ndarray) -> int | None:
+    """The node of a set."""
+    return int(mix(np.array([mix(h).sum() + np.uint64(len(h))], np.uint64)).view(np.int64)[0]) if len(h) else None
+
+
 def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n, node, keys) for every row; node is null for a text without words."""
 
@@ -106,30 +111,37 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
 
         def step(batch):
             sets = [shingles(t, k, words) for t in batch.column(1).to_pylist()]
-            node = [int(mix(np.array([mix(h).sum() + np.uint64(len(h))], np.uint64)).view(np.int64)[0]) if len(h) else None for h in sets]
-            return {"doc_id": batch.column(0), "n": [len(h) for h in sets], "node": node, "keys": list_array([block_keys(h, percent, ends) for h in sets])}
+            return {"doc_id": batch.column(0), "n": [len(h) for h in sets], "node": [signature(h) for h in sets], "keys": list_array([block_keys(h, percent, ends) for h in sets])}
 
         return step
 
     return by_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), make, "doc_id long, n long, node long, keys array<long>")
 
 
-def points(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, n, grams, counts) of the nodes in ``wanted`` (doc_id, node): sorted hashes and count vector, as bytes."""
+def points(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str, whole: bool) -> DataFrame:
+    """(node, n, counts, grams) of the nodes in ``wanted`` (doc_id, node), as bytes: the count vector, or if ``whole`` the sorted hashes; the other is null."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def make():
         words = WordHash()
 
+        def counted(h):
+            return np.minimum(np.bincount((h % np.uint64(VECTOR)).astype(np.int64), minlength=VECTOR), 65535).astype(np.uint16).tobytes()
+
         def step(batch):
-            sets = [shingles(t, k, words) for t in batch.column(1).to_pylist()]
-            counts = [np.minimum(np.bincount((h % np.uint64(VECTOR)).astype(np.int64), minlength=VECTOR), 65535).astype(np.uint16) for h in sets]
-            return {"node": batch.column(0), "n": [len(h) for h in sets], "grams": [h.tobytes() for h in sets], "counts": [c.tobytes() for c in counts]}
+            sets = [(node, shingles(t, k, words)) for node, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            own = [(node, h) for node, h in sets if signature(h) == node]  # another text may have the same id
+            return {
+                "node": [node for node, _ in own],
+                "n": [len(h) for _, h in own],
+                "counts": [None if whole else counted(h) for _, h in own],
+                "grams": [h.tobytes() if whole else None for _, h in own],
+            }
 
         return step
 
     texts = docs.join(small(wanted, BROADCAST_ROWS), "doc_id").select("node", "text")
-    return by_batches(texts, make, "node long, n long, grams binary, counts binary").dropDuplicates(["node"])
+    return by_batches(texts, make, "node long, n long, counts binary, grams binary")
 
 
 class RTree:
@@ -247,7 +259,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return step
 
-    return by_batches(both.select("a", "b", "ga", "gb"), make, "a long, b long, shared long")
+    return by_batches(both.select("a", "b", "ga", "gb"), make, "a long, b long, shared long").distinct()
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,23 +277,34 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     named = marks.where("node is not null and doc_id is not null")
     classes = named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
 
-    dealt = named.select("node", F.explode("keys").alias("key"))
-    open_keys = keep(dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "open-keys")
-    members = keep(dealt.join(small(open_keys, BROADCAST_ROWS), "key").distinct(), "members")
+    copied = keep(classes.where("size > 1").select("node", F.col("rep").alias("leader")), "copied")
+    single = named.join(small(copied, BROADCAST_ROWS), "node", "left").where("leader is null or doc_id = leader")
+    dealt = single.select("node", F.explode("keys").alias("key"))
+    found = dealt.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    found = keep(found, "open-keys")
+    # two rows are the least and the greatest; only what more rows share is looked up again
+    pairs = found.where("rows = 2").select("key", F.explode(F.array("lo", "hi")).alias("node"))
+    rest = dealt.join(small(found.where("rows > 2").select("key"), BROADCAST_ROWS), "key").select("key", "node")
+    members = keep(pairs.union(rest).distinct(), "members")
     # trees with the same members: one is enough
     shapes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.sum(F.hash("node").cast("long")).alias("h1"), F.sum(F.hash(F.col("node") + F.lit(1)).cast("long")).alias("h2"))
     trees = shapes.groupBy("size", "lo", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size")
     members = keep(members.join(trees, "key"), "trees")
 
-    wanted = members.select("node").distinct().join(classes, "node").select(F.col("rep").alias("doc_id"), "node")
-    sets = keep(points(docs, wanted, k, id_col, text_col), "points")
-    vectors = sets.select("node", "n", "counts")
+    def described(nodes: DataFrame, whole: bool) -> DataFrame:
+        wanted = keep(nodes.distinct().join(classes, "node").select(F.col("rep").alias("doc_id"), "node"), "wanted")
+        return keep(points(docs, wanted, k, id_col, text_col, whole), "grams" if whole else "points")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return keep(verified(pairs, described(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), True), percent), "links")
+
+    vectors = described(members.select("node"), False).select("node", "n", "counts")
 
     part = F.pmod(F.hash("node"), F.ceil(F.col("size") / TREE))
     first = members.select(F.when(F.col("size") <= TREE, F.col("key")).otherwise(F.xxhash64("key", part)).alias("tree"), "node")
     first = first.join(vectors, "node").select("tree", "node", "n", "counts", F.lit(0).cast("long").alias("comp"), F.lit(True).alias("indexed"), F.lit(True).alias("asks"))
     tried = keep(tree_pairs(first, percent, every=False), "tried")
-    links = keep(verified(tried, sets, percent), "links")
+    links = linked(tried)
 
     comp = keep(components(links.select("a", "b")), "components")
     placed = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -294,7 +317,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
         again = rest.select("key", "node", "comp", own.alias("own"), (F.col("comp") != F.col("main")).alias("asks"), F.explode(asks).alias("part"))
         again = again.join(vectors, "node").select(F.xxhash64("key", "part").alias("tree"), "node", "n", "counts", "comp", (F.col("own") == F.col("part")).alias("indexed"), "asks")
         fresh = keep(tree_pairs(again, percent, every=True).join(tried, ["a", "b"], "left_anti"), "tried")
-        links = links.union(keep(verified(fresh, sets, percent), "links"))
+        links = links.union(linked(fresh))
         comp = keep(components(links.select("a", "b")), "components")
 
     reached = comp.join(classes, "node")
