@@ -19,7 +19,8 @@ group of thousands of copies costs a row or so a member and key, and no link
 between different texts is lost.
 
 Sets are of 64-bit n-gram hashes, and a class is told by a 64-bit sum of them;
-chance equality is beyond practical reach.
+whether a key has several nodes is told by 32 bits of each, drawn anew for every
+key. Chance equality is beyond practical reach.
 """
 
 from __future__ import annotations
@@ -280,12 +281,10 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     copied = keep(classes.where("size > 1").select("node", F.col("rep").alias("leader")), "copied")
     single = named.join(small(copied, BROADCAST_ROWS), "node", "left").where("leader is null or doc_id = leader")
     dealt = single.select("node", F.explode("keys").alias("key"))
-    found = dealt.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    found = keep(found, "open-keys")
-    # two rows are the least and the greatest; only what more rows share is looked up again
-    pairs = found.where("rows = 2").select("key", F.explode(F.array("lo", "hi")).alias("node"))
-    rest = dealt.join(small(found.where("rows > 2").select("key"), BROADCAST_ROWS), "key").select("key", "node")
-    members = keep(pairs.union(rest).distinct(), "members")
+    # 32 bits tell nodes of a key apart, others for each key: a row is half as wide, and linked sets share several keys
+    mark = F.hash("node", "key")
+    found = dealt.groupBy("key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo < hi").select("key")
+    members = keep(dealt.join(small(keep(found, "open-keys"), BROADCAST_ROWS), "key").select("key", "node").distinct(), "members")
     # trees with the same members: one is enough
     shapes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.sum(F.hash("node").cast("long")).alias("h1"), F.sum(F.hash(F.col("node") + F.lit(1)).cast("long")).alias("h2"))
     trees = shapes.groupBy("size", "lo", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size")
