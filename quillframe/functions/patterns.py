@@ -1,5 +1,8 @@
 """Regular expressions of the prose rules, in Java's dialect, with Unicode classes spelt out."""
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: White space and word characters as the rules mean them; plain \s and \w are ASCII in Java.
 SPACE = r"\t\n\x0B\f\r\x85\p{Z}"
 WORD = r"\p{L}\p{Mn}\p{Nd}\p{Pc}"
@@ -47,3 +50,10 @@ def whole_term(term: str) -> str:
     """A term or phrase as a whole, any white space between its words, in either case."""
     before, after = NOT_IN_TERM
     return f"(?iu){before}" + f"{S}+".join(quoted(w) for w in term.split(" ")) + after
+
+
+def whole_term_column(term: Column) -> Column:
+    """``whole_term`` of a column of terms."""
+    before, after = NOT_IN_TERM
+    words = F.transform(F.split(term, " ", -1), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    return F.concat(F.lit(f"(?iu){before}"), F.array_join(words, f"{S}+"), F.lit(after))

@@ -48,7 +48,7 @@ def running_sum(values: Column) -> Column:
     return let(values, lambda v: let(blocks(v), joined))
 
 
-def located(text: Column, pattern: str, gaps: bool = False) -> Column:
+def located(text: Column, pattern: str | Column, gaps: bool = False) -> Column:
     """Matches of a pattern without groups, as array<struct<start, end, value>>, from the gaps between them.
 
     Offsets are in code points, the end exclusive. ``gaps`` adds the text between a match and the one before.
@@ -61,7 +61,8 @@ def located(text: Column, pattern: str, gaps: bool = False) -> Column:
         more = lambda p: [p["g"].alias("gap")] if gaps else []
         return F.zip_with(pairs, ends, lambda p, e: F.struct((e - F.length(p["m"])).alias("start"), e.alias("end"), p["m"].alias("value"), *more(p)))
 
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    whole = F.lit(f"({pattern})") if isinstance(pattern, str) else F.concat(F.lit("("), pattern, F.lit(")"))
+    found = F.regexp_extract_all(text, whole, F.lit(1))
     return let(F.struct(found.alias("m"), F.split(text, pattern, -1).alias("g")), placed)
 
 

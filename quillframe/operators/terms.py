@@ -4,12 +4,13 @@ Terms made of words are found by an equi-join: tokens of a segment that open som
 term are kept (a set test inside the row), joined to the broadcast dictionary by
 that first word, and the words that follow are compared. This costs a look-up a
 token, where a pattern a term would read the text once a term. Terms with
-other characters, or that can overlap themselves, are found by pattern.
+other characters, or that can overlap themselves, are found by pattern: each in
+the plan where there are few, and in a large dictionary by a join on an anchor,
+a token that stands in the term, before the term's own pattern is tried.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,8 @@ from .lexicon import described
 from .pos import guess, has_finite
 from .rules import DICTIONARY, FINDING
 
-_PLAIN = re.compile(r"[\w-]+( [\w-]+)*")
+_PLAIN = rf"^{P.TERM_TOKEN}( {P.TERM_TOKEN})*\z"
+_SYMBOL = rf"[^{P.WORD}{P.SPACE}-]"
 #: Entries up to which the dictionary is broadcast and its first words are a set in the plan.
 BROADCAST_TERMS = 20_000
 
@@ -32,34 +34,50 @@ _ODD_HIT = "struct<k:int,start:int,end:int>"
 OPENING, ODD_HIT = f"array<{_OPENING}>", f"array<{_ODD_HIT}>"
 
 
-def _by_pattern(term: str) -> bool:
+def _by_pattern(term: Column, words: Column) -> Column:
     """Whether a term needs a pattern of its own: odd characters, or it could begin again within itself."""
-    words = term.lower().split(" ")
-    return not _PLAIN.fullmatch(term) or words[0] in words[1:]
+    return ~term.rlike(_PLAIN) | F.array_contains(F.slice(words, F.lit(2), F.size(words)), words[0])
+
+
+def _folded(text: Column) -> Column:
+    """One form of all texts that match one another in either case."""
+    return F.lower(F.upper(F.lower(F.translate(text, "\u0130", "i"))))
+
+
+def _anchor(term: Column) -> Column:
+    """What any text with the term has: its longest token, else its first symbol, else nothing."""
+    tokens = F.transform(F.regexp_extract_all(term, F.lit(f"({P.TERM_TOKEN})"), F.lit(1)), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))
+    return _folded(F.coalesce(F.array_max(tokens)["t"], F.regexp_substr(term, F.lit(_SYMBOL)), F.lit("")))
 
 
 @dataclass
 class Index:
-    """A dictionary made ready: plain terms by first word, odd ones by number. first is None where there are too many for a set in the plan."""
+    """A dictionary made ready: plain terms by first word, odd ones by number. Where there are too many for a set in the plan, first is None, and odd ones go by anchor."""
 
     plain: DataFrame
     odd: DataFrame | None
     odd_terms: list[str]
     first: list[str] | None
     longest: int
+    #: Whether some odd terms have no token, and some not even a symbol.
+    symbols: bool = False
+    blanks: bool = False
 
 
 def index(dictionary: DataFrame) -> Index:
     spark = dictionary.sparkSession
-    entries = described(dictionary.where("term is not null and term <> ''"))
+    entries = described(dictionary.where("term is not null and term <> ''")).withColumn("_odd", _by_pattern(F.col("term"), F.col("words")))
     few = entries.limit(BROADCAST_TERMS + 1).collect()
     if len(few) > BROADCAST_TERMS:
-        plain = entries.where(F.col("term").rlike(r"^[\w-]+( [\w-]+)*$"))
-        return Index(plain.withColumn("_first", F.col("words")[0]), None, [], None, plain.agg(F.max(F.size("words"))).first()[0] or 1)
-    odd = [r for r in few if _by_pattern(r["term"])]
-    own = [r for r in few if not _by_pattern(r["term"])]
-    plain = spark.createDataFrame(own, entries.schema).withColumn("_first", F.col("words")[0])
-    numbered = spark.createDataFrame([(*r, k) for k, r in enumerate(odd)], StructType([*entries.schema, StructField("_k", IntegerType())])) if odd else None
+        plain, odd = entries.where("not _odd").drop("_odd"), entries.where("_odd").drop("_odd")
+        odd = odd.withColumns({"_anchor": _anchor(F.col("term")), "_pattern": P.whole_term_column(F.col("term"))})
+        kinds = odd.agg(F.count("*").alias("n"), F.bool_or(F.col("_anchor").rlike(_SYMBOL)).alias("symbols"), F.bool_or(F.col("_anchor") == "").alias("blanks")).first()
+        longest = plain.agg(F.max(F.size("words"))).first()[0] or 1
+        return Index(plain.withColumn("_first", F.col("words")[0]), odd if kinds["n"] else None, [], None, longest, bool(kinds["symbols"]), bool(kinds["blanks"]))
+    odd = [r for r in few if r["_odd"]]
+    own = [r for r in few if not r["_odd"]]
+    plain = spark.createDataFrame(own, entries.schema).drop("_odd").withColumn("_first", F.col("words")[0])
+    numbered = spark.createDataFrame([(*r, k) for k, r in enumerate(odd)], StructType([*entries.schema, StructField("_k", IntegerType())])).drop("_odd") if odd else None
     return Index(F.broadcast(plain), F.broadcast(numbered) if odd else None, [r["term"] for r in odd], sorted({r["words"][0] for r in own}), max((len(r["words"]) for r in own), default=1))
 
 
@@ -95,6 +113,18 @@ def odd_hits(found: Index) -> Column:
     return F.concat(*(F.transform(located(F.col("text"), P.whole_term(t)), numbered(k)) for k, t in enumerate(found.odd_terms))).cast(ODD_HIT)
 
 
+def anchors(found: Index) -> Column:
+    """What an odd term of a large dictionary may be joined by: the tokens of text, and as far as terms ask for them its symbols and nothing."""
+    kinds = [P.TERM_TOKEN, *([_SYMBOL] if found.symbols else [])]
+    parts = [F.transform(F.regexp_extract_all(F.col("text"), F.lit(f"({k})"), F.lit(1)), _folded) for k in kinds]
+    return F.array_distinct(F.concat(*parts, *([F.array(F.lit(""))] if found.blanks else [])))
+
+
+def anchored_hits() -> Column:
+    """Matches of the odd term that an anchor was joined to: start, end, value."""
+    return located(F.col("text"), F.col("_pattern"))
+
+
 def marked(segments: DataFrame) -> DataFrame:
     """Adds what is asked of a segment once: its code spans and whether it has a finite verb."""
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
@@ -120,8 +150,12 @@ def matches(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
     hit = segments.withColumn("_o", F.explode(openings(found))).join(found.plain, F.col("_o.first") == F.col("_first"))
     hit = hit.where(goes_on(F.col("_o"), F.col("words"))).withColumns({"start": F.col("_o.start"), "end": F.get("_o.ends", F.size("words") - 1)}).drop("_o", "_first")
     if found.odd is not None:
-        more = segments.select("*", F.explode(odd_hits(found)).alias("_m")).join(found.odd, F.col("_m.k") == F.col("_k"))
-        hit = hit.unionByName(more.withColumns({"start": F.col("_m.start"), "end": F.col("_m.end")}).drop("_m", "_k"))
+        if found.first is not None:
+            more = segments.select("*", F.explode(odd_hits(found)).alias("_m")).join(found.odd, F.col("_m.k") == F.col("_k")).drop("_k")
+        else:
+            more = segments.withColumn("_a", F.explode(anchors(found))).join(found.odd, F.col("_a") == F.col("_anchor"))
+            more = more.withColumn("_m", F.explode(anchored_hits())).drop("_a", "_anchor", "_pattern")
+        hit = hit.unionByName(more.withColumns({"start": F.col("_m.start"), "end": F.col("_m.end")}).drop("_m"))
     hit = hit.where(outside(F.col("start"), F.col("end"))).drop("_code")
     return hit.withColumn("match", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
 
@@ -195,22 +229,28 @@ def findings(hits: DataFrame) -> DataFrame:
 
 def with_rules(segments: DataFrame, found: Index, rule_findings: Column) -> DataFrame:
     """Structural and dictionary findings in one pass over segments: both kinds are exploded together, and only openings meet the dictionary."""
-    rule = f"array<struct<f:{FINDING},o:{_OPENING},m:{_ODD_HIT}>>"
+    large = found.first is None
+    odd_kind = "string" if large else _ODD_HIT
+    rule = f"array<struct<f:{FINDING},o:{_OPENING},m:{odd_kind}>>"
     null = lambda kind: F.lit(None).cast(kind)
     parts = [
-        F.transform(rule_findings, lambda f: F.struct(f.alias("f"), null(_OPENING).alias("o"), null(_ODD_HIT).alias("m"))).cast(rule),
-        F.transform(openings(found), lambda o: F.struct(null(FINDING).alias("f"), o.alias("o"), null(_ODD_HIT).alias("m"))).cast(rule),
+        F.transform(rule_findings, lambda f: F.struct(f.alias("f"), null(_OPENING).alias("o"), null(odd_kind).alias("m"))).cast(rule),
+        F.transform(openings(found), lambda o: F.struct(null(FINDING).alias("f"), o.alias("o"), null(odd_kind).alias("m"))).cast(rule),
     ]
     if found.odd is not None:
-        parts.append(F.transform(odd_hits(found), lambda m: F.struct(null(FINDING).alias("f"), null(_OPENING).alias("o"), m.alias("m"))).cast(rule))
+        own = anchors(found) if large else odd_hits(found)
+        parts.append(F.transform(own, lambda m: F.struct(null(FINDING).alias("f"), null(_OPENING).alias("o"), m.alias("m"))).cast(rule))
     rows = marked(segments).withColumn("_u", F.explode(F.concat(*parts))).join(found.plain, F.col("_u.o.first") == F.col("_first"), "left")
     entry = ("term", "senses", "unactionable", "self_ref", "guessed", "term_length")
     is_rule, here = F.col("_u.f").isNotNull(), F.col("_first").isNotNull() & goes_on(F.col("_u.o"), F.col("words"))
     start, end = F.col("_u.o.start"), F.get("_u.o.ends", F.size("words") - 1)
     if found.odd is not None:
-        odd = found.odd.select(*(F.col(c).alias(f"_{c}") for c in entry), "_k")
-        rows = rows.join(odd, F.col("_u.m.k") == F.col("_k"), "left").withColumns({c: F.coalesce(c, f"_{c}") for c in entry})
-        here, start, end = here | F.col("_k").isNotNull(), F.coalesce(start, "_u.m.start"), F.coalesce(end, "_u.m.end")
+        odd = found.odd.select(*(F.col(c).alias(f"_{c}") for c in entry), *(("_anchor", "_pattern") if large else ("_k",)))
+        rows = rows.join(odd, F.col("_u.m") == F.col("_anchor") if large else F.col("_u.m.k") == F.col("_k"), "left").withColumns({c: F.coalesce(c, f"_{c}") for c in entry})
+        if large:
+            rows = rows.withColumn("_m", F.explode_outer(F.when(F.col("_pattern").isNotNull(), anchored_hits())))
+        m = F.col("_m") if large else F.col("_u.m")
+        here, start, end = here | m["start"].isNotNull(), F.coalesce(start, m["start"]), F.coalesce(end, m["end"])
     rows = rows.where(is_rule | here).withColumns({"is_rule": is_rule, "start": start, "end": end})
     let_by = F.col("is_rule") | (outside(F.col("start"), F.col("end")) & ~allowed(F.col("term"), F.col("start"), F.col("end")))
     rows = rows.where(let_by).withColumn("match", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quillframe.operators import lexicon, terms
 from quillframe.operators.pos import guess
-from quillframe.plans.lint import dictionary_findings, prepared
+from quillframe.plans.lint import dictionary_findings, findings, prepared
 from quillframe.sources.config import Config, DictionaryConfig, Profile
 
 POS = [
@@ -98,3 +98,26 @@ def test_large_dictionary(spark, docs, monkeypatch, entries):
     monkeypatch.setattr(terms, "BROADCAST_TERMS", 2)
     plain = entries.where(~F.col("term").isin("c++", "go go"))
     assert sorted((r["term"], r["start"], r["end"]) for r in terms.matches(frame, plain).collect()) == few
+
+
+def test_large_dictionary_has_all_terms(spark, docs, monkeypatch):
+    odd = ["c++", "go go", "and/or", "café", "++", "m²", "a\\Eb", "naïve plan", "x  y", "İ/o", "ẞ/t", "R&D plan"]
+    entries = lexicon.table(spark, [*SEED[:4], *((t, (("any", ("other",)),)) for t in odd)])
+    texts = ["Write C++ and/or go go go go CAFÉ, (++) m² per A\\EB; naïve  plan utilize it prior to use.", "x  y `c++` i/O ß/t r&d\nplan. c++x re-and/or +++ C++ c++", "They go. Go go Go.", "It's the valve; nothing else."]
+    frame = docs(*texts)
+    matched = lambda: sorted((r["file"], r["term"], r["start"], r["end"], r["match"]) for r in terms.matches(prepared(frame, Config()), entries).collect())
+    linted = lambda: sorted(tuple(r) for r in findings(frame, Config(), entries).drop("suggestion").collect())
+    few, lint_few = matched(), linted()
+    assert {t for _, t, *_ in few} >= {*odd, "utilize", "prior to"}
+    monkeypatch.setattr(terms, "BROADCAST_TERMS", 2)
+    assert matched() == few
+    assert linted() == lint_few
+
+
+def test_large_dictionary_with_blank_terms(spark, docs, monkeypatch):
+    entries = lexicon.table(spark, [(t, (("any", ()),)) for t in (" ", "plain", "other")])
+    frame = prepared(docs("A plain ( ) word.", "Nothing."), Config())
+    few = sorted((r["term"], r["start"], r["end"]) for r in terms.matches(frame, entries).collect())
+    assert (" ", 9, 10) in few
+    monkeypatch.setattr(terms, "BROADCAST_TERMS", 2)
+    assert sorted((r["term"], r["start"], r["end"]) for r in terms.matches(frame, entries).collect()) == few
