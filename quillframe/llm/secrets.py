@@ -4,13 +4,15 @@ Known forms are found by pattern. Further strings that stand in a sensitive
 context are candidates: each is measured by its marginal compressed bytes, what
 it adds to the compressed size of the code around it when the compressor
 already knows common identifiers. Prose, paths and names cost little; keys do
-not compress, and what stays above ``BITS`` a character is reported.
+not compress, and what stays above ``BITS`` a character is reported. A name and
+the value assigned to it without a space are told apart first.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=~-]{{{LEAST},}}")
+#: Names and values of a candidate; what it ends with is padding.
+_PART = re.compile(r"[^=]+(?:=+\Z)?")
 _WORDS = ("key", "auth", "cred", "bearer", "private", "signature", "session", "login", "pwd", "pass", "secret", "token", "jwt", "cert")
 _SENSITIVE = re.compile("|".join(_WORDS), re.A | re.I)
 _HINTS = ("pass", "secret", "token", "api")
@@ -75,16 +79,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def parts(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(start, end, from) of what may be a secret: names and values of the candidates as far as they lie outside known forms. A sensitive word may stand between from and start."""
+    for m in _CANDIDATE.finditer(text):
+        known = sorted((a, b) for a, b, _ in base if a < m.end() and m.start() < b)
+        before = m.start()
+        for p in _PART.finditer(m[0]):
+            start, end = m.start() + p.start(), m.start() + p.end()
+            at = start
+            for a, b in [*known, (end, end)]:
+                if at < min(a, end) and min(a, end) - at >= LEAST:
+                    yield at, min(a, end), max(0, min(before, at) - REACH)
+                at = max(at, b)
+            before = start
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
-    """Incompressible strings that stand in a sensitive context and touch no known form."""
+    """Incompressible strings outside the known forms that stand in a sensitive context: the name they are assigned to, or what is before."""
     out, low = [], text.lower()
     if not any(w in low for w in _WORDS):
         return out
-    for m in _CANDIDATE.finditer(text):
-        start, end = m.span()
-        if any(a < end and start < b for a, b, _ in base) or not _SENSITIVE.search(text, max(0, start - REACH), start):
+    for start, end, since in parts(text, base):
+        if not _SENSITIVE.search(text, since, start):
             continue
-        if re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0]) and novelty(text, start, end) >= BITS:
+        value = text[start:end]
+        if re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value) and novelty(text, start, end) >= BITS:
             out.append((start, end, 3))
     return out
 

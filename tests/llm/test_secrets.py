@@ -49,3 +49,23 @@ def test_novelty_tells_keys_from_names():
 
 def test_odd_rows(odd_docs, no_docs):
     assert secrets.found(odd_docs).count() == 12 and secrets.found(no_docs).count() == 0
+
+
+def test_unspaced_assignments():
+    novelty, value = secrets.Novelty(), "Zx9qLm27TbVw0RkP4sYhE8uG"
+
+    def strings(text):
+        return [text[a:b] for a, b, _ in secrets.novel_spans(text, sorted(secrets.base_spans(text)), novelty)]
+
+    for text in ("SIGNING_KEY={}", "private_key={}", "https://host/path?page=1&auth={}", "a=1\nexport SESSION_ID={}\n", "x" * 60 + "_login_" + "y" * 60 + "={}"):
+        assert strings(text.format(value)) == [value], text
+    assert strings(f"SIGNING_KEY={value}==") == [f"{value}=="]
+    assert strings(f"plain_name={value}") == [] and strings("private_key=your_api_key_here_access_token_1") == []
+    # what touches a known form is looked at beside it
+    assert strings(f"private key {value}/password=hunter22") == [f"{value}/"]
+    assert strings(f"password=hunter22~{value}") == [f"~{value}"]
+
+
+def test_many_parts():
+    text = "key=" + "=".join(["Zx9qLm27TbVw0RkP4sYhE8uG"] * 2000)
+    assert all(b - a == 24 for a, b, _ in secrets.parts(text, [])) and len(list(secrets.parts(text, []))) == 2000
