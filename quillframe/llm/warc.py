@@ -5,7 +5,7 @@ normaliser inflates such a stream once, in blocks, cuts it into records, and
 rewrites each as a gzip member of its own; a sidecar index (one JSON object a
 line) holds every member's offset and length. Archives are rolled at a bounded
 size, written under a name of the attempt and then renamed, so a task that is
-run again leaves whole files.
+run again leaves whole files; only those of attempts that were committed are read.
 """
 
 from __future__ import annotations
@@ -216,8 +216,13 @@ def fetch(path: str, offset: int, length: int) -> dict:
         return parse(zlib.decompress(f.read(length), 31))
 
 
-def archives(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+def archives(spark: SparkSession, folder: str, made: DataFrame | None = None) -> DataFrame:
+    """The archives of a folder, or those of them that ``made`` (path) names: a task that died may have left others."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    if made is None:
+        return files
+    name = lambda: F.substring_index("path", "/", -1).alias("_name")
+    return files.withColumn("_name", name()).join(small(made.select(name()).distinct(), BROADCAST_ROWS), "_name", "left_semi").drop("_name")
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -228,7 +233,8 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     spark = pages.sparkSession
     raw, own = new_path(spark, "warc-raw"), new_path(spark, "warc")
     empty = spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    if not write_archives(with_kinds(pages, least), raw).count():
+    made = write_archives(with_kinds(pages, least), raw)
+    if not made.count():
         return empty
-    normalise(archives(spark, raw), own)
-    return read_archives(archives(spark, own))
+    done = normalise(archives(spark, raw, made), own)
+    return read_archives(archives(spark, own, done))

@@ -70,3 +70,16 @@ def test_inflate():
 
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string, sha string")).count() == 0
+
+
+def test_archives_of_a_lost_attempt_are_not_read(spark, monkeypatch):
+    write = warc.write_archives
+
+    def twice(pages, folder):
+        write(pages, folder)  # an attempt whose archives stay and whose table is lost
+        return write(pages, folder)
+
+    monkeypatch.setattr(warc, "write_archives", twice)
+    rows = pages()
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((tuple(x) for x in got), key=str) == by_hand(rows)
