@@ -245,6 +245,31 @@ def tree_pairs(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def blocks(rest: DataFrame) -> DataFrame:
+    """(tree, node, comp, indexed, asks) from the members (key, size, node, comp, main) of keys with several components.
+
+    Those of the main component are indexed alone, the others ask too. Beyond ``TREE`` members both are cut into
+    parts of about ``TREE`` rows, and a tree is a part of the indexed with a part of those that ask, so neither grows with the key. Of two
+    parts of those that ask, one asks the other.
+    """
+    asking = F.col("comp") != F.col("main")
+    whole = rest.where(F.col("size") <= TREE).select(F.xxhash64("key").alias("tree"), "node", "comp", F.lit(True).alias("indexed"), asking.alias("asks"))
+    large = rest.where(F.col("size") > TREE)
+    counted = large.groupBy("key").agg(F.count_if(asking).alias("outer"), F.count_if(~asking).alias("inner"))
+    dealt = large.join(counted, "key")
+    outer, inner = (F.greatest(F.ceil(F.col(c) / TREE), F.lit(1)).cast("int") for c in ("outer", "inner"))
+    dealt = dealt.withColumns({"asking": asking, "parts": outer, "own": F.pmod(F.xxhash64("node"), F.when(asking, outer).otherwise(inner)).cast("int"), "inner_parts": inner})
+    # kind, indexed part, asking part, and which of the two the row is in
+    place = lambda kind, i, q, indexed, asks: F.struct(F.lit(kind).alias("kind"), i.alias("i"), q.alias("q"), indexed.alias("indexed"), asks.alias("asks"))
+    yes, no, own = F.lit(True), F.lit(False), F.col("own")
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    with_inner = F.transform(each(F.col("inner_parts")), lambda i: place("in", i, own, no, yes))
+    with_outer = F.transform(each(F.col("parts")), lambda o: place("out", F.greatest(own, o), F.least(own, o), own >= o, own <= o))
+    mains = F.transform(each(F.col("parts")), lambda q: place("in", own, q, yes, no))
+    placed = dealt.select("key", "node", "comp", F.explode(F.when(F.col("asking"), F.concat(with_inner, with_outer)).otherwise(mains)).alias("p"))
+    return whole.union(placed.select(F.xxhash64("key", "p.kind", "p.i", "p.q").alias("tree"), "node", "comp", "p.indexed", "p.asks"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose Jaccard similarity reaches the threshold, counted on the n-grams: (a, b, shared)."""
     grams = sets.select("node", "grams")
@@ -310,11 +335,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     mixed = placed.groupBy("key", "size", "comp").count().groupBy("key", "size").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     rest = keep(placed.join(mixed.select("key", "main"), "key"), "mixed")
     if not rows_under(rest, 0):
-        parts = F.when(F.col("size") <= TREE, F.lit(1)).otherwise(F.ceil(F.col("size") / TREE)).cast("int")
-        own = F.pmod(F.hash("node"), parts)
-        asks = F.when(F.col("comp") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))
-        again = rest.select("key", "node", "comp", own.alias("own"), (F.col("comp") != F.col("main")).alias("asks"), F.explode(asks).alias("part"))
-        again = again.join(vectors, "node").select(F.xxhash64("key", "part").alias("tree"), "node", "n", "counts", "comp", (F.col("own") == F.col("part")).alias("indexed"), "asks")
+        again = blocks(rest).join(vectors, "node").select("tree", "node", "n", "counts", "comp", "indexed", "asks")
         fresh = keep(tree_pairs(again, percent, every=True).join(tried, ["a", "b"], "left_anti"), "tried")
         links = links.union(linked(fresh))
         comp = keep(components(links.select("a", "b")), "components")

@@ -112,3 +112,16 @@ def test_odd_rows(odd_docs, no_docs):
     assert nj.jaccard_join(no_docs, 3, 90).count() == 0
     kept = nj.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 1, 3, 4, 5, 6, 7, 8, 9]
+
+
+def test_blocks_bound_rows_and_miss_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(nj, "TREE", 50)
+    rows = [(7, 700, i, 0 if i < 400 else i, 0) for i in range(700)] + [(8, 40, i, i % 2, 0) for i in range(40)]
+    trees = defaultdict(list)
+    for r in nj.blocks(spark.createDataFrame(rows, "key long, size long, node long, comp long, main long")).collect():
+        trees[r["tree"]].append(r)
+    pairs = Counter()
+    for t in trees.values():
+        assert len(t) <= 4 * 50 and len({r["node"] for r in t}) == len(t)
+        pairs.update({(min(x, y), max(x, y)) for x in (r["node"] for r in t if r["asks"]) for y in (r["node"] for r in t if r["indexed"]) if x != y})
+    assert all((i, j) in pairs for i in range(700) for j in range(max(i + 1, 400), 700))
