@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHash, by_batches, components, groups_of, keep, list_array, mix, rows_under, small
@@ -105,18 +105,19 @@ def signature(h: np.ndarray) -> int | None:
 
 
 def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n, node, keys) for every row; node is null for a text without words."""
+    """(doc_id, text_hash, n, node, keys) for every row; node is null for a text without words."""
 
     def make():
         words, ends = WordHash(), size_bands(percent)
 
         def step(batch):
             sets = [shingles(t, k, words) for t in batch.column(1).to_pylist()]
-            return {"doc_id": batch.column(0), "n": [len(h) for h in sets], "node": [signature(h) for h in sets], "keys": list_array([block_keys(h, percent, ends) for h in sets])}
+            return {"doc_id": batch.column(0), "text_hash": batch.column(2), "n": [len(h) for h in sets], "node": [signature(h) for h in sets], "keys": list_array([block_keys(h, percent, ends) for h in sets])}
 
         return step
 
-    return by_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), make, "doc_id long, n long, node long, keys array<long>")
+    texts = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return by_batches(texts, make, "doc_id long, text_hash long, n long, node long, keys array<long>")
 
 
 def points(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str, whole: bool) -> DataFrame:
@@ -299,6 +300,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     with a null id keeps its n_shingles, has a null component_id and links nothing.
     Other columns are not read. An empty table gives an empty result.
     """
+    return labelled(docs, k, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``jaccard_join`` with two more columns: text_hash, and comp, which tells components whose smallest ids are equal; null where nothing is linked."""
     marks = keep(signatures(docs, k, percent, id_col, text_col), "shingle-keys")
     named = marks.where("node is not null and doc_id is not null")
     classes = named.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
@@ -342,16 +348,29 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
 
     reached = comp.join(classes, "node")
     least = reached.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    target = reached.join(least, "comp").select("node", "component_id").union(classes.join(comp, "node", "left_anti").where("size > 1").select("node", F.col("rep").alias("component_id")))
-    out = marks.select("doc_id", F.col("n").alias("n_shingles"), "node").join(target, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    alone = classes.join(comp, "node", "left_anti").where("size > 1").select("node", F.col("rep").alias("component_id"), F.col("node").alias("comp"))
+    target = reached.join(least, "comp").select("node", "component_id", "comp").union(alone)
+    out = marks.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node").join(target, "node", "left")
+    named = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "n_shingles", F.when(named, F.coalesce("component_id", "doc_id")).alias("component_id"), "text_hash", F.when(named, F.col("comp")).alias("comp"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; one of rows that repeat an id stays whole.
+    """The rows of ``docs`` that lead their component: those of the smallest doc_id, and of texts that share it one.
 
-    Rows with a null id stay: nothing says which of them to keep.
+    Id and text tell a document, so another text under the same id is judged on its own, and rows that repeat both
+    stay together. Rows with a null id come after all others, and of those with equal texts one stays.
     """
-    groups = jaccard_join(docs, k, percent, id_col, text_col)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    text, bits = F.xxhash64(F.col(text_col).cast("string")), (1 << 62) - 1
+    own = F.coalesce(F.col(id_col).cast("long"), text.bitwiseAND(F.lit(bits)) + F.lit(bits + 1))
+    groups = labelled(docs.select(own.alias("doc_id"), F.col(text_col).cast("string").alias("text")), k, percent, "doc_id", "text")
+    linked = keep(groups.where("comp is not null").select("comp", F.struct("doc_id", "text_hash").alias("row")).distinct(), "linked")
+    leads = linked.groupBy("comp").agg(F.min("row").alias("lead"))
+    gone = linked.join(leads, "comp").where("row <> lead").select(F.col("row.doc_id").alias("_gone"), F.col("row.text_hash").alias("_text"))
+    left = docs.join(gone, (own == F.col("_gone")) & (text == F.col("_text")), "left_anti")
+    unnamed = F.col(id_col).isNull()
+    if rows_under(docs.where(unnamed), 0):
+        return left
+    again = F.row_number().over(Window.partitionBy(text).orderBy(text)) > 1
+    nameless = left.where(unnamed).withColumn("_again", again & F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x09-\x0D\x20]"), F.lit(False)))
+    return left.where(~unnamed).union(nameless.where("not _again").drop("_again"))

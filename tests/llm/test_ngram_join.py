@@ -125,3 +125,18 @@ def test_blocks_bound_rows_and_miss_no_pair(spark, monkeypatch):
         assert len(t) <= 4 * 50 and len({r["node"] for r in t}) == len(t)
         pairs.update({(min(x, y), max(x, y)) for x in (r["node"] for r in t if r["asks"]) for y in (r["node"] for r in t if r["indexed"]) if x != y})
     assert all((i, j) in pairs for i in range(700) for j in range(max(i + 1, 400), 700))
+
+
+def test_one_of_each_group_stays(spark):
+    r = random.Random(4)
+    a, b, c, d = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(60)) for x in "abcd")
+    near = c + " more"
+    rows = [
+        (1, a), (2, a), (2, b),  # a copy of 1 under the id of a clean text
+        (3, c), (3, near),  # near copies under one id
+        (None, a), (None, near), (None, d), (None, d), (None, None), (None, " "), (None, " "),
+        (7, a + " x"), (8, b + " y"),
+    ]
+    kept = [tuple(x) for x in nj.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted((x for x in kept if x[0] != 3), key=str) == sorted([(1, a), (2, b), (None, d), (None, None), (None, " "), (None, " ")], key=str)
+    assert [x for x in kept if x[0] == 3] in ([(3, c)], [(3, near)])
