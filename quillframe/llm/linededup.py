@@ -221,20 +221,39 @@ def number(place: str = "place"):
     return F.shiftright(place, 32).cast("int")
 
 
-def _close(key: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a key, the first no larger than the second, of close sizes; rows are sorted by key and size. Some at a time."""
-    both = key.astype(np.int64) << 32 | n
-    i = np.arange(len(key))
-    count = np.searchsorted(both, key.astype(np.int64) << 32 | 100 * n // percent, "right") - i - 1
+def _spread(count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each number as often as its count says, and how often it was there before; some at a time."""
     done, total = 0, np.r_[0, np.cumsum(count)]
-    while done < len(key):
+    while done < len(count):
         upto = max(done + 1, int(np.searchsorted(total, total[done] + CHUNK, "right")) - 1)
-        own, c = i[done:upto], count[done:upto]
-        a = np.repeat(own, c)
-        yield a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(c) - c, c)
+        c = count[done:upto]
+        yield np.repeat(np.arange(done, upto), c), np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
         done = upto
 
 
+def _close(key: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a key, the first no larger than the second, whose sizes and places leave enough words to share. Some at a time.
+
+    Rows are sorted by key, size and place. A row meets runs of one size, and of each its first places alone: other pairs are never made.
+    """
+    if not len(key):
+        return
+    both = key.astype(np.int64) << 32 | n
+    begin = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+    run = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(key)]))
+    placed = run << 32 | at
+    top = np.minimum(100 * n // percent, np.maximum((n - at) * (100 + percent) // percent - n, 0))
+    runs = np.where(top < n, 0, np.searchsorted(both[begin], key.astype(np.int64) << 32 | top, "right") - run)
+    for i, more in _spread(runs):
+        r = run[i] + more
+        m = n[begin[r]]
+        last = m + -percent * (n[i] + m) // (100 + percent)
+        start = np.maximum(begin[r], i + 1)
+        count = np.where(last < 0, 0, np.maximum(np.searchsorted(placed, r << 32 | np.maximum(last, 0), "right") - start, 0))
+        for k, j in _spread(count):
+            yield i[k], start[k] + j
+
+
 def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of lines, a earlier than b, that pass the filters under some prefix word: (a_doc, a_line, b_doc, b_line, more).
 
@@ -253,15 +272,14 @@ def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     def run(batches):
         for table in groups_of(batches, "p", lambda p: p >> 32):
             p, doc, place, bits, half = (table.column(c).to_numpy() for c in ("p", "doc_id", "place", "bits", "half"))
+            # rows come by key and place
             order = np.argsort((p >> 32) << 32 | place & 0xFFFFFFFF, kind="stable")
             p, doc, place, bits, half = (v[order] for v in (p, doc, place, bits.view(np.uint64), half.view(np.uint64)))
             key, at, line, n = p >> 32, p & 0xFFFFFFFF, place >> 32, place & 0xFFFFFFFF
             asks = table.column("asks").to_numpy(zero_copy_only=False)[order] if every else None
             passed, kept = np.zeros(len(key), np.int64), [(np.zeros(0, np.int64),) * 3]
-            for i, j in _close(key, n, percent):
+            for i, j in _close(key, n, at, percent):
                 need = -(-percent * (n[i] + n[j]) // (100 + percent))
-                ok = np.minimum(n[i] - at[i], n[j] - at[j]) >= need
-                i, j, need = i[ok], j[ok], need[ok]
                 most, differ = n[i] + n[j] - 2 * need, bits[i] ^ bits[j]
                 ok = np.bitwise_count(differ) <= most
                 i, j, differ, most = i[ok], j[ok], differ[ok], most[ok]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from quillframe.llm import linededup as ld
@@ -57,3 +58,24 @@ def test_odd_rows(odd_docs, no_docs):
     left = {r["doc_id"]: r for r in got.collect() if r["doc_id"] not in (None, 1)}
     assert left[2]["text"] == "" and left[9]["_removed"] == 49 and left[3]["text"] is None
     assert ld.deduplicated(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("percent", [80, 60])
+def test_pairs_of_a_key(monkeypatch, percent):
+    monkeypatch.setattr(ld, "CHUNK", 50)
+    r = random.Random(percent)
+    rows = sorted((r.randrange(6), n := r.randint(1, 30), r.randrange(ld.prefix_size(n, percent))) for _ in range(400))
+    key, n, at = (np.array(x, np.int64) for x in zip(*rows))
+    got = [(int(a), int(b)) for i, j in ld._close(key, n, at, percent) for a, b in zip(i, j)]
+    expected = {
+        (i, j) for i in range(400) for j in range(i + 1, 400)
+        if key[i] == key[j] and 100 * n[i] >= percent * n[j] and (100 + percent) * min(n[i] - at[i], n[j] - at[j]) >= percent * (n[i] + n[j])
+    }
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
+def test_pairs_that_places_rule_out_are_never_made():
+    size = 50_000  # lines of six words, the word that they share second: no two are similar
+    key, n, at = np.full(size, 7), np.full(size, 6), np.ones(size, np.int64)
+    assert sum(len(i) for i, _ in ld._close(key, n, at, 80)) == 0
+    assert not list(ld._close(key[:0], n[:0], at[:0], 80))
