@@ -74,7 +74,8 @@ def run_lint(spark: SparkSession, args: argparse.Namespace, out: Output) -> None
     found = lint.findings(docs, config).cache()
     total = report.counts(found).first()
     if args.format == "json":
-        out.line(report.json_report(docs, found).first()["report"])
+        for line in report.json_lines(row["report"] for row in report.json_rows(docs, found).toLocalIterator()):
+            out.line(line)
     else:
         for row in lint.in_order(found).select(report.text_line_without_column().alias("t")).toLocalIterator():
             out.line(row["t"])

@@ -239,8 +239,8 @@ def report_text(spark, sf_dir):
 
 
 def report_json(spark, sf_dir):
-    """The JSON report of the findings on paragraphs."""
-    return report.json_report(markdown_docs(spark, sf_dir), _structural(spark, sf_dir, "paragraph_length"))
+    """The JSON report of the findings on paragraphs: the counts, then a row a finding."""
+    return report.json_rows(markdown_docs(spark, sf_dir), _structural(spark, sf_dir, "paragraph_length"))
 
 
 def label_summary(spark, sf_dir):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,13 +50,44 @@ def failed(found: DataFrame, strict: bool = False) -> DataFrame:
     return found.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("failed"))
 
 
+def _totals(docs: DataFrame, found: DataFrame) -> DataFrame:
+    return counts(found).crossJoin(docs.select("file").distinct().agg(F.count("*").alias("files")))
+
+
+def _head() -> list[Column]:
+    return [F.col("files").alias("filesChecked"), F.col("errors").alias("errorCount"), F.col("warnings").alias("warningCount")]
+
+
+def _item() -> Column:
+    return F.struct("file", "line", F.lit(None).cast("int").alias("column"), F.col("rule_code").alias("ruleCode"), "severity", "message", "suggestion")
+
+
+def json_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The JSON report as rows in order (column report), of any size: an object with filesChecked, errorCount and warningCount, then an object a finding."""
+    told = lambda x: F.to_json(x, {"ignoreNullFields": "false"}).alias("report")
+    head = _totals(docs, found).select(F.lit(0).alias("_part"), *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ORDER), told(F.struct(*_head())))
+    items = found.select(F.lit(1).alias("_part"), *ORDER, told(_item()))
+    return head.unionByName(items).orderBy("_part", *ORDER).select("report")
+
+
+def json_lines(rows: Iterable[str]) -> Iterator[str]:
+    """Lines of one JSON document from the texts of ``json_rows``, held one at a time."""
+    rows = iter(rows)
+    yield next(rows)[:-1] + ',"diagnostics":['
+    last = next(rows, None)
+    for row in rows:
+        yield f"{last},"
+        last = row
+    if last is not None:
+        yield last
+    yield "]}"
+
+
 def json_report(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One JSON document (column report): filesChecked, errorCount, warningCount, diagnostics in order. For reports a person reads; large ones belong in a table."""
-    item = F.struct("file", "line", F.lit(None).cast("int").alias("column"), F.col("rule_code").alias("ruleCode"), "severity", "message", "suggestion")
-    total = counts(found).crossJoin(docs.select("file").distinct().agg(F.count("*").alias("files")))
-    listed = found.agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, item.alias("item")))), lambda x: x["item"]).alias("items"))
-    whole = F.struct(F.col("files").alias("filesChecked"), F.col("errors").alias("errorCount"), F.col("warnings").alias("warningCount"), F.col("items").alias("diagnostics"))
-    return total.crossJoin(listed).select(F.to_json(whole, {"ignoreNullFields": "false", "pretty": "true"}).alias("report"))
+    """One JSON document (column report): filesChecked, errorCount, warningCount, diagnostics in order. All findings meet in one row, so only for small reports; ``json_rows`` has no such bound."""
+    listed = found.agg(F.transform(F.array_sort(F.collect_list(F.struct(*ORDER, _item().alias("item")))), lambda x: x["item"]).alias("items"))
+    whole = F.struct(*_head(), F.col("items").alias("diagnostics"))
+    return _totals(docs, found).crossJoin(listed).select(F.to_json(whole, {"ignoreNullFields": "false", "pretty": "true"}).alias("report"))
 
 
 def write_table(found: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -110,3 +110,20 @@ def test_validation(spark, tmp_path, capsys):
     assert root[0].get("failures") == "1"
     with pytest.raises(ValueError):
         results_file([], "x.txt")
+
+
+def test_json_rows_are_the_report(docs, found):
+    files = docs(("a.md", ""), ("b.md", ""), ("c.md", ""))
+    rows = [r["report"] for r in report.json_rows(files, found).collect()]
+    assert len(rows) == 6 and json.loads(rows[0]) == {"filesChecked": 3, "errorCount": 4, "warningCount": 1}
+    assert json.loads("\n".join(report.json_lines(rows))) == json.loads(report.json_report(files, found).first()["report"])
+    none = [r["report"] for r in report.json_rows(files, found.limit(0)).collect()]
+    assert json.loads("\n".join(report.json_lines(none))) == {"filesChecked": 3, "errorCount": 0, "warningCount": 0, "diagnostics": []}
+
+
+def test_registered_json_report_has_a_row_a_finding(docs, found, monkeypatch):
+    from quillframe.plans import queries
+
+    monkeypatch.setattr(queries, "markdown_docs", lambda spark, sf_dir: docs(("a.md", "")))
+    monkeypatch.setattr(queries, "_structural", lambda spark, sf_dir, *rules: found)
+    assert queries.QUERIES["report_json"](None, "").count() == 6
