@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import pickle
 import re
 import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,19 +23,30 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules["quillframe"])
 
 
+def share(spark: SparkSession, value) -> Callable[[], Any]:
+    """Broadcasts a value; tasks get it by calling what this returns. Objects of this package travel by value, like functions."""
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
+
+
 #: Stand-in folders, by application.
 _OWN: dict[str, str] = {}
+#: Scratch folders written so far, by application, and those of the ``settled`` calls that run now.
+_WRITTEN: dict[str, set[str]] = {}
+_SCOPES: list[set[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``), with its scheme.
 
-    A temporary folder stands in where the session names none, as in local tests.
+    Where the session names none, a temporary folder stands in for it on a local master; on a cluster that is an error.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = _OWN.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="quillframe-")
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _OWN.get(context.applicationId) or tempfile.mkdtemp(prefix="quillframe-")
         _OWN[context.applicationId] = root
     path = context._jvm.org.apache.hadoop.fs.Path(root)
     whole = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -39,7 +54,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quillframe/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quillframe/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _WRITTEN:
+        _WRITTEN[app] = set()
+        atexit.register(_at_end, spark, app)
+    for paths in (_WRITTEN[app], *_SCOPES):
+        paths.add(path)
+    return path
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +71,49 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, paths: set[str]) -> None:
+    context = spark.sparkContext
+    for path in paths:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    for held in (_WRITTEN.get(context.applicationId, set()), *_SCOPES):
+        held -= paths
+
+
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``keep`` of what ``build`` gives, after which the tables that were written on the way to it are removed."""
+    _SCOPES.append(on_the_way := set())
+    try:
+        made = build()
+    finally:
+        _SCOPES.remove(on_the_way)
+    out = keep(made, name)
+    _remove(spark, on_the_way)
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application. What reads them must have been written; at the end of the program it is done by itself."""
+    _remove(spark, set(_WRITTEN.get(spark.sparkContext.applicationId, ())))
+
+
+def _at_end(spark: SparkSession, app: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped
+        if spark.sparkContext.applicationId == app:
+            clear(spark)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where columns of ``df`` have them already, in either case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def rows_under(df: DataFrame, limit: int) -> bool:
     """Whether a table has at most ``limit`` rows, read no further than needed."""
     return df.limit(limit + 1).count() <= limit
