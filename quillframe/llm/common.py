@@ -119,9 +119,21 @@ def rows_under(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+#: Bytes up to which a table is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
 def small(df: DataFrame, limit: int) -> DataFrame:
-    """Hint a broadcast when the table is known to have at most ``limit`` rows; else leave the join to Spark."""
-    return F.broadcast(df) if rows_under(df, limit) else df
+    """Hint a broadcast when the table is known to have at most ``limit`` rows and ``BROADCAST_BYTES``; else leave the join to Spark."""
+    fixed = 24 + 8 * len(df.columns)
+    if not rows_under(df, min(limit, BROADCAST_BYTES // fixed)):
+        return df
+    loose = [F.octet_length(c) if kind in ("string", "binary") else 24 * F.size(c) for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith("array")]
+    if loose:
+        total = df.agg(F.sum(sum((F.coalesce(x, F.lit(0)) for x in loose), F.lit(fixed))).alias("n")).first()["n"]
+        if (total or 0) > BROADCAST_BYTES:
+            return df
+    return F.broadcast(df)
 
 
 def crc_mod(col, mod: int):

@@ -8,8 +8,9 @@ transform in a wavelet matrix, and the suffix positions sampled. All windows
 are searched backward at once through wavelet ranks, occurrences are located by
 walking to a sampled position, and their spans merged.
 
-Items are collected in blocks of bounded size, and every document is searched
-for one block after the other, so the test set may be of any size.
+Items are collected in blocks of bounded size. Each block is one pass over the
+documents, which are only read; what several passes find is merged by document,
+so the test set may be of any size.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, keep, list_array
+from .common import by_batches, fresh, keep, list_array, share, small
 
 WINDOW = 13
 #: Characters of test items searched for in one pass.
 BLOCK_CHARS = 4_000_000
+#: Rows up to which a table of documents with hits is broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Every so many suffix positions are kept.
 SAMPLE = 8
 #: Slots of the table of word pairs.
@@ -43,18 +46,18 @@ def _pair_slot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """The distinct windows of some items as rows of word numbers, and the items that hold each."""
+    """The distinct windows of some texts as rows of word numbers, and the items that hold each."""
 
-    def __init__(self, items: list[tuple[int, str | None]], width: int = WINDOW):
+    def __init__(self, texts: list[tuple[list[int], str | None]], width: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
+        for items, text in texts:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in split_words(text)]
             for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + width]), set()).add(item)
+                found.setdefault(tuple(ids[i : i + width]), set()).update(items)
         self.items = [sorted(v) for v in found.values()]
         self.length = np.array([len(w) for w in found], np.int64)
-        self.words = np.zeros((len(found), width), np.int64)
+        self.words = np.zeros((len(found), width), np.int32)
         for row, w in zip(self.words, found):
             row[: len(w)] = w
         self.least = int(self.length.min()) if len(found) else 0
@@ -157,10 +160,10 @@ def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan(docs: DataFrame, windows) -> DataFrame:
-    """Adds a block's occurrences to (doc_id, text, n_words, spans, items); spans are flat pairs of word positions."""
+    """(doc_id, text, n_words, spans, items) of (doc_id, text): a block's occurrences; spans are flat pairs of word positions."""
 
     def make():
-        block: Windows = windows.value
+        block: Windows = windows()
         number = block.vocab.get
 
         def step(batch):
@@ -185,20 +188,12 @@ def scan(docs: DataFrame, windows) -> DataFrame:
                 doc = np.searchsorted(begin, at, "right") - 1
                 for d, w in np.unique(np.stack([doc, which]), axis=1).T:
                     held.setdefault(int(d), set()).update(block.items[w])
-            spans, items = [], []
-            old_spans, old_items = batch.column("spans").to_pylist(), batch.column("items").to_pylist()
+            spans, items, none = [], [], np.zeros(0, np.int64)
             hit = np.cumsum(cover[:-1]) > 0
             for i in range(len(sizes)):
-                if i in held:
-                    own = hit[begin[i] : begin[i] + sizes[i]]
-                    for a, b in zip(old_spans[i][::2], old_spans[i][1::2]):
-                        own[a:b] = True
-                    a, b = _runs(own)
-                    spans.append(np.stack([a, b], axis=1).ravel())
-                    items.append(np.array(sorted({*old_items[i], *held[i]}), np.int64))
-                else:
-                    spans.append(np.array(old_spans[i], np.int64))
-                    items.append(np.array(old_items[i], np.int64))
+                a, b = _runs(hit[begin[i] : begin[i] + sizes[i]]) if i in held else (none, none)
+                spans.append(np.stack([a, b], axis=1).ravel())
+                items.append(np.array(sorted(held.get(i, ())), np.int64))
             return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_words": sizes, "spans": list_array(spans), "items": list_array(items)}
 
         return step
@@ -206,6 +201,25 @@ def scan(docs: DataFrame, windows) -> DataFrame:
     return by_batches(docs, make, "doc_id long, text string, n_words long, spans array<long>, items array<long>")
 
 
+def _merged(found: DataFrame) -> DataFrame:
+    """One row a document (doc_id, hash) of what several blocks have found in it; spans that touch or overlap become one."""
+    each = found.groupBy("doc_id", "hash").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def step(batch):
+        spans = []
+        for flat in batch.column("spans").to_pylist():
+            out: list[int] = []
+            for a, b in sorted(zip(flat[::2], flat[1::2])):
+                if out and a <= out[-1]:
+                    out[-1] = max(out[-1], b)
+                else:
+                    out += [a, b]
+            spans.append(np.array(out, np.int64))
+        return {"doc_id": batch.column("doc_id"), "hash": batch.column("hash"), "spans": list_array(spans), "items": batch.column("items")}
+
+    return by_batches(each, lambda: step, "doc_id long, hash long, spans array<long>, items array<long>")
+
+
 def occurrences(docs: DataFrame, bench: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_words, spans, items): where windows of test items occur in every row.
 
@@ -213,17 +227,38 @@ def occurrences(docs: DataFrame, bench: DataFrame, width: int = WINDOW, block_ch
     lower-cased), or all of an item with fewer. spans are flat pairs of word
     positions, end exclusive, merged and ascending; items are the item_ids, ascending.
     Null or wordless texts have no words. Items with a null id or no words are
-    left out. Repeated rows and items count each on its own; further columns are not read.
+    left out. Repeated rows and items count each on its own; further columns, of any name, are not read.
     """
+    spark = docs.sparkSession
     items = bench.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    texts = items.groupBy("text").agg(F.collect_set("item_id").alias("ids"))
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-chars // block_chars))
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<bigint>)").alias("spans"), F.expr("cast(array() as array<bigint>)").alias("items"))
-    context = docs.sparkSession.sparkContext
-    for k in range(blocks):
-        own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        found = scan(keep(found, "scanned") if k else found, context.broadcast(Windows(own, width)))
-    return found
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def block(k: int):
+        own = [(r["ids"], r["text"]) for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()]
+        return share(spark, Windows(own, width))
+
+    if blocks == 1:
+        return scan(rows, block(0))
+    parts = [keep(scan(rows, block(k)).where(F.size("items") > 0).select("doc_id", F.xxhash64("text").alias("hash"), "spans", "items").distinct(), "found") for k in range(blocks)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    hits = small(keep(_merged(every).withColumnRenamed("doc_id", "id"), "merged"), BROADCAST_ROWS)
+    plain = scan(rows, share(spark, Windows([], width))).drop("spans", "items")
+    none = F.expr("cast(array() as array<bigint>)")
+    both = plain.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left")
+    return both.select("doc_id", "text", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", none).alias("items"))
+
+
+def _n_hit():
+    return F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _contaminated(hit):
+    return (hit > 0) & (20 * hit >= F.col("n_words"))
 
 
 def marked(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
@@ -231,15 +266,14 @@ def marked(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
 
     contaminated: some word is hit, and at least one in twenty.
     """
-    hit = F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    out = occurrences(docs, bench, **options).select("doc_id", "n_words", hit.alias("n_hit"), "items")
+    out = occurrences(docs, bench, **options).select("doc_id", "n_words", _n_hit().alias("n_hit"), "items")
     return out.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        _contaminated(F.col("n_hit")).alias("contaminated"),
     )
 
 
@@ -262,3 +296,18 @@ def cut_spans(found: DataFrame) -> DataFrame:
         return step
 
     return by_batches(found.select("doc_id", "text", "spans"), make, "doc_id long, text string")
+
+
+def decontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, whole, but for the words that lie in windows, which are cut out.
+
+    A text decides, whatever its id, so rows that repeat and rows with null ids are judged alike. Null and wordless
+    texts stay. Rows without a hit stay as they are. An empty table stays empty; columns of any name may be there.
+    """
+    texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hits = keep(occurrences(texts, bench, **options).where(F.size("items") > 0).withColumn("bad", _contaminated(_n_hit())), "hits")
+    gone = hits.where("bad").select("doc_id", F.lit(None).cast("string").alias("text"))
+    out, cut, mark = fresh(docs, "hash", "cut", "hit")
+    found = keep(gone.union(cut_spans(hits.where("not bad"))).distinct(), "cut").toDF(out, cut).withColumn(mark, F.lit(True))
+    both = docs.join(small(found, BROADCAST_ROWS), F.xxhash64(F.col(text_col).cast("string")) == F.col(out), "left")
+    return both.where(F.col(mark).isNull() | F.col(cut).isNotNull()).withColumn(text_col, F.coalesce(F.col(cut), F.col(text_col))).select(docs.columns)

@@ -13,15 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batches, crc_mod, mix
+from .common import by_batches, crc_mod, mix, share
 
 SLOTS = 1 << 20
 HASHES = 2
-#: Texts a language that the filter is fitted on (expected number of a hash sample), and pairs of n-gram and language kept, at most.
-FIT_TEXTS, FIT_GRAMS = 1_500, 600_000
+#: Defaults of ``fit``: texts a language that the filter is fitted on (expected number of a hash sample), and n-grams kept of each language, the most frequent ones.
+FIT_TEXTS, FIT_GRAMS = 1_500, 150_000
 #: An n-gram counts for a language if this many of its texts have it, and this share of the rate of the language that has it most.
 LEAST_TEXTS, LEAST_RATE = 2, 0.15
 CHUNK = 1 << 21
@@ -97,15 +97,18 @@ class Filter:
         return lang, score
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 0, folds: int = 5) -> Filter:
-    """Learn from text and language of ids whose crc32 modulo ``folds`` is not ``held_out``; rows that lack one of them are not used."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 0, folds: int = 5, fit_texts: int = FIT_TEXTS, fit_grams: int = FIT_GRAMS) -> Filter:
+    """Learn from text and language of ids whose crc32 modulo ``folds`` is not ``held_out``; rows that lack one of them are not used.
+
+    ``fit_texts`` and ``fit_grams`` are bounds for each language, so rare languages get as much room as common ones.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where((crc_mod("id", folds) != held_out) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return Filter([], np.zeros((SLOTS, 1), np.uint64), np.zeros(0))
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, FIT_TEXTS / n) * (1 << 24)))))
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, fit_texts / n) * (1 << 24)))))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 24)) < share[F.col("lang")])
 
     def make():
@@ -123,7 +126,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     held = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
     counted = by_batches(sample.select("text", "lang"), make, "gram long, lang long, n long", whole=True).groupBy("gram", "lang").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
-    got = counted.orderBy(F.desc("n"), "gram", "lang").limit(FIT_GRAMS).toPandas()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    got = counted.withColumn("place", place).where(F.col("place") <= fit_grams).select("gram", "lang", "n").toPandas()
     got["rate"] = got["n"] / got["lang"].map(lambda k: held.get(langs[int(k)], 1))
     got = got[got["rate"] >= LEAST_RATE * got.groupby("gram")["rate"].transform("max")]
     return Filter.build(langs, got["gram"].to_numpy(np.int64).astype(np.uint32), got["lang"].to_numpy(np.int64))
@@ -134,12 +138,13 @@ def identified(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col:
 
     ``und`` with score 0 where the text is null or has no letter. Ties go to the
     language that sorts first. score is the chosen language's part of all corrected
-    shares. held_out is null where the id is.
+    shares. held_out is null where the id is. Rows that repeat are judged alike; an empty table
+    gives no rows; further columns, of any name, are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def make():
-        own = shared.value
+        own = shared()
 
         def step(batch):
             lang, score = own.decide(batch.column(2).to_pylist())
