@@ -13,11 +13,14 @@ First each line is verified against the few that pass with the nearest parities
 under each of its words; lines still standing that had more to choose from are
 verified against all, so a line with thousands of variants costs a few pairs a
 variant, and none is missed.
+
+A word that very many lines have among their rarest is dealt to many tasks: its
+lines fall into cells of like size and place, cells into parts of bounded size, and
+a task has two parts of cells between which sizes and places allow a pair.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,14 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, groups_of, keep, mix, rows_under, small
+from ..functions.text import let
+from .common import by_batches, fresh, groups_of, keep, mix, rows_under, small
 
-#: Least words of a line that is compared; shorter ones stay.
-LEAST_WORDS = 5
+#: Least distinct words of a line that is compared: every line with a word.
+LEAST_WORDS = 1
 #: Bounds of the table of word counts, in slots.
-SLOTS = (1 << 14, 1 << 16)
-#: A word's code has the logarithm of its count in the top bits; from this one on its lines are also dealt by size.
-COMMON = 17
+SLOTS = (1 << 14, 1 << 18)
+#: Lines under a word from which it is dealt in parts, of the least and most lines. A word is known by one line of every ``GLANCE``.
+GROUP, PART, GLANCE = 2_048, (1_024, 16_384), 16
 BROADCAST_ROWS = 2_000_000
 #: Words from which a line's parity has 128 bits.
 LONG = 48
@@ -136,18 +140,13 @@ class Lines:
         return np.bitwise_xor.reduceat(bit, self.begin), np.where(self.size >= LONG, half, np.uint64(0))
 
     def prefixes(self, percent: int) -> pa.Array:
-        """Each line's rarest words as (key of 32 bits, place): a common word has two keys, of the line's size band and the next."""
+        """Each line's rarest words as (key of 32 bits, place)."""
         size = self.size
         at = np.arange(len(self.words)) - np.repeat(self.begin, size)
-        front = at < np.repeat(prefix_size(size, percent), size)
-        words, at, owner = self.words[front], at[front].astype(np.uint64), np.repeat(np.arange(len(size)), size)[front]
-        common = words >> np.uint64(58) >= COMMON
-        band = bands(size, percent)[owner[common]]
-        key = np.concatenate([mix(words[~common]), *(mix(words[common] + band + np.uint64(k)) for k in (1, 2))])
-        owner, at = (np.concatenate([v[~common], v[common], v[common]]) for v in (owner, at))
-        packed, order = (key >> np.uint64(33)) << np.uint64(32) | at, np.argsort(owner, kind="stable")
-        ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(size)))]
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(packed[order].view(np.int64)))
+        front = at < np.repeat(np.where(has_partners(size, percent), prefix_size(size, percent), 0), size)
+        packed = (mix(self.words[front]) >> np.uint64(33)) << np.uint64(32) | at[front].astype(np.uint64)
+        ends = np.r_[0, np.cumsum(np.bincount(np.repeat(np.arange(len(size)), size)[front], minlength=len(size)))]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(packed.view(np.int64)))
 
 
 def prefix_size(n, percent: int):
@@ -155,9 +154,9 @@ def prefix_size(n, percent: int):
     return n + percent * -n // 100 + 1
 
 
-def bands(n: np.ndarray, percent: int) -> np.ndarray:
-    """Size bands so wide that similar sizes lie at most one apart."""
-    return np.floor(np.log(n) / (1.01 * math.log(100 / percent) + 1e-9)).astype(np.uint64)
+def has_partners(n, percent: int):
+    """Whether a set of n may be similar to another than itself: sets so small that one word is too much have equals alone."""
+    return (100 * n // percent > n) | (n + percent * -n // 100 > 0)
 
 
 def _sorted_sets(codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,6 +253,35 @@ def _close(key: np.ndarray, n: np.ndarray, at: np.ndarray, percent: int) -> Iter
             yield i[k], start[k] + j
 
 
+def _cell(n, at) -> list:
+    """Size and place of a row, coarser the larger they are: (name, column)."""
+    size = F.when(n <= 32, n).otherwise(32 + F.floor(F.log(n / 32) / F.log(F.lit(1.05))))
+    place = F.when(at <= 8, at).otherwise(8 + F.floor(F.log(at / 8) / F.log(F.lit(1.25))))
+    return [size.cast("int").alias("size"), place.cast("int").alias("spot")]
+
+
+def in_parts(rows: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """``rows`` under the words in ``hot`` (key), once for each pair of parts they belong to, with grp and side: 1 and 2 are paired with each other, 0 with one another.
+
+    Two cells meet if sizes and places in them leave enough words to share.
+    """
+    key, n, at = F.shiftright("p", 32), F.col("place").bitwiseAND(0xFFFFFFFF), F.col("p").bitwiseAND(0xFFFFFFFF)
+    own = rows.withColumn("key", key).join(small(hot, BROADCAST_ROWS), "key", "left_semi").select("*", *_cell(n, at))
+    cells = own.groupBy("key", "size", "spot").agg(F.count("*").alias("rows"), F.min(n).alias("low"), F.max(n).alias("high"), F.min(at).alias("first"))
+    least, most = PART
+    cells = keep(cells.withColumn("parts", F.ceil(F.col("rows") / F.least(F.greatest(F.col("rows") / 8, F.lit(least)), F.lit(most))).cast("int")), "cells")
+    other = cells.select("key", *(F.col(c).alias(f"o_{c}") for c in ("size", "spot", "low", "high", "first", "parts")))
+    fits = lambda a, b: 100 * F.col(f"{a}high") - (100 + percent) * F.col(f"{a}first") >= percent * F.col(f"{b}low")
+    meets = cells.join(other, "key").where(fits("", "o_") & fits("o_", ""))
+    partners = meets.groupBy("key", "size", "spot", "parts").agg(F.collect_list(F.struct("o_size", "o_spot", "o_parts")).alias("others"))
+    placed = own.join(small(keep(partners, "cell-pairs"), BROADCAST_ROWS), ["key", "size", "spot"])
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "place"), "parts").cast("int")).select("*", F.explode("others").alias("o"))
+    placed = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("o.o_parts") - 1)).alias("o_part"))
+    mine, theirs = F.struct("size", "spot", "part"), F.struct(F.col("o.o_size").alias("size"), F.col("o.o_spot").alias("spot"), F.col("o_part").alias("part"))
+    side = F.when(mine == theirs, 0).when(mine < theirs, 1).otherwise(2).alias("side")
+    return placed.select(*rows.columns, F.xxhash64("key", F.least(mine, theirs), F.greatest(mine, theirs)).alias("grp"), side)
+
+
 def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of lines, a earlier than b, that pass the filters under some prefix word: (a_doc, a_line, b_doc, b_line, more).
 
@@ -269,41 +297,60 @@ def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
         few = np.arange(len(b)) - np.repeat(starts, np.diff(np.r_[starts, len(b)])) < NEAREST
         return a[few], b[few], far[few]
 
-    def run(batches):
+    def found(table, grp, side):
+        """Pairs within groups of rows."""
+        place, p = table.column("place").to_numpy(), table.column("p").to_numpy()
+        # rows come by group, size and place
+        order = np.lexsort((p & 0xFFFFFFFF, place & 0xFFFFFFFF, grp))
+        doc, bits, half = (table.column(c).to_numpy()[order] for c in ("doc_id", "bits", "half"))
+        p, place, grp, bits, half = p[order], place[order], grp[order], bits.view(np.uint64), half.view(np.uint64)
+        side = side[order] if side is not None else None
+        key, at, line, n = np.cumsum(np.diff(grp, prepend=grp[:1]) != 0), p & 0xFFFFFFFF, place >> 32, place & 0xFFFFFFFF
+        asks = table.column("asks").to_numpy(zero_copy_only=False)[order] if every else None
+        passed, kept = np.zeros(len(key), np.int64), [(np.zeros(0, np.int64),) * 3]
+        for i, j in _close(key, n, at, percent):
+            if side is not None:
+                apart = (side[i] == 0) | (side[i] != side[j])
+                i, j = i[apart], j[apart]
+            need = -(-percent * (n[i] + n[j]) // (100 + percent))
+            most, differ = n[i] + n[j] - 2 * need, bits[i] ^ bits[j]
+            ok = np.bitwise_count(differ) <= most
+            i, j, differ, most = i[ok], j[ok], differ[ok], most[ok]
+            part = half[i] ^ half[j]
+            far = np.where((n[i] < LONG) | (n[j] < LONG), np.bitwise_count(differ), np.bitwise_count(part).astype(np.int64) + np.bitwise_count(differ ^ part))
+            ok = (far <= most) & ((doc[i] != doc[j]) | (line[i] != line[j]))
+            i, j, far = i[ok], j[ok], far[ok].astype(np.int64)
+            swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
+            a, b = np.where(swap, j, i), np.where(swap, i, j)
+            if every:
+                kept.append((a[asks[b]], b[asks[b]], far[asks[b]]))
+            else:
+                np.add.at(passed, b, 1)
+                kept.append(nearest(a, b, far))
+        a, b, far = (np.concatenate(x) for x in zip(*kept))
+        if not every:
+            a, b, far = nearest(a, b, far)
+        columns = (doc[a], line[a].astype(np.int32), doc[b], line[b].astype(np.int32), passed[b] > NEAREST)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
+
+    def whole(batches):
         for table in groups_of(batches, "p", lambda p: p >> 32):
-            p, doc, place, bits, half = (table.column(c).to_numpy() for c in ("p", "doc_id", "place", "bits", "half"))
-            # rows come by key and place
-            order = np.argsort((p >> 32) << 32 | place & 0xFFFFFFFF, kind="stable")
-            p, doc, place, bits, half = (v[order] for v in (p, doc, place, bits.view(np.uint64), half.view(np.uint64)))
-            key, at, line, n = p >> 32, p & 0xFFFFFFFF, place >> 32, place & 0xFFFFFFFF
-            asks = table.column("asks").to_numpy(zero_copy_only=False)[order] if every else None
-            passed, kept = np.zeros(len(key), np.int64), [(np.zeros(0, np.int64),) * 3]
-            for i, j in _close(key, n, at, percent):
-                need = -(-percent * (n[i] + n[j]) // (100 + percent))
-                most, differ = n[i] + n[j] - 2 * need, bits[i] ^ bits[j]
-                ok = np.bitwise_count(differ) <= most
-                i, j, differ, most = i[ok], j[ok], differ[ok], most[ok]
-                part = half[i] ^ half[j]
-                far = np.where((n[i] < LONG) | (n[j] < LONG), np.bitwise_count(differ), np.bitwise_count(part).astype(np.int64) + np.bitwise_count(differ ^ part))
-                ok = (far <= most) & ((doc[i] != doc[j]) | (line[i] != line[j]))
-                i, j, far = i[ok], j[ok], far[ok].astype(np.int64)
-                swap = (doc[i] > doc[j]) | ((doc[i] == doc[j]) & (line[i] > line[j]))
-                a, b = np.where(swap, j, i), np.where(swap, i, j)
-                if every:
-                    kept.append((a[asks[b]], b[asks[b]], far[asks[b]]))
-                else:
-                    np.add.at(passed, b, 1)
-                    kept.append(nearest(a, b, far))
-            a, b, far = (np.concatenate(x) for x in zip(*kept))
-            if not every:
-                a, b, far = nearest(a, b, far)
-            if len(a):
-                columns = (doc[a], line[a].astype(np.int32), doc[b], line[b].astype(np.int32), passed[b] > NEAREST)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
-
-    spread = rows.repartition(F.shiftright("p", 32)).sortWithinPartitions("p")
-    found = spread.mapInArrow(run, "a_doc long, a_line int, b_doc long, b_line int, more boolean")
-    return found.groupBy(*names[:4]).agg(F.max("more").alias("more"))
+            yield found(table, table.column("p").to_numpy() >> 32, None)
+
+    def parted(batches):
+        for table in groups_of(batches, "grp"):
+            yield found(table, table.column("grp").to_numpy(), table.column("side").to_numpy())
+
+    shape, key = "a_doc long, a_line int, b_doc long, b_line int, more boolean", F.shiftright("p", 32)
+    glance = rows.where(F.pmod(F.xxhash64("doc_id", "place"), F.lit(GLANCE)) == 0).groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+    hot = keep(glance.where(F.col("n") * GLANCE >= GROUP).select("key"), "hot-words")
+    more = None
+    if not rows_under(hot, 0):
+        more = in_parts(rows, hot, percent).repartition("grp").sortWithinPartitions("grp").mapInArrow(parted, shape)
+        rows = rows.join(small(hot, BROADCAST_ROWS), key == F.col("key"), "left_anti")
+    pairs = rows.repartition(key).sortWithinPartitions("p").mapInArrow(whole, shape)
+    pairs = pairs.union(more) if more is not None else pairs
+    return pairs.groupBy(*names[:4]).agg(F.max("more").alias("more"))
 
 
 def word_sets(rows: DataFrame, counts, wanted: DataFrame) -> DataFrame:
@@ -389,15 +436,18 @@ def similar_earlier(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS
 
 
 def deduplicated(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines that repeat or nearly repeat an earlier one taken out, plus _removed, how many.
+    """``docs`` with the lines that repeat or nearly repeat an earlier one taken out, plus a last column, _removed: how many.
 
     Lines with fewer than ``least`` distinct words always stay, blank ones too. A document that loses
     all lines stays, with an empty text. Null texts, null ids and untouched rows come through as they are.
-    Rows that share an id and a line number count as the same line and lose it alike.
+    Rows that share an id and a line number count as the same line and lose it alike. An empty table stays
+    empty. Columns of any name come through; if one is called _removed, the new one is _removed_.
     """
     lines = keep(similar_earlier(docs, percent, least, id_col, text_col), "lines-gone")
-    gone = lines.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_lines"))
+    doc, own, count = fresh(docs, "doc", "lines", "_removed")
+    gone = lines.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(own))
     gone = F.broadcast(gone) if rows_under(lines, BROADCAST_ROWS) else gone
-    both = docs.join(gone, F.col(id_col).cast("long") == F.col("_doc"), "left")
-    left = F.filter(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x, i: ~F.array_contains("_lines", i))
-    return both.withColumns({text_col: F.when(F.col("_doc").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")), "_removed": F.coalesce(F.size("_lines"), F.lit(0)).cast("long")}).drop("_doc", "_lines")
+    both = docs.join(gone, F.col(id_col).cast("long") == F.col(doc), "left")
+    numbers = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(own))
+    left = let(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x: F.array_join(F.transform(numbers(x), lambda i: F.get(x, i)), "\n"))
+    return both.withColumns({text_col: F.when(F.col(doc).isNull(), F.col(text_col)).otherwise(left), count: F.coalesce(F.size(own), F.lit(0)).cast("long")}).drop(doc, own)

@@ -18,19 +18,18 @@ different components, skipping subtrees of the query's own component. So a
 group of thousands of copies costs a row or so a member and key, and no link
 between different texts is lost.
 
-Sets are of 64-bit n-gram hashes, and a class is told by a 64-bit sum of them;
-whether a key has several nodes is told by 32 bits of each, drawn anew for every
-key. Chance equality is beyond practical reach.
+Sets are of 64-bit n-gram hashes, and a class is told by a 64-bit sum of them.
+Chance equality is beyond practical reach.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_batches, components, groups_of, keep, list_array, mix, rows_under, small
+from .common import WordHash, by_batches, components, fresh, groups_of, keep, list_array, mix, rows_under, small
 
 #: Groups of the count vectors.
 VECTOR = 128
@@ -312,13 +311,12 @@ def labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     copied = keep(classes.where("size > 1").select("node", F.col("rep").alias("leader")), "copied")
     single = named.join(small(copied, BROADCAST_ROWS), "node", "left").where("leader is null or doc_id = leader")
     dealt = single.select("node", F.explode("keys").alias("key"))
-    # 32 bits tell nodes of a key apart, others for each key: a row is half as wide, and linked sets share several keys
-    mark = F.hash("node", "key")
-    found = dealt.groupBy("key").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo < hi").select("key")
+    # a node has a row a key, or more where rows repeat: keys with one node alone that pass here go below
+    found = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = keep(dealt.join(small(keep(found, "open-keys"), BROADCAST_ROWS), "key").select("key", "node").distinct(), "members")
     # trees with the same members: one is enough
     shapes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.sum(F.hash("node").cast("long")).alias("h1"), F.sum(F.hash(F.col("node") + F.lit(1)).cast("long")).alias("h2"))
-    trees = shapes.groupBy("size", "lo", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size")
+    trees = shapes.where("size > 1").groupBy("size", "lo", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size")
     members = keep(members.join(trees, "key"), "trees")
 
     def described(nodes: DataFrame, whole: bool) -> DataFrame:
@@ -356,21 +354,25 @@ def labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that lead their component: those of the smallest doc_id, and of texts that share it one.
+    """The rows of ``docs``, whole, without those that are linked with another that stays: one of each component does.
 
-    Id and text tell a document, so another text under the same id is judged on its own, and rows that repeat both
-    stay together. Rows with a null id come after all others, and of those with equal texts one stays.
+    It is the one of the smallest doc_id, and of texts that share it one. Id and text tell a document, so another text
+    under the same id is judged on its own; of rows that repeat both, one stays. Rows with a null id come after all
+    others. Null and wordless texts are linked with nothing and all stay. An empty table stays empty; columns of any
+    name may be there.
     """
     text, bits = F.xxhash64(F.col(text_col).cast("string")), (1 << 62) - 1
     own = F.coalesce(F.col(id_col).cast("long"), text.bitwiseAND(F.lit(bits)) + F.lit(bits + 1))
     groups = labelled(docs.select(own.alias("doc_id"), F.col(text_col).cast("string").alias("text")), k, percent, "doc_id", "text")
-    linked = keep(groups.where("comp is not null").select("comp", F.struct("doc_id", "text_hash").alias("row")).distinct(), "linked")
+    linked = groups.where("comp is not null").groupBy("comp", F.struct("doc_id", "text_hash").alias("row")).agg(F.count("*").alias("n"))
+    linked = keep(linked, "linked")
     leads = linked.groupBy("comp").agg(F.min("row").alias("lead"))
-    gone = linked.join(leads, "comp").where("row <> lead").select(F.col("row.doc_id").alias("_gone"), F.col("row.text_hash").alias("_text"))
-    left = docs.join(gone, (own == F.col("_gone")) & (text == F.col("_text")), "left_anti")
-    unnamed = F.col(id_col).isNull()
-    if rows_under(docs.where(unnamed), 0):
+    number, hashed = fresh(docs, "number", "hash")
+    rows = lambda df: df.select(F.col("row.doc_id").alias(number), F.col("row.text_hash").alias(hashed))
+    same = (own == F.col(number)) & (text == F.col(hashed))
+    left = docs.join(rows(linked.join(leads, "comp").where("row <> lead")), same, "left_anti")
+    twice = keep(rows(linked.where("n > 1")), "repeated")
+    if rows_under(twice, 0):
         return left
-    again = F.row_number().over(Window.partitionBy(text).orderBy(text)) > 1
-    nameless = left.where(unnamed).withColumn("_again", again & F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x09-\x0D\x20]"), F.lit(False)))
-    return left.where(~unnamed).union(nameless.where("not _again").drop("_again"))
+    repeated = left.join(small(twice, BROADCAST_ROWS), same, "inner").dropDuplicates([number, hashed]).select(docs.columns)
+    return left.join(small(twice, BROADCAST_ROWS), same, "left_anti").union(repeated)

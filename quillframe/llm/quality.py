@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_batches, keep, mix
+from .common import WordHash, by_batches, fresh, keep, mix
 
 #: Labelled rows that the list is fitted on, at most (expected number of a hash sample).
 FIT_ROWS = 50_000
@@ -199,13 +199,18 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, whose text is kept. Every row is judged by its own text, whatever its id."""
-    known = docs.join(F.broadcast(labelled(labels).select(F.col("doc_id").alias("_known")).distinct()), F.col(id_col).cast("long") == F.col("_known"), "left_semi")
-    rules = fit(measured(known, id_col, text_col), labels)
+    """The rows of ``docs``, whole, whose text is kept. Every row is judged by its own text, whatever its id.
+
+    Null and wordless texts fail the base rules and go; rows that repeat are judged alike; an empty table stays
+    empty; columns of any name may be there.
+    """
+    known, row, found = fresh(docs, "known", "row", "measures")
+    some = docs.join(F.broadcast(labelled(labels).select(F.col("doc_id").alias(known)).distinct()), F.col(id_col).cast("long") == F.col(known), "left_semi")
+    rules = fit(measured(some, id_col, text_col), labels)
 
     @F.pandas_udf(", ".join(f"{k} long" for k in MEASURES))
     def measures(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(measure(texts.tolist(), WordHash()), columns=list(MEASURES), dtype="int64")
 
-    judged_rows = docs.select(F.struct(*docs.columns).alias("row"), measures(F.col(text_col).cast("string")).alias("m")).select("row", "m.*")
-    return judged_rows.where(~base_failed() & decision(rules)).select("row.*")
+    judged_rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), measures(F.col(text_col).cast("string")).alias(found)).select(row, f"{found}.*")
+    return judged_rows.where(~base_failed() & decision(rules)).select(f"{row}.*")

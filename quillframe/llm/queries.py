@@ -40,7 +40,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.deduplicated(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_removed").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "text")
+    return out.select("doc_id", F.col(out.columns[-1]).alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "text")
 
 
 def op8_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": rf"""
         with l as (select doc_id, i, ls[i] as line from (select doc_id, string_split(text, chr(10)) as ls, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)),
         s as (select doc_id, i, list_sort(list_distinct(regexp_extract_all({_LOWER.format("line")}, '[^\x20\x09-\x0D]+'))) as w from l),
-        c as (select w, row_number() over () as c, len(w) as n, min(struct_pack(d := doc_id, i := i)) as f from s where len(w) >= 5 group by w),
+        c as (select w, row_number() over () as c, len(w) as n, min(struct_pack(d := doc_id, i := i)) as f from s where len(w) >= 1 group by w),
         e as (select c, n, f, unnest(w) as t from c),
         df as (select t, count(*) as n from e group by t),
         p as (select c, e.n, f, row_number() over (partition by c order by df.n, t) as at, t from e join df using (t)),

@@ -12,12 +12,17 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def by_hand(docs, items):
+def windows_of(items):
     windows = defaultdict(set)
     for i, t in items:
         w = words(t)
         for k in range(max(1, len(w) - 12) if w else 0):
             windows[tuple(w[k : k + 13])].add(i)
+    return windows
+
+
+def by_hand(docs, items):
+    windows = windows_of(items)
     out = {}
     for i, t in docs:
         w, hit, found = words(t), set(), set()
@@ -82,6 +87,24 @@ def test_cut_spans(spark):
     assert got == {1: "Keep é this. ! Rest", 2: "clean", 3: None}
 
 
+def test_words_in_windows_are_cut(spark):
+    docs, items = corpus(5)
+    names = "doc_id long, text string, hash string, cut long, hit string, spans string"
+    rows = [(i, t, "h", 1, "x", "s") for i, t in docs] + [(None, docs[3][1], "h", 1, "x", "s"), (docs[4][0], docs[4][1], "h", 1, "x", "s")]
+    marks, windows = by_hand(docs, items), windows_of(items)
+    texts = dict(docs)
+    for options in ({}, {"block_chars": 300}):
+        left = dc.decontaminated(spark.createDataFrame(rows, names), spark.createDataFrame(items, "item_id long, text string"), **options)
+        assert left.columns == [x.split()[0] for x in names.split(", ")]
+        got = left.collect()
+        assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(i for i, *_ in rows if i is not None and not marks[i][4])
+        for r in got:
+            if r["doc_id"] is not None:
+                w = words(texts[r["doc_id"]])
+                hit = {k + d for n in {len(x) for x in windows} for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for d in range(n)}
+                assert words(r["text"]) == [x for k, x in enumerate(w) if k not in hit]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(None, "plain words"), (1, "Ten plain words"), (2, None)], "item_id long, text string")
     assert dc.marked(odd_docs, items).where("contaminated").count() == 4

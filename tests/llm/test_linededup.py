@@ -19,7 +19,7 @@ def by_hand(docs, percent, least):
 def corpus(seed, n=150):
     r = random.Random(seed)
     vocab = ["the", "of", "and"] * 8 + [f"w{i}" for i in range(400)]
-    base = [[r.choice(vocab) for _ in range(r.choice([5, 6, 9, 12, 25, 60, 150]))] for _ in range(30)]
+    base = [[r.choice(vocab) for _ in range(r.choice([1, 3, 4, 5, 6, 9, 12, 25, 60, 150]))] for _ in range(30)]
 
     def line():
         own = list(r.choice(base))
@@ -31,11 +31,15 @@ def corpus(seed, n=150):
     return [(i, "\n".join(r.choice(["", "De.", " ", line(), line(), line()]) for _ in range(r.randint(0, 6)))) for i in range(n)]
 
 
-@pytest.mark.parametrize("common", [17, 3])
+@pytest.mark.parametrize("group", [2048, 6])
 @pytest.mark.parametrize("percent", [80, 60])
-def test_against_brute_force(spark, monkeypatch, percent, common):
-    monkeypatch.setattr(ld, "COMMON", common)
-    docs = corpus(percent + common)
+def test_against_brute_force(spark, monkeypatch, percent, group):
+    """With small groups, words are dealt in parts of a few lines."""
+    if group == 6:
+        monkeypatch.setattr(ld, "GROUP", 6)
+        monkeypatch.setattr(ld, "GLANCE", 1)
+        monkeypatch.setattr(ld, "PART", (3, 5))
+    docs = corpus(percent + (17 if group == 2048 else 3))
     got = ld.similar_earlier(spark.createDataFrame(docs, "doc_id long, text string"), percent).collect()
     assert {tuple(x) for x in got} == by_hand(docs, percent, ld.LEAST_WORDS) and len(got) == len({tuple(x) for x in got})
 
@@ -52,6 +56,28 @@ def test_text_that_is_left(spark):
     assert got == {1: ("ONE two three four five\nkept 😀", 0), 2: ("short\n\nother words stand in this line", 1), 3: ("", 1)}
 
 
+def test_short_lines(spark):
+    rows = [(1, "Home\nHome | About\na b c d\nx y z"), (2, "home\nabout | HOME\na b c d e\nx y w\n\n \n"), (3, None)]
+    got = {r["doc_id"]: (r["text"], r["_removed"]) for r in ld.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("x y w\n\n \n", 3), 3: (None, 0)}
+    longer = ld.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), least=5).collect()
+    assert all(r["_removed"] == 0 for r in longer)
+
+
+def test_clashing_names(spark):
+    names = "doc_id long, text string, doc string, lines string, _removed string, _doc string, _lines string, key long, more long, line long, place long"
+    row = ("same words in a line", "a", "b", "c", "d", "e", 1, 2, 3, 4)
+    got = ld.deduplicated(spark.createDataFrame([(1, *row), (2, *row)], names))
+    assert got.columns[-1] == "_removed_" and sorted(tuple(r)[1:5] for r in got.collect()) == [("", "a", "b", "c"), (*row[:4],)]
+
+
+def test_places_rule_out_a_template(spark, monkeypatch):
+    """Lines that differ in a number are under one word, and no two of them meet."""
+    monkeypatch.setattr(ld, "GROUP", 100)
+    rows = spark.createDataFrame([(i, 6, 0, 0, 7 << 32 | 1) for i in range(5000)], "doc_id long, place long, bits long, half long, p long")
+    assert ld.in_parts(rows, spark.createDataFrame([(7,)], "key long"), 80).count() == 0
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = ld.deduplicated(odd_docs)
     assert got.columns == [*odd_docs.columns, "_removed"] and got.count() == 12
