@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import decontaminate, linededup, ngram_join, packing, quality
-from quillframe.llm.common import keep, small
+from quillframe.llm.common import fresh, settled
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat or nearly repeat an earlier line go; n_chars follows the text. Documents stay."""
+    """Lines that repeat or nearly repeat an earlier line go, and with them a document that has no word left; n_chars follows the text."""
     out = linededup.deduplicated(docs)
-    return out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    touched = F.col(out.columns[-1]) > 0
+    left = out.where(~touched | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
+    return left.withColumn("n_chars", F.when(touched, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +33,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more lies in benchmark windows go; a text decides, whatever its id."""
-    texts = docs.select(F.xxhash64("text").alias("_h"), "text")
-    found = decontaminate.marked(texts, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_h")
-    gone = keep(found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(small(gone, ngram_join.BROADCAST_ROWS), F.xxhash64("text") == F.col("_gone"), "left_anti")
+    """Documents of which a twentieth or more lies in benchmark windows go; others lose the words in such windows, and n_chars follows. A text decides, whatever its id."""
+    before, = fresh(docs, "before")
+    out = decontaminate.decontaminated(docs.withColumn(before, F.length("text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.withColumn("n_chars", F.when(F.length("text") < F.col(before), F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(before)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +58,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = keep(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = settled(spark, name, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
