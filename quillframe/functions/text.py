@@ -31,21 +31,27 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, f"{P.S}+", -1), lambda x: x != "")
 
 
-def _sums(values: Column) -> Column:
+def _fold(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     start = F.expr("cast(array() as array<int>)")
-    return F.aggregate(values, start, lambda done, x: F.concat(done, F.array(F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x)))
+    return F.aggregate(values, start, lambda done, x: F.concat(done, F.array(F.when(F.size(done) == 0, x).otherwise(join(F.try_element_at(done, F.lit(-1)), x)))))
 
 
-def running_sum(values: Column) -> Column:
-    """Sums of an int array up to each place, in blocks, so that long arrays take little more than linear time."""
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """An int array joined up to each place by an associative ``join``, in blocks, so that long arrays take little more than linear time."""
     starts = lambda v: F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, F.lit(BLOCK))).otherwise(F.expr("cast(array() as array<int>)"))
-    blocks = lambda v: F.transform(starts(v), lambda s: _sums(F.slice(v, s + 1, F.lit(BLOCK))))
+    blocks = lambda v: F.transform(starts(v), lambda s: _fold(F.slice(v, s + 1, F.lit(BLOCK)), join))
 
     def joined(b: Column) -> Column:
-        ends = F.concat(F.array(F.lit(0)), _sums(F.transform(b, lambda x: F.element_at(x, -1))))
-        return F.flatten(F.zip_with(b, F.slice(ends, F.lit(1), F.size(b)), lambda x, before: F.transform(x, lambda y: y + before)))
+        ends = _fold(F.transform(b, lambda x: F.element_at(x, -1)), join)
+        before = F.concat(F.array(F.lit(None).cast("int")), F.slice(ends, F.lit(1), F.size(b) - 1))
+        return F.flatten(F.zip_with(b, before, lambda x, y: F.when(y.isNull(), x).otherwise(F.transform(x, lambda z: join(y, z)))))
+
+    return let(values, lambda v: F.when(F.size(v) <= BLOCK, _fold(v, join)).otherwise(let(blocks(v), joined)))
 
-    return let(values, lambda v: let(blocks(v), joined))
+
+def running_sum(values: Column) -> Column:
+    """Sums of an int array up to each place."""
+    return running(values, lambda a, b: a + b)
 
 
 def located(text: Column, pattern: str | Column, gaps: bool = False) -> Column:
