@@ -185,14 +185,15 @@ def test_spans_that_overlap(spark):
 
 
 def test_time_grows_with_the_text(spark):
-    """A table of 80,000 numbers in one text takes about twice the time of 40,000, not four times."""
+    """A table of 80,000 numbers in one text takes about twice the time of 40,000 beyond what planning takes, not four times."""
     took = []
-    for n in (40_000, 40_000, 80_000):
+    for n in (20, 20, 40_000, 80_000):
         text = " ".join(f"{k % 900 + 100}-555-{k % 9000 + 1000}" if k % 20 == 0 else f"x{k}" for k in range(n)) + " end 4111111111111111"
         began = time.perf_counter()
         assert pii.candidates(spark.createDataFrame([(1, text)], "doc_id long, text string")).selectExpr("size(base)").first()[0] == 1
         took.append(time.perf_counter() - began)
-    assert took[2] < 3 * took[1] + 1 and took[1] < 3
+    first, second = took[2] - took[1], took[3] - took[1]
+    assert first < 3 and second < 3 * max(first, 0.5) + 1.5
 
 
 def test_clashing_names(spark):
