@@ -1,11 +1,13 @@
 """Best-fit decreasing packing of tokenised documents into sequences of fixed size.
 
 Documents become token ids, ended by an id of 0; those longer than a sequence
-are cut. Full pieces are sequences of their own. The others are dealt by hash
-into shards of about ``SHARD`` pieces, and each shard is packed by best-fit
-decreasing: a segment tree over remaining capacities finds the tightest open
-sequence in logarithmic time. A shard wastes less than a sequence at its end,
-so shards cost about one sequence in several thousand.
+are cut. Only lengths decide where a piece goes, and pieces of equal length are
+alike, so best-fit decreasing runs once for the whole corpus on how many pieces
+there are of each length: a segment tree over remaining capacities finds the
+tightest open sequences in logarithmic time, and runs of sequences with equal
+remaining capacity are filled together. This plan has a few rows a length, whatever
+the corpus. Each piece then finds its sequence and offset by its number among the
+pieces of its length, which tasks count for themselves and sums make global.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batches, keep
+from .common import by_batches, fresh, keep, share, small
 
-SHARD = 8192
+#: Rows up to which the counts of pieces by task and length are broadcast.
+BROADCAST_ROWS = 1_000_000
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -46,7 +50,8 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str = DEFAULT_TOKEN
 
     A row of at most ``capacity`` ids is one piece. Longer ones are cut into
     pieces of ``capacity``, of which the first takes what is left over. A null
-    or empty text is the single id 0.
+    or empty text is the single id 0. Rows that repeat, and null ids, give pieces of their own; an empty table gives
+    none. Further columns, of any name, are not read.
     """
 
     def make():
@@ -80,12 +85,12 @@ def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str = DEFAULT_TOKEN
 
 
 class OpenSequences:
-    """Open sequences by remaining capacity, under a segment tree that tells which capacities occur."""
+    """Open sequences by remaining capacity, under a segment tree that tells which capacities occur. Runs of numbers share one."""
 
     def __init__(self, capacity: int):
         self.capacity, self.width = capacity, 1 << capacity.bit_length()
         self.some = bytearray(2 * self.width)
-        self.stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.runs: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
         self.count = 0
 
     def _mark(self, room: int, value: int) -> None:
@@ -111,45 +116,109 @@ class OpenSequences:
                 i = 2 * i if self.some[2 * i] else 2 * i + 1
         return i - self.width
 
+    def _open(self, room: int, first: int, count: int) -> None:
+        if room and count:
+            self.runs[room].append((first, count))
+            if len(self.runs[room]) == 1:
+                self._mark(room, 1)
+
+    def fill(self, length: int, count: int) -> list[tuple[int, int, int, int]]:
+        """Places ``count`` pieces one after the other: (how many, first sequence, how many a sequence, offset of the first in each).
+
+        The tightest sequence takes pieces until none fits any more, as each makes it tighter still; then comes the next.
+        """
+        out = []
+        while count:
+            room = self.tightest(length)
+            if room < 0:
+                room, each = self.capacity, self.capacity // length
+                first, held = self.count, -(-count // each)
+                self.count += held
+            else:
+                each = room // length
+                first, held = self.runs[room].pop()
+                if not self.runs[room]:
+                    self._mark(room, 0)
+            whole = min(held, count // each)
+            rest = count - whole * each if whole < held else 0
+            out.append((whole * each + rest, first, each, self.capacity - room))
+            self._open(room - each * length, first, whole)
+            if whole < held:
+                self._open(room - rest * length, first + whole, 1)
+                self._open(room, first + whole + 1, held - whole - 1)
+            count -= whole * each + rest
+        return out
+
     def place(self, length: int) -> tuple[int, int]:
-        """(sequence, offset) of a piece."""
-        room = self.tightest(length)
-        if room < 0:
-            room, sequence = self.capacity, self.count
-            self.count += 1
-        else:
-            sequence = self.stacks[room].pop()
-            if not self.stacks[room]:
-                self._mark(room, 0)
-        left = room - length
-        if left:
-            self.stacks[left].append(sequence)
-            if len(self.stacks[left]) == 1:
-                self._mark(left, 1)
-        return sequence, self.capacity - room
-
-
-def pack(cut: DataFrame, capacity: int = 2048, shard: int = SHARD) -> DataFrame:
+        """(sequence, offset) of one piece."""
+        ((_, sequence, _, offset),) = self.fill(length, 1)
+        return sequence, offset
+
+
+def plan(counts: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
+    """Best-fit decreasing of ``counts`` pieces by length: by length, rows (number of the first piece, first sequence, pieces a sequence, offset)."""
+    at, out = OpenSequences(capacity), {}
+    for length in sorted(counts, reverse=True):
+        filled = np.array(at.fill(length, counts[length]), np.int64)
+        out[length] = np.column_stack([np.cumsum(filled[:, 0]) - filled[:, 0], filled[:, 1:]])
+    return out
+
+
+def _numbered(cut: DataFrame, task: str, number: str) -> DataFrame:
+    """Adds the task, and the number of each piece among those of its length in the task."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + f", {task} int, {number} long"
+
+    def run(batches):
+        part, seen = TaskContext.get().partitionId(), np.zeros(1, np.int64)
+        for batch in batches:
+            n = batch.column("length").to_numpy()
+            if not len(n):
+                continue
+            if (top := int(n.max())) >= len(seen):
+                seen = np.r_[seen, np.zeros(top + 1 - len(seen), np.int64)]
+            order = np.argsort(n, kind="stable")
+            start = np.flatnonzero(np.r_[True, np.diff(n[order]) != 0])
+            own = np.empty(len(n), np.int64)
+            own[order] = np.arange(len(n)) - np.repeat(start, np.diff(np.r_[start, len(n)]))
+            own += seen[n]
+            seen += np.bincount(n, minlength=len(seen))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(own)], names=[*batch.schema.names, task, number])
+
+    return cut.mapInArrow(run, schema)
+
+
+def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to ``pieces``; offsets in a sequence follow each other without a gap.
 
-    Ties of length go by doc_id and start, nulls first. Only piece lengths decide; an empty table stays empty.
+    Only lengths decide, so equal lengths may change places; rows that repeat and null ids are pieces like others. An
+    empty table stays empty.
     """
-    cut = keep(cut, "pieces")
-    whole = cut.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    rest = cut.where(F.col("length") < capacity)
-    shards = max(1, -(-rest.count() // shard))
-
-    def run(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("start").to_numpy(), table.column("doc_id").fill_null(-(1 << 62)).to_numpy(), -table.column("length").to_numpy()))
-        at, n, number = OpenSequences(capacity), table.column("length").to_numpy(), table.column("shard")[0].as_py()
-        sequence, offset = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        for i in order:
-            sequence[i], offset[i] = at.place(int(n[i]))
-        return table.drop_columns(["shard"]).append_column("sequence_id", pa.array(sequence + (number << 32))).append_column("offset", pa.array(offset))
-
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in whole.schema)
-    return whole.union(dealt.groupBy("shard").applyInArrow(run, schema))
+    task, number, before = fresh(cut, "task", "number", "before")
+    numbered = keep(_numbered(cut, task, number), "pieces")
+    counts = keep(numbered.groupBy(task, "length").agg(F.count("*").alias("n")), "lengths")
+    upto = Window.partitionBy("length").orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(task, "length", F.coalesce(F.sum("n").over(upto), F.lit(0)).cast("long").alias(before))
+    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    places = share(cut.sparkSession, plan(totals, capacity))
+    ranked = numbered.join(small(keep(offsets, "offsets"), BROADCAST_ROWS), [task, "length"])
+    ranked = ranked.select(*cut.columns, (F.col(before) + F.col(number)).alias(number))
+    names = cut.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
+
+    def run(batches):
+        own = places()
+        for batch in batches:
+            n, rank = batch.column("length").to_numpy(), batch.column(number).to_numpy()
+            sequence, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            for length in np.unique(n):
+                at = np.flatnonzero(n == length)
+                rows = own[int(length)]
+                first, base, each, start = rows[np.searchsorted(rows[:, 0], rank[at], "right") - 1].T
+                inner, place = np.divmod(rank[at] - first, each)
+                sequence[at], offset[at] = base + inner, start + place * length
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+
+    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(cut: DataFrame, packed: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import bisect
 import random
 import zlib
 from collections import defaultdict
@@ -5,6 +6,8 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quillframe.llm import packing
@@ -33,14 +36,57 @@ def check(rows, texts, capacity):
     return len(bins)
 
 
-@pytest.mark.parametrize(("capacity", "shard"), [(2048, 8192), (64, 100)])
-def test_documents(spark, capacity, shard):
+def plain_best_fit(lengths, capacity):
+    """How many sequences best-fit decreasing takes, one piece after the other over sorted remaining capacities."""
+    rooms, count = [], 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        if at == len(rooms):
+            count, room = count + 1, capacity
+        else:
+            room = rooms.pop(at)
+        if room > n:
+            bisect.insort(rooms, room - n)
+    return count
+
+
+@pytest.mark.parametrize("capacity", [2048, 64])
+def test_documents(spark, capacity):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    extra = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "a <|endoftext|> b é😀  it's   "), (10**6 + 3, "word " * 9000)], "doc_id long, text string")
-    docs = docs.union(extra)
-    rows = packing.pack(packing.pieces(docs, capacity), capacity, shard).collect()
+    extra = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "a <|endoftext|> b é😀  it's   "), (10**6 + 3, "word " * 9000)], "doc_id long, text string")
+    docs = docs.union(extra).repartition(7)
+    rows = packing.pack(packing.pieces(docs, capacity), capacity).collect()
     n = check(rows, {r["doc_id"]: r["text"] for r in docs.collect()}, capacity)
-    assert n <= 1.03 * sum(r["length"] for r in rows) / capacity + 2
+    assert n == plain_best_fit([r["length"] for r in rows], capacity)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 70), st.lists(st.tuples(st.integers(1, 70), st.integers(1, 40)), max_size=30))
+def test_plan_is_best_fit_decreasing(capacity, pieces):
+    counts = {}
+    for length, n in pieces:
+        if length <= capacity:
+            counts[length] = counts.get(length, 0) + n
+    held = defaultdict(list)
+    for length, rows in packing.plan(counts, capacity).items():
+        for k in range(counts[length]):
+            first, sequence, each, offset = rows[np.searchsorted(rows[:, 0], k, "right") - 1]
+            inner, place = divmod(k - first, each)
+            held[sequence + inner].append((offset + place * length, length))
+    for own in held.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert len(held) == plain_best_fit([k for k, n in counts.items() for _ in range(n)], capacity)
+
+
+def test_plan_of_a_large_corpus():
+    """The plan's size follows the lengths, not the pieces."""
+    counts = {k: 10**9 + 7919 * k for k in range(1, 2049)}
+    rows = packing.plan(counts, 2048)
+    assert sum(map(len, rows.values())) < 20_000
 
 
 def test_tightest_is_best_fit():
