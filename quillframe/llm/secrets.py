@@ -4,14 +4,15 @@ Known forms are found by pattern. Further strings that stand in a sensitive
 context are candidates: each is measured by its marginal compressed bytes, what
 it adds to the compressed size of the code around it when the compressor
 already knows common identifiers. Prose, paths and names cost little; keys do
-not compress, and what stays above ``BITS`` a character is reported. A name and
-the value assigned to it without a space are told apart first.
+not compress, and what stays above ``BITS`` a character, and ``TOTAL`` in all, is
+reported. A name and the value assigned to it without a space are told apart first.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import zstandard
@@ -20,8 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import by_batches
 
-#: Least marginal bits a character, and least characters, of a reported string.
-BITS, LEAST = 4.2, 16
+#: Least marginal bits a character, and in all, of a reported string: the second asks more of short ones, to which the compressor's own overhead adds.
+BITS, TOTAL = 4.2, 64
+#: Least characters of a candidate: fewer cannot hold ``TOTAL``.
+LEAST = 8
+#: Of a candidate without digits, the least share of letters after which the case changes; names change it a few times at most.
+RESTLESS = 0.3
 #: Characters of surrounding code on either side, and how far a sensitive word may stand before.
 AROUND, REACH = 160, 48
 
@@ -79,21 +84,45 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b, _ in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def parts(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """(start, end, from) of what may be a secret: names and values of the candidates as far as they lie outside known forms. A sensitive word may stand between from and start."""
+    known = _joined(base)
+    ends = [b for _, b in known]
     for m in _CANDIDATE.finditer(text):
-        known = sorted((a, b) for a, b, _ in base if a < m.end() and m.start() < b)
-        before = m.start()
+        before, k = m.start(), bisect_right(ends, m.start())
         for p in _PART.finditer(m[0]):
-            start, end = m.start() + p.start(), m.start() + p.end()
-            at = start
-            for a, b in [*known, (end, end)]:
-                if at < min(a, end) and min(a, end) - at >= LEAST:
+            at, end = m.start() + p.start(), m.start() + p.end()
+            start = at
+            while True:
+                a, b = known[k] if k < len(known) and known[k][0] < end else (end, end)
+                if min(a, end) - at >= LEAST:
                     yield at, min(a, end), max(0, min(before, at) - REACH)
                 at = max(at, b)
+                if b >= end:
+                    break
+                k += 1
             before = start
 
 
+def unlike_a_name(value: str) -> bool:
+    """Whether a string has digits among letters, or letters whose case keeps changing."""
+    letters = sum(c.isalpha() for c in value)
+    if not letters or any(c.isdigit() for c in value):
+        return bool(letters)
+    return sum(a.islower() != b.islower() for a, b in zip(value, value[1:]) if a.isalpha() and b.isalpha()) >= RESTLESS * letters
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
     """Incompressible strings outside the known forms that stand in a sensitive context: the name they are assigned to, or what is before."""
     out, low = [], text.lower()
@@ -102,8 +131,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     for start, end, since in parts(text, base):
         if not _SENSITIVE.search(text, since, start):
             continue
-        value = text[start:end]
-        if re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value) and novelty(text, start, end) >= BITS:
+        if unlike_a_name(text[start:end]) and novelty(text, start, end) >= max(BITS, TOTAL / (end - start)):
             out.append((start, end, 3))
     return out
 
@@ -113,7 +141,8 @@ def found(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Spans are kind:start:end in code points, by start and then kind, comma-joined; base_sha256 is
     of the known forms alone, spans of all. strings are the reported strings in that order. A null
-    text is empty, and has none. Known forms always stay; novel strings are added.
+    text is empty, and has none. Known forms always stay; novel strings are added. Rows that repeat, and null ids, are
+    rows like others; an empty table gives none; further columns, of any name, are not read.
     """
 
     def make():
