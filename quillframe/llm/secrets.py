@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 from .common import by_batches
 
 #: Least marginal bits a character, and in all, of a reported string: the second asks more of short ones, to which the compressor's own overhead adds.
-BITS, TOTAL = 4.2, 64
+BITS, TOTAL = 5.4, 64
+#: From so many characters the compressor codes what it has not seen by frequency, and this many bits a character are asked.
+LONG, LONG_BITS = 128, 4.2
 #: Least characters of a candidate: fewer cannot hold ``TOTAL``.
 LEAST = 8
 #: Of a candidate without digits, the least share of letters after which the case changes; names change it a few times at most.
 RESTLESS = 0.3
+#: Share of letters in known words from which a string is a name, whatever is between them.
+SPELT = 0.6
 #: Characters of surrounding code on either side, and how far a sensitive word may stand before.
 AROUND, REACH = 160, 48
 
@@ -115,11 +119,17 @@ def parts(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, in
             before = start
 
 
+_KNOWN = {w for w in re.findall("[a-z]{4,}", IDENTIFIERS.lower()) if len(w) < 20}
+_NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
 def unlike_a_name(value: str) -> bool:
-    """Whether a string has digits among letters, or letters whose case keeps changing."""
+    """Whether a string is not spelt from known words, and has digits among letters, or letters whose case keeps changing."""
     letters = sum(c.isalpha() for c in value)
-    if not letters or any(c.isdigit() for c in value):
-        return bool(letters)
+    if not letters or sum(len(w) for w in _NAME_PART.findall(value) if w.lower() in _KNOWN) >= SPELT * letters:
+        return False
+    if any(c.isdigit() for c in value):
+        return True
     return sum(a.islower() != b.islower() for a, b in zip(value, value[1:]) if a.isalpha() and b.isalpha()) >= RESTLESS * letters
 
 
@@ -131,7 +141,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     for start, end, since in parts(text, base):
         if not _SENSITIVE.search(text, since, start):
             continue
-        if unlike_a_name(text[start:end]) and novelty(text, start, end) >= max(BITS, TOTAL / (end - start)):
+        if unlike_a_name(text[start:end]) and novelty(text, start, end) >= (LONG_BITS if end - start >= LONG else max(BITS, TOTAL / (end - start))):
             out.append((start, end, 3))
     return out
 

@@ -45,6 +45,42 @@ def test_pu_risk_recovers_hidden_positives():
     assert np.mean([(s >= np.log(0.7 / 0.3)) == t for s, t in fresh]) > 0.97
 
 
+@pytest.mark.parametrize("shift", [0.0, -6.0])
+def test_slope_of_the_risk(shift):
+    """Against differences of the risk itself; where the negative part is below zero, of that part turned round."""
+    r = np.random.default_rng(1)
+    x_p, x_u, w, b, prior = r.random((40, 6)) + 1, r.random((60, 6)) < 0.3, r.normal(size=6), 0.3, 0.4
+    if shift:
+        w, b = np.abs(w) + 1, shift
+    loss = lambda z: np.log1p(np.exp(-z))
+    parts = lambda v: (prior * loss(x_p @ v[:-1] + v[-1]).mean(), loss(-(x_u @ v[:-1] + v[-1])).mean() - prior * loss(-(x_p @ v[:-1] + v[-1])).mean())
+    v = np.r_[w, b]
+    positive, negative, slope = toxicity.risk(x_p, x_u, w, b, prior)
+    assert np.allclose((positive, negative), parts(v)) and (negative < 0) == bool(shift)
+    whole = (lambda v: -parts(v)[1]) if negative < 0 else (lambda v: sum(parts(v)))
+    for k in range(7):
+        step = np.eye(7)[k] * 1e-6
+        assert abs((whole(v + step) - whole(v - step)) / 2e-6 - slope[k]) < 1e-5
+
+
+def test_shares_by_hand(spark):
+    """Corrected shares of a filter against sets of the n-grams that it was built from; and rare languages keep theirs."""
+    texts = {"aa": ["the moon rises over the hill", "over the moon and hill"], "bb": ["der mond steigt auf den berg", "auf dem berg der mond"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own for _ in range(40))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    plain = lambda t: " " + "".join(c if c.isalpha() else " " for c in t.lower()) + "  "
+    windows = lambda t: [plain(t)[i : i + 4] for i in range(len(plain(t)) - 3)]
+    held = {lang: {g for t in own for g in windows(t)} for lang, own in texts.items()}
+    for text in ("the mond over berg", "hill und auf", "zzz"):
+        n = windows(text)
+        for k, lang in enumerate(model.langs):
+            share = sum(g in held[lang] for g in n) / len(n)
+            assert abs(model.shares([text])[0, k] - max(0.0, (share - model.chance[k]) / (1 - model.chance[k]))) < 0.02
+    many = [(i, " ".join(f"w{i}x{k}" for k in range(30)), "big") for i in range(400)] + [(1000 + i, "kleine sprache mit wenig text", "rare") for i in range(30)]
+    few = langid.fit(spark.createDataFrame(many, "doc_id long, text string, lang string"), fit_grams=200)
+    assert few.decide(["kleine sprache"])[0] == ["rare"]
+
+
 def test_language_held_out(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
     got = queries.op6_language_id(spark, SF).collect()

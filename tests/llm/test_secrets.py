@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from quillframe.llm import secrets
 
@@ -69,3 +71,36 @@ def test_unspaced_assignments():
 def test_many_parts():
     text = "key=" + "=".join(["Zx9qLm27TbVw0RkP4sYhE8uG"] * 2000)
     assert all(b - a == 24 for a, b, _ in secrets.parts(text, [])) and len(list(secrets.parts(text, []))) == 2000
+
+
+def test_precision_and_recall_of_novel_strings():
+    r, novelty = random.Random(4), secrets.Novelty()
+    every, hexes = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+    draw = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    lead = ["private key is {}", "SIGNING_KEY={}", "auth header {}", "session cookie: {};", "https://h/p?auth={}", "export JWT={}", "login with cert {}"]
+    names = ["user", "session", "access", "public", "storage", "build", "config", "service", "endpoint", "version", "manager", "request"]
+
+    def name():
+        some = [r.choice(names) for _ in range(r.randint(2, 4))]
+        return r.choice([lambda: "_".join(some), lambda: some[0] + "".join(x.title() for x in some[1:]), lambda: "/usr/local/lib/" + some[0], lambda: "-".join(some) + str(r.randint(1, 9))])()
+
+    caught = wrong = 0
+    for _ in range(400):
+        secret = r.choice([lambda: draw(every, r.randint(12, 44)), lambda: draw(every[:52], r.randint(16, 40)), lambda: draw(hexes, 20).upper()])()
+        text = "some prose before it. " + r.choice(lead).format(secret) + " and some after it"
+        at = text.index(secret)
+        caught += (at, at + len(secret), 3) in secrets.novel_spans(text, secrets.base_spans(text), novelty)
+        plain = "some prose before it. " + r.choice(lead).format(name()) + " and some after it"
+        wrong += bool(secrets.novel_spans(plain, secrets.base_spans(plain), novelty))
+    assert caught / 400 > 0.93 and wrong / 400 < 0.05, (caught, wrong)
+
+
+def test_many_known_forms_beside_candidates():
+    took = []
+    for n in (4000, 8000):
+        text = " ".join(f"password=hunter{k} key Zx9qLm27TbVw0RkP{k}" for k in range(n))
+        base = secrets.base_spans(text)
+        began = time.perf_counter()
+        assert len(list(secrets.parts(text, base))) >= n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 3 * took[0] + 0.2

@@ -66,6 +66,29 @@ def test_inflate():
     assert len(list(warc.split_records(whole[k : k + 13] for k in range(0, len(whole), 13)))) == 50
     with pytest.raises(ValueError):
         list(warc.split_records([whole[:-3]]))
+    packed = gzip.compress(bytes(50_000_000))
+    assert max(map(len, warc.inflate(packed, 1 << 20))) <= 1 << 20 and sum(map(len, warc.inflate(packed, 1 << 20))) == 50_000_000
+    for lost in (1, 4, 8, 9):
+        with pytest.raises(ValueError):
+            list(warc.inflate(data[:-lost], 777))
+
+
+def test_records_conform(spark):
+    rows = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (3, None, "other")]
+    raw = new_path(spark, "raw")
+    made = warc.write_archives(warc.with_kinds(spark.createDataFrame(rows, "page_id long, url string, html string")), raw, date="2024-05-06T07:08:09Z").collect()
+    heads = {}
+    for r in made:
+        records = list(warc.records_of(r["path"]))
+        assert warc.headers(records[0])["warc-type"] == "warcinfo" and len(records) == r["records"] + 1
+        for x in records[1:]:
+            h = warc.headers(x[: x.find(b"\r\n\r\n")])
+            block = x[x.find(b"\r\n\r\n") + 4 : -4]
+            assert h["warc-block-digest"] == "sha1:" + warc.digest(block) and int(h["content-length"]) == len(block) and h["warc-date"] == "2024-05-06T07:08:09Z"
+            heads[int(h["page-id"])] = h
+    again = heads[1]
+    assert again["warc-type"] == "revisit" and again["warc-refers-to"] == heads[2]["warc-record-id"] and again["warc-refers-to-target-uri"] == "http://a/2" and again["warc-refers-to-date"] == heads[2]["warc-date"]
+    assert len({h["warc-record-id"] for h in heads.values()}) == 3 and heads[3]["warc-type"] == "response"
 
 
 def test_empty(spark):
