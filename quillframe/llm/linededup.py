@@ -35,8 +35,8 @@ from .common import by_batches, fresh, groups_of, keep, mix, rows_under, small
 
 #: Least distinct words of a line that is compared: every line with a word.
 LEAST_WORDS = 1
-#: Bounds of the table of word counts, in slots.
-SLOTS = (1 << 14, 1 << 18)
+#: Slots of the table of word counts, at every size: in a large corpus rare words share them, which blurs the order and loses nothing.
+SLOTS = 1 << 16
 #: Lines under a word from which it is dealt in parts, of the least and most lines. A word is known by one line of every ``GLANCE``.
 GROUP, PART, GLANCE = 2_048, (1_024, 16_384), 16
 BROADCAST_ROWS = 2_000_000
@@ -266,7 +266,7 @@ def in_parts(rows: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     Two cells meet if sizes and places in them leave enough words to share.
     """
     key, n, at = F.shiftright("p", 32), F.col("place").bitwiseAND(0xFFFFFFFF), F.col("p").bitwiseAND(0xFFFFFFFF)
-    own = rows.withColumn("key", key).join(small(hot, BROADCAST_ROWS), "key", "left_semi").select("*", *_cell(n, at))
+    own = keep(rows.withColumn("key", key).join(small(hot, BROADCAST_ROWS), "key", "left_semi").select("*", *_cell(n, at)), "hot-rows")
     cells = own.groupBy("key", "size", "spot").agg(F.count("*").alias("rows"), F.min(n).alias("low"), F.max(n).alias("high"), F.min(at).alias("first"))
     least, most = PART
     cells = keep(cells.withColumn("parts", F.ceil(F.col("rows") / F.least(F.greatest(F.col("rows") / 8, F.lit(least)), F.lit(most))).cast("int")), "cells")
@@ -396,9 +396,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_earlier(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line) of every line that goes: an earlier line, by (doc_id, line), is at least ``percent`` similar."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    total = rows.count()
-    slots = min(SLOTS[1], max(SLOTS[0], 1 << max(0, total - 1).bit_length()))
-    counts = docs.sparkSession.sparkContext.broadcast(word_counts(rows, slots))
+    counts = docs.sparkSession.sparkContext.broadcast(word_counts(rows, SLOTS))
 
     lines = keep(line_sets(rows, counts, percent, least), "lines")
     places = lines.select("sig", "doc_id", "place")

@@ -313,7 +313,8 @@ def labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     dealt = single.select("node", F.explode("keys").alias("key"))
     # a node has a row a key, or more where rows repeat: keys with one node alone that pass here go below
     found = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = keep(dealt.join(small(keep(found, "open-keys"), BROADCAST_ROWS), "key").select("key", "node").distinct(), "members")
+    # many keys are open in any large corpus, so they are never broadcast
+    members = keep(dealt.join(keep(found, "open-keys").hint("merge"), "key").select("key", "node").distinct(), "members")
     # trees with the same members: one is enough
     shapes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.sum(F.hash("node").cast("long")).alias("h1"), F.sum(F.hash(F.col("node") + F.lit(1)).cast("long")).alias("h2"))
     trees = shapes.where("size > 1").groupBy("size", "lo", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size")
