@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 SPACE = r"\t\n\x0B\f\r\x85\p{Z}"
 WORD = r"\p{L}\p{Mn}\p{Nd}\p{Pc}"
 S, W = f"[{SPACE}]", f"[{WORD}]"
-#: A word boundary.
+#: All characters of ``SPACE``.
+SPACES = "\t\n\x0b\f\r\x85 \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: A word boundary; where the next character, or the last one, is of a word.
 B = f"(?:(?<={W})(?!{W})|(?<!{W})(?={W}))"
+OPENS, CLOSES = f"(?<!{W})", f"(?!{W})"
 
 # Lines. What opens a fence, heading, list item or table row.
 FENCE = rf"^{S}*(?:`{{3,}}|~{{3,}})"
@@ -23,17 +26,18 @@ LINK = r"\[([^\]]*)\]\([^)]*\)"
 CODE = r"`[^`]*`"
 
 # Sentences and words.
-SENTENCE_GAP = rf"(?<=[.!?:]){S}+(?=[A-Z0-9\"'(])"
+SENTENCE_END = rf"(?<=[.!?:])(?={S}+[A-Z0-9\"'(])"
 QUOTED = r"\"[^\"]*\""
 PARENTHESES = r"\([^()]*\)"
-NUMBER_UNIT = rf"{B}\p{{Nd}}+(?:\.\p{{Nd}}+)?{S}?[a-zA-Z%]{{1,4}}{B}"
-TITLE_RUN = rf"(?<=[^{SPACE}]{S})[A-Z][a-zA-Z0-9]*(?:{S}+[A-Z][a-zA-Z0-9]*)++"
+NUMBER_UNIT = rf"(?=\p{{Nd}}){OPENS}\p{{Nd}}+(?:\.\p{{Nd}}+)?{S}?[a-zA-Z%]{{1,4}}{B}"
+TITLE_RUN = rf"(?=[A-Z])(?<=[^{SPACE}]{S})[A-Z][a-zA-Z0-9]*(?:{S}+[A-Z][a-zA-Z0-9]*)++"
 
 # Rules. Matches never hold a backtick, so a match inside a code span is seen as part of it.
-CONTRACTION = rf"(?iu){B}{W}+'(?:t|s|re|ve|ll|d|m){B}"
-PASSIVE = rf"(?iu){B}(?:is|are|was|were|be|being|(?<!(?:has|have|had){S}{{1,32}})been){S}+{W}+(?:ed|en){B}"
-COMPLEX_VERB = rf"(?iu){B}(?:(?:has|have|had){S}+(?:been{S}+)?{W}+(?:ed|en)|(?:will|would|could|should|may|might|must){S}+have{S}+{W}+(?:ed|en)){B}"
-ING_FORM = rf"(?iu){B}[a-z][a-z-]{{2,}}ing{B}"
+# They look for a first letter before anything else, which rules out most places at once.
+CONTRACTION = rf"(?iu){OPENS}{W}++'(?:t|s|re|ve|ll|d|m){CLOSES}"
+PASSIVE = rf"(?iu)(?=[iawb]){OPENS}(?:is|are|was|were|be|being|(?<!(?:has|have|had){S}{{1,32}})been){S}+{W}+(?:ed|en){CLOSES}"
+COMPLEX_VERB = rf"(?iu)(?=[hwcsm]){OPENS}(?:(?:has|have|had){S}+(?:been{S}+)?{W}+(?:ed|en)|(?:will|would|could|should|may|might|must){S}+have{S}+{W}+(?:ed|en)){CLOSES}"
+ING_FORM = rf"(?iu){OPENS}[a-z][a-z-]{{2,}}ing{CLOSES}"
 #: Words after which 's stands for "is" or "has". Fixed values.
 IS_WORDS = ("it", "that", "this", "there", "here", "what", "who", "how", "when", "where", "why", "he", "she", "one", "everybody", "somebody", "nobody", "everyone", "someone", "no one", "let", "such")
 
@@ -57,3 +61,23 @@ def whole_term_column(term: Column) -> Column:
     before, after = NOT_IN_TERM
     words = F.transform(F.split(term, " ", -1), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
     return F.concat(F.lit(f"(?iu){before}"), F.array_join(words, f"{S}+"), F.lit(after))
+
+
+def any_of(words: list[str]) -> str:
+    """An alternation of words that shares what they have in common from the left, so that each letter of a text is looked at once."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def shown(node: dict) -> str:
+        parts = sorted(("\\" + c if not c.isalnum() else c) + shown(below) for c, below in node.items() if c)
+        ends = "" in node
+        if not parts:
+            return ""
+        whole = parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)})"
+        return f"{whole}?" if ends else whole
+
+    return shown(tree)

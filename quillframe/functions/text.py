@@ -19,16 +19,20 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space at either end, of any kind."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{P.S}+", ""), f"{P.S}+\\z", "")
+    return F.btrim(text, F.lit(P.SPACES))
+
+
+def trimmed_left(text: Column) -> Column:
+    return F.ltrim(text, F.lit(P.SPACES))
 
 
 def leading_space(text: Column) -> Column:
-    return F.length(F.regexp_extract(text, f"^{P.S}*", 0))
+    return F.length(text) - F.length(trimmed_left(text))
 
 
 def tokens(text: Column) -> Column:
     """Runs without white space."""
-    return F.filter(F.split(text, f"{P.S}+", -1), lambda x: x != "")
+    return F.array_remove(F.split(text, f"{P.S}+", -1), "")
 
 
 def _fold(values: Column, join: Callable[[Column, Column], Column]) -> Column:
@@ -57,14 +61,15 @@ def running_sum(values: Column) -> Column:
 def located(text: Column, pattern: str | Column, gaps: bool = False) -> Column:
     """Matches of a pattern without groups, as array<struct<start, end, value>>, from the gaps between them.
 
-    Offsets are in code points, the end exclusive. ``gaps`` adds the text between a match and the one before.
+    Offsets are in code points, the end exclusive. ``gaps`` adds the text between a match and the one before (gap), and the one after (after).
     """
 
     def placed(x: Column) -> Column:
         before = F.slice(x["g"], F.lit(1), F.size(x["m"]))
         ends = running_sum(F.zip_with(x["m"], before, lambda m, g: F.length(m) + F.length(g)))
-        pairs = F.zip_with(x["m"], before, lambda m, g: F.struct(m.alias("m"), g.alias("g"))) if gaps else F.transform(x["m"], lambda m: F.struct(m.alias("m")))
-        more = lambda p: [p["g"].alias("gap")] if gaps else []
+        around = lambda m, i: F.struct(m.alias("m"), F.get(x["g"], i).alias("gap"), F.get(x["g"], i + 1).alias("after"))
+        pairs = F.transform(x["m"], around) if gaps else F.transform(x["m"], lambda m: F.struct(m.alias("m")))
+        more = lambda p: [p["gap"], p["after"]] if gaps else []
         return F.zip_with(pairs, ends, lambda p, e: F.struct((e - F.length(p["m"])).alias("start"), e.alias("end"), p["m"].alias("value"), *more(p)))
 
     whole = F.lit(f"({pattern})") if isinstance(pattern, str) else F.concat(F.lit("("), pattern, F.lit(")"))
@@ -72,13 +77,13 @@ def located(text: Column, pattern: str | Column, gaps: bool = False) -> Column:
     return let(F.struct(found.alias("m"), F.split(text, pattern, -1).alias("g")), placed)
 
 
-def outside_code(text: Column, pattern: str) -> Column:
+def outside_code(text: Column, pattern: str, gaps: bool = False) -> Column:
     """``located`` matches that lie in no inline code span; for patterns that cannot match a backtick."""
-    return F.filter(located(text, f"{P.CODE}|{pattern}"), lambda x: ~x["value"].startswith("`"))
+    return F.filter(located(text, f"{P.CODE}|{pattern}", gaps), lambda x: ~x["value"].startswith("`"))
 
 
 def masked_code(text: Column) -> Column:
-    return F.regexp_replace(text, P.CODE, "C")
+    return F.when(text.contains("`"), F.regexp_replace(text, P.CODE, "C")).otherwise(text)
 
 
 def truncated(text: Column) -> Column:

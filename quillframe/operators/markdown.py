@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import running_sum, trimmed
+from ..functions.text import let, running_sum, trimmed, trimmed_left
 
 SEGMENT_SCHEMA = "struct<line:int,role:string,text:string,line_offsets:array<struct<offset:int,line:int>>>"
 
@@ -24,36 +24,36 @@ _SEGMENT = r"(?dm)^(?:[HT][^\n]*\n|[LN][^\n]*\n(?:X[^\n]*\n)*+|(?:X[^\n]*\n)++)"
 
 def lines(text: Column) -> Column:
     """Lines of a text, carriage returns before line feeds dropped, a byte order mark too."""
-    return F.split(F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n", "\n"), "\n", -1)
+    bare = F.when(text.startswith("\ufeff"), F.substring(text, 2, (1 << 31) - 1)).otherwise(text)
+    return F.split(F.replace(bare, F.lit("\r\n"), F.lit("\n")), "\n", -1)
 
 
 def cleaned(line: Column) -> Column:
     """Links as their visible text."""
-    return F.regexp_replace(line, P.LINK, "$1")
+    return F.when(line.contains("]("), F.regexp_replace(line, P.LINK, "$1")).otherwise(line)
 
 
-def kind(raw: Column) -> Column:
-    """F(ence), B(reak), H(eading), L(ist item), T(able row), N(ested item) or X (text); the first that applies."""
-    line = cleaned(raw)
+def kind(raw: Column, line: Column | None = None) -> Column:
+    """F(ence), B(reak), H(eading), L(ist item), T(able row), N(ested item) or X (text); the first that applies. ``line`` is the cleaned one."""
+    line = cleaned(raw) if line is None else line
     return (
-        F.when(raw.rlike(P.FENCE), "F")
-        .when(line.rlike(P.BLANK), "B")
-        .when(line.rlike(P.HEADING), "H")
+        F.when((raw.contains("```") | raw.contains("~~~")) & raw.rlike(P.FENCE), "F")
+        .when(trimmed_left(line) == "", "B")
+        .when(line.contains("#") & line.rlike(P.HEADING), "H")
         .when(line.rlike(P.LIST_ITEM), "L")
-        .when(line.rlike(P.TABLE_ROW), F.when(line.rlike(P.TABLE_RULE), "B").otherwise("T"))
+        .when(line.contains("|") & line.rlike(P.TABLE_ROW), F.when(line.rlike(P.TABLE_RULE), "B").otherwise("T"))
         .when(line.rlike(P.NESTED_ITEM), "N")
         .otherwise("X")
     )
 
 
-def piece(raw: Column, kinds: Column) -> Column:
-    """The prose of a line of a kind."""
-    line = cleaned(raw)
+def piece(line: Column, kinds: Column) -> Column:
+    """The prose of a cleaned line of a kind."""
     return (
-        F.when(kinds == "H", F.regexp_extract(line, P.HEADING, 1))
+        F.when(kinds == "X", trimmed(line))
+        .when(kinds == "H", F.regexp_extract(line, P.HEADING, 1))
         .when(kinds == "L", trimmed(F.regexp_extract(line, P.LIST_ITEM, 1)))
         .when(kinds == "N", trimmed(F.regexp_extract(line, P.NESTED_ITEM, 1)))
-        .when(kinds == "X", trimmed(line))
         .when(kinds == "T", line)
         .otherwise("")
     )
@@ -65,7 +65,7 @@ def cells(row: Column) -> Column:
 
 
 def coded(text: Column) -> Column:
-    one = lambda raw, i: F.transform(F.array(kind(raw)), lambda k: F.concat(k, (i + 1).cast("string"), F.lit(_MARK), piece(raw, k)))[0]
+    one = lambda raw, i: let(cleaned(raw), lambda line: let(kind(raw, line), lambda k: F.concat(k, (i + 1).cast("string"), F.lit(_MARK), piece(line, k))))
     return F.concat(F.array_join(F.transform(lines(text), one), "\n"), F.lit("\n"))
 
 
@@ -109,7 +109,8 @@ def segments(docs: DataFrame, file: str = "file", content: str = "content") -> D
 
     Null content has no segments. Documents may repeat; nothing crosses from one row to another.
     """
-    found = docs.select(F.col(file).alias("file"), segments_column(F.col(content)).alias("_s"))
-    return found.select("file", F.posexplode("_s").alias("seg_ord", "_s")).select("file", "seg_ord", "_s.*")
+    # exploded where it is made: a filter on an exploded column would make it twice
+    found = docs.select(F.col(file).alias("file"), F.posexplode(segments_column(F.col(content))).alias("seg_ord", "_s"))
+    return found.select("file", "seg_ord", "_s.*")
 
 

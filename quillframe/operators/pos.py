@@ -59,7 +59,8 @@ def governing(before: Column) -> Column:
 
 def has_finite(text: Column) -> Column:
     """Whether a segment has a finite verb anywhere."""
-    return F.exists(tokens(text), lambda t: normal(t).isin(*_FINITE))
+    around = f"[^{P.WORD}{P.SPACE}]*+"
+    return text.rlike(f"(?iu)(?<![^{P.SPACE}]){around}(?:{'|'.join(_FINITE)}){around}(?![^{P.SPACE}])")
 
 
 def _before(text: Column, start: Column) -> Column:

@@ -79,8 +79,8 @@ def passive_voice() -> Column:
 def ing_form() -> Column:
     """Words in -ing outside code, unless a full stop touches them, as in names of files."""
     severity = F.col("rules.ing_form")
-    touched = lambda m: (F.col("text").substr(m["start"], F.lit(1)) == ".") & (m["start"] > 0) | (F.col("text").substr(m["end"] + 1, F.lit(1)) == ".")
-    hits = F.filter(outside_code(F.col("text"), P.ING_FORM), lambda m: ~touched(m))
+    touched = lambda m: m["gap"].endswith(".") | m["after"].startswith(".")
+    hits = F.filter(outside_code(F.col("text"), P.ING_FORM, gaps=True), lambda m: ~touched(m))
     return _when((severity != "off") & F.lower("text").contains("ing"), F.transform(hits, lambda m: finding(ING, severity, 6, _at(m["start"]), m["start"], m["value"])))
 
 

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import leading_space, let, located, running_sum, tokens, trimmed
+from ..functions.text import leading_space, let, located, running_sum, tokens, trimmed, trimmed_left
 
-#: What counts as one word, and the letter that stands for it. The order is part of the rule.
-ONE_WORD = ((P.CODE, "C"), (P.QUOTED, "Q"), (P.PARENTHESES, "P"), (P.NUMBER_UNIT, "N"), (P.TITLE_RUN, "T"))
+#: What counts as one word, the letter that stands for it, and what a text with it has. The order is part of the rule.
+ONE_WORD = ((P.CODE, "C", "`"), (P.QUOTED, "Q", '"'), (P.PARENTHESES, "P", "("), (P.NUMBER_UNIT, "N", None), (P.TITLE_RUN, "T", None))
 
 
 def word_count(text: Column) -> Column:
     """Words of a sentence; code, quotations, parentheses, quantities and runs of capitalised words count once."""
-    return F.size(tokens(reduce(lambda t, rule: F.regexp_replace(t, *rule), ONE_WORD, text)))
+
+    def counted(t: Column, rules: tuple) -> Column:
+        if not rules:
+            return F.size(tokens(t))
+        (pattern, letter, sign), *rest = rules
+        told = F.regexp_replace(t, pattern, letter)
+        return let(F.when(t.contains(sign), told).otherwise(t), lambda x: counted(x, tuple(rest))) if sign else counted(told, tuple(rest))
+
+    return counted(text, ONE_WORD)
 
 
 def is_sentence(text: Column) -> Column:
@@ -41,9 +47,10 @@ def sentences(text: Column) -> Column:
     """array<struct<text, word_count, start_offset>>; a sentence in parentheses follows the one that holds it."""
 
     def cut(x: Column) -> Column:
-        parts, gaps = F.split(x["t"], P.SENTENCE_GAP, -1), F.regexp_extract_all(x["t"], F.lit(f"({P.SENTENCE_GAP})"), F.lit(1))
-        starts = F.concat(F.array(F.lit(0)), running_sum(F.zip_with(gaps, F.slice(parts, F.lit(1), F.size(gaps)), lambda g, p: F.length(g) + F.length(p))))
-        placed = F.zip_with(parts, starts, lambda p, s: F.struct(p.alias("t"), (s + x["lead"]).alias("o")))
-        return F.flatten(F.transform(F.filter(placed, lambda p: p["t"] != ""), lambda p: _with_inner(p["t"], p["o"])))
+        # a part begins with the white space before its sentence
+        ends = lambda parts: running_sum(F.transform(parts, F.length))
+        placed = lambda parts: F.zip_with(parts, ends(parts), lambda p, e: F.struct(trimmed_left(p).alias("t"), e.alias("e")))
+        own = let(F.split(x["t"], P.SENTENCE_END, -1), placed)
+        return F.flatten(F.transform(F.filter(own, lambda p: p["t"] != ""), lambda p: _with_inner(p["t"], p["e"] - F.length(p["t"]) + x["lead"])))
 
     return let(F.struct(trimmed(text).alias("t"), leading_space(text).alias("lead")), cut)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import patterns as P
-from ..functions.text import let, located, resolve_line
+from ..functions.text import let, located, resolve_line, running_sum, trimmed_left
 from .lexicon import described
 from .pos import guess, has_finite
 from .rules import DICTIONARY, FINDING
@@ -36,7 +36,7 @@ OPENING, ODD_HIT = f"array<{_OPENING}>", f"array<{_ODD_HIT}>"
 
 def _by_pattern(term: Column, words: Column) -> Column:
     """Whether a term needs a pattern of its own: odd characters, or it could begin again within itself."""
-    return ~term.rlike(_PLAIN) | F.array_contains(F.slice(words, F.lit(2), F.size(words)), words[0])
+    return ~term.rlike(_PLAIN) | term.contains("\u0130") | F.array_contains(F.slice(words, F.lit(2), F.size(words)), words[0])
 
 
 def _folded(text: Column) -> Column:
@@ -82,29 +82,30 @@ def index(dictionary: DataFrame) -> Index:
 
 
 def openings(found: Index) -> Column:
-    """Tokens of text that open a plain term, each with the words that a term may go on with."""
-
-    def opened(x: Column) -> Column:
-        low = F.transform(x, lambda t: F.lower(t["value"]))
-        near = F.transform(x, lambda t: t["gap"].rlike(f"^{P.S}+\\z"))
-
-        def taken(parts: Column) -> Column:
-            each = F.transform(parts["low"], lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-            starts = F.filter(each, lambda o: o["w"].isin(*found.first)) if found.first is not None else each
-            return F.transform(
-                starts,
-                lambda o: F.struct(
-                    o["w"].alias("first"),
-                    F.get(x, o["i"])["start"].alias("start"),
-                    F.slice(parts["low"], o["i"] + 1, F.lit(found.longest)).alias("words"),
-                    F.slice(parts["near"], o["i"] + 1, F.lit(found.longest)).alias("near"),
-                    F.transform(F.slice(x, o["i"] + 1, F.lit(found.longest)), lambda t: t["end"]).alias("ends"),
-                ),
-            )
-
-        return let(F.struct(low.alias("low"), near.alias("near")), taken)
-
-    return let(located(F.col("text"), P.TERM_TOKEN, gaps=True), opened).cast(OPENING)
+    """Tokens of text that open a plain term, each with the words that a term may go on with, as long as white space alone is between.
+
+    Where the first words are known, one pattern of all of them finds the places; else every token is one.
+    """
+    if found.first is not None and not found.first:
+        return F.expr(f"cast(array() as {OPENING})")
+    before, after = P.NOT_IN_TERM
+    opens = f"{before}(?iu:{P.any_of(found.first)}){after}" if found.first else P.TERM_TOKEN
+    text, first = F.col("text"), lambda x: F.lower(x["value"])
+
+    def alone(x: Column) -> Column:
+        return F.struct(first(x).alias("first"), x["start"].alias("start"), F.array(first(x)).alias("words"), F.array(F.lit(True)).alias("near"), F.array(x["end"]).alias("ends"))
+
+    def followed(x: Column, parts: Column) -> Column:
+        words = F.transform(parts, lambda p: F.lower(trimmed_left(p)))
+        ends = F.transform(running_sum(F.transform(parts, F.length)), lambda n: n + x["end"])
+        near = F.transform(parts, lambda p: F.lit(True))
+        return F.struct(first(x).alias("first"), x["start"].alias("start"), F.concat(F.array(first(x)), words).alias("words"), F.concat(F.array(F.lit(True)), near).alias("near"), F.concat(F.array(x["end"]), ends).alias("ends"))
+
+    if found.longest == 1:
+        return F.transform(located(text, opens), alone).cast(OPENING)
+    tails = F.regexp_extract_all(text, F.lit(f"{opens}(?=((?:{P.S}++{P.TERM_TOKEN}+){{0,{found.longest - 1}}}))"), F.lit(1))
+    cut = lambda tail: F.split(tail, f"(?<={P.TERM_TOKEN[:-1]})(?={P.S})", -1)
+    return F.zip_with(located(text, opens), tails, lambda x, tail: F.when(tail == "", alone(x)).otherwise(let(cut(tail), lambda parts: followed(x, parts)))).cast(OPENING)
 
 
 def odd_hits(found: Index) -> Column:
