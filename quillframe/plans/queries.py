@@ -45,13 +45,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Sentences of which a document gets one, by its id.
+SENTENCES = (
+    "We utilize a lot of heat in the event of testing.",
+    "Open valves impact the impact of an opened test; you shan't utilize them.",
+    "To impact tests, Shall   we start prior  to the opening event? Opened doors test the seal.",
+    "Utilize `utilize` here: test the test (The test was opened.) that has been opened. Impact 3 of them.",
+)
+
+
 def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, content): every document's whole text in Markdown."""
-    d = F.col("doc_id").cast("string")
+    """(file, content): every document's whole text in Markdown, whose marks and first sentences differ by id."""
+    d, n = F.col("doc_id").cast("string"), F.pmod("doc_id", F.lit(60))
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    mark, fence = pick("-", "*", "+", "1.", "2)"), pick("```", "~~~~")
     parts = [
-        "# Guide for ", F.col("source"), "\n\n- item ", d, "\n  wrapped; it isn't the pump's door\n- \n  It's `a;b` (See the note.) that's opened.\n    - nested item has been opened by 10 the team\n\n",
-        "| id | note |\n| --- | :-- |\n| ", d, " | `a|b` prior to testing |\n\n```\nvar utilize = 1; isn't\n~~~\n\nSee the [user guide](https://example.com/", d,
-        ') for the use of the tool. The Main Control Panel was opened, and "all of it" shall impact the test.\nWe utilize a lot of heat in the event of testing.\n\n', F.col("text"),
+        F.repeat(F.lit("#"), (n % 6 + 1).cast("int")), " Guide for ", F.col("source"), pick("", " ##"), "\n\n", mark, " item ", d, "\n  wrapped; it isn't the pump's door\n", mark, " \n  It's `a;b` (See the note.) that's opened.\n    - nested item has been opened by 10 the team\n\n",
+        "| id | note |\n| --- | :-- |\n| ", d, " | `a|b` prior to testing |\n\n", fence, "\nvar utilize = 1; isn't\n", fence, "\n\nSee the [user guide](https://example.com/", d,
+        ') for the use of the tool. The Main Control Panel was opened, and "all of it" shall impact the test.\n', pick(*SENTENCES), "\n\n", F.col("text"),
     ]
     content = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     return documents(spark, sf_dir).select(F.concat("source", F.lit("/"), d, F.lit(".md")).alias("file"), content.alias("content"))
@@ -142,8 +153,8 @@ def rule_word_limit(spark, sf_dir):
     return _structural(spark, sf_dir, "word_limit").select("file", "seg_ord", "message")
 
 
-def _counted(name: str):
-    return lambda spark, sf_dir: _structural(spark, sf_dir, name).groupBy("file").agg(F.count("*").alias("n"))
+def _placed(name: str):
+    return lambda spark, sf_dir: _structural(spark, sf_dir, name).select("file", "seg_ord", "line", "offset", "message", "suggestion")
 
 
 def _quoted(name: str):
@@ -188,12 +199,12 @@ def dict_phrase_allow(spark, sf_dir):
 
 def pos_guess(spark, sf_dir):
     rows = terms.judged(_hits(spark, sf_dir, CONFIG))
-    return rows.groupBy("term", F.coalesce("pos", F.lit("?")).alias("pos")).agg(F.count("*").alias("n"))
+    return rows.select("file", "seg_ord", "start", "term", F.coalesce("pos", F.lit("?")).alias("pos"))
 
 
 def sense_select(spark, sf_dir):
     rows = terms.judged(_hits(spark, sf_dir, CONFIG))
-    return rows.select("file", "seg_ord", "term", F.size("left").alias("n_left"), terms.reported(F.col("pos"), F.col("left")).alias("reported"))
+    return rows.select("file", "seg_ord", "start", "term", F.size("left").alias("n_left"), terms.reported(F.col("pos"), F.col("left")).alias("reported"))
 
 
 def dict_message(spark, sf_dir):
@@ -270,11 +281,11 @@ QUERIES = {
     "parenthetical_sentences": parenthetical_sentences,
     "word_count": word_count,
     "rule_word_limit": rule_word_limit,
-    "rule_semicolon": _counted("semicolon"),
+    "rule_semicolon": _placed("semicolon"),
     "rule_contraction": rule_contraction,
     "rule_passive": _quoted("passive_voice"),
     "rule_complex_verb": _quoted("complex_verb"),
-    "rule_ing_form": _counted("ing_form"),
+    "rule_ing_form": _placed("ing_form"),
     "rule_paragraph_length": rule_paragraph_length,
     "dict_merge": dict_merge,
     "dict_match": dict_match,
