@@ -21,7 +21,7 @@ from ..functions import patterns as P
 from ..functions.text import let, located, resolve_line, running_sum, trimmed_left
 from .lexicon import described
 from .pos import guess, has_finite
-from .rules import DICTIONARY, FINDING
+from .rules import DICTIONARY, FINDING, NONE
 
 _PLAIN = rf"^{P.TERM_TOKEN}( {P.TERM_TOKEN})*\z"
 _SYMBOL = rf"[^{P.WORD}{P.SPACE}-]"
@@ -215,17 +215,34 @@ def message(match: Column, senses: Column, left: Column) -> Column:
     return F.when(F.size(left) == 1, confident).otherwise(ambiguous)
 
 
-def judged(hits: DataFrame, always: bool = True) -> DataFrame:
-    """Adds pos, the guess, and left, the senses it leaves. Not ``always``: no guess where it decides nothing."""
+def judged(hits: DataFrame) -> DataFrame:
+    """Adds pos, the guess, and left, the senses it leaves."""
     pos = guess(F.col("text"), F.col("start"), F.col("end"), F.col("mode"), F.col("finite"))
-    return hits.withColumn("pos", pos if always else F.when(F.col("guessed"), pos)).withColumn("left", candidates(F.col("senses"), F.col("pos")))
+    return hits.withColumn("pos", pos).withColumn("left", candidates(F.col("senses"), F.col("pos")))
+
+
+def own_findings() -> Column:
+    """The finding of a match (columns start, end, match and its entry's) as an array, empty where there is none.
+
+    All is worked out in one expression: a filter on a guess would be pushed below it and guess again.
+    """
+
+    def told(pos: Column) -> Column:
+        return let(candidates(F.col("senses"), pos), lambda left: F.when(reported(pos, left), let(F.col("match"), lambda match: F.array(found(match, left)))).otherwise(F.expr(NONE)))
+
+    def found(match: Column, left: Column) -> Column:
+        text = message(match, F.col("senses"), left)
+        line = resolve_line(F.col("line_offsets"), F.col("start"))
+        return let(text, lambda m: F.struct(line.alias("line"), F.lit(DICTIONARY).alias("rule_code"), F.lit("error").alias("severity"), m["message"].alias("message"), m["suggestion"].alias("suggestion"), (-F.col("term_length")).alias("rank"), F.col("start").alias("offset")).cast(FINDING))
+
+    pos = guess(F.col("text"), F.col("start"), F.col("end"), F.col("mode"), F.col("finite"))
+    return let(F.when(F.col("guessed"), pos), told)
 
 
 def findings(hits: DataFrame) -> DataFrame:
     """Findings from allowed-for matches, in the columns of the structural ones; longer terms rank first."""
-    told = judged(hits, always=False).where(reported(F.col("pos"), F.col("left"))).withColumn("_m", message(F.col("match"), F.col("senses"), F.col("left")))
-    line = resolve_line(F.col("line_offsets"), F.col("start"))
-    return told.select("file", F.lit(2).alias("pass"), "seg_ord", (-F.col("term_length")).alias("rank"), F.col("start").alias("offset"), line.alias("line"), F.lit(DICTIONARY).alias("rule_code"), F.lit("error").alias("severity"), "_m.message", "_m.suggestion")
+    rows = hits.select("file", F.lit(2).alias("pass"), "seg_ord", F.explode(own_findings()).alias("f"))
+    return rows.select("file", "pass", "seg_ord", "f.rank", "f.offset", "f.line", "f.rule_code", "f.severity", "f.message", "f.suggestion")
 
 
 def with_rules(segments: DataFrame, found: Index, rule_findings: Column) -> DataFrame:
@@ -255,13 +272,6 @@ def with_rules(segments: DataFrame, found: Index, rule_findings: Column) -> Data
     rows = rows.where(is_rule | here).withColumns({"is_rule": is_rule, "start": start, "end": end})
     let_by = F.col("is_rule") | (outside(F.col("start"), F.col("end")) & ~allowed(F.col("term"), F.col("start"), F.col("end")))
     rows = rows.where(let_by).withColumn("match", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
-    pos = guess(F.col("text"), F.col("start"), F.col("end"), F.col("mode"), F.col("finite"))
-    rows = rows.withColumn("pos", F.when(F.col("guessed"), pos)).withColumn("left", F.when(~F.col("is_rule"), candidates(F.col("senses"), F.col("pos"))))
-    rows = rows.where(F.col("is_rule") | reported(F.col("pos"), F.col("left")))
-    told = message(F.col("match"), F.col("senses"), F.col("left"))
-    own = F.struct(
-        resolve_line(F.col("line_offsets"), F.col("start")).alias("line"), F.lit(DICTIONARY).alias("rule_code"), F.lit("error").alias("severity"),
-        told["message"].alias("message"), told["suggestion"].alias("suggestion"), (-F.col("term_length")).alias("rank"), F.col("start").alias("offset"),
-    ).cast(FINDING)
-    rows = rows.select("file", F.when(F.col("is_rule"), 1).otherwise(2).alias("pass"), "seg_ord", F.when(F.col("is_rule"), F.col("_u.f")).otherwise(own).alias("f"))
+    found = F.when(F.col("is_rule"), F.array("_u.f")).otherwise(own_findings())
+    rows = rows.select("file", F.when(F.col("is_rule"), 1).otherwise(2).alias("pass"), "seg_ord", F.explode(found).alias("f"))
     return rows.select("file", "pass", "seg_ord", "f.rank", "f.offset", "f.line", "f.rule_code", "f.severity", "f.message", "f.suggestion")
