@@ -48,7 +48,7 @@ class _Parser(argparse.ArgumentParser):
 
 
 def parser() -> argparse.ArgumentParser:
-    p = _Parser(prog="quillframe", description="Check prose against controlled-English rules.", add_help=False)
+    p = _Parser(prog="quillframe", description="Check prose against controlled-English rules.", add_help=False, allow_abbrev=False)
     p.add_argument("globs", nargs="*", help="paths to check; they replace the include and exclude lists")
     p.add_argument("-v", "--version", action="store_true", help="show the version")
     p.add_argument("-?", "-h", "--help", action="store_true", help="show this help")
@@ -99,7 +99,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif args.help:
             out.line(parser().format_help())
         elif args.validate:
-            checks = run_checks(spark or session(), tempfile.gettempdir())
+            with tempfile.TemporaryDirectory(prefix="quillframe-") as folder:
+                checks = run_checks(spark or session(), folder)
             out.line(f"{'#' * args.depth} Self-checks of quillframe {VERSION}")
             for name, problem in checks:
                 out.line(f"{'Passed' if problem is None else 'Failed'}: {name}" + (f" ({problem})" if problem else ""))

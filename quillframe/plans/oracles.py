@@ -221,7 +221,7 @@ TOLD = rf"""{GUESSES},
 phrase as ({placed("seg", "file, seg_ord", "text", f"(?i)fuel{S}+mix|in{S}+the{S}+event{S}+of")}),
 ok as (select * from said where reported and not (term = 'shall' and source like 'src1%')
   and not exists (select 1 from phrase p where p.file = said.file and p.seg_ord = said.seg_ord and (said.source like 'src1%' or lower(p.value) like 'fuel%') and said.start >= p.start and said.stop <= p.stop)),
-told as (select file, {at_line("ok", "start")} as line, case when len(remaining) = 1 then
+told as (select file, seg_ord, start, length(term) as size, {at_line("ok", "start")} as line, case when len(remaining) = 1 then
     'Avoid ''' || m || '''; ' || case when len(remaining[1].alternatives) > 0 then 'use ' || {_USE.format("remaining[1].alternatives")} || ' instead' else 'it is not an approved ASD-STE100-style term' end
       || case when len(senses) > 1 then ' (used as a ' || {_PART.format("remaining[1].part")} || ')' else '' end || '.'
     else 'Ambiguous part of speech for ''' || m || ''' — possible corrections: ' || array_to_string(list_transform(remaining, lambda x: 'as a ' || {_PART.format("x.part")} || ', use ' || {_USE.format("x.alternatives")}), '; ') || '.' end as message,
@@ -232,15 +232,15 @@ told as (select file, {at_line("ok", "start")} as line, case when len(remaining)
 LINT = rf"""{TOLD}, {SPOTS_ONLY},
 semis as ({SEMI}), contr as ({CONTR}), ingf as ({ING}),
 lint as (
-  select file, {at_line("s", "begins")} as line, 'STE100-4.1' as rule_code, 'error' as severity, 'Sentence has ' || word_count || ' words, exceeding the ' || most || '-word limit for ' || mode || ' mode: "' || {SHORT.format("text")} || '"' as message, 'Split into shorter sentences.' as suggestion
+  select file, {at_line("s", "begins")} as line, 'STE100-4.1' as rule_code, 'error' as severity, 'Sentence has ' || word_count || ' words, exceeding the ' || most || '-word limit for ' || mode || ' mode: "' || {SHORT.format("text")} || '"' as message, 'Split into shorter sentences.' as suggestion, 1 as pass, seg_ord, 1 as rank, begins
     from (select *, case when mode = 'procedure' then words else 25 end as most from sp join conf using (file)) s where word_count > most
-  union all select file, {at_line("s", "begins")}, 'STE100-8.1', 'error', {SEMI_TEXT.replace(" as message", "").replace(" as suggestion", "")} from semis s join conf using (file) where not semicolons
-  union all select file, {at_line("s", "begins")}, 'STE100-4.2', 'error', 'Contraction ''' || m || ''' is not permitted in ASD-STE100 prose.', 'Write the words in full.' from contr s
-  union all select file, {at_line("s", "begins")}, 'STE100-ADV-COMPLEXVERB', 'warn', 'Possible complex verb construction (perfect/modal-perfect tense) — ASD-STE100 prefers simple present, past, or future tense verbs: "' || {SHORT.format("text")} || '"', 'Rewrite using a simple tense verb.' from sp s where regexp_matches({MASKED}, '{COMPLEX}')
-  union all select file, {at_line("s", "begins")}, 'STE100-ADV-PASSIVE', passive, 'Possible passive voice (advisory heuristic, not an official STE100 rule): "' || {SHORT.format("text")} || '"', 'Consider rewriting in active voice.' from sp s join conf using (file) where passive <> 'off' and {PASSIVE}
-  union all select file, {at_line("s", "begins")}, 'STE100-ADV-INGFORM', 'warn', {ING_TEXT.replace(" as message", "").replace(" as suggestion", "")} from ingf s
-  union all select file, line, 'STE100-ADV-PARA', 'warn', 'Paragraph has ' || n || ' sentences, exceeding the advisory limit of 6 (not an official STE100 rule).', 'Split into shorter paragraphs.' from (select file, seg_ord, line, count(*) as n from sp where role = 'Paragraph' group by file, seg_ord, line) where n > 6
-  union all select file, line, 'STE100-DICT', 'error', message, suggestion from told)"""
+  union all select file, {at_line("s", "begins")}, 'STE100-8.1', 'error', {SEMI_TEXT.replace(" as message", "").replace(" as suggestion", "")}, 1, seg_ord, 2, begins from semis s join conf using (file) where not semicolons
+  union all select file, {at_line("s", "begins")}, 'STE100-4.2', 'error', 'Contraction ''' || m || ''' is not permitted in ASD-STE100 prose.', 'Write the words in full.', 1, seg_ord, 3, begins from contr s
+  union all select file, {at_line("s", "begins")}, 'STE100-ADV-COMPLEXVERB', 'warn', 'Possible complex verb construction (perfect/modal-perfect tense) — ASD-STE100 prefers simple present, past, or future tense verbs: "' || {SHORT.format("text")} || '"', 'Rewrite using a simple tense verb.', 1, seg_ord, 4, begins from sp s where regexp_matches({MASKED}, '{COMPLEX}')
+  union all select file, {at_line("s", "begins")}, 'STE100-ADV-PASSIVE', passive, 'Possible passive voice (advisory heuristic, not an official STE100 rule): "' || {SHORT.format("text")} || '"', 'Consider rewriting in active voice.', 1, seg_ord, 5, begins from sp s join conf using (file) where passive <> 'off' and {PASSIVE}
+  union all select file, {at_line("s", "begins")}, 'STE100-ADV-INGFORM', 'warn', {ING_TEXT.replace(" as message", "").replace(" as suggestion", "")}, 1, seg_ord, 6, begins from ingf s
+  union all select file, line, 'STE100-ADV-PARA', 'warn', 'Paragraph has ' || n || ' sentences, exceeding the advisory limit of 6 (not an official STE100 rule).', 'Split into shorter paragraphs.', 1, seg_ord, 7, 0 from (select file, seg_ord, line, count(*) as n from sp where role = 'Paragraph' group by file, seg_ord, line) where n > 6
+  union all select file, line, 'STE100-DICT', 'error', message, suggestion, 2, seg_ord, -size, start from told)"""
 
 
 ORACLES = {
@@ -275,9 +275,11 @@ ORACLES = {
     "sense_select": f"with {GUESSES} select file, seg_ord, start, term, len(remaining)::int as n_left, reported from said",
     "dict_message": f"with {TOLD} select file, line, message, suggestion from told",
     "full_lint": f'with {LINT} select file, line, null::int as "column", rule_code, severity, message, suggestion from lint',
-    "report_json": f"""with {SENTENCES}, para as (select file, seg_ord, line, count(*) as n from sc where role = 'Paragraph' group by file, seg_ord, line)
-        select '{{"filesChecked":' || (select count(distinct file) from md) || ',"errorCount":0,"warningCount":' || (select count(*) from para where n > 6) || '}}' as report
-        union all select '{{"file":"' || file || '","line":' || line || ',"column":null,"ruleCode":"STE100-ADV-PARA","severity":"warn","message":"Paragraph has ' || n || ' sentences, exceeding the advisory limit of 6 (not an official STE100 rule).","suggestion":"Split into shorter paragraphs."}}' from para where n > 6""",
+    "report_json": f"""with {LINT}
+        select '{{"filesChecked":' || (select count(distinct file) from md) || ',"errorCount":' || (select count(*) from lint where severity = 'error') || ',"warningCount":' || (select count(*) from lint where severity = 'warn') || '}}' as report
+        union all select '{{"file":' || to_json(file) || ',"line":' || line || ',"column":null,"ruleCode":' || to_json(rule_code) || ',"severity":' || to_json(severity) || ',"message":' || to_json(message) || ',"suggestion":' || coalesce(to_json(suggestion)::varchar, 'null') || '}}' from lint""",
+    "finding_order": f"with {LINT} select file, (row_number() over (partition by file order by pass, seg_ord, rank, begins))::int as place, rule_code, message from lint",
+    "dict_lookup": """select * from (values ('Impact', 'noun', 'effect'), ('Impact', 'verb', 'affect'), ('SHALL', 'verb', 'must'), ('prior To', 'any', 'before')) v(asked, pos, alternatives)""",
     "profile_mode": """select source || '/' || doc_id || '.md' as file, case when source = 'src1' then 'procedure' when source like 'src1%' then 'descriptive' when source = 'src2' then 'procedure' else 'descriptive' end as mode from documents""",
     "profile_rules": """select source || '/' || doc_id || '.md' as file, case when source like 'src1%' then 18 when source = 'src2' then 15 else 20 end::int as max_words_procedure,
         25::int as max_words_descriptive, source in ('src1') as allow_semicolons, case when source = 'src1' then 'error' when source like 'src1%' then 'off' else 'warn' end as passive_voice from documents""",
@@ -287,8 +289,7 @@ ORACLES = {
     "summary_by_file": f"""with {RULE_ROWS} select d.file, count(*) filter (where severity = 'error') as errors, count(*) filter (where severity = 'warn') as warnings
         from (select distinct file from md) d left join found using (file) group by d.file""",
     "gate_exit": f"with {RULE_ROWS} select strict, bool_or(severity = 'error' or strict and severity = 'warn') as failed from found, (values (true), (false)) v(strict) group by strict",
-    "report_text": f"""with {SENTENCES} select file || ':' || line || ': [WARN] STE100-ADV-PARA — Paragraph has ' || n || ' sentences, exceeding the advisory limit of 6 (not an official STE100 rule). (Suggestion: Split into shorter paragraphs.)' as report
-        from (select file, seg_ord, line, count(*) as n from sc where role = 'Paragraph' group by file, seg_ord, line) where n > 6""",
+    "report_text": f"""with {LINT} select file || ':' || line || ': [' || upper(severity) || '] ' || rule_code || ' — ' || message || case when suggestion is null then '' else ' (Suggestion: ' || suggestion || ')' end as report from lint""",
     "label_summary": f"""with {RULE_ROWS}, f as (select file, count(*) as n from found group by file)
         select l.quality, l.toxic, count(*) as documents, sum(coalesce(f.n, 0))::bigint as findings from labels l join documents d using (doc_id) left join f on f.file = d.source || '/' || d.doc_id || '.md' group by l.quality, l.toxic""",
 }

@@ -6,7 +6,9 @@ a heading, items, a table, a fenced block and paragraphs that trip the rules.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import resolve_line
@@ -245,13 +247,31 @@ def gate_exit(spark, sf_dir):
     return report.failed(found, True).select(F.lit(True).alias("strict"), "failed").union(report.failed(found).select(F.lit(False), "failed"))
 
 
+def _found(spark, sf_dir) -> DataFrame:
+    return lint.findings(markdown_docs(spark, sf_dir), CONFIG, lexicon.table(spark, ENTRIES))
+
+
 def report_text(spark, sf_dir):
-    return _structural(spark, sf_dir, "paragraph_length").withColumn("column", F.lit(None).cast("int")).select(report.text_line().alias("report"))
+    """The text report of all findings."""
+    return lint.diagnostics(_found(spark, sf_dir)).select(report.text_line().alias("report"))
 
 
 def report_json(spark, sf_dir):
-    """The JSON report of the findings on paragraphs: the counts, then a row a finding."""
-    return report.json_rows(markdown_docs(spark, sf_dir), _structural(spark, sf_dir, "paragraph_length"))
+    """The JSON report of all findings: the counts, then a row a finding."""
+    return report.json_rows(markdown_docs(spark, sf_dir), _found(spark, sf_dir))
+
+
+def finding_order(spark, sf_dir):
+    """The place of each finding in the report of its file."""
+    place = F.row_number().over(Window.partitionBy("file").orderBy(*lint.ORDER[1:]))
+    return _found(spark, sf_dir).select("file", place.alias("place"), "rule_code", "message")
+
+
+def dict_lookup(spark, sf_dir):
+    """Entries asked for in any case."""
+    every = lexicon.table(spark, ENTRIES)
+    found = [lexicon.lookup(every, t).select(F.lit(t).alias("asked"), F.explode("senses").alias("s")) for t in ("Impact", "SHALL", "prior To", "no such term")]
+    return reduce(DataFrame.unionByName, found).select("asked", "s.pos", F.array_join("s.alternatives", ", ").alias("alternatives"))
 
 
 def label_summary(spark, sf_dir):
@@ -303,6 +323,8 @@ QUERIES = {
     "gate_exit": gate_exit,
     "report_text": report_text,
     "report_json": report_json,
+    "finding_order": finding_order,
+    "dict_lookup": dict_lookup,
     "label_summary": label_summary,
     "full_lint": full_lint,
 }

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from pathlib import Path
 from xml.etree import ElementTree as X
 
 from pyspark.sql import SparkSession
 
 from ..operators import lexicon
 from ..sources.config import Config, Profile
+from ..sources.files import read_files, safe_join
 from . import lint, report
 
 CHECKS = (
@@ -21,10 +23,19 @@ CHECKS = (
 
 
 def run_checks(spark: SparkSession, folder: str) -> list[tuple[str, str | None]]:
-    """(name, problem or None) of each check."""
-    out = []
+    """(name, problem or None) of each check.
+
+    On a local master each text is written below ``folder`` and read as a file; elsewhere executors may not see the folder.
+    """
+    out, local = [], spark.sparkContext.master.split("[")[0] == "local"
     for name, text, config, expected in CHECKS:
-        docs = spark.createDataFrame([("check/a.md", text)], "file string, content string")
+        if local:
+            path = Path(safe_join(folder, "check/a.md"))
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(text, encoding="utf-8")
+            docs = read_files(spark, str(folder), globs=["check/a.md"])
+        else:
+            docs = spark.createDataFrame([("check/a.md", text)], "file string, content string")
         found = lint.findings(docs, config, lexicon.embedded(spark))
         codes = sorted(r["rule_code"] for r in found.collect())
         gate = report.failed(found).first()["failed"]
@@ -46,6 +57,9 @@ def results_file(checks: list[tuple[str, str | None]], path: str) -> str:
     elif kind == "trx":
         root = X.Element("TestRun", name="quillframe", xmlns="http://microsoft.com/schemas/VisualStudio/TeamTest/2010")
         X.SubElement(root, "Times", creation=now)
+        failed = sum(p is not None for _, p in checks)
+        summary = X.SubElement(root, "ResultSummary", outcome="Failed" if failed else "Completed")
+        X.SubElement(summary, "Counters", total=str(len(checks)), executed=str(len(checks)), passed=str(len(checks) - failed), failed=str(failed))
         results = X.SubElement(root, "Results")
         for name, problem in checks:
             one = X.SubElement(results, "UnitTestResult", testName=name, outcome="Failed" if problem else "Passed")

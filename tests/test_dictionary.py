@@ -7,14 +7,14 @@ from quillframe.plans.lint import dictionary_findings, findings, prepared
 from quillframe.sources.config import Config, DictionaryConfig, Profile
 
 POS = [
-    ("We need to impact the outcome.", "impact", "descriptive", "verb"),
-    ("Function the panel before use.", "Function", "procedure", "verb"),
-    ("Function the panel before use.", "Function", "descriptive", "verb"),
-    ("Idle threshold for leaving the path charged or drained", "Idle", "procedure", None),
-    ("The Vantage impact moves to the tower.", "impact", "descriptive", "noun"),
-    ("Reports show the metering custom coated impact daily. The pump operates.", "impact", "descriptive", None),
-    ("The breadboard is a laboratory test fixture.", "test", "descriptive", "noun"),
-    ("Blocks 1 to 5 use 0.12 ohms.", "use", "descriptive", "verb"),
+    ("They plan to impact sales.", "impact", "descriptive", "verb"),
+    ("Torque the bolts at noon.", "Torque", "procedure", "verb"),
+    ("Torque the bolts at noon.", "Torque", "descriptive", "verb"),
+    ("Idle speed for keeping a pump cold or wet", "Idle", "procedure", None),
+    ("The Larkspur impact shows near a dam.", "impact", "descriptive", "noun"),
+    ("Notes list the rolling manual painted impact daily. The fan runs.", "impact", "descriptive", None),
+    ("A wheel is our harbour test piece.", "test", "descriptive", "noun"),
+    ("Lamps 3 and 4 use 9.5 watts.", "use", "descriptive", "verb"),
     ("x " * 400 + "We must impact it. The pump operates." + " y" * 400, "impact", "descriptive", "verb"),
     ("x" * 500 + " the impact is " + "y" * 500, "impact", "descriptive", "noun"),
 ]

@@ -125,5 +125,5 @@ def test_registered_json_report_has_a_row_a_finding(docs, found, monkeypatch):
     from quillframe.plans import queries
 
     monkeypatch.setattr(queries, "markdown_docs", lambda spark, sf_dir: docs(("a.md", "")))
-    monkeypatch.setattr(queries, "_structural", lambda spark, sf_dir, *rules: found)
+    monkeypatch.setattr(queries, "_found", lambda spark, sf_dir: found)
     assert queries.QUERIES["report_json"](None, "").count() == 6
