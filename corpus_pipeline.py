@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 and returns whole rows of ``documents``; the last returns packed pieces. Between
 stages the rows are written and read again.
+
+In every stage an empty table stays empty, null ids are rows like others, and
+columns other than those it names, null or not, come through as they are. Null
+and wordless texts go in the first stage; a later one that is called with them
+keeps them, as they repeat nothing and hold nothing.
 """
 
 from __future__ import annotations
@@ -15,12 +20,12 @@ from quillframe.llm.common import fresh, settled
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the learned decision list reject go."""
+    """Documents that the base rules or the learned decision list reject go. Rows that repeat are judged alike."""
     return quality.passing(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat or nearly repeat an earlier line go, and with them a document that has no word left; n_chars follows the text."""
+    """Lines that repeat or nearly repeat an earlier line go, and with them a document that has no word left; n_chars follows the text. Rows that share an id lose the same lines; those with a null id lose none."""
     out = linededup.deduplicated(docs)
     touched = F.col(out.columns[-1]) > 0
     left = out.where(~touched | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
@@ -28,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 the one with the smallest id stays."""
+    """Of documents linked by five-word shingles at a similarity of 0.8 the one with the smallest id stays; of rows that repeat id and text, one."""
     return ngram_join.keep_one(docs, k=5, percent=80)
 
 
@@ -40,7 +45,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, packed into sequences of 2048 ids."""
+    """All that is left, packed into sequences of 2048 ids. A null or empty text is the single id 0; rows that repeat are packed each."""
     return packing.pack(packing.pieces(docs))
 
 
