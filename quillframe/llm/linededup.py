@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import by_batches, fresh, groups_of, keep, mix, rows_under, small
+from .common import by_batches, fresh, groups_of, keep, mix, rows_under, small, tidy
 
 #: Least distinct words of a line that is compared: every line with a word.
 LEAST_WORDS = 1
@@ -346,9 +346,9 @@ def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     hot = keep(glance.where(F.col("n") * GLANCE >= GROUP).select("key"), "hot-words")
     more = None
     if not rows_under(hot, 0):
-        more = in_parts(rows, hot, percent).repartition("grp").sortWithinPartitions("grp").mapInArrow(parted, shape)
+        more = in_parts(rows, hot, percent).repartition("grp").sortWithinPartitions("grp").mapInArrow(tidy(parted), shape)
         rows = rows.join(small(hot, BROADCAST_ROWS), key == F.col("key"), "left_anti")
-    pairs = rows.repartition(key).sortWithinPartitions("p").mapInArrow(whole, shape)
+    pairs = rows.repartition(key).sortWithinPartitions("p").mapInArrow(tidy(whole), shape)
     pairs = pairs.union(more) if more is not None else pairs
     return pairs.groupBy(*names[:4]).agg(F.max("more").alias("more"))
 

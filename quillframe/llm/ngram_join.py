@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_batches, components, fresh, groups_of, keep, list_array, mix, rows_under, small
+from .common import by_batches, components, fresh, groups_of, keep, list_array, mix, rows_under, small, tidy, WordHash
 
 #: Groups of the count vectors.
 VECTOR = 128
@@ -242,7 +242,7 @@ def tree_pairs(rows: DataFrame, percent: int, every: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     dealt = rows.repartition("tree").sortWithinPartitions("tree")
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
 
 
 def blocks(rest: DataFrame) -> DataFrame:

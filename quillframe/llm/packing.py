@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batches, fresh, keep, share, small
+from .common import by_batches, fresh, keep, share, small, tidy
 
 #: Rows up to which the counts of pieces by task and length are broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -184,7 +184,7 @@ def _numbered(cut: DataFrame, task: str, number: str) -> DataFrame:
             seen += np.bincount(n, minlength=len(seen))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(own)], names=[*batch.schema.names, task, number])
 
-    return cut.mapInArrow(run, schema)
+    return cut.mapInArrow(tidy(run), schema)
 
 
 def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -218,7 +218,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
                 sequence[at], offset[at] = base + inner, start + place * length
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run), f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(cut: DataFrame, packed: DataFrame) -> DataFrame:

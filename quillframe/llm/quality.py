@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, by_batches, fresh, keep, mix
+from .common import SLICE_ROWS, WordHash, by_batches, fresh, keep, mix
 
 #: Labelled rows that the list is fitted on, at most (expected number of a hash sample).
 FIT_ROWS = 50_000
@@ -210,7 +210,8 @@ def passing(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     @F.pandas_udf(", ".join(f"{k} long" for k in MEASURES))
     def measures(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(measure(texts.tolist(), WordHash()), columns=list(MEASURES), dtype="int64")
+        some = (texts.iloc[k : k + SLICE_ROWS].tolist() for k in range(0, max(1, len(texts)), SLICE_ROWS))
+        return pd.concat([pd.DataFrame(measure(part, WordHash()), columns=list(MEASURES), dtype="int64") for part in some], ignore_index=True)
 
     judged_rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), measures(F.col(text_col).cast("string")).alias(found)).select(row, f"{found}.*")
     return judged_rows.where(~base_failed() & decision(rules)).select(f"{row}.*")

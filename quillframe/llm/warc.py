@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, new_path, small
+from .common import keep, new_path, small, tidy
 
 #: Bytes of records after which a new archive begins.
 ROLL = 16 << 20
@@ -207,7 +207,7 @@ def write_archives(pages: DataFrame, folder: str, roll: int = ROLL, date: str |
             done.append((path, count))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["path", "records"])
 
-    return keep(pages.mapInArrow(run, "path string, records long"), "archives")
+    return keep(pages.mapInArrow(tidy(run), "path string, records long"), "archives")
 
 
 def _dealt(files: DataFrame) -> DataFrame:
@@ -246,7 +246,7 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                 path, index, count = rewritten(source)
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([index]), pa.array([count], pa.int64())], names=["path", "index", "records"])
 
-    return keep(_dealt(files).mapInArrow(run, "path string, index string, records long"), "normalised")
+    return keep(_dealt(files).mapInArrow(tidy(run), "path string, index string, records long"), "normalised")
 
 
 def parse(raw: bytes) -> dict:
@@ -290,7 +290,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                         rows = []
         yield packed()
 
-    return _dealt(files).mapInArrow(run, _READ)
+    return _dealt(files).mapInArrow(tidy(run), _READ)
 
 
 def fetch(path: str, offset: int, length: int) -> dict:
