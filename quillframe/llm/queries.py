@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, ngram_join, packing, pii, quality, secrets, toxicity, warc
+from . import decontaminate, langid, linededup, ngram_join, packing, pii, quality, secrets, spelling, toxicity, urlfilter, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii_weak_supervision, op3_secret_scan, op4_pu_toxicity, op5_benchmark_decontamination, op6_language_id, op7_line_dedup, op8_warc_normaliser, op9_best_fit_packing, op10_quality_rules)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_pii_weak_supervision, op3_secret_scan, op4_pu_toxicity, op5_benchmark_decontamination, op6_language_id, op7_line_dedup, op8_warc_normaliser, op9_best_fit_packing, op10_quality_rules, op11_embedding_whitening, op12_url_filter, op13_spelling_variants)}
 
 #: A-Z to lower case, and nothing else.
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -111,4 +123,38 @@ ORACLES: dict[str, str] = {
         select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
           sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
         from words left join covered using (doc_id) left join found using (doc_id)""",
+    "op12_url_filter": rf"""
+        with recursive rules(verdict, host, path) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        p as (select row_number() over () as row, page_id, html, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as r from pages),
+        u as (select row, page_id, html, {_LOWER.format("regexp_extract(r, '^[^/?#]*')")} as host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(r, '^[^?#]*(\?[^#]*)', 1) as query from p),
+        page as (select *, case when host <> '' then host || case when path = '' then '/' else path end || query end as node from u),
+        tags as (select node, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?(-->|\z)|<script\b.*?(</script|\z)|<style\b.*?(</style|\z)|<title\b.*?(</title|\z)|<textarea\b.*?(</textarea|\z)|<template\b.*?(</template|\z)|<noscript\b.*?(</noscript|\z)', '', 'g'), '(?i)<(?:link|meta)\b[^>]*')) as tag from page where node is not null),
+        named as (select node, tag, trim(regexp_extract(tag, '(?i)[\s"/](?:href|content)\s*=\s*"([^"]*)"', 1)) as v from tags
+          where regexp_matches(tag, '(?i)^<link') and regexp_matches(tag, '(?i)\srel\s*=\s*"([^"]*\s)?canonical(\s[^"]*)?"') or regexp_matches(tag, '(?i)^<meta') and regexp_matches(tag, '(?i)http-equiv\s*=\s*"refresh"')),
+        href as (select node, regexp_extract(replace(case when regexp_matches(tag, '(?i)^<meta') then regexp_extract(v, '(?i)url\s*=\s*(.*)', 1) else v end, '&amp;', '&'), '(?i)^https?://([^#]*)', 1) as t from named),
+        target as (select node, {_LOWER.format("regexp_extract(t, '^[^/?]*')")} as host, substr(t, length(regexp_extract(t, '^[^/?]*')) + 1) as more from href where t <> ''),
+        edge as (select node as a, host || case when more = '' or more like '?%' then '/' else '' end || more as b from target where host <> ''),
+        both_ways as (select a, b from edge union select b, a from edge),
+        reach(a, b) as (select distinct a, a from both_ways union select r.a, e.b from reach r join both_ways e on e.a = r.b),
+        node as (select node from page where node is not null union select b from edge),
+        own as (select node, arg_max(verdict, length(r.host || r.path)) as verdict from node n join rules r on regexp_extract(node, '^[^/]*') = r.host and starts_with(regexp_extract(node, '^[^/]*([^?]*)', 1), r.path)
+            or ends_with(regexp_extract(node, '^[^/]*'), '.' || r.host) and starts_with(regexp_extract(node, '^[^/]*([^?]*)', 1), r.path) group by node),
+        class as (select c.a as node, bool_or(o.verdict = 'allow') as allow, bool_or(o.verdict = 'block') as block from (select a, b from reach union select node, node from node) c left join own o on o.node = c.b group by c.a),
+        fit as (select row, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(verdict, length(r.host || r.path)) as verdict
+          from page p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path) group by row)
+        select page_id, host, path, rule, coalesce(f.verdict, case when c.allow then 'allow' when c.block then 'block' else 'allow' end) as verdict
+        from page p left join fit f using (row) left join class c on c.node = p.node""",
+    "op13_spelling_variants": rf"""
+        with recursive bits as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+        runs as (select doc_id, run, count(*) as m from (select doc_id, {_LOWER.format("unnest(regexp_extract_all(text, '[A-Za-z' || chr(192) || '-' || chr(255) || ']+'))")} as run from documents) group by doc_id, run),
+        coded as (select *, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [192 + unicode(c) // 64, 128 + unicode(c) % 64] end)) as b from runs),
+        summed as (select run, m, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h from coded, bits),
+        words as (select w as word, sum(m)::bigint as n from (select m, case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as w from summed) group by w having length(w) >= 5 and sum(m) >= 3),
+        cut as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as c from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+        pair as (select a.word as a, b.word as b, b.n from cut a join cut b on a.c = b.c and a.i = b.i and a.word <> b.word
+          union select a.word, b.word, b.n from words a join cut b on a.word = b.c union select a.word, b.word, b.n from cut a join words b on a.c = b.word),
+        best as (select a as word, count(*) as n_near, min(struct_pack(n := -n, w := encode(b))) as o from pair group by a),
+        forms as (select w.word, w.n, coalesce(n_near, 0)::bigint as n_near, case when -o.n >= 2 * w.n then decode(o.w) end as form, case when -o.n >= 2 * w.n then -o.n end as form_n from words w left join best b using (word)),
+        path(word, up) as (select word, word from forms union all select p.word, f.form from path p join forms f on f.word = p.up where f.form is not null)
+        select f.word, f.form, p.up as root, f.n, f.n_near, f.form_n from forms f join path p on p.word = f.word join forms e on e.word = p.up where e.form is null""",
 }
