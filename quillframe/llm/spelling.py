@@ -202,12 +202,14 @@ def near_pairs(words: DataFrame) -> DataFrame:
     met = met.where(F.levenshtein("ra", "rb", 1) == 1)
     own = F.col("part").substr(F.lit(2), F.length("part"))
     word = lambda rest: F.when(F.col("part").startswith("<"), F.concat(own, F.col(rest))).otherwise(F.concat(F.col(rest), own))
-    return met.select(word("ra").alias("a"), "na", word("rb").alias("b"), "nb").distinct()
+    both = met.select(F.array_sort(F.array(*(F.struct(word(f"r{x}").alias("w"), F.col(f"n{x}").alias("n")) for x in "ab"))).alias("p"))
+    return both.select(F.col("p")[0]["w"].alias("a"), F.col("p")[0]["n"].alias("na"), F.col("p")[1]["w"].alias("b"), F.col("p")[1]["n"].alias("nb")).distinct()
 
 
 def forms(words: DataFrame, pairs: DataFrame) -> DataFrame:
     """(word, n, n_near, form, form_n): form is the near word met most, ties by code points, if it is met at least twice as often."""
-    both = pairs.select(F.col("a").alias("word"), F.struct((-F.col("nb")).alias("n"), F.col("b").alias("w")).alias("o")).union(pairs.select("b", F.struct(-F.col("na"), F.col("a"))))
+    side = lambda w, m, o: F.struct(F.col(w).alias("word"), F.struct((-F.col(m)).alias("n"), F.col(o).alias("w")).alias("o"))
+    both = pairs.select(F.explode(F.array(side("a", "nb", "b"), side("b", "na", "a"))).alias("s")).select("s.*")
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min("o").alias("o"))
     told = F.col("o").isNotNull() & (-F.col("o.n") >= 2 * F.col("n"))
     return words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(told, F.col("o.w")).alias("form"), F.when(told, -F.col("o.n")).alias("form_n"))
