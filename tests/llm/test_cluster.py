@@ -42,7 +42,7 @@ for name, query in {**queries.QUERIES, "pipeline": corpus_pipeline.run}.items():
 """,
         tmp_path,
     )
-    assert len(out.split("\n")) == 12
+    assert len(out.split("\n")) == 15
 
 
 @pytest.mark.parametrize("after", ["write", "normalise"])
