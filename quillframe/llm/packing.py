@@ -22,6 +22,7 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import by_batches, fresh, keep, share, small, tidy
 
@@ -45,22 +46,36 @@ def byte_bpe(path: str) -> tuple[tiktoken.Encoding, tuple[str, ...]]:
     return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special), tuple(special)
 
 
+class Encoder:
+    """Ids of a text by a tokenizer file. Where tiktoken gives up (its pattern looks back over white space, and a run of a million characters is too long for that), the file's own library, which is slower, reads the text."""
+
+    def __init__(self, path: str):
+        self.path, self.plain = path, None
+        self.fast, self.special = byte_bpe(path)
+
+    def __call__(self, text: str) -> list[int]:
+        try:
+            if any(s in text for s in self.special):
+                return self.fast.encode(text, allowed_special="all")
+            return self.fast.encode_ordinary(text)
+        except BaseException as e:  # with special tokens a ValueError, else a panic of native code, which is no Exception
+            if not isinstance(e, ValueError) and type(e).__name__ != "PanicException":
+                raise
+        self.plain = self.plain or Tokenizer.from_file(self.path)
+        return self.plain.encode(text, add_special_tokens=False).ids
+
+
 def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str = DEFAULT_TOKENIZER, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of every row's tokens and its closing 0.
 
     A row of at most ``capacity`` ids is one piece. Longer ones are cut into
     pieces of ``capacity``, of which the first takes what is left over. A null
     or empty text is the single id 0. Rows that repeat, and null ids, give pieces of their own; an empty table gives
-    none. Further columns, of any name, are not read.
+    none. Texts may be of any length and hold runs of any one character. Further columns, of any name, are not read.
     """
 
     def make():
-        encoding, special = byte_bpe(tokenizer)
-
-        def encode(text):
-            if any(s in text for s in special):
-                return encoding.encode(text, allowed_special="all")
-            return encoding.encode_ordinary(text)
+        encode = Encoder(tokenizer)
 
         def step(batch):
             row, piece, start, length, crc, parts = [], [], [], [], [], []

@@ -60,6 +60,24 @@ def test_documents(spark, capacity):
     assert n == plain_best_fit([r["length"] for r in rows], capacity)
 
 
+ODD = [
+    "a" + " " * 1_000_000 + "b", "\t" * 1_200_000, "x" + "\n \t\u3000" * 300_000, " " * 1_000_000 + "<|endoftext|>" + " " * 1_500_000 + "end", "q" * 1_000_000, "7" * 500_000, "-" * 500_000, "é" * 400_000, "\U0001f600" * 200_000, "'" * 500_000, "\u0301" * 300_000,
+]
+
+
+def test_long_runs(spark):
+    """Runs of white space that tiktoken cannot read, and of other characters that it can."""
+    texts = dict(enumerate(ODD))
+    rows = packing.pack(packing.pieces(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4))).collect()
+    check(rows, texts, 2048)
+
+
+def test_ten_million_spaces(spark):
+    table = spark.sql("select 1L as doc_id, concat('a', repeat(' ', 10000000), 'b') as text union all select 2L, 'short'")
+    rows = packing.pack(packing.pieces(table)).collect()
+    check(rows, {r["doc_id"]: r["text"] for r in table.collect()}, 2048)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 70), st.lists(st.tuples(st.integers(1, 70), st.integers(1, 40)), max_size=30))
 def test_plan_is_best_fit_decreasing(capacity, pieces):
