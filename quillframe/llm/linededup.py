@@ -433,14 +433,35 @@ def similar_earlier(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS
     return repeats.select("doc_id", number().alias("line")).union(gone).distinct()
 
 
+def own_numbers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """(id, hash, row): a number for each id and text, in their order, null ids last. None where every id has one text and none is null, so that ids themselves are such numbers."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    each = rows.groupBy("id").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
+    if each.where("id is null or low <> high").isEmpty():
+        return None
+    return keep(rows.distinct().orderBy(F.asc_nulls_last("id"), "hash").withColumn("row", F.monotonically_increasing_id()), "row-numbers")
+
+
 def deduplicated(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the lines that repeat or nearly repeat an earlier one taken out, plus a last column, _removed: how many.
 
     Lines with fewer than ``least`` distinct words always stay, blank ones too. A document that loses
-    all lines stays, with an empty text. Null texts, null ids and untouched rows come through as they are.
-    Rows that share an id and a line number count as the same line and lose it alike. An empty table stays
+    all lines stays, with an empty text. Null texts and untouched rows come through as they are.
+    Rows that share an id are told apart by their texts, and null ids come after all others; rows that repeat both id and text are one
+    document, and lose the same lines. An empty table stays
     empty. Columns of any name come through; if one is called _removed, the new one is _removed_.
     """
+    numbers = own_numbers(docs, id_col, text_col)
+    if numbers is None:
+        return _deduplicated(docs, percent, least, id_col, text_col)
+    ids, hashed, row = fresh(docs, "id", "hash", "row")
+    numbers = numbers.withColumnsRenamed({"id": ids, "hash": hashed, "row": row})
+    both = docs.join(numbers, F.col(id_col).cast("long").eqNullSafe(F.col(ids)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(hashed)))
+    return _deduplicated(keep(both.drop(ids, hashed), "numbered"), percent, least, row, text_col).drop(row)
+
+
+def _deduplicated(docs: DataFrame, percent: int, least: int, id_col: str, text_col: str) -> DataFrame:
+    """``deduplicated`` where an id is one document."""
     lines = keep(similar_earlier(docs, percent, least, id_col, text_col), "lines-gone")
     doc, own, count = fresh(docs, "doc", "lines", "_removed")
     gone = lines.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line").alias(own))

@@ -44,6 +44,28 @@ def test_against_brute_force(spark, monkeypatch, percent, group):
     assert {tuple(x) for x in got} == by_hand(docs, percent, ld.LEAST_WORDS) and len(got) == len({tuple(x) for x in got})
 
 
+def test_repeated_and_null_ids(spark):
+    """Rows that share an id are documents of their own, ordered by their texts' hashes; null ids come last."""
+    r = random.Random(11)
+    texts = [t for _, t in corpus(21, 90)]
+    rows = [(r.choice([None, 5, 5, 6, i]), t) for i, t in enumerate(texts)] + [(5, texts[3]), (None, texts[4]), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {t: h for t, h in table.selectExpr("text", "xxhash64(text)").collect()}
+    order = sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0, hashed[x[1]]))
+    gone = by_hand([(n, t) for n, (_, t) in enumerate(order)], 80, ld.LEAST_WORDS)
+    cut = {(i, t): None if t is None else "\n".join(line for k, line in enumerate(t.split("\n")) if (n, k) not in gone) for n, (i, t) in enumerate(order)}
+    got = ld.deduplicated(table.repartition(3)).collect()
+    told = lambda rows: sorted(rows, key=repr)
+    assert told((x["doc_id"], x["text"]) for x in got) == told((i, cut[i, t]) for i, t in rows)
+    assert any(x["_removed"] for x in got if x["doc_id"] is None)
+
+
+def test_a_line_is_not_taken_for_that_of_another_row(spark):
+    rows = [(1, "a line that others repeat"), (5, "a line that others repeat\nmore here"), (5, "a wholly unique first line nobody repeats\nlast of all")]
+    got = {(r["text"], r["_removed"]) for r in ld.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(rows[0][1], 0), ("more here", 1), (rows[2][1], 0)}
+
+
 def test_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(ld, "BROADCAST_ROWS", 1)
     docs = corpus(8)
