@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat or nearly repeat an earlier line go, and with them a document that has no word left; n_chars follows the text. Rows that share an id lose the same lines; those with a null id lose none."""
+    """Lines that repeat or nearly repeat an earlier line go, and with them a document that has no word left; n_chars follows the text. Rows are told apart by id and text, and null ids come last."""
     out = linededup.deduplicated(docs)
     touched = F.col(out.columns[-1]) > 0
     left = out.where(~touched | F.col("text").rlike(r"[^\x09-\x0D\x20]"))
