@@ -16,13 +16,14 @@ OPENS, CLOSES = f"(?<!{W})", f"(?!{W})"
 # Lines. What opens a fence, heading, list item or table row.
 FENCE = rf"^{S}*(?:`{{3,}}|~{{3,}})"
 BLANK = rf"^{S}*$"
-HEADING = rf"(?d)^{S}{{0,3}}#{{1,6}}{S}+(.*?){S}*#*{S}*$"
+HEADING = rf"(?d)^{S}{{0,3}}#{{1,6}}{S}++(.*)$"
 LIST_ITEM = rf"(?d)^{S}{{0,3}}(?:[-*+]|\p{{Nd}}+[.)]){S}+(.*)$"
 NESTED_ITEM = rf"(?d)^{S}*(?:[-*+]|\p{{Nd}}+[.)]){S}+(.*)$"
 TABLE_ROW = rf"^{S}{{0,3}}\|"
-TABLE_RULE = rf"^{S}{{0,3}}\|?{S}*:?-{{2,}}:?{S}*(?:\|{S}*:?-{{2,}}:?{S}*)*+\|?{S}*$"
+TABLE_RULE = rf"^{S}{{0,3}}\|?{S}*+:?-{{2,}}+:?{S}*+(?:\|{S}*+:?-{{2,}}+:?{S}*+)*+\|?{S}*+$"
 TABLE_CELL = r"((?:`[^`]*`|[^|])++)"
-LINK = r"\[([^\]]*)\]\([^)]*\)"
+#: A link, its text the first group; or brackets that are none, the second. A line is read up to its last closing parenthesis, so no place is looked at twice.
+LINK = r"\[([^\]]*+)\]\([^)]*+\)|(\[[^\]]*+\]?+)"
 CODE = r"`[^`]*`"
 
 # Sentences and words.
@@ -37,7 +38,8 @@ TITLE_RUN = rf"(?=[A-Z])(?<=[^{SPACE}]{S})[A-Z][a-zA-Z0-9]*(?:{S}+[A-Z][a-zA-Z0-
 CONTRACTION = rf"(?iu){OPENS}{W}++'(?:t|s|re|ve|ll|d|m){CLOSES}"
 PASSIVE = rf"(?iu)(?=[iawb]){OPENS}(?:is|are|was|were|be|being|(?<!(?:has|have|had){S}{{1,32}})been){S}+{W}+(?:ed|en){CLOSES}"
 COMPLEX_VERB = rf"(?iu)(?=[hwcsm]){OPENS}(?:(?:has|have|had){S}+(?:been{S}+)?{W}+(?:ed|en)|(?:will|would|could|should|may|might|must){S}+have{S}+{W}+(?:ed|en)){CLOSES}"
-ING_FORM = rf"(?iu){OPENS}[a-z][a-z-]{{2,}}ing{CLOSES}"
+#: Of a hyphenated run only the first part is tried as a beginning: where a later one could match, the first one does.
+ING_FORM = rf"(?iu){OPENS}(?:(?<!-)|(?<!(?<!{W})[a-z]{{1,24}}-{{1,2}}))[a-z][a-z-]{{2,}}ing{CLOSES}"
 #: Words after which 's stands for "is" or "has". Fixed values.
 IS_WORDS = ("it", "that", "this", "there", "here", "what", "who", "how", "when", "where", "why", "he", "she", "one", "everybody", "somebody", "nobody", "everyone", "someone", "no one", "let", "such")
 

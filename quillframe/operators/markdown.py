@@ -30,7 +30,15 @@ def lines(text: Column) -> Column:
 
 def cleaned(line: Column) -> Column:
     """Links as their visible text."""
-    return F.when(line.contains("]("), F.regexp_replace(line, P.LINK, "$1")).otherwise(line)
+    tail = F.substring_index(line, ")", -1)
+    head = line.substr(F.lit(1), F.length(line) - F.length(tail))
+    return F.when(line.contains("]("), F.concat(F.regexp_replace(head, P.LINK, "$1$2"), tail)).otherwise(line)
+
+
+def heading(line: Column) -> Column:
+    """The text of a heading, without the marks that may close it."""
+    bare = F.rtrim(F.regexp_extract(line, P.HEADING, 1), F.lit(P.SPACES))
+    return F.rtrim(F.rtrim(bare, F.lit("#")), F.lit(P.SPACES))
 
 
 def kind(raw: Column, line: Column | None = None) -> Column:
@@ -51,7 +59,7 @@ def piece(line: Column, kinds: Column) -> Column:
     """The prose of a cleaned line of a kind."""
     return (
         F.when(kinds == "X", trimmed(line))
-        .when(kinds == "H", F.regexp_extract(line, P.HEADING, 1))
+        .when(kinds == "H", heading(line))
         .when(kinds == "L", trimmed(F.regexp_extract(line, P.LIST_ITEM, 1)))
         .when(kinds == "N", trimmed(F.regexp_extract(line, P.NESTED_ITEM, 1)))
         .when(kinds == "T", line)
@@ -104,13 +112,13 @@ def segments_column(text: Column) -> Column:
     return F.flatten(F.transform(found, _segments_of))
 
 
-def segments(docs: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
-    """(file, seg_ord, line, role, text, line_offsets), a row a segment, of every document.
+def segments(docs: DataFrame, file: str = "file", content: str = "content", more: tuple[str, ...] = ()) -> DataFrame:
+    """(file, seg_ord, line, role, text, line_offsets), a row a segment, of every document, with the columns ``more`` of it.
 
     Null content has no segments. Documents may repeat; nothing crosses from one row to another.
     """
     # exploded where it is made: a filter on an exploded column would make it twice
-    found = docs.select(F.col(file).alias("file"), F.posexplode(segments_column(F.col(content))).alias("seg_ord", "_s"))
-    return found.select("file", "seg_ord", "_s.*")
+    found = docs.select(F.col(file).alias("file"), *more, F.posexplode(segments_column(F.col(content))).alias("seg_ord", "_s"))
+    return found.select("file", "seg_ord", "_s.*", *more)
 
 
