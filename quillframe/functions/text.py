@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -17,6 +19,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def table_of(rows: list[dict], key: str, schema: str) -> Callable[[Column], Column]:
+    """Look-ups in a constant table by a text ``key``: of a value, the rows (structs of ``schema``) with that key, in order.
+
+    Rows are dealt by the hash of the key, so a look-up costs no more in a table of thousands. The table is read from one literal when the plan is made.
+    """
+    if not rows:
+        return lambda value: F.expr(f"cast(array() as array<struct<{schema}>>)")
+    size = 1 << max(4, (2 * len(rows)).bit_length())
+    buckets: list[list[dict]] = [[] for _ in range(size)]
+    for row in rows:
+        buckets[zlib.crc32(row[key].encode()) % size].append(row)
+    table = F.from_json(F.lit(json.dumps(buckets)), f"array<array<struct<{schema}>>>")
+    return lambda value: F.filter(F.get(table, (F.crc32(F.encode(value, "UTF-8")) % size).cast("int")), lambda r: r[key] == value)
+
+
 def trimmed(text: Column) -> Column:
     """Without white space at either end, of any kind."""
     return F.btrim(text, F.lit(P.SPACES))

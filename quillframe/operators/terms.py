@@ -4,26 +4,30 @@ Terms made of words are found by an equi-join: tokens of a segment that open som
 term are kept (a set test inside the row), joined to the broadcast dictionary by
 that first word, and the words that follow are compared. This costs a look-up a
 token, where a pattern a term would read the text once a term. Terms with
-other characters, or that can overlap themselves, are found by pattern: each in
-the plan where there are few, and in a large dictionary by a join on an anchor,
-a token that stands in the term, before the term's own pattern is tried.
+other characters, or that can overlap themselves, are found by a pattern each.
+Dictionaries too large for that are joined by ``joined_terms``, with equal results.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..functions import patterns as P
-from ..functions.text import let, located, resolve_line, running_sum, trimmed_left
+from ..functions.text import let, located, resolve_line, running_sum, table_of, trimmed_left
+from . import joined_terms
+from .joined_terms import JoinedIndex
 from .lexicon import described
 from .pos import guess, has_finite
 from .rules import DICTIONARY, FINDING, NONE
 
 _PLAIN = rf"^{P.TERM_TOKEN}( {P.TERM_TOKEN})*\z"
+#: A token of plain words, a narrower form of ``P.TERM_TOKEN`` that Python knows too; phrases of other letters take the way of odd ones.
+_PY_TOKEN = "[A-Za-z0-9_-]+"
 _SYMBOL = rf"[^{P.WORD}{P.SPACE}-]"
 #: Entries up to which the dictionary is broadcast and its first words are a set in the plan.
 BROADCAST_TERMS = 20_000
@@ -52,44 +56,36 @@ def _anchor(term: Column) -> Column:
 
 @dataclass
 class Index:
-    """A dictionary made ready: plain terms by first word, odd ones by number. Where there are too many for a set in the plan, first is None, and odd ones go by anchor."""
+    """A dictionary made ready: plain terms by first word, odd ones by number."""
 
     plain: DataFrame
     odd: DataFrame | None
     odd_terms: list[str]
-    first: list[str] | None
+    first: list[str]
     longest: int
-    #: Whether some odd terms have no token, and some not even a symbol.
-    symbols: bool = False
-    blanks: bool = False
 
 
-def index(dictionary: DataFrame) -> Index:
+def index(dictionary: DataFrame) -> Index | JoinedIndex:
     spark = dictionary.sparkSession
-    entries = described(dictionary.where("term is not null and term <> ''")).withColumn("_odd", _by_pattern(F.col("term"), F.col("words")))
-    few = entries.limit(BROADCAST_TERMS + 1).collect()
+    entries = described(dictionary.where("term is not null and term <> ''"))
+    is_odd = _by_pattern(F.col("term"), F.col("words"))
+    few = entries.withColumn("_odd", is_odd).limit(BROADCAST_TERMS + 1).collect()
     if len(few) > BROADCAST_TERMS:
-        plain, odd = entries.where("not _odd").drop("_odd"), entries.where("_odd").drop("_odd")
-        odd = odd.withColumns({"_anchor": _anchor(F.col("term")), "_pattern": P.whole_term_column(F.col("term"))})
-        kinds = odd.agg(F.count("*").alias("n"), F.bool_or(F.col("_anchor").rlike(_SYMBOL)).alias("symbols"), F.bool_or(F.col("_anchor") == "").alias("blanks")).first()
-        longest = plain.agg(F.max(F.size("words"))).first()[0] or 1
-        return Index(plain.withColumn("_first", F.col("words")[0]), odd if kinds["n"] else None, [], None, longest, bool(kinds["symbols"]), bool(kinds["blanks"]))
+        return joined_terms.index(entries, is_odd, _anchor, _SYMBOL)
+    kinds = StructType([*entries.schema, StructField("_odd", BooleanType())])
     odd = [r for r in few if r["_odd"]]
     own = [r for r in few if not r["_odd"]]
-    plain = spark.createDataFrame(own, entries.schema).drop("_odd").withColumn("_first", F.col("words")[0])
-    numbered = spark.createDataFrame([(*r, k) for k, r in enumerate(odd)], StructType([*entries.schema, StructField("_k", IntegerType())])).drop("_odd") if odd else None
+    plain = spark.createDataFrame(own, kinds).drop("_odd").withColumn("_first", F.col("words")[0])
+    numbered = spark.createDataFrame([(*r, k) for k, r in enumerate(odd)], StructType([*kinds, StructField("_k", IntegerType())])).drop("_odd") if odd else None
     return Index(F.broadcast(plain), F.broadcast(numbered) if odd else None, [r["term"] for r in odd], sorted({r["words"][0] for r in own}), max((len(r["words"]) for r in own), default=1))
 
 
-def openings(found: Index) -> Column:
-    """Tokens of text that open a plain term, each with the words that a term may go on with, as long as white space alone is between.
-
-    Where the first words are known, one pattern of all of them finds the places; else every token is one.
-    """
-    if found.first is not None and not found.first:
+def openings(words: list[str], longest: int) -> Column:
+    """Tokens of text that are one of the first ``words``, by one pattern of all of them, each with the words that a term of at most ``longest`` may go on with, as long as white space alone is between."""
+    if not words:
         return F.expr(f"cast(array() as {OPENING})")
     before, after = P.NOT_IN_TERM
-    opens = f"{before}(?iu:{P.any_of(found.first)}){after}" if found.first else P.TERM_TOKEN
+    opens = f"{before}(?iu:{P.any_of(words)}){after}"
     text, first = F.col("text"), lambda x: F.lower(x["value"])
 
     def alone(x: Column) -> Column:
@@ -101,9 +97,9 @@ def openings(found: Index) -> Column:
         near = F.transform(parts, lambda p: F.lit(True))
         return F.struct(first(x).alias("first"), x["start"].alias("start"), F.concat(F.array(first(x)), words).alias("words"), F.concat(F.array(F.lit(True)), near).alias("near"), F.concat(F.array(x["end"]), ends).alias("ends"))
 
-    if found.longest == 1:
+    if longest == 1:
         return F.transform(located(text, opens), alone).cast(OPENING)
-    tails = F.regexp_extract_all(text, F.lit(f"{opens}(?=((?:{P.S}++{P.TERM_TOKEN}+){{0,{found.longest - 1}}}))"), F.lit(1))
+    tails = F.regexp_extract_all(text, F.lit(f"{opens}(?=((?:{P.S}++{P.TERM_TOKEN}+){{0,{longest - 1}}}))"), F.lit(1))
     cut = lambda tail: F.split(tail, f"(?<={P.TERM_TOKEN[:-1]})(?={P.S})", -1)
     return F.zip_with(located(text, opens), tails, lambda x, tail: F.when(tail == "", alone(x)).otherwise(let(cut(tail), lambda parts: followed(x, parts)))).cast(OPENING)
 
@@ -114,18 +110,6 @@ def odd_hits(found: Index) -> Column:
     return F.concat(*(F.transform(located(F.col("text"), P.whole_term(t)), numbered(k)) for k, t in enumerate(found.odd_terms))).cast(ODD_HIT)
 
 
-def anchors(found: Index) -> Column:
-    """What an odd term of a large dictionary may be joined by: the tokens of text, and as far as terms ask for them its symbols and nothing."""
-    kinds = [P.TERM_TOKEN, *([_SYMBOL] if found.symbols else [])]
-    parts = [F.transform(F.regexp_extract_all(F.col("text"), F.lit(f"({k})"), F.lit(1)), _folded) for k in kinds]
-    return F.array_distinct(F.concat(*parts, *([F.array(F.lit(""))] if found.blanks else [])))
-
-
-def anchored_hits() -> Column:
-    """Matches of the odd term that an anchor was joined to: start, end, value."""
-    return located(F.col("text"), F.col("_pattern"))
-
-
 def marked(segments: DataFrame) -> DataFrame:
     """Adds what is asked of a segment once: its code spans and whether it has a finite verb."""
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
@@ -147,16 +131,19 @@ def matches(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     Terms are matched in either case and across any white space, each on its own: overlapping terms all count.
     """
-    found, segments = index(dictionary), marked(segments)
-    hit = segments.withColumn("_o", F.explode(openings(found))).join(found.plain, F.col("_o.first") == F.col("_first"))
-    hit = hit.where(goes_on(F.col("_o"), F.col("words"))).withColumns({"start": F.col("_o.start"), "end": F.get("_o.ends", F.size("words") - 1)}).drop("_o", "_first")
-    if found.odd is not None:
-        if found.first is not None:
+    return found_in(segments, index(dictionary))
+
+
+def found_in(segments: DataFrame, found: Index | JoinedIndex) -> DataFrame:
+    segments = marked(segments)
+    if isinstance(found, JoinedIndex):
+        hit = joined_terms.matches(segments, found, _folded, _SYMBOL)
+    else:
+        hit = segments.withColumn("_o", F.explode(openings(found.first, found.longest))).join(found.plain, F.col("_o.first") == F.col("_first"))
+        hit = hit.where(goes_on(F.col("_o"), F.col("words"))).withColumns({"start": F.col("_o.start"), "end": F.get("_o.ends", F.size("words") - 1)}).drop("_o", "_first")
+        if found.odd is not None:
             more = segments.select("*", F.explode(odd_hits(found)).alias("_m")).join(found.odd, F.col("_m.k") == F.col("_k")).drop("_k")
-        else:
-            more = segments.withColumn("_a", F.explode(anchors(found))).join(found.odd, F.col("_a") == F.col("_anchor"))
-            more = more.withColumn("_m", F.explode(anchored_hits())).drop("_a", "_anchor", "_pattern")
-        hit = hit.unionByName(more.withColumns({"start": F.col("_m.start"), "end": F.col("_m.end")}).drop("_m"))
+            hit = hit.unionByName(more.withColumns({"start": F.col("_m.start"), "end": F.col("_m.end")}).drop("_m"))
     hit = hit.where(outside(F.col("start"), F.col("end"))).drop("_code")
     return hit.withColumn("match", F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")))
 
@@ -170,9 +157,29 @@ def unless_allowed(hits: DataFrame) -> DataFrame:
     return hits.where(~allowed(F.col("term"), F.col("start"), F.col("end")))
 
 
-def phrase_spans(phrases: list[str]) -> dict[str, Column]:
-    """Where each phrase stands in text, by phrase."""
-    return {p: F.transform(located(F.col("text"), P.whole_term(p)), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))) for p in phrases}
+_PHRASE = "first string, phrase string, words array<string>"
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def phrase_spans(phrases: list[str]) -> Column:
+    """Where those of the phrases that are allowed for the file (column phrases) stand in text.
+
+    Places are found like those of terms: one pattern of all first words, and a look-up of the phrases that begin with each.
+    Phrases of odd characters, or that could begin again within themselves, have a pattern each.
+    """
+    is_odd = lambda p: not re.match(rf"^{_PY_TOKEN}( {_PY_TOKEN})*\Z", p) or "\u0130" in p or p.split(" ")[0] in p.split(" ")[1:]
+    odd = [p for p in phrases if is_odd(p)]
+    plain = [{"first": p.split(" ")[0], "phrase": p, "words": p.split(" ")} for p in phrases if not is_odd(p)]
+    if not phrases:
+        return F.expr(f"cast(array() as {_SPANS})")
+    span = lambda start, end: F.struct(start.alias("start"), end.alias("end"))
+    parts = [F.when(F.array_contains("phrases", p), F.transform(located(F.col("text"), P.whole_term(p)), lambda m: span(m["start"], m["end"]))).otherwise(F.expr(f"cast(array() as {_SPANS})")) for p in odd]
+    if plain:
+        known = table_of(plain, "first", _PHRASE)
+        here = lambda o: F.filter(known(o["first"]), lambda p: F.array_contains("phrases", p["phrase"]) & goes_on(o, p["words"]))
+        opened = openings(sorted({p["first"] for p in plain}), max(len(p["words"]) for p in plain))
+        parts.append(F.flatten(F.transform(opened, lambda o: F.transform(here(o), lambda p: span(o["start"], F.get(o["ends"], F.size(p["words"]) - 1))))))
+    return F.when(F.size("phrases") > 0, F.concat(*parts)).otherwise(F.expr(f"cast(array() as {_SPANS})")).cast(_SPANS)
 
 
 def candidates(senses: Column, pos: Column) -> Column:
@@ -247,27 +254,27 @@ def findings(hits: DataFrame) -> DataFrame:
 
 def with_rules(segments: DataFrame, found: Index, rule_findings: Column) -> DataFrame:
     """Structural and dictionary findings in one pass over segments: both kinds are exploded together, and only openings meet the dictionary."""
-    large = found.first is None
-    odd_kind = "string" if large else _ODD_HIT
+    if isinstance(found, JoinedIndex):
+        own = segments.select("file", F.lit(1).alias("pass"), "seg_ord", F.explode(rule_findings).alias("f"))
+        own = own.select("file", "pass", "seg_ord", "f.rank", "f.offset", "f.line", "f.rule_code", "f.severity", "f.message", "f.suggestion")
+        return own.unionByName(findings(unless_allowed(found_in(segments, found))))
+    odd_kind = _ODD_HIT
     rule = f"array<struct<f:{FINDING},o:{_OPENING},m:{odd_kind}>>"
     null = lambda kind: F.lit(None).cast(kind)
     parts = [
         F.transform(rule_findings, lambda f: F.struct(f.alias("f"), null(_OPENING).alias("o"), null(odd_kind).alias("m"))).cast(rule),
-        F.transform(openings(found), lambda o: F.struct(null(FINDING).alias("f"), o.alias("o"), null(odd_kind).alias("m"))).cast(rule),
+        F.transform(openings(found.first, found.longest), lambda o: F.struct(null(FINDING).alias("f"), o.alias("o"), null(odd_kind).alias("m"))).cast(rule),
     ]
     if found.odd is not None:
-        own = anchors(found) if large else odd_hits(found)
-        parts.append(F.transform(own, lambda m: F.struct(null(FINDING).alias("f"), null(_OPENING).alias("o"), m.alias("m"))).cast(rule))
+        parts.append(F.transform(odd_hits(found), lambda m: F.struct(null(FINDING).alias("f"), null(_OPENING).alias("o"), m.alias("m"))).cast(rule))
     rows = marked(segments).withColumn("_u", F.explode(F.concat(*parts))).join(found.plain, F.col("_u.o.first") == F.col("_first"), "left")
     entry = ("term", "senses", "unactionable", "self_ref", "guessed", "term_length")
     is_rule, here = F.col("_u.f").isNotNull(), F.col("_first").isNotNull() & goes_on(F.col("_u.o"), F.col("words"))
     start, end = F.col("_u.o.start"), F.get("_u.o.ends", F.size("words") - 1)
     if found.odd is not None:
-        odd = found.odd.select(*(F.col(c).alias(f"_{c}") for c in entry), *(("_anchor", "_pattern") if large else ("_k",)))
-        rows = rows.join(odd, F.col("_u.m") == F.col("_anchor") if large else F.col("_u.m.k") == F.col("_k"), "left").withColumns({c: F.coalesce(c, f"_{c}") for c in entry})
-        if large:
-            rows = rows.withColumn("_m", F.explode_outer(F.when(F.col("_pattern").isNotNull(), anchored_hits())))
-        m = F.col("_m") if large else F.col("_u.m")
+        odd = found.odd.select(*(F.col(c).alias(f"_{c}") for c in entry), "_k")
+        rows = rows.join(odd, F.col("_u.m.k") == F.col("_k"), "left").withColumns({c: F.coalesce(c, f"_{c}") for c in entry})
+        m = F.col("_u.m")
         here, start, end = here | m["start"].isNotNull(), F.coalesce(start, m["start"]), F.coalesce(end, m["end"])
     rows = rows.where(is_rule | here).withColumns({"is_rule": is_rule, "start": start, "end": end})
     let_by = F.col("is_rule") | (outside(F.col("start"), F.col("end")) & ~allowed(F.col("term"), F.col("start"), F.col("end")))

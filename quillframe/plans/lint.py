@@ -15,15 +15,13 @@ DIAGNOSTIC = ("file", "line", "column", "rule_code", "severity", "message", "sug
 
 
 def prepared(docs: DataFrame, config: Config) -> DataFrame:
-    """Segments of (file, content) with what the settings come to for the file."""
-    return settings.resolved(markdown.segments(docs), config)
+    """Segments of (file, content) with what the settings come to for the file, worked out once a document."""
+    return markdown.segments(settings.resolved(docs.select("file", "content"), config), more=("mode", "rules", "allowed", "phrases"))
 
 
 def with_phrase_spans(segments: DataFrame, config: Config) -> DataFrame:
     """Adds phrase_spans: where the phrases allowed for the file stand in the segment."""
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    own = [F.when(F.array_contains("phrases", p), s).otherwise(none) for p, s in terms.phrase_spans(settings.all_phrases(config)).items()]
-    return segments.withColumn("phrase_spans", F.concat(*own) if own else none)
+    return segments.withColumn("phrase_spans", terms.phrase_spans(settings.all_phrases(config)))
 
 
 def dictionary_findings(segments: DataFrame, dictionary: DataFrame, config: Config) -> DataFrame:

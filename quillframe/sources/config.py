@@ -1,21 +1,21 @@
 """Settings: a YAML file, its parts, and what they come to for each file.
 
 Scalars are read as text and cast where they are used, so that ``off`` stays a
-severity. Unknown keys are ignored. Profiles are few and known on the driver,
-so what a file gets is a column expression over its path: no join, no shuffle.
+severity. Unknown keys are ignored. Profiles are known on the driver, so what a
+file gets is a column expression over its path and a constant table of profiles by folder: no join, no shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let, table_of
 from ..operators import lexicon
-from .globs import glob_regex
+from .globs import folder_of, glob_regex
 
 try:
     import yaml
@@ -178,38 +178,46 @@ def dictionary(spark: SparkSession, config: Config) -> DataFrame:
     return lexicon.merged(*layers, removed=(*own.allow, *own.ignore))
 
 
-def _matches(file: Column, profile: Profile) -> Column:
-    return file.rlike(glob_regex(profile.glob))
+def _setting(p: Profile, place: int) -> dict:
+    lower = lambda words: [w.lower() for w in words]
+    return {"folder": folder_of(p.glob), "place": place, "regex": glob_regex(p.glob), "mode": p.mode, "allow": lower(p.allow + p.ignore), "phrases": lower(p.allow_in_phrase)} | {k: p.rules.get(k) for k in KNOBS}
 
 
-def mode_of(file: Column, config: Config) -> Column:
-    """The first matching profile that sets one, else the default."""
-    return F.coalesce(*(F.when(_matches(file, p), p.mode) for p in config.profiles if p.mode), F.lit(config.default_mode))
+_KINDS = {bool: "boolean", int: "int", str: "string"}
+_PROFILE = "folder string, place int, regex string, mode string, allow array<string>, phrases array<string>, " + ", ".join(f"{k} {_KINDS[type(v)]}" for k, v in KNOBS.items())
 
 
-def rules_of(file: Column, config: Config) -> Column:
-    """All knobs: of matching profiles the last that sets it, else the general one."""
-    values = []
-    for knob, value in config.all_rules().items():
-        own = [F.when(_matches(file, p), F.lit(p.rules[knob])) for p in reversed(config.profiles) if knob in p.rules]
-        values.append(F.coalesce(*own, F.lit(value)).alias(knob))
-    return F.struct(*values)
+def matching(file: Column, config: Config) -> Column:
+    """The profiles whose glob matches a path, in their order.
 
+    A profile is looked up by the folder that its glob names before any wildcard, among the folders of the path; so of
+    thousands of profiles only those are tried by pattern that could match.
+    """
+    found = table_of([_setting(p, i) for i, p in enumerate(config.profiles)], "folder", _PROFILE)
+    parts = F.split(F.lower(file), "/", -1)
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    hits = F.filter(F.flatten(F.transform(folders, found)), lambda p: F.rlike(file, p["regex"]))
+    return F.array_sort(F.transform(hits, lambda p: F.struct(p["place"].alias("place"), p.alias("p"))))
 
-def _union(file: Column, general: list[str], own: list[tuple[Profile, list[str]]]) -> Column:
-    """Distinct lower-case entries, the general ones first."""
-    lists = [F.array(*(F.lit(t.lower()) for t in general)).cast("array<string>")]
-    lists += [F.when(_matches(file, p), F.array(*(F.lit(t.lower()) for t in terms))).otherwise(F.array().cast("array<string>")) for p, terms in own if terms]
-    return F.array_distinct(reduce(F.concat, lists))
 
+def _last(profiles: Column, knob: str) -> Column:
+    return F.try_element_at(F.filter(profiles, lambda x: x["p"][knob].isNotNull()), F.lit(-1))["p"][knob]
 
-def allowed_of(file: Column, config: Config) -> Column:
-    own = config.dictionary
-    return _union(file, own.allow + own.ignore, [(p, p.allow + p.ignore) for p in config.profiles])
 
+def _settings(profiles: Column, config: Config) -> Column:
+    """What matching profiles come to: the first mode, the last value of each knob, all words."""
+
+    def union(general: list[str], name: str) -> Column:
+        own = F.array(*(F.lit(t.lower()) for t in general)).cast("array<string>")
+        return F.array_distinct(F.concat(own, F.flatten(F.transform(profiles, lambda x: x["p"][name]))))
 
-def phrases_of(file: Column, config: Config) -> Column:
-    return _union(file, config.dictionary.allow_in_phrase, [(p, p.allow_in_phrase) for p in config.profiles])
+    own = config.dictionary
+    return F.struct(
+        F.coalesce(F.get(F.filter(profiles, lambda x: x["p"]["mode"].isNotNull()), 0)["p"]["mode"], F.lit(config.default_mode)).alias("mode"),
+        F.struct(*(F.coalesce(_last(profiles, k), F.lit(v)).alias(k) for k, v in config.all_rules().items())).alias("rules"),
+        union(own.allow + own.ignore, "allow").alias("allowed"),
+        union(own.allow_in_phrase, "phrases").alias("phrases"),
+    )
 
 
 def all_phrases(config: Config) -> list[str]:
@@ -218,6 +226,8 @@ def all_phrases(config: Config) -> list[str]:
 
 
 def resolved(df: DataFrame, config: Config, file: str = "file") -> DataFrame:
-    """Adds mode, rules, allowed and phrases to rows with a path."""
-    path = F.col(file)
-    return df.withColumns({"mode": mode_of(path, config), "rules": rules_of(path, config), "allowed": allowed_of(path, config), "phrases": phrases_of(path, config)})
+    """Adds mode, rules, allowed and phrases to rows with a path; a null path gets the general ones."""
+    path = F.coalesce(F.col(file), F.lit(""))
+    none = F.expr(f"cast(array() as array<struct<place:int,p:struct<{_PROFILE}>>>)")
+    found = F.when(F.col(file).isNull(), none).otherwise(matching(path, config)) if config.profiles else none
+    return df.withColumn("_settings", let(found, lambda p: _settings(p, config))).withColumns({c: F.col(f"_settings.{c}") for c in ("mode", "rules", "allowed", "phrases")}).drop("_settings")

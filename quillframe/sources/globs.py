@@ -20,6 +20,13 @@ def glob_regex(glob: str) -> str:
     return f"(?i)^{out}$"
 
 
+def folder_of(glob: str) -> str:
+    """The folder, in lower case and without a closing slash, that all paths of a glob are below; empty where it begins with a wildcard."""
+    parts = glob.replace("\\", "/").removeprefix("./").split("/")[:-1]
+    plain = next((i for i, p in enumerate(parts) if "*" in p), len(parts))
+    return "/".join(parts[:plain]).lower()
+
+
 def selects(path: str, include: list[str], exclude: list[str]) -> bool:
     hit = lambda globs: any(re.match(glob_regex(g), path) for g in globs)
     return hit(include) and not hit(exclude)

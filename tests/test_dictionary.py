@@ -1,9 +1,11 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.operators import lexicon, terms
+from quillframe.operators import joined_terms, lexicon, terms
 from quillframe.operators.pos import guess
-from quillframe.plans.lint import dictionary_findings, findings, prepared
+from quillframe.plans.lint import dictionary_findings, findings, prepared, with_phrase_spans
 from quillframe.sources.config import Config, DictionaryConfig, Profile
 
 POS = [
@@ -121,3 +123,49 @@ def test_large_dictionary_with_blank_terms(spark, docs, monkeypatch):
     assert (" ", 9, 10) in few
     monkeypatch.setattr(terms, "BROADCAST_TERMS", 2)
     assert sorted((r["term"], r["start"], r["end"]) for r in terms.matches(frame, entries).collect()) == few
+
+
+def test_large_dictionary_with_long_terms_and_repeats(spark, docs, monkeypatch):
+    """Terms of three words and more are compared with the text; files that repeat each get their own matches."""
+    entries = lexicon.table(spark, [(t, (("any", ("other",)),)) for t in ("out of the way", "out of", "of the", "the way it goes", "way")])
+    texts = [("a.md", "Out  of the\nway it goes. out of the, way."), ("a.md", "Out  of the\nway it goes. out of the, way."), (None, "of the way it\tgoes; the way it-goes")]
+    matched = lambda: sorted(map(str, terms.matches(prepared(docs(*texts), Config()), entries).select("file", "term", "start", "end", "match").collect()))
+    few = matched()
+    assert len(few) > 10
+    monkeypatch.setattr(terms, "BROADCAST_TERMS", 2)
+    assert matched() == few
+
+
+def test_large_dictionary_shuffles_in_proportion(spark, docs, monkeypatch):
+    """A paragraph four times as long costs four times the bytes, and places without a match none; the join has no null keys."""
+    monkeypatch.setattr(terms, "BROADCAST_TERMS", 2)
+    entries = lexicon.table(spark, [(f"term{i}", (("any", ("other",)),)) for i in range(50)])
+    found = terms.index(entries)
+
+    def shuffled(n):
+        text = " ".join(f"term{i % 50}" if i % 3 == 0 else f"plain{i}" for i in range(n))
+        hits = terms.found_in(prepared(docs(text), Config()), found)
+        rows = joined_terms.keys_of(F.col("text"), terms._folded, terms._SYMBOL, found)
+        kept = prepared(docs(text), Config()).select(F.explode(rows).alias("k")).where(found.may_hold(F.col("k.key")))
+        assert kept.where("k.key is null").count() == 0 and kept.count() < n // 3 + n // 50
+        store = spark.sparkContext._jsc.sc().statusStore()
+        total = lambda: store.executorList(True).apply(0).totalShuffleWrite()
+        time.sleep(1)
+        before = total()
+        assert hits.count() == -(-n // 3)
+        time.sleep(1)
+        return total() - before
+
+    shuffled(300)
+    small, large = shuffled(2000), shuffled(8000)
+    assert large < 6 * small
+
+
+def test_ten_thousand_phrases(spark, docs):
+    """The plan has no pattern a phrase."""
+    phrases = [f"word{i} of phrase" for i in range(10_000)] + ["c++ code", "Fuel mix", "go go on", "fuel"]
+    config = Config(dictionary=DictionaryConfig(allow_in_phrase=phrases))
+    began = time.time()
+    rows = with_phrase_spans(prepared(docs("The fuel  MIX is word77 of\nphrase, word9999 of phrases; c++ code go go go on."), config), config).select("text", "phrase_spans").collect()
+    told = sorted(rows[0]["text"][s["start"] : s["end"]] for s in rows[0]["phrase_spans"])
+    assert told == ["c++ code", "fuel", "fuel  MIX", "go go on", "word77 of phrase"] and time.time() - began < 30

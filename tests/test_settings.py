@@ -1,10 +1,14 @@
+import random
+import re
+import time
+
 import pytest
 
 from quillframe.operators import lexicon
 from quillframe.sources import config as settings
-from quillframe.sources.config import Config, ConfigError, Profile
+from quillframe.sources.config import Config, ConfigError, DictionaryConfig, Profile, resolved
 from quillframe.sources.files import UnsafePathError, read_files, safe_join
-from quillframe.sources.globs import selects
+from quillframe.sources.globs import glob_regex, selects
 
 FULL = """
 include: [docs/**/*.md]
@@ -83,3 +87,27 @@ def test_files(tmp_path, spark):
 def test_seed(spark):
     rows = lexicon.embedded(spark).collect()
     assert len({r["term"] for r in rows}) == len(rows) and all(s["pos"] in lexicon.PARTS for r in rows for s in r["senses"])
+
+
+def test_thousands_of_profiles(spark):
+    """Five thousand profiles plan in seconds, and come to what a plain reading of them does."""
+    r = random.Random(4)
+    part = lambda: r.choice(["a", "B", "c1", "d"])
+    shapes = [lambda: f"{part()}/**", lambda: f"{part()}/{part()}/*.md", lambda: f"{part()}/x{r.randrange(2000)}/**", lambda: f"{part()}*/{part()}/**/*.md", lambda: "**/n%d.md" % r.randrange(3), lambda: f"./{part()}\\{part()}\\", lambda: f"{part()}/y*/z.md"]
+    profiles = []
+    for i in range(5000):
+        glob = r.choice(shapes)() if i % 25 == 0 else shapes[2]()
+        profiles.append(Profile(glob, r.choice([None, "procedure", "descriptive"]), r.choice([{}, {"max_words_procedure": i}, {"ing_form": "off", "allow_semicolons": True}]), [f"T{i % 7}"], [], [f"P {i % 5}"] if i % 3 else []))
+    config = Config(profiles=profiles, dictionary=DictionaryConfig(allow=["X"]))
+    files = ["a/b/n1.md", "B/x17/q.md", "c1/d/e/f.md", "d/y7/z.md", "n2.md", "A/B/k.MD", "other", "", None] + [f"{part()}/x{r.randrange(2000)}/t.md" for _ in range(60)]
+    began = time.time()
+    got = resolved(spark.createDataFrame([(f,) for f in files], "file string"), config).collect()
+    assert time.time() - began < 60
+    for f, row in zip(files, got):
+        own = [p for p in profiles if f is not None and re.match(glob_regex(p.glob), f)]
+        knobs = config.all_rules()
+        for p in own:
+            knobs |= p.rules
+        assert row["mode"] == next((p.mode for p in own if p.mode), "descriptive") and row["rules"].asDict() == knobs
+        assert row["allowed"] == list(dict.fromkeys(["x", *(t.lower() for p in own for t in p.allow)]))
+        assert row["phrases"] == list(dict.fromkeys(t.lower() for p in own for t in p.allow_in_phrase))
