@@ -11,6 +11,7 @@ import re
 import sys
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -36,6 +37,8 @@ _OWN: dict[str, str] = {}
 #: Scratch folders written so far, by application, and those of the ``settled`` calls that run now.
 _WRITTEN: dict[str, set[str]] = {}
 _SCOPES: list[set[str]] = []
+#: Where kept tables lie, by the id of the object; the object itself tells whether it is still that one.
+_PLACES: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,7 +73,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = weakref.ref(out), path
+    return out
+
+
+def forget(*kept: DataFrame) -> None:
+    """Remove tables that ``keep`` gave, once all that is made from them is written."""
+    for df in kept:
+        ref, path = _PLACES.pop(id(df), (None, None))
+        if ref and ref() is df:
+            _remove(df.sparkSession, {path})
 
 
 def _remove(spark: SparkSession, paths: set[str]) -> None:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, components, fresh, groups_of, keep, list_array, mix, rows_under, small, tidy, WordHash
+from .common import by_batches, components, forget, fresh, groups_of, keep, list_array, mix, rows_under, small, tidy, WordHash
 
 #: Groups of the count vectors.
 VECTOR = 128
@@ -314,18 +314,29 @@ def labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     # a node has a row a key, or more where rows repeat: keys with one node alone that pass here go below
     found = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     # many keys are open in any large corpus, so they are never broadcast
-    members = keep(dealt.join(keep(found, "open-keys").hint("merge"), "key").select("key", "node").distinct(), "members")
+    found = keep(found, "open-keys")
+    opened = keep(dealt.join(found.hint("merge"), "key").select("key", "node").distinct(), "members")
+    # what is read no more goes, as keys are the most of what is written
+    slim = keep(marks.drop("keys"), "sizes")
+    classes = slim.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    forget(found, copied, marks)
     # trees with the same members: one is enough
-    shapes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.sum(F.hash("node").cast("long")).alias("h1"), F.sum(F.hash(F.col("node") + F.lit(1)).cast("long")).alias("h2"))
+    shapes = opened.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.sum(F.hash("node").cast("long")).alias("h1"), F.sum(F.hash(F.col("node") + F.lit(1)).cast("long")).alias("h2"))
     trees = shapes.where("size > 1").groupBy("size", "lo", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size")
-    members = keep(members.join(trees, "key"), "trees")
+    members = keep(opened.join(trees, "key"), "trees")
+    forget(opened)
 
     def described(nodes: DataFrame, whole: bool) -> DataFrame:
         wanted = keep(nodes.distinct().join(classes, "node").select(F.col("rep").alias("doc_id"), "node"), "wanted")
-        return keep(points(docs, wanted, k, id_col, text_col, whole), "grams" if whole else "points")
+        out = keep(points(docs, wanted, k, id_col, text_col, whole), "grams" if whole else "points")
+        forget(wanted)
+        return out
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return keep(verified(pairs, described(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), True), percent), "links")
+        grams = described(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), True)
+        out = keep(verified(pairs, grams, percent), "links")
+        forget(grams)
+        return out
 
     vectors = described(members.select("node"), False).select("node", "n", "counts")
 
@@ -349,7 +360,7 @@ def labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     least = reached.groupBy("comp").agg(F.min("rep").alias("component_id"))
     alone = classes.join(comp, "node", "left_anti").where("size > 1").select("node", F.col("rep").alias("component_id"), F.col("node").alias("comp"))
     target = reached.join(least, "comp").select("node", "component_id", "comp").union(alone)
-    out = marks.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node").join(target, "node", "left")
+    out = slim.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "node").join(target, "node", "left")
     named = F.col("doc_id").isNotNull()
     return out.select("doc_id", "n_shingles", F.when(named, F.coalesce("component_id", "doc_id")).alias("component_id"), "text_hash", F.when(named, F.col("comp")).alias("comp"))
 
