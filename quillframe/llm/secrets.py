@@ -4,13 +4,16 @@ Known forms are found by pattern. Further strings that stand in a sensitive
 context are candidates: each is measured by its marginal compressed bytes, what
 it adds to the compressed size of the code around it when the compressor
 already knows common identifiers. Prose, paths and names cost little; keys do
-not compress, and what stays above ``BITS`` a character, and ``TOTAL`` in all, is
-reported. A name and the value assigned to it without a space are told apart first.
+not compress. A random string costs about what its alphabet asks (3.3 bits a digit, 4.7 a
+letter of one case, 6 where all are mixed), whatever its length; what costs at least ``SHARE`` of
+that, and ``TOTAL`` or ``TOTAL_PLAIN`` bits in all, is reported. A name and the value assigned to it without a space are told
+apart first.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -21,14 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import by_batches
 
-#: Least marginal bits a character, and in all, of a reported string: the second asks more of short ones, to which the compressor's own overhead adds.
-BITS, TOTAL = 5.4, 64
-#: From so many characters the compressor codes what it has not seen by frequency, and this many bits a character are asked.
-LONG, LONG_BITS = 128, 4.2
+#: Least share of the bits that a random string of the same alphabet has.
+SHARE = 0.9
+#: Least marginal bits in all. Where letters and digits change kind no more often than every ``WORDED`` characters, as in names made of words, more is asked, and of the longest piece of one kind: words and numbers are such pieces, but seldom so long.
+TOTAL, TOTAL_PLAIN, WORDED = 64, 88, 4
 #: Least characters of a candidate: fewer cannot hold ``TOTAL``.
 LEAST = 8
-#: Of a candidate without digits, the least share of letters after which the case changes; names change it a few times at most.
-RESTLESS = 0.3
 #: Share of letters in known words from which a string is a name, whatever is between them.
 SPELT = 0.6
 #: Characters of surrounding code on either side, and how far a sensitive word may stand before.
@@ -123,14 +124,35 @@ _KNOWN = {w for w in re.findall("[a-z]{4,}", IDENTIFIERS.lower()) if len(w) < 20
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def unlike_a_name(value: str) -> bool:
-    """Whether a string is not spelt from known words, and has digits among letters, or letters whose case keeps changing."""
+_PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+
+
+def spelt(value: str) -> bool:
+    """Whether a string is spelt from known words, whatever is between them."""
     letters = sum(c.isalpha() for c in value)
-    if not letters or sum(len(w) for w in _NAME_PART.findall(value) if w.lower() in _KNOWN) >= SPELT * letters:
+    return letters > 0 and sum(len(w) for w in _NAME_PART.findall(value) if w.lower() in _KNOWN) >= SPELT * letters
+
+
+def random_bits(value: str) -> float:
+    """Bits a character of a random string of the least usual alphabet that has all letters and digits of this one."""
+    digits, lower, upper = (any(test(c) for c in value) for test in (str.isdigit, str.islower, str.isupper))
+    if (digits or lower or upper) and not (lower and upper) and digits and all(c in "0123456789abcdefABCDEF" or not c.isalnum() for c in value):
+        return 4.0 if lower or upper else math.log2(10)
+    return math.log2(max(10, 10 * digits + 26 * lower + 26 * upper))
+
+
+def is_novel(text: str, start: int, end: int, novelty: Novelty) -> bool:
+    """Whether a string costs what a random one does."""
+    value = text[start:end]
+    if spelt(value):
         return False
-    if any(c.isdigit() for c in value):
-        return True
-    return sum(a.islower() != b.islower() for a, b in zip(value, value[1:]) if a.isalpha() and b.isalpha()) >= RESTLESS * letters
+    pieces = list(_PIECE.finditer(value))
+    plain = bool(pieces) and sum(len(m[0]) for m in pieces) >= WORDED * len(pieces)
+    if plain:
+        longest = max(pieces, key=lambda m: len(m[0]))
+        start, end = start + longest.start(), start + longest.end()
+    bits = novelty(text, start, end)
+    return bits >= SHARE * random_bits(text[start:end]) and bits * (end - start) >= (TOTAL_PLAIN if plain else TOTAL)
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int, int]]:
@@ -141,7 +163,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     for start, end, since in parts(text, base):
         if not _SENSITIVE.search(text, since, start):
             continue
-        if unlike_a_name(text[start:end]) and novelty(text, start, end) >= (LONG_BITS if end - start >= LONG else max(BITS, TOTAL / (end - start))):
+        if is_novel(text, start, end, novelty):
             out.append((start, end, 3))
     return out
 
