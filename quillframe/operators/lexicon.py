@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SENSE = "struct<pos:string,alternatives:array<string>,note:string>"
-SCHEMA = f"term string, senses array<{SENSE}>"
+SENSES = f"array<{SENSE}>"
+SCHEMA = f"term string, senses {SENSES}"
 PARTS = ("any", "noun", "verb", "adjective", "adverb")
 
 #: A dictionary of our own, a term a line: the term, then for each sense a part of speech and what to write instead.
@@ -230,6 +231,12 @@ def lookup(dictionary: DataFrame, term: str) -> DataFrame:
     return dictionary.where(F.lower("term") == term.lower())
 
 
+def lookups(dictionary: DataFrame, asked: DataFrame) -> DataFrame:
+    """The entries of the terms in column ``asked``, in any case: its columns, and senses; a term without an entry gives no row."""
+    key = lambda c: F.lower(F.col(c))
+    return asked.withColumn("_key", key("asked")).join(dictionary.select(key("term").alias("_key"), "senses"), "_key").drop("_key")
+
+
 def names_itself(sense: Column, term: Column) -> Column:
     return F.exists(sense["alternatives"], lambda a: F.lower(a) == F.lower(term))
 

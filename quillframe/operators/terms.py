@@ -65,12 +65,14 @@ class Index:
     longest: int
 
 
-def index(dictionary: DataFrame) -> Index | JoinedIndex:
+def index(dictionary: DataFrame, most: int | None = None) -> Index | JoinedIndex:
+    """A dictionary of up to ``most`` entries (``BROADCAST_TERMS``) is broadcast, a larger one joined."""
+    most = BROADCAST_TERMS if most is None else most
     spark = dictionary.sparkSession
     entries = described(dictionary.where("term is not null and term <> ''"))
     is_odd = _by_pattern(F.col("term"), F.col("words"))
-    few = entries.withColumn("_odd", is_odd).limit(BROADCAST_TERMS + 1).collect()
-    if len(few) > BROADCAST_TERMS:
+    few = entries.withColumn("_odd", is_odd).limit(most + 1).collect()
+    if len(few) > most:
         return joined_terms.index(entries, is_odd, _anchor, _SYMBOL)
     kinds = StructType([*entries.schema, StructField("_odd", BooleanType())])
     odd = [r for r in few if r["_odd"]]
@@ -126,12 +128,12 @@ def outside(start: Column, end: Column) -> Column:
     return ~F.exists("_code", lambda c: (start >= c["start"]) & (end <= c["end"]))
 
 
-def matches(segments: DataFrame, dictionary: DataFrame) -> DataFrame:
+def matches(segments: DataFrame, dictionary: DataFrame, most: int | None = None) -> DataFrame:
     """A row for every place where a term stands as a whole outside code: the segment's columns, the entry's, start, end, match.
 
     Terms are matched in either case and across any white space, each on its own: overlapping terms all count.
     """
-    return found_in(segments, index(dictionary))
+    return found_in(segments, index(dictionary, most))
 
 
 def found_in(segments: DataFrame, found: Index | JoinedIndex) -> DataFrame:

@@ -243,6 +243,12 @@ lint as (
   union all select file, line, 'STE100-DICT', 'error', message, suggestion, 2, seg_ord, -size, start from told)"""
 
 
+#: Words of three tables as the layers of a dictionary, the last of which counts.
+LAYERED = """words as (select 1 as layer, lower(text) as text from benchmark union all select 2, lower(text) from conversations union all select 3, lower(text) from documents),
+counted as (select layer, w, count(*) as n from (select layer, unnest(regexp_extract_all(text, '[a-z]{5,}')) as w from words) group by layer, w),
+layered as (select case layer when 1 then w when 2 then upper(w[1]) || w[2:] else upper(w) end as term, case layer when 1 then 'any' when 2 then 'noun' else 'verb' end as pos, n
+from counted where n >= case layer when 1 then 1 when 2 then 3 else 20 end and w not in ('there', 'which') qualify row_number() over (partition by w order by layer desc) = 1)"""
+
 ORACLES = {
     "lines": f"with {LINES} select file, line_no::int as line_no, raw from l0",
     "fence_filter": f"with {LINES} select file, line_no::int as line_no, raw from l2 where not fence and n_fences % 2 = 0",
@@ -251,6 +257,7 @@ ORACLES = {
     "headings": f"with {SEGMENTS} select file, line, text from seg where role = 'Heading'",
     "list_items": f"with {SEGMENTS} select file, seg_ord, line, text from seg where role = 'ListItem'",
     "table_cells": f"with {SEGMENTS} select file, seg_ord, line, text from seg where role = 'TableRow'",
+    "paragraph_fold_lines": f"with {SEGMENTS} select file, seg_ord, line, text, n_lines from seg where role = 'Paragraph'",
     "paragraph_fold": f"with {SEGMENTS} select file, seg_ord, line, text, n_lines from seg where role = 'Paragraph'",
     "code_spans": rf"with {SEGMENTS} select file, seg_ord, unnest(regexp_extract_all(text, '`[^`]*`')) as code from seg",
     "resolve_line": f"""with {SEGMENTS} select file, seg_ord, line::int as line, (line + n_lines - 1)::int as last_line from seg where role = 'Paragraph'""",
@@ -265,8 +272,12 @@ ORACLES = {
     "rule_ing_form": f"with {PLACES}, s as ({ING}) select file, seg_ord, {at_line('s', 'begins')} as line, begins as \"offset\", {ING_TEXT} from s",
     "rule_paragraph_length": f"""with {SENTENCES} select file, seg_ord, line, 'Paragraph has ' || n || ' sentences, exceeding the advisory limit of 6 (not an official STE100 rule).' as message
         from (select file, seg_ord, line, count(*) as n from sc where role = 'Paragraph' group by file, seg_ord, line) where n > 6""",
-    "dict_merge": """select * from (values ('utilize', 'verb', 'apply'), ('prior to', 'any', 'before'), ('Impact', 'noun', 'effect'), ('extra', 'any', 'more')) v(term, pos, alternatives)""",
+    "dict_merge": f"with {LAYERED} select term, pos, n::varchar as alternatives from layered",
     "dict_match": f"with {MATCHES} select file, seg_ord, term, count(*) as n from hit group by file, seg_ord, term",
+    "dict_match_large": rf"""with {TOKENS},
+        entry as (select term, string_split(term, ' ') as ws from (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) as term from benchmark union select distinct unnest(regexp_extract_all(lower(text), '[a-z]{{5,}} [a-z]{{5,}}')) from benchmark))
+        select term, count(*) as n from tok a join entry on a.w = ws[1] left join tok b on b.file = a.file and b.seg_ord = a.seg_ord and b.i = a.i + 1
+        where len(ws) < 2 or ws[1] <> ws[2] and a.open and b.w = ws[2] group by term""",
     "dict_file_allow": f"with {MATCHES} select term, count(*) as n from hit where not (term = 'shall' and (file like 'src1/%' or file like 'src2/%')) and term <> 'the' group by term",
     "dict_phrase_allow": f"""with {GUESSES}, phrase as ({placed("seg", "file, seg_ord", "text", f"(?i)the{S}+event{S}+of|utilize{S}+a{S}+lot{S}+of{S}+heat")})
         select term, count(*) as n from h1 join conf using (file) where term in ('event', 'in the event of', 'a lot of') and not (source like 'src1%'
@@ -279,7 +290,8 @@ ORACLES = {
         select '{{"filesChecked":' || (select count(distinct file) from md) || ',"errorCount":' || (select count(*) from lint where severity = 'error') || ',"warningCount":' || (select count(*) from lint where severity = 'warn') || '}}' as report
         union all select '{{"file":' || to_json(file) || ',"line":' || line || ',"column":null,"ruleCode":' || to_json(rule_code) || ',"severity":' || to_json(severity) || ',"message":' || to_json(message) || ',"suggestion":' || coalesce(to_json(suggestion)::varchar, 'null') || '}}' from lint""",
     "finding_order": f"with {LINT} select file, (row_number() over (partition by file order by pass, seg_ord, rank, begins))::int as place, rule_code, message from lint",
-    "dict_lookup": """select * from (values ('Impact', 'noun', 'effect'), ('Impact', 'verb', 'affect'), ('SHALL', 'verb', 'must'), ('prior To', 'any', 'before')) v(asked, pos, alternatives)""",
+    "dict_lookup": f"""with {LAYERED}, asked as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{{5,}}')) as asked from conversations)
+        select asked, pos, n::varchar as alternatives from asked join layered on lower(asked) = lower(term)""",
     "profile_mode": """select source || '/' || doc_id || '.md' as file, case when source = 'src1' then 'procedure' when source like 'src1%' then 'descriptive' when source = 'src2' then 'procedure' else 'descriptive' end as mode from documents""",
     "profile_rules": """select source || '/' || doc_id || '.md' as file, case when source like 'src1%' then 18 when source = 'src2' then 15 else 20 end::int as max_words_procedure,
         25::int as max_words_descriptive, source in ('src1') as allow_semicolons, case when source = 'src1' then 'error' when source like 'src1%' then 'off' else 'warn' end as passive_voice from documents""",

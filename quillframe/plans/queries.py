@@ -6,13 +6,11 @@ a heading, items, a table, a fenced block and paragraphs that trip the rules.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import resolve_line
-from ..operators import lexicon, markdown, rules, terms
+from ..operators import lexicon, line_blocks, markdown, rules, terms
 from ..sources import config as settings
 from ..sources.config import Config, DictionaryConfig, Profile
 from . import lint, report
@@ -111,6 +109,12 @@ def paragraph_fold(spark, sf_dir):
     return rows.select("file", "seg_ord", "line", "text", F.size("line_offsets").cast("long").alias("n_lines"))
 
 
+def paragraph_fold_lines(spark, sf_dir):
+    """``paragraph_fold`` from rows of lines, by scans over blocks of them."""
+    rows = line_blocks.segments(line_blocks.lines_of(markdown_docs(spark, sf_dir)), block=64).where("role = 'Paragraph'")
+    return rows.select("file", "seg_ord", "line", "text", F.size("line_offsets").cast("long").alias("n_lines"))
+
+
 def resolve_lines(spark, sf_dir):
     """The source lines of a paragraph's first and last characters."""
     rows = _segments(spark, sf_dir).where("role = 'Paragraph'")
@@ -171,12 +175,26 @@ def rule_paragraph_length(spark, sf_dir):
     return _structural(spark, sf_dir, "paragraph_length").select("file", "seg_ord", "line", "message")
 
 
+def _words(spark, sf_dir, name: str, pattern: str = "[a-z]{5,}", least: int = 1) -> DataFrame:
+    """(w, n): the words of a table's texts in lower case, and how often each occurs."""
+    texts = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({pattern})"), F.lit(1))).alias("w"))
+    return texts.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def _layered(spark, sf_dir) -> DataFrame:
+    """A dictionary in three layers, of the words of the benchmark, of conversations and of documents, which differ in case."""
+
+    def layer(name, term, pos, least):
+        sense = F.struct(F.lit(pos).alias("pos"), F.array(F.col("n").cast("string")).alias("alternatives"), F.lit(None).cast("string").alias("note"))
+        return _words(spark, sf_dir, name, least=least).select(term.alias("term"), F.array(sense).cast(lexicon.SENSES).alias("senses"))
+
+    w = F.col("w")
+    layers = layer("benchmark", w, "any", 1), layer("conversations", F.initcap(w), "noun", 3), layer("documents", F.upper(w), "verb", 20)
+    return lexicon.merged(*layers, removed=("THERE", "which"))
+
+
 def dict_merge(spark, sf_dir):
-    base = lexicon.table(spark, [("Utilize", (("verb", ("use",)),)), ("prior to", (("any", ("before",)),)), ("impact", (("verb", ("affect",)),)), ("gone", (("any", ()),))])
-    project = lexicon.table(spark, [("utilize", (("verb", ("employ",)),)), ("Impact", (("noun", ("effect",)),))])
-    inline = lexicon.table(spark, [("utilize", (("verb", ("apply",)),)), ("extra", (("any", ("more",)),))])
-    whole = lexicon.merged(base, project, inline, removed=("GONE",))
-    return whole.select("term", F.explode("senses").alias("s")).select("term", "s.pos", F.array_join("s.alternatives", ", ").alias("alternatives"))
+    return _layered(spark, sf_dir).select("term", F.explode("senses").alias("s")).select("term", "s.pos", F.array_join("s.alternatives", ", ").alias("alternatives"))
 
 
 def _hits(spark, sf_dir, config: Config) -> DataFrame:
@@ -188,6 +206,13 @@ def dict_match(spark, sf_dir):
     return _hits(spark, sf_dir, Config()).groupBy("file", "seg_ord", "term").agg(F.count("*").alias("n"))
 
 
+def dict_match_large(spark, sf_dir):
+    """Places of all words and pairs of words of the benchmark, as a dictionary that is joined."""
+    pairs = _words(spark, sf_dir, "benchmark", "[a-z]{5,} [a-z]{5,}").where(F.split("w", " ")[0] != F.split("w", " ")[1])
+    words = _words(spark, sf_dir, "benchmark").union(pairs).select(F.col("w").alias("term"), F.expr(f"cast(array() as {lexicon.SENSES})").alias("senses"))
+    return terms.matches(_segments(spark, sf_dir), words, most=0).groupBy("term").agg(F.count("*").alias("n"))
+
+
 def dict_file_allow(spark, sf_dir):
     config = Config(profiles=[Profile("src1/*", allow=["Shall"]), Profile("src2/*", ignore=["shall"])], dictionary=DictionaryConfig(ignore=["THE"]))
     return terms.unless_allowed(_hits(spark, sf_dir, config)).groupBy("term").agg(F.count("*").alias("n"))
@@ -268,10 +293,10 @@ def finding_order(spark, sf_dir):
 
 
 def dict_lookup(spark, sf_dir):
-    """Entries asked for in any case."""
-    every = lexicon.table(spark, ENTRIES)
-    found = [lexicon.lookup(every, t).select(F.lit(t).alias("asked"), F.explode("senses").alias("s")) for t in ("Impact", "SHALL", "prior To", "no such term")]
-    return reduce(DataFrame.unionByName, found).select("asked", "s.pos", F.array_join("s.alternatives", ", ").alias("alternatives"))
+    """Entries asked for in any case: for each word of the conversations as it is written."""
+    texts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{5,})"), F.lit(1))).alias("asked")).distinct()
+    found = lexicon.lookups(_layered(spark, sf_dir), texts).select("asked", F.explode("senses").alias("s"))
+    return found.select("asked", "s.pos", F.array_join("s.alternatives", ", ").alias("alternatives"))
 
 
 def label_summary(spark, sf_dir):
@@ -295,6 +320,7 @@ QUERIES = {
     "list_items": _of_role("ListItem", "file", "seg_ord", "line", "text"),
     "table_cells": _of_role("TableRow", "file", "seg_ord", "line", "text"),
     "paragraph_fold": paragraph_fold,
+    "paragraph_fold_lines": paragraph_fold_lines,
     "resolve_line": resolve_lines,
     "code_spans": code_spans,
     "sentence_split": sentence_split,
@@ -309,6 +335,7 @@ QUERIES = {
     "rule_paragraph_length": rule_paragraph_length,
     "dict_merge": dict_merge,
     "dict_match": dict_match,
+    "dict_match_large": dict_match_large,
     "dict_file_allow": dict_file_allow,
     "dict_phrase_allow": dict_phrase_allow,
     "pos_guess": pos_guess,
