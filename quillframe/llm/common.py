@@ -201,7 +201,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 #: Rows and bytes of a batch handled at once in a task.
-SLICE_ROWS, SLICE_BYTES = 2_000, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 2_000, 4 << 20
 
 
 def by_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict | None]], schema: str, whole: bool = False) -> DataFrame:

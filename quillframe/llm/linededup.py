@@ -45,7 +45,7 @@ LONG = 48
 #: Partners of a line verified first, under each prefix word.
 NEAREST = 4
 #: Characters, and pairs, handled at once in a task.
-CHUNK = 1_000_000
+CHUNK = 250_000
 #: Bytes of a word that are hashed by place.
 PLACES = 64
 
