@@ -132,17 +132,17 @@ fabricate: verb make
 facilitate: verb help
 feasible: adjective possible
 finalize: verb complete
-for the purpose of: any to, for
+for the purpose of: any for, so that
 for the reason that: any because
 forward: verb send
 frequently: adverb often
-function: noun job, purpose; verb work, operate
-furnish: verb give, supply
+function: noun task, role; verb act, run
+furnish: verb send, give
 furthermore: adverb also
 however: adverb but
 identical: adjective same
 illustrate: verb show
-impact: noun effect; verb affect
+impact: noun result, change; verb change, hit
 implement: verb do, start; noun tool
 inadvertent: adjective accidental
 in accordance with: any as in, by
@@ -187,7 +187,7 @@ subsequent: adjective next, later
 subsequently: adverb then, later
 subsequent to: any after
 sufficient: adjective enough
-terminate: verb stop, end
+terminate: verb end, finish
 therefore: adverb thus, so
 transmit: verb send
 utilization: noun use

@@ -33,17 +33,17 @@ SEED = [
     ("empty", ()),
 ]
 CASES = [
-    ("Please utilize the tool.", ["Avoid 'utilize'; use 'use' instead."]),
-    ("Check the oil prior\nto driving.", ["Avoid 'prior to'; use 'before' instead."]),
-    ("The tool was utilized yesterday, and re-utilize or utilize-d.", []),
-    ("Check the utilize option.", []),
-    ("The impact was clear.", ["Avoid 'impact'; use 'effect' instead (used as a noun)."]),
-    ("This will impact the results.", ["Avoid 'impact'; use 'affect' instead (used as a verb)."]),
+    ("Please utilize a rope.", ["Avoid 'utilize'; use 'use' instead."]),
+    ("Wash a boat prior\nto painting.", ["Avoid 'prior to'; use 'before' instead."]),
+    ("A rope was utilized at noon, and re-utilize or utilize-d.", []),
+    ("Turn the utilize knob.", []),
+    ("An impact is loud.", ["Avoid 'impact'; use 'effect' instead (used as a noun)."]),
+    ("Rain could impact our harvest.", ["Avoid 'impact'; use 'affect' instead (used as a verb)."]),
     ("They discuss Impact sometimes. The team operates daily.", ["Ambiguous part of speech for 'Impact' — possible corrections: as a noun, use 'effect'; as a verb, use 'affect'."]),
     ("They produce a lot of heat.", ["Avoid 'a lot of'; use 'much', 'many', 'plenty', or 'lots' instead."]),
     ("Use `utilize` and `prior to` here.", []),
     ("They discuss test sometimes. The team operates daily.", []),
-    ("The support was there.", []),
+    ("Our support is here.", []),
     ("Write C++ code.", ["Avoid 'C++'; it is not an approved ASD-STE100-style term."]),
     ("They go go go go away.", ["Avoid 'go go'; use 'run' instead."] * 2),
     ("They discuss empty sometimes. The team operates daily.", ["Ambiguous part of speech for 'empty' — possible corrections: ."]),
@@ -73,10 +73,10 @@ def test_findings(spark, entries):
 
 def test_allowances(spark, docs, entries):
     config = Config(
-        profiles=[Profile("a/*", allow=["UTILIZE"], allow_in_phrase=["Swish mix"])],
+        profiles=[Profile("a/*", allow=["UTILIZE"], allow_in_phrase=["Garden mix"])],
         dictionary=DictionaryConfig(ignore=["a lot of"]),
     )
-    text = "Please utilize a lot of tools. Fill the swish\nmix tank, then check the fuel mix."
+    text = "Please utilize a lot of ropes. Stir a garden\nmix bowl, and then smell our soup mix."
     got = dictionary_findings(prepared(docs(("a/x.md", text), ("b/x.md", text)), config), entries, config).collect()
     assert sorted((r["file"], r["message"].split("'")[1]) for r in got) == [("a/x.md", "mix"), ("b/x.md", "mix"), ("b/x.md", "mix"), ("b/x.md", "utilize")]
 

@@ -5,15 +5,15 @@ from quillframe.functions.text import located, running_sum
 from quillframe.operators.sentences import sentences
 
 CASES = [
-    ("First sentence. Second sentence.", [("First sentence.", 2, 0), ("Second sentence.", 2, 16)]),
-    ("Do the following: Open the panel.", [("Do the following:", 3, 0), ("Open the panel.", 3, 18)]),
-    ("Check the panel (see the reference guide) carefully.", [("Check the panel (see the reference guide) carefully.", 5, 0)]),
-    ("Check the panel (See the reference guide.) carefully.", [("Check the panel (See the reference guide.) carefully.", 5, 0), ("See the reference guide.", 4, 17)]),
-    ("This is a well-known fact.", [("This is a well-known fact.", 5, 0)]),
-    ("Tighten the bolt to 10 Nm of torque.", [("Tighten the bolt to 10 Nm of torque.", 7, 0)]),
-    ('Select the "Advanced Settings Panel" option.', [('Select the "Advanced Settings Panel" option.', 4, 0)]),
-    ("Contact the International Standards Organization today.", [("Contact the International Standards Organization today.", 4, 0)]),
-    ("Run the `dotnet build --configuration Release` command.", [("Run the `dotnet build --configuration Release` command.", 4, 0)]),
+    ("Rain fell. Snow melted.", [("Rain fell.", 2, 0), ("Snow melted.", 2, 11)]),
+    ("Bring these tools: Lift the lid.", [("Bring these tools:", 3, 0), ("Lift the lid.", 3, 19)]),
+    ("Paint a wall (use our wide brush) at dawn.", [("Paint a wall (use our wide brush) at dawn.", 6, 0)]),
+    ("Paint a wall (Use our wide brush.) at dawn.", [("Paint a wall (Use our wide brush.) at dawn.", 6, 0), ("Use our wide brush.", 4, 14)]),
+    ("A rain-soaked coat dries.", [("A rain-soaked coat dries.", 4, 0)]),
+    ("Heat an oven to 90 C before lunch.", [("Heat an oven to 90 C before lunch.", 7, 0)]),
+    ('Press our "Night Mode" key.', [('Press our "Night Mode" key.', 4, 0)]),
+    ("Ask the Blue River Sailing Club today.", [("Ask the Blue River Sailing Club today.", 4, 0)]),
+    ("Type `make all --jobs 4` there.", [("Type `make all --jobs 4` there.", 3, 0)]),
     ("Run `a` (b) now.", [("Run `a` (b) now.", 3, 0)]),
     ("  Lead. Then  ", [("Lead.", 1, 2), ("Then", 1, 8)]),
     ("   ", []),
