@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,6 +91,43 @@ def json_report(docs: DataFrame, found: DataFrame) -> DataFrame:
     return _totals(docs, found).crossJoin(listed).select(F.to_json(whole, {"ignoreNullFields": "false", "pretty": "true"}).alias("report"))
 
 
+def _ranged(df: DataFrame, parts: int | None, *order: str) -> DataFrame:
+    return df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+
+
+def numbered(found: DataFrame, order: tuple[str, ...] = ORDER, name: str = "number", parts: int | None = None) -> DataFrame:
+    """``found`` in the order of a report, with the number of each row from 1.
+
+    Rows are dealt by ranges and sorted in them; a row's number is its place in its range and the count of all ranges before, of which there are as many as
+    partitions: ``parts``, or what Spark takes. Dealt rows are checkpointed, so that a task that runs again finds them as they were.
+    """
+    dealt = _ranged(found, parts, *order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()).checkpoint()
+    sizes = {r["p"]: r["n"] for r in dealt.groupBy(F.shiftright(name, 33).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return dealt
+    before = list(accumulate((sizes.get(p, 0) for p in range(max(sizes))), initial=0))
+    starts = F.split(F.lit(",".join(map(str, before))), ",", -1).cast("array<bigint>")
+    return dealt.withColumn(name, F.get(starts, F.shiftright(name, 33).cast("int")) + F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+
+
+def write_json(docs: DataFrame, found: DataFrame, path: str, parts: int | None = None) -> None:
+    """The JSON report as one document in many files: joined in the order of the manifest they are what the command line writes.
+
+    ``path``/parts has the files, each written by a task; ``path``/manifest has their names and bytes, and is written last: where it is, the document is whole.
+    """
+    told = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    rows = numbered(found, parts=parts)
+    total = F.lit(rows.count())
+    head = _totals(docs, found).select(F.lit(0).cast("long").alias("number"), F.regexp_replace(told(F.struct(*_head())), r"\}\z", ',"diagnostics":[').alias("value"))
+    items = rows.select("number", F.concat(told(_item()), F.when(F.col("number") < total, ",").otherwise("")).alias("value"))
+    tail = docs.sparkSession.range(1).select((total + 1).alias("number"), F.lit("]}").alias("value"))
+    whole = head.unionByName(items).unionByName(tail)
+    _ranged(whole, parts, "number").sortWithinPartitions("number").select("value").write.text(f"{path}/parts")
+    # task numbers are part of the names, so names sort as the rows do
+    names = docs.sparkSession.read.format("binaryFile").load(f"{path}/parts").where("length > 0").select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length")
+    names.coalesce(1).sortWithinPartitions("name").write.json(f"{path}/manifest")
+
+
 def write_table(found: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Diagnostics as Parquet, for collections too large for a report."""
     found.write.mode(mode).parquet(path)
