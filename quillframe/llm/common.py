@@ -79,11 +79,19 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*kept: DataFrame) -> None:
-    """Remove tables that ``keep`` gave, once all that is made from them is written."""
+    """Remove tables that ``keep`` gave, once all that is made from them is written, and the shuffle files on the way."""
     for df in kept:
         ref, path = _PLACES.pop(id(df), (None, None))
         if ref and ref() is df:
             _remove(df.sparkSession, {path})
+    if kept:
+        release(kept[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs whose results are written. Its cleaner acts when the driver's garbage is collected, which else may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, paths: set[str]) -> None:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, components, forget, fresh, groups_of, keep, list_array, mix, rows_under, small, tidy, WordHash
+from .common import by_batches, components, forget, fresh, groups_of, keep, list_array, mix, release, rows_under, small, tidy, WordHash
 
 #: Groups of the count vectors.
 VECTOR = 128
@@ -320,6 +320,7 @@ def labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     slim = keep(marks.drop("keys"), "sizes")
     classes = slim.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     forget(found, copied, marks)
+    del found, copied, marks, named, single, dealt
     # trees with the same members: one is enough
     shapes = opened.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.sum(F.hash("node").cast("long")).alias("h1"), F.sum(F.hash(F.col("node") + F.lit(1)).cast("long")).alias("h2"))
     trees = shapes.where("size > 1").groupBy("size", "lo", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size")
@@ -344,6 +345,7 @@ def labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     first = members.select(F.when(F.col("size") <= TREE, F.col("key")).otherwise(F.xxhash64("key", part)).alias("tree"), "node")
     first = first.join(vectors, "node").select("tree", "node", "n", "counts", F.lit(0).cast("long").alias("comp"), F.lit(True).alias("indexed"), F.lit(True).alias("asks"))
     tried = keep(tree_pairs(first, percent, every=False), "tried")
+    release(docs.sparkSession)
     links = linked(tried)
 
     comp = keep(components(links.select("a", "b")), "components")
