@@ -5,7 +5,9 @@ form a class, and one node stands for the class. Each n-gram falls into one of
 ``VECTOR`` groups, and the counts a group make a node a point. Since
 ``|A & B| <= sum_g min(a_g, b_g)``, an R-tree over such points bounds the overlap
 of a query with a whole subtree by summing minima against the subtree's upper
-corner; only pairs that pass the bound are verified on the n-grams themselves.
+corner. Of pairs that pass the bound, parities of about a bit an n-gram (how many
+hashes fall on a bit, odd or even) bound the difference from below; only pairs that
+pass this too are verified on the n-grams themselves.
 
 One R-tree over a corpus fits no machine, so the points are dealt to many small
 trees first, without losing a pair. Linked sets of sizes within one size band
@@ -38,6 +40,8 @@ TREE = 4096
 #: Rows up to which a table of ids is broadcast.
 BROADCAST_ROWS = 1_000_000
 LEAF = 16
+#: Rows under a key from which they are not dealt by it; a key is known by one row of every ``GLANCE``.
+HOT, GLANCE = 65_536, 16
 
 
 def shingles(text: str | None, k: int, words: WordHash) -> np.ndarray:
@@ -119,8 +123,56 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
     return by_batches(texts, make, "doc_id long, text_hash long, n long, node long, keys array<long>")
 
 
+def open_rows(dealt: DataFrame) -> DataFrame:
+    """The rows of ``dealt`` (key, node), once each, whose key more than one node has.
+
+    All rows are dealt by key once, and a task looks for a second node in runs of a key. Keys of very many rows are left out
+    of this: they pass as they are, be it that rows of one node alone repeat.
+    """
+
+    def run(batches):
+        held = np.zeros((2, 0), np.int64)  # key and first node of the last run, and whether it is open
+        opened = False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("key", "node")))
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[begin, len(key)])
+            ok = np.logical_or.reduceat(node != np.repeat(node[begin], size), begin)
+            ok[0] |= opened
+            held, opened = np.stack([key[begin[-1:]], node[begin[-1:]]]), bool(ok[-1])
+            if ok.any():
+                ok = np.repeat(ok, size)
+                yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(node[ok])], names=["key", "node"])
+
+    glance = dealt.where(F.pmod(F.xxhash64("node"), F.lit(GLANCE)) == 0).groupBy("key").agg(F.count("*").alias("n"))
+    hot = keep(glance.where(F.col("n") * GLANCE >= HOT).select("key"), "hot-keys")
+    known = None
+    if not rows_under(hot, 0):
+        known = dealt.join(small(hot, BROADCAST_ROWS), "key", "left_semi")
+        dealt = dealt.join(small(hot, BROADCAST_ROWS), "key", "left_anti")
+    found = dealt.select("key", "node").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "key long, node long")
+    return (found.union(known.select("key", "node")) if known is not None else found).distinct()
+
+
+def parity(h: np.ndarray) -> bytes:
+    """For each of about as many bits as there are hashes, a power of two, whether an odd number of them falls there."""
+    bits = 1 << max(6, (len(h) - 1).bit_length())
+    odd = np.bincount((h >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def parities_differ(x: bytes, y: bytes) -> int:
+    """A lower bound of how many hashes one of two sets has alone: bits that differ once the longer parity is folded to the shorter."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    least = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def points(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str, whole: bool) -> DataFrame:
-    """(node, n, counts, grams) of the nodes in ``wanted`` (doc_id, node), as bytes: the count vector, or if ``whole`` the sorted hashes; the other is null."""
+    """(node, n, counts, odd, grams) of the nodes in ``wanted`` (doc_id, node), as bytes: the count vector and parity, or if ``whole`` the sorted hashes; others are null."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def make():
@@ -136,13 +188,14 @@ def points(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: st
                 "node": [node for node, _ in own],
                 "n": [len(h) for _, h in own],
                 "counts": [None if whole else counted(h) for _, h in own],
+                "odd": [None if whole else parity(h) for _, h in own],
                 "grams": [h.tobytes() if whole else None for _, h in own],
             }
 
         return step
 
     texts = docs.join(small(wanted, BROADCAST_ROWS), "doc_id").select("node", "text")
-    return by_batches(texts, make, "node long, n long, counts binary, grams binary")
+    return by_batches(texts, make, "node long, n long, counts binary, odd binary, grams binary")
 
 
 class RTree:
@@ -270,6 +323,21 @@ def blocks(rest: DataFrame) -> DataFrame:
     return whole.union(placed.select(F.xxhash64("key", "p.kind", "p.i", "p.q").alias("tree"), "node", "comp", "p.indexed", "p.asks"))
 
 
+def sifted(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose parities differ in no more bits than linked sets may in n-grams. Long texts that share a passage alone go here, before their n-grams are read."""
+    side = lambda x: vectors.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def step(batch):
+        x, y = (batch.column(c).to_pylist() for c in ("oa", "ob"))
+        differ = np.array([parities_differ(u, v) for u, v in zip(x, y)], np.int64)
+        total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+        ok = pa.array((100 + percent) * differ <= (100 - percent) * total)
+        return {"a": batch.column("a").filter(ok), "b": batch.column("b").filter(ok)}
+
+    return by_batches(both.select("a", "b", "na", "nb", "oa", "ob"), lambda: step, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose Jaccard similarity reaches the threshold, counted on the n-grams: (a, b, shared)."""
     grams = sets.select("node", "grams")
@@ -311,16 +379,13 @@ def labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     copied = keep(classes.where("size > 1").select("node", F.col("rep").alias("leader")), "copied")
     single = named.join(small(copied, BROADCAST_ROWS), "node", "left").where("leader is null or doc_id = leader")
     dealt = single.select("node", F.explode("keys").alias("key"))
-    # a node has a row a key, or more where rows repeat: keys with one node alone that pass here go below
-    found = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    # many keys are open in any large corpus, so they are never broadcast
-    found = keep(found, "open-keys")
-    opened = keep(dealt.join(found.hint("merge"), "key").select("key", "node").distinct(), "members")
+    # keys with one node alone that pass here go below
+    opened = keep(open_rows(dealt), "members")
     # what is read no more goes, as keys are the most of what is written
     slim = keep(marks.drop("keys"), "sizes")
     classes = slim.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    forget(found, copied, marks)
-    del found, copied, marks, named, single, dealt
+    forget(copied, marks)
+    del copied, marks, named, single, dealt
     # trees with the same members: one is enough
     shapes = opened.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.sum(F.hash("node").cast("long")).alias("h1"), F.sum(F.hash(F.col("node") + F.lit(1)).cast("long")).alias("h2"))
     trees = shapes.where("size > 1").groupBy("size", "lo", "h1", "h2").agg(F.min("key").alias("key")).select("key", "size")
@@ -334,16 +399,17 @@ def labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
         return out
 
     def linked(pairs: DataFrame) -> DataFrame:
-        grams = described(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), True)
-        out = keep(verified(pairs, grams, percent), "links")
-        forget(grams)
+        close = keep(sifted(pairs, vectors, percent), "close")
+        grams = described(close.select(F.col("a").alias("node")).union(close.select("b")), True)
+        out = keep(verified(close, grams, percent), "links")
+        forget(grams, close)
         return out
 
-    vectors = described(members.select("node"), False).select("node", "n", "counts")
+    vectors = described(members.select("node"), False)
 
     part = F.pmod(F.hash("node"), F.ceil(F.col("size") / TREE))
     first = members.select(F.when(F.col("size") <= TREE, F.col("key")).otherwise(F.xxhash64("key", part)).alias("tree"), "node")
-    first = first.join(vectors, "node").select("tree", "node", "n", "counts", F.lit(0).cast("long").alias("comp"), F.lit(True).alias("indexed"), F.lit(True).alias("asks"))
+    first = first.join(vectors.select("node", "n", "counts"), "node").select("tree", "node", "n", "counts", F.lit(0).cast("long").alias("comp"), F.lit(True).alias("indexed"), F.lit(True).alias("asks"))
     tried = keep(tree_pairs(first, percent, every=False), "tried")
     release(docs.sparkSession)
     links = linked(tried)
@@ -353,7 +419,7 @@ def labelled(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     mixed = placed.groupBy("key", "size", "comp").count().groupBy("key", "size").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     rest = keep(placed.join(mixed.select("key", "main"), "key"), "mixed")
     if not rows_under(rest, 0):
-        again = blocks(rest).join(vectors, "node").select("tree", "node", "n", "counts", "comp", "indexed", "asks")
+        again = blocks(rest).join(vectors.select("node", "n", "counts"), "node").select("tree", "node", "n", "counts", "comp", "indexed", "asks")
         fresh = keep(tree_pairs(again, percent, every=True).join(tried, ["a", "b"], "left_anti"), "tried")
         links = links.union(linked(fresh))
         comp = keep(components(links.select("a", "b")), "components")

@@ -156,3 +156,56 @@ def test_key_with_one_repeated_row(spark):
     rows = [(1, "one two three four")] * 5 + [(2, "five six seven eight")]
     got = nj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
     assert sorted(tuple(r) for r in got) == [(1, 2, 1)] * 5 + [(2, 2, 2)]
+
+
+def test_keys_are_dealt_once(spark, monkeypatch):
+    """Keys are the most of what the join writes: one shuffle of them, not one to count and one to join."""
+    r = random.Random(5)
+    rows = [(r.choice([-1, 1]) * r.randrange(1, 1500), r.randrange(6)) for _ in range(4000)]
+    rows += [(7, n) for n in range(900)] + [(8, 3)] * 900 + [(9, 1)] * 30
+    nodes = defaultdict(set)
+    for key, node in rows:
+        nodes[key].add(node)
+    wanted = sorted((k, n) for k, own in nodes.items() if len(own) > 1 for n in own)
+    dealt = spark.createDataFrame(rows, "key long, node long").repartition(3)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    try:
+        for size in (1, 3, 10_000):
+            spark.conf.set(batch, size)
+            assert sorted(map(tuple, nj.open_rows(dealt).collect())) == wanted
+    finally:
+        spark.conf.set(batch, before)
+    monkeypatch.setattr(nj, "HOT", 500)
+    monkeypatch.setattr(nj, "GLANCE", 1)
+    hot = sorted(map(tuple, nj.open_rows(dealt).collect()))
+    # of a key with very many rows the rows pass, whoever's they are
+    assert hot == sorted([*wanted, (8, 3)])
+    assert nj.open_rows(dealt.limit(0)).isEmpty()
+
+
+def test_parities_bound_the_difference():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        n, m, shared = (int(x) for x in r.integers(1, 3000, 3))
+        h = r.integers(0, 2**63, n + m + shared).astype(np.uint64)
+        a, b = h[: n + shared], h[n:]
+        assert nj.parities_differ(nj.parity(a), nj.parity(b)) <= n + m
+    assert nj.parities_differ(nj.parity(h), nj.parity(h)) == 0
+
+
+def test_a_passage_in_common_sends_no_grams(spark, monkeypatch):
+    """Long texts that share a passage alone meet under its keys and pass the bound of the count vectors; their n-grams are not read."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    passage = some(300)
+    texts = [" ".join(some(2000) + passage + some(2000)) for _ in range(30)]
+    near = texts[3].split()
+    near[100] = "other"
+    rows = [*enumerate(texts), (50, " ".join(near))]
+    seen, verified = [], nj.verified
+    monkeypatch.setattr(nj, "verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    out = nj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: 3 if i == 50 else i for i, _ in rows}
+    assert sum(seen) == 1
