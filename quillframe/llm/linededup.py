@@ -50,32 +50,41 @@ CHUNK = 250_000
 PLACES = 64
 
 _RANDOM = mix(np.arange(1, 256 * PLACES + 1))
-_IN_WORD = np.array([c not in b" \t\n\x0b\x0c\r" for c in range(256)])
+# white space behind a word adds nothing to its hash
+_RANDOM.reshape(PLACES, 256)[:, list(b" \t\n\x0b\x0c\r")] = 0
 
 
-def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, line number, 64-bit hash) of all words of whole texts, A-Z lower-cased, split at ASCII white space.
+def _words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """(texts as bytes, all bytes, where words begin there, 64-bit hashes) of all words of whole texts, A-Z lower-cased, split at ASCII white space.
 
     A hash sums a random number for each byte and place; words of over ``PLACES`` bytes take another hash.
     """
     each = [(t or "").encode() for t in texts]
     raw = np.frombuffer(b"\n".join(each).lower(), np.uint8)
-    if not len(raw):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    inner = _IN_WORD[raw]
-    edge = np.flatnonzero(np.diff(inner.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    inner = np.zeros(len(raw) + 2, bool)
+    inner[1:-1] = (raw != 32) & (raw - np.uint8(9) > 4)
+    edge = np.flatnonzero(inner[1:] != inner[:-1])
     start, size = edge[::2], edge[1::2] - edge[::2]
-    own = raw[inner].astype(np.int32)
-    first = np.cumsum(size) - size
-    place = np.minimum(np.arange(len(own), dtype=np.int32) - np.repeat(first.astype(np.int32), size), PLACES - 1)
-    h = mix(np.add.reduceat(_RANDOM[place << 8 | own], first) + size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
+    if not len(start):
+        return each, raw, start, np.zeros(0, np.uint64)
+    upto = np.diff(np.r_[start, len(raw)])
+    place = np.arange(len(raw) - start[0], dtype=np.int32) - np.repeat((start - start[0]).astype(np.int32), upto)
+    if upto.max() > PLACES:
+        np.minimum(place, PLACES - 1, out=place)
+    h = mix(np.add.reduceat(_RANDOM[place << 8 | raw[start[0] :]], start - start[0]) + size.astype(np.uint64))
     for k in np.flatnonzero(size > PLACES):
         h[k] = xxhash.xxh64_intdigest(raw[start[k] : start[k] + size[k]].tobytes())
-    begin = np.cumsum([0, *(len(x) + 1 for x in each[:-1])])
-    text = np.searchsorted(begin, start, "right") - 1
-    breaks = np.flatnonzero(raw == 10)
-    line = np.searchsorted(breaks, start) - np.searchsorted(breaks, begin)[text]
-    return text, line, h
+    return each, raw, start, h
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, line number, hash) of all words of whole texts."""
+    each, raw, start, h = _words(texts)
+    begin, breaks = np.cumsum([0, *(len(x) + 1 for x in each[:-1])]), np.flatnonzero(raw == 10)
+    # words, texts and lines stand in one order: how many words are in each tells their numbers
+    text = np.repeat(np.arange(len(begin)), np.diff(np.r_[np.searchsorted(start, begin), len(start)]))
+    line = np.repeat(np.arange(len(breaks) + 1), np.diff(np.r_[0, np.searchsorted(start, breaks), len(start)]))
+    return text, line - np.searchsorted(breaks, begin)[text], h
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
@@ -96,7 +105,7 @@ def word_counts(rows: DataFrame, slots: int) -> np.ndarray:
     def step(batch):
         n = np.zeros(slots, np.int64)
         for _, texts in chunks(batch.column("text").to_pylist()):
-            n += np.bincount((hashed_words(texts)[2] & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+            n += np.bincount((_words(texts)[-1] & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
         at = np.flatnonzero(n)
         return {"slot": at, "n": n[at]}
 
@@ -191,7 +200,14 @@ def lines_of(texts: list[str | None], level: np.ndarray) -> Iterator[Lines]:
 
 
 def line_sets(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
-    """(sig, doc_id, place, bits, half, prefix) of every line with at least ``least`` words; place holds the line's number above its size."""
+    """(sig, doc_id, place, bits, half, again, prefix) of every line with at least ``least`` words; place holds the line's number above its size, again tells whether an earlier line of its text has the same words."""
+    names = ("sig", "doc_id", "place", "bits", "half", "again", "prefix")
+
+    def repeated(sig, lines):
+        order = np.lexsort((lines.line, sig, lines.text))
+        sig, text, again = sig[order], lines.text[order], np.zeros(len(sig), bool)
+        again[order[1:]] = (sig[1:] == sig[:-1]) & (text[1:] == text[:-1])
+        return again
 
     def make():
         level = levels(counts.value)
@@ -201,14 +217,15 @@ def line_sets(rows: DataFrame, counts, percent: int, least: int) -> DataFrame:
             for lines in lines_of(batch.column("text").to_pylist(), level):
                 lines = lines.pick(lines.size >= least)
                 if len(lines.line):
-                    out.append((lines.signatures(), ids[lines.text], lines.line << 32 | lines.size, *lines.parities(), lines.prefixes(percent)))
+                    sig = lines.signatures()
+                    out.append((sig, ids[lines.text], lines.line << 32 | lines.size, *lines.parities(), repeated(sig, lines), lines.prefixes(percent)))
             if not out:
                 return None
-            return {k: pa.concat_arrays(v) if k == "prefix" else np.concatenate(v) for k, v in zip(("sig", "doc_id", "place", "bits", "half", "prefix"), zip(*out))}
+            return {k: pa.concat_arrays(v) if k == "prefix" else np.concatenate(v) for k, v in zip(names, zip(*out))}
 
         return step
 
-    return by_batches(rows.select("doc_id", "text"), make, "sig long, doc_id long, place long, bits long, half long, prefix array<long>")
+    return by_batches(rows.select("doc_id", "text"), make, "sig long, doc_id long, place long, bits long, half long, again boolean, prefix array<long>")
 
 
 def dealt(firsts: DataFrame) -> DataFrame:
@@ -399,10 +416,12 @@ def similar_earlier(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS
     counts = docs.sparkSession.sparkContext.broadcast(word_counts(rows, SLOTS))
 
     lines = keep(line_sets(rows, counts, percent, least), "lines")
-    places = lines.select("sig", "doc_id", "place")
-    leaders = places.groupBy("sig").agg(F.min(F.struct("doc_id", "place")).alias("f")).select("f.*")
-    repeats = keep(places.drop("sig").join(leaders, ["doc_id", "place"], "left_anti").distinct(), "repeats")
-    firsts = lines.drop("sig").join(small(repeats, BROADCAST_ROWS), ["doc_id", "place"], "left_anti")
+    # within a text Python has told repeats; of equal lines of several texts only the few with more than one need to be joined
+    once = lines.where(~F.col("again")).select("sig", "doc_id", "place")
+    shared = keep(once.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("sig", "lead"), "shared-lines")
+    elsewhere = once.join(small(shared, BROADCAST_ROWS), "sig").where("doc_id <> lead")
+    repeats = keep(lines.where("again").select("doc_id", "place").union(elsewhere.select("doc_id", "place")).distinct(), "repeats")
+    firsts = lines.drop("sig", "again").join(small(repeats, BROADCAST_ROWS), ["doc_id", "place"], "left_anti")
 
     later = ["b_doc", "b_line"]
     near = keep(candidates(dealt(firsts), percent, every=False), "near")

@@ -127,3 +127,26 @@ def test_pairs_that_places_rule_out_are_never_made():
     key, n, at = np.full(size, 7), np.full(size, 6), np.ones(size, np.int64)
     assert sum(len(i) for i, _ in ld._close(key, n, at, 80)) == 0
     assert not list(ld._close(key[:0], n[:0], at[:0], 80))
+
+
+def test_repeats_within_a_text_are_told_in_its_task(spark):
+    """What a text repeats of itself is marked where its lines are read, so that only lines that several texts have are joined."""
+    docs = [(1, "a b c\nx y\nC b a a\n\na b c"), (2, "a b c\nz"), (3, "x\nx\ny\nx"), (4, None), (5, "\n\n")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    counts = spark.sparkContext.broadcast(ld.word_counts(rows, 64))
+    got = {(r.doc_id, r.place >> 32) for r in ld.line_sets(rows, counts, 80, 1).collect() if r.again}
+    assert got == {(1, 2), (1, 4), (3, 1), (3, 3)}
+    assert {tuple(r) for r in ld.similar_earlier(rows).collect()} == got | {(2, 0)}
+
+
+def test_words_of_texts_and_lines():
+    """Text and line numbers of words, which counting words alone does without."""
+    r = random.Random(2)
+    parts = ["a", "B", "é", " ", "\n", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85", " " * 70, "x" * 64, "y" * 65, "word"]
+    for _ in range(300):
+        texts = [None if r.random() < 0.1 else "".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(r.randint(0, 5))]
+        text, line, h = ld.hashed_words(texts)
+        plain = [(i, j, w) for i, t in enumerate(texts) for j, x in enumerate((t or "").encode().lower().split(b"\n")) for w in x.split()]
+        assert list(zip(text.tolist(), line.tolist())) == [x[:2] for x in plain]
+        assert len({(x, w) for x, (_, _, w) in zip(h.tolist(), plain)}) == len(set(h.tolist())) == len({w for _, _, w in plain})
+        assert (ld._words(texts)[-1] == h).all()
