@@ -69,10 +69,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors."""
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors. ``options`` are the writer's."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _PLACES[id(out)] = weakref.ref(out), path
     return out
@@ -197,6 +197,8 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     """A mapInArrow function that gives memory back when its task ends: workers stay, one beside the other, for later tasks."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not gc.get_freeze_count():
+            gc.freeze()  # modules, which each task of this worker would else search for garbage
         try:
             yield from run(batches)
         finally:

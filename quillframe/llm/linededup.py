@@ -10,7 +10,7 @@ differ in no more bits than words may. What passes is verified on the words.
 
 A line goes if an earlier line is similar, earlier by (doc_id, line number).
 First each line is verified against the few that pass with the nearest parities
-under each of its words; lines still standing that had more to choose from are
+under its words; lines still standing that had more to choose from are
 verified against all, so a line with thousands of variants costs a few pairs a
 variant, and none is missed.
 
@@ -23,11 +23,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
@@ -42,36 +43,46 @@ GROUP, PART, GLANCE = 2_048, (1_024, 16_384), 16
 BROADCAST_ROWS = 2_000_000
 #: Words from which a line's parity has 128 bits.
 LONG = 48
-#: Partners of a line verified first, under each prefix word.
-NEAREST = 4
+#: Partners of a line verified first: taken under each prefix word, and tried of those under all.
+NEAREST, TRIED = 4, 8
 #: Characters, and pairs, handled at once in a task.
 CHUNK = 250_000
-#: Bytes of a word that are hashed by place.
+#: Bytes of a word that are hashed eight at a time.
 PLACES = 64
 
-_RANDOM = mix(np.arange(1, 256 * PLACES + 1))
-# white space behind a word adds nothing to its hash
-_RANDOM.reshape(PLACES, 256)[:, list(b" \t\n\x0b\x0c\r")] = 0
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: The bits of so many bytes.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _words(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     """(texts as bytes, all bytes, where words begin there, 64-bit hashes) of all words of whole texts, A-Z lower-cased, split at ASCII white space.
 
-    A hash sums a random number for each byte and place; words of over ``PLACES`` bytes take another hash.
+    A hash mixes in eight bytes after eight, beginning with the size; words of over ``PLACES`` bytes take another hash.
     """
     each = [(t or "").encode() for t in texts]
-    raw = np.frombuffer(b"\n".join(each).lower(), np.uint8)
+    whole = b"\n".join(each).lower()
+    eights = np.frombuffer(whole + bytes(16 - len(whole) % 8), "<u8")
+    raw = eights.view(np.uint8)[: len(whole)]
     inner = np.zeros(len(raw) + 2, bool)
     inner[1:-1] = (raw != 32) & (raw - np.uint8(9) > 4)
     edge = np.flatnonzero(inner[1:] != inner[:-1])
     start, size = edge[::2], edge[1::2] - edge[::2]
     if not len(start):
         return each, raw, start, np.zeros(0, np.uint64)
-    upto = np.diff(np.r_[start, len(raw)])
-    place = np.arange(len(raw) - start[0], dtype=np.int32) - np.repeat((start - start[0]).astype(np.int32), upto)
-    if upto.max() > PLACES:
-        np.minimum(place, PLACES - 1, out=place)
-    h = mix(np.add.reduceat(_RANDOM[place << 8 | raw[start[0] :]], start - start[0]) + size.astype(np.uint64))
+
+    def bytes_at(place, left):
+        at, shift = place >> 3, (place & 7).astype(np.uint64) << np.uint64(3)
+        both = eights[at] >> shift | eights[at + 1] << (np.uint64(63) - shift) << np.uint64(1)
+        return both & _BYTES[np.minimum(left, 8)]
+
+    h = mix(size.astype(np.uint64) * _SPREAD ^ bytes_at(start, size))
+    more = np.flatnonzero(size > 8)
+    for done in range(8, PLACES, 8):
+        more = more[size[more] > done]
+        if not len(more):
+            break
+        h[more] = mix(h[more] ^ bytes_at(start[more] + done, size[more] - done))
     for k in np.flatnonzero(size > PLACES):
         h[k] = xxhash.xxh64_intdigest(raw[start[k] : start[k] + size[k]].tobytes())
     return each, raw, start, h
@@ -133,17 +144,23 @@ class Lines:
     def size(self) -> np.ndarray:
         return np.diff(np.r_[self.begin, len(self.words)])
 
+    @cached_property
+    def mixed(self) -> np.ndarray:
+        return mix(self.words)
+
     def pick(self, wanted: np.ndarray) -> Lines:
+        if wanted.all():
+            return self
         size = self.size
         begin = np.r_[0, np.cumsum(size[wanted])[:-1]] if wanted.any() else np.zeros(0, np.int64)
         return Lines(self.text[wanted], self.line[wanted], self.words[np.repeat(wanted, size)], begin)
 
     def signatures(self) -> np.ndarray:
-        return mix(np.add.reduceat(mix(self.words), self.begin) + self.size.astype(np.uint64)).view(np.int64)
+        return mix(np.add.reduceat(self.mixed, self.begin) + self.size.astype(np.uint64)).view(np.int64)
 
     def parities(self) -> tuple[np.ndarray, np.ndarray]:
         """For each of 64 bits whether an odd number of words falls there; and the same of half of the words, for lines of ``LONG`` words."""
-        h = mix(self.words)
+        h = self.mixed
         bit = np.uint64(1) << (h >> np.uint64(58))
         half = np.bitwise_xor.reduceat(np.where(h & np.uint64(1), bit, np.uint64(0)), self.begin)
         return np.bitwise_xor.reduceat(bit, self.begin), np.where(self.size >= LONG, half, np.uint64(0))
@@ -153,7 +170,7 @@ class Lines:
         size = self.size
         at = np.arange(len(self.words)) - np.repeat(self.begin, size)
         front = at < np.repeat(np.where(has_partners(size, percent), prefix_size(size, percent), 0), size)
-        packed = (mix(self.words[front]) >> np.uint64(33)) << np.uint64(32) | at[front].astype(np.uint64)
+        packed = (self.mixed[front] >> np.uint64(33)) << np.uint64(32) | at[front].astype(np.uint64)
         ends = np.r_[0, np.cumsum(np.bincount(np.repeat(np.arange(len(size)), size)[front], minlength=len(size)))]
         return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(packed.view(np.int64)))
 
@@ -302,10 +319,10 @@ def in_parts(rows: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
 def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of lines, a earlier than b, that pass the filters under some prefix word: (a_doc, a_line, b_doc, b_line, more).
 
-    Not ``every``: for each later line the ``NEAREST`` by parity under each word; ``more`` tells whether others pass too.
+    Not ``every``: for each later line the ``TRIED`` nearest by parity of the ``NEAREST`` under each word; ``more`` tells whether others pass too.
     Else all pairs whose later line has ``asks``.
     """
-    names = ("a_doc", "a_line", "b_doc", "b_line", "more")
+    names = ("a_doc", "a_line", "b_doc", "b_line", "more", "far")
 
     def nearest(a, b, far):
         order = np.lexsort((a, far, b))
@@ -347,7 +364,7 @@ def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
         a, b, far = (np.concatenate(x) for x in zip(*kept))
         if not every:
             a, b, far = nearest(a, b, far)
-        columns = (doc[a], line[a].astype(np.int32), doc[b], line[b].astype(np.int32), passed[b] > NEAREST)
+        columns = (doc[a], line[a].astype(np.int32), doc[b], line[b].astype(np.int32), passed[b] > NEAREST, far.astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(names))
 
     def whole(batches):
@@ -358,7 +375,7 @@ def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
         for table in groups_of(batches, "grp"):
             yield found(table, table.column("grp").to_numpy(), table.column("side").to_numpy())
 
-    shape, key = "a_doc long, a_line int, b_doc long, b_line int, more boolean", F.shiftright("p", 32)
+    shape, key = "a_doc long, a_line int, b_doc long, b_line int, more boolean, far int", F.shiftright("p", 32)
     glance = rows.where(F.pmod(F.xxhash64("doc_id", "place"), F.lit(GLANCE)) == 0).groupBy(key.alias("key")).agg(F.count("*").alias("n"))
     hot = keep(glance.where(F.col("n") * GLANCE >= GROUP).select("key"), "hot-words")
     more = None
@@ -367,7 +384,12 @@ def candidates(rows: DataFrame, percent: int, every: bool) -> DataFrame:
         rows = rows.join(small(hot, BROADCAST_ROWS), key == F.col("key"), "left_anti")
     pairs = rows.repartition(key).sortWithinPartitions("p").mapInArrow(tidy(whole), shape)
     pairs = pairs.union(more) if more is not None else pairs
-    return pairs.groupBy(*names[:4]).agg(F.max("more").alias("more"))
+    if every:
+        return pairs.groupBy(*names[:4]).agg(F.max("more").alias("more"))
+    own = Window.partitionBy("b_doc", "b_line")
+    each = pairs.repartition("b_doc", "b_line").groupBy(*names[:4]).agg(F.max("more").alias("more"), F.min("far").alias("far"))
+    ranked = each.withColumns({"rank": F.row_number().over(own.orderBy("far", "a_doc", "a_line")), "more": F.max("more").over(own) | (F.count("*").over(own) > TRIED)})
+    return ranked.where(F.col("rank") <= TRIED).select(*names[:5])
 
 
 def word_sets(rows: DataFrame, counts, wanted: DataFrame) -> DataFrame:
@@ -402,9 +424,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"])
 
     def step(batch):
-        x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(c).to_pylist()] for c in ("a_words", "b_words"))
-        shared = np.array([len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(x, y)], np.int64)
-        union = np.array([len(u) + len(v) for u, v in zip(x, y)], np.int64) - shared
+        both = [u + v for u, v in zip(*(batch.column(c).to_pylist() for c in ("a_words", "b_words")))]
+        size = np.array([len(w) // 8 for w in both], np.int64)
+        run, words, begin = _sorted_sets(np.frombuffer(b"".join(both), np.uint64), size)
+        union = np.zeros(len(both), np.int64)
+        union[run] = np.diff(np.r_[begin, len(words)])
+        shared = size - union
         return {c: batch.column(c) for c in ("a_doc", "a_line", "b_doc", "b_line")} | {"alike": 100 * shared >= percent * union}
 
     return by_batches(both.select("a_doc", "a_line", "b_doc", "b_line", "a_words", "b_words"), lambda: step, "a_doc long, a_line int, b_doc long, b_line int, alike boolean")
@@ -415,7 +440,8 @@ def similar_earlier(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     counts = docs.sparkSession.sparkContext.broadcast(word_counts(rows, SLOTS))
 
-    lines = keep(line_sets(rows, counts, percent, least), "lines")
+    # random numbers that no dictionary of a file makes smaller
+    lines = keep(line_sets(rows, counts, percent, least), "lines", **{"parquet.enable.dictionary": "false"})
     # within a text Python has told repeats; of equal lines of several texts only the few with more than one need to be joined
     once = lines.where(~F.col("again")).select("sig", "doc_id", "place")
     shared = keep(once.groupBy("sig").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("sig", "lead"), "shared-lines")
@@ -446,7 +472,7 @@ def similar_earlier(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS
         ends = keys.agg(F.min("low").alias("low"), F.max("high").alias("high")).first()
         marked = numbered.where(size.between(ends["low"], ends["high"])).join(asked, ["doc_id", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         again = marked.select("doc_id", "place", "bits", "half", "asks", F.explode("prefix").alias("p"))
-        again = again.join(small(keys, BROADCAST_ROWS), (F.shiftright("p", 32) == F.col("key")) & size.between(F.col("low"), F.col("high")), "left_semi")
+        again = keep(again.join(small(keys, BROADCAST_ROWS), (F.shiftright("p", 32) == F.col("key")) & size.between(F.col("low"), F.col("high")), "left_semi"), "asked-rows")
         fresh = keep(candidates(again, percent, every=True).drop("more").join(tried, ["a_doc", "a_line", *later], "left_anti"), "near")
         gone = gone.union(verified(fresh, sets_of(fresh), percent).where("alike").select(*later).distinct())
     return repeats.select("doc_id", number().alias("line")).union(gone).distinct()
@@ -454,6 +480,9 @@ def similar_earlier(docs: DataFrame, percent: int = 80, least: int = LEAST_WORDS
 
 def own_numbers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """(id, hash, row): a number for each id and text, in their order, null ids last. None where every id has one text and none is null, so that ids themselves are such numbers."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if ids.groupBy("id").agg(F.count("*").alias("n")).where("id is null or n > 1").isEmpty():
+        return None  # no id twice: texts need not be read
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
     each = rows.groupBy("id").agg(F.min("hash").alias("low"), F.max("hash").alias("high"))
     if each.where("id is null or low <> high").isEmpty():

@@ -150,3 +150,56 @@ def test_words_of_texts_and_lines():
         assert list(zip(text.tolist(), line.tolist())) == [x[:2] for x in plain]
         assert len({(x, w) for x, (_, _, w) in zip(h.tolist(), plain)}) == len(set(h.tolist())) == len({w for _, _, w in plain})
         assert (ld._words(texts)[-1] == h).all()
+
+
+def test_ids_that_never_repeat_are_told_without_texts(spark):
+    """Where no id is twice, telling rows apart reads ids alone."""
+    ids = spark.createDataFrame([(3,), (1,), (2,)], "doc_id long")
+    unread = ids.selectExpr("doc_id", "cast(raise_error('a text was read') as string) as text")
+    assert ld.own_numbers(unread, "doc_id", "text") is None
+    same = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "doc_id long, text string")
+    assert ld.own_numbers(same, "doc_id", "text") is None
+    for rows in ([(1, "a"), (1, "b")], [(None, "a"), (1, "a")]):
+        numbers = ld.own_numbers(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+        assert numbers.count() == 2
+
+
+def test_hashes_tell_words_apart_at_every_byte():
+    """Words of all lengths about a multiple of eight bytes, wherever they begin, that differ in one byte, in a byte more, or in zero bytes behind."""
+    words = {"a\0", "a\0\0", "a", *("x" * n for n in range(1, 80)), *("x" * n + "\0" for n in range(1, 80))}
+    words |= {"x" * k + "y" + "x" * (n - k - 1) for n in (7, 8, 9, 16, 17, 63, 64, 65) for k in range(n)}
+    words = sorted(words)
+    seen = [ld._words([" " * shift + " ".join(words)])[-1].tolist() for shift in range(9)]
+    assert len(set(seen[0])) == len(words) and all(x == seen[0] for x in seen)
+
+
+def test_verified_pairs(spark):
+    """Shares of words of sets of very different sizes, at the threshold and just below it."""
+    sets = {1: range(10), 2: range(1, 11), 3: range(8), 4: range(900), 5: range(90, 990), 6: range(100, 1000), 7: range(7), 8: [2**64 - 1, 5], 9: [5]}
+    rows = [(i, 0, bytearray(np.array(sorted(x), np.uint64).tobytes())) for i, x in sets.items()]
+    table = spark.createDataFrame(rows, "doc_id long, line int, words binary")
+    pairs = [(a, 0, b, 0) for a in sets for b in sets if a < b]
+    got = ld.verified(spark.createDataFrame(pairs, "a_doc long, a_line int, b_doc long, b_line int"), table, 80).collect()
+    alike = lambda x, y: 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})
+    assert {(r.a_doc, r.b_doc): r.alike for r in got} == {(a, b): alike(sets[a], sets[b]) for a, _, b, _ in pairs}
+
+
+def test_pairs_tried_of_a_group_of_variants(spark):
+    """Of lines that share many rare words, each is first tried against a few over all its words, and told to have more."""
+    r = random.Random(5)
+    docs = [(i, " ".join(r.sample([f"w{k}" for k in range(60)], 56))) for i in range(120)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    counts = spark.sparkContext.broadcast(ld.word_counts(rows, ld.SLOTS))
+    lines = ld.dealt(ld.line_sets(rows, counts, 80, 1))
+    pairs = ld.candidates(lines, 80, every=False).collect()
+    tried = {}
+    for p in pairs:
+        assert p.a_doc < p.b_doc
+        tried.setdefault(p.b_doc, []).append(p.more)
+    assert len(pairs) == len({p[:4] for p in pairs}) and max(map(len, tried.values())) == ld.TRIED
+    every = ld.candidates(lines.withColumn("asks", ld.F.lit(True)), 80, every=True)
+    passing = {b: {x.a_doc for x in every.where(f"b_doc = {b}").collect()} for b in (3, 60, 119)}
+    for b, all_of_them in passing.items():
+        own = {p.a_doc for p in pairs if p.b_doc == b}
+        assert own <= all_of_them and (own == all_of_them or all(tried[b]))
+    assert {tuple(x) for x in ld.similar_earlier(rows).collect()} == by_hand(docs, 80, 1)
