@@ -197,8 +197,6 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     """A mapInArrow function that gives memory back when its task ends: workers stay, one beside the other, for later tasks."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not gc.get_freeze_count():
-            gc.freeze()  # modules, which each task of this worker would else search for garbage
         try:
             yield from run(batches)
         finally:
