@@ -39,7 +39,9 @@ CONTRACTION = rf"(?iu){OPENS}{W}++'(?:t|s|re|ve|ll|d|m){CLOSES}"
 PASSIVE = rf"(?iu)(?=[iawb]){OPENS}(?:is|are|was|were|be|being|(?<!(?:has|have|had){S}{{1,32}})been){S}+{W}+(?:ed|en){CLOSES}"
 COMPLEX_VERB = rf"(?iu)(?=[hwcsm]){OPENS}(?:(?:has|have|had){S}+(?:been{S}+)?{W}+(?:ed|en)|(?:will|would|could|should|may|might|must){S}+have{S}+{W}+(?:ed|en)){CLOSES}"
 #: Of a hyphenated run only the first part is tried as a beginning: where a later one could match, the first one does.
-ING_FORM = rf"(?iu){OPENS}(?:(?<!-)|(?<!(?<!{W})[a-z]{{1,24}}-{{1,2}}))[a-z][a-z-]{{2,}}ing{CLOSES}"
+#: Letters are spelt out in both cases, with those that (?iu) takes for them; that is read faster than (?iu).
+_AZ = "a-zA-Z\u0130\u0131\u017f\u212a"
+ING_FORM = rf"(?=[{_AZ}]){OPENS}(?:(?<!-)|(?<=-)(?<!(?<!{W})[{_AZ}]{{1,24}}-{{1,2}}))[{_AZ}][{_AZ}-]{{2,}}[iI\u0130\u0131][nN][gG]{CLOSES}"
 #: Words after which 's stands for "is" or "has". Fixed values.
 IS_WORDS = ("it", "that", "this", "there", "here", "what", "who", "how", "when", "where", "why", "he", "she", "one", "everybody", "somebody", "nobody", "everyone", "someone", "no one", "let", "such")
 
@@ -65,8 +67,20 @@ def whole_term_column(term: Column) -> Column:
     return F.concat(F.lit(f"(?iu){before}"), F.array_join(words, f"{S}+"), F.lit(after))
 
 
-def any_of(words: list[str]) -> str:
+#: What (?iu) takes for a letter beside its two cases.
+_MORE_CASES = {"i": "\u0130\u0131", "s": "\u017f", "k": "\u212a"}
+
+
+def _either(c: str) -> str:
+    """A character in either case; ASCII letters are spelt out, which is read faster than (?iu)."""
+    if c.isascii() and c.isalpha():
+        return f"[{c.lower()}{c.upper()}{_MORE_CASES.get(c.lower(), '')}]"
+    return f"(?iu:{c if c.isalnum() else chr(92) + c})"
+
+
+def any_of(words: list[str], in_either_case: bool = False) -> str:
     """An alternation of words that shares what they have in common from the left, so that each letter of a text is looked at once."""
+    letter = _either if in_either_case else lambda c: "\\" + c if not c.isalnum() else c
     tree: dict = {}
     for word in words:
         node = tree
@@ -75,7 +89,7 @@ def any_of(words: list[str]) -> str:
         node[""] = {}
 
     def shown(node: dict) -> str:
-        parts = sorted(("\\" + c if not c.isalnum() else c) + shown(below) for c, below in node.items() if c)
+        parts = sorted(letter(c) + shown(below) for c, below in node.items() if c)
         ends = "" in node
         if not parts:
             return ""
@@ -83,3 +97,9 @@ def any_of(words: list[str]) -> str:
         return f"{whole}?" if ends else whole
 
     return shown(tree)
+
+
+def opens_any(words: list[str]) -> str:
+    """A look ahead at the first letter of any of the words, which rules out most places at once."""
+    firsts = {w[0] for w in words}
+    return f"(?=[{''.join(sorted(_either(c)[1:-1] for c in firsts))}])" if all(c.isascii() and c.isalpha() for c in firsts) else ""

@@ -75,23 +75,45 @@ def running_sum(values: Column) -> Column:
     return running(values, lambda a, b: a + b)
 
 
+#: Stands around matches in a text that has none itself.
+SIGN = "\x01"
+
+
+def cut_at(text: Column, pattern: str | Column, groups: tuple[str, ...] = ("$0",)) -> Column:
+    """A text without ``SIGN`` cut at the matches of a pattern, which is read once: what stands before the first match, then for each match its ``groups`` and what stands after it."""
+    return F.split(F.regexp_replace(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(SIGN.join(["", *groups, ""]))), SIGN, -1)
+
+
+def places(pieces: Column, groups: int = 1) -> Column:
+    """The end of each match in what ``cut_at`` gives; the match itself is the first of its groups."""
+    step = groups + 1
+    sizes = F.transform(F.sequence(F.lit(0), F.size(pieces) - 1 - step, F.lit(step)), lambda i: F.length(F.get(pieces, i)) + F.length(F.get(pieces, i + 1)))
+    return running_sum(sizes)
+
+
 def located(text: Column, pattern: str | Column, gaps: bool = False) -> Column:
     """Matches of a pattern without groups, as array<struct<start, end, value>>, from the gaps between them.
 
     Offsets are in code points, the end exclusive. ``gaps`` adds the text between a match and the one before (gap), and the one after (after).
     """
 
+    def struct(end: Column, value: Column, gap: Column, after: Column) -> Column:
+        return F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"), *([gap.alias("gap"), after.alias("after")] if gaps else []))
+
     def placed(x: Column) -> Column:
+        return F.transform(places(x), lambda e, i: struct(e, F.get(x, 2 * i + 1), F.get(x, 2 * i), F.get(x, 2 * i + 2)))
+
+    def placed_apart(x: Column) -> Column:
         before = F.slice(x["g"], F.lit(1), F.size(x["m"]))
         ends = running_sum(F.zip_with(x["m"], before, lambda m, g: F.length(m) + F.length(g)))
-        around = lambda m, i: F.struct(m.alias("m"), F.get(x["g"], i).alias("gap"), F.get(x["g"], i + 1).alias("after"))
-        pairs = F.transform(x["m"], around) if gaps else F.transform(x["m"], lambda m: F.struct(m.alias("m")))
-        more = lambda p: [p["gap"], p["after"]] if gaps else []
-        return F.zip_with(pairs, ends, lambda p, e: F.struct((e - F.length(p["m"])).alias("start"), e.alias("end"), p["m"].alias("value"), *more(p)))
+        return F.transform(ends, lambda e, i: struct(e, F.get(x["m"], i), F.get(x["g"], i), F.get(x["g"], i + 1)))
 
     whole = F.lit(f"({pattern})") if isinstance(pattern, str) else F.concat(F.lit("("), pattern, F.lit(")"))
-    found = F.regexp_extract_all(text, whole, F.lit(1))
-    return let(F.struct(found.alias("m"), F.split(text, pattern, -1).alias("g")), placed)
+    kind = "array<struct<start:int,end:int,value:string" + (",gap:string,after:string>>" if gaps else ">>")
+    none = F.expr(f"cast(array() as {kind})")
+    once = let(cut_at(text, pattern), lambda x: F.when(F.size(x) > 1, placed(x)).otherwise(none))
+    apart = let(F.struct(F.regexp_extract_all(text, whole, F.lit(1)).alias("m"), F.split(text, pattern, -1).alias("g")), placed_apart)
+    return F.when(text.contains(SIGN), apart).otherwise(once).cast(kind)
 
 
 def outside_code(text: Column, pattern: str, gaps: bool = False) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import located, masked_code, outside_code, resolve_line, truncated
-from .sentences import sentences
+from .sentences import counted_over, sentences
 
 FINDING = "struct<line:int,rule_code:string,severity:string,message:string,suggestion:string,rank:int,offset:int>"
 NONE = f"cast(array() as array<{FINDING}>)"
@@ -43,9 +43,14 @@ def _at(offset: Column) -> Column:
     return resolve_line(F.col("line_offsets"), offset)
 
 
+def _most_words() -> Column:
+    return F.when(F.col("mode") == "procedure", F.col("rules.max_words_procedure")).otherwise(F.col("rules.max_words_descriptive"))
+
+
 def word_limit() -> Column:
-    most = F.when(F.col("mode") == "procedure", F.col("rules.max_words_procedure")).otherwise(F.col("rules.max_words_descriptive"))
-    long = F.filter("sentences", lambda s: s["word_count"] > most)
+    most = _most_words()
+    counted = F.transform("sentences", lambda s: F.struct(s["text"].alias("text"), s["start_offset"].alias("start_offset"), counted_over(s["text"], most).alias("word_count")))
+    long = F.filter(counted, lambda s: s["word_count"].isNotNull())
     return F.transform(long, lambda s: finding(WORD_LIMIT, F.lit("error"), 1, _at(s["start_offset"]), s["start_offset"], s["word_count"], most, F.col("mode"), truncated(s["text"])))
 
 
@@ -62,8 +67,12 @@ def contraction() -> Column:
     return _when(~F.col("rules.allow_contractions") & F.col("text").contains("'"), F.transform(hits, lambda m: finding(CONTRACTION, F.lit("error"), 3, _at(m["start"]), m["start"], m["value"])))
 
 
+def _is_like(pattern: str):
+    return lambda s: masked_code(s["text"]).rlike(pattern)
+
+
 def _sentences_like(code: str, knob: str, pattern: str, rank: int) -> Column:
-    hits = F.filter("sentences", lambda s: masked_code(s["text"]).rlike(pattern))
+    hits = F.filter("sentences", _is_like(pattern))
     severity = F.col(f"rules.{knob}")
     return _when(severity != "off", F.transform(hits, lambda s: finding(code, severity, rank, _at(s["start_offset"]), s["start_offset"], truncated(s["text"]))))
 
@@ -92,8 +101,9 @@ def paragraph_length() -> Column:
 RULES = {"word_limit": word_limit, "semicolon": semicolon, "contraction": contraction, "complex_verb": complex_verb, "passive_voice": passive_voice, "ing_form": ing_form, "paragraph_length": paragraph_length}
 
 
-def with_sentences(segments: DataFrame) -> DataFrame:
-    return segments.withColumn("sentences", sentences(F.col("text")))
+def with_sentences(segments: DataFrame, counted: bool = True) -> DataFrame:
+    """Adds sentences; the rules count the words themselves, of those that could be over a limit."""
+    return segments.withColumn("sentences", sentences(F.col("text"), counted))
 
 
 def every(*names: str) -> Column:
@@ -106,7 +116,7 @@ def structural(segments: DataFrame, *names: str) -> DataFrame:
 
     ``segments`` has mode and rules as well; each segment is read once for all rules. Nothing is shuffled.
     """
-    rows = with_sentences(segments).select("file", "seg_ord", F.explode(every(*names)).alias("f"))
+    rows = with_sentences(segments, counted=False).select("file", "seg_ord", F.explode(every(*names)).alias("f"))
     return rows.select("file", F.lit(1).alias("pass"), "seg_ord", "f.rank", "f.offset", "f.line", "f.rule_code", "f.severity", "f.message", "f.suggestion")
 
 

@@ -30,27 +30,36 @@ def is_sentence(text: Column) -> Column:
     return (F.length(text) >= 2) & text.rlike(r"^\p{Lu}") & text.rlike(r"[.!?]\z")
 
 
-def _sentence(text: Column, offset: Column) -> Column:
-    return F.struct(text.alias("text"), word_count(text).alias("word_count"), offset.alias("start_offset"))
+def counted_over(text: Column, most: Column) -> Column:
+    """``word_count`` of a sentence with more than ``most`` words, else null.
 
+    What counts as one word holds one token or more, so tokens are never fewer than words, and a text has a character between two of them.
+    """
+    n = lambda: let(word_count(text), lambda n: F.when(n > most, n))
+    return F.when((F.length(text) > 2 * most.cast("long")) & (F.size(tokens(text)) > most), n())
 
-def _with_inner(text: Column, offset: Column) -> Column:
+
+def _sentence(text: Column, offset: Column, counted: bool) -> Column:
+    return F.struct(text.alias("text"), *([word_count(text).alias("word_count")] if counted else []), offset.alias("start_offset"))
+
+
+def _with_inner(text: Column, offset: Column, counted: bool) -> Column:
     """A sentence, then the sentences in its parentheses."""
     raw = lambda m: m["value"].substr(F.lit(2), F.length(m["value"]) - 2)
     inner = F.transform(located(text, P.PARENTHESES), lambda m: F.struct(trimmed(raw(m)).alias("t"), (offset + m["start"] + 1 + leading_space(raw(m))).alias("o")))
     inner = F.filter(inner, lambda x: is_sentence(x["t"]))
-    own = F.array(_sentence(text, offset))
-    return F.when(text.contains("("), F.concat(own, F.transform(inner, lambda x: _sentence(x["t"], x["o"])))).otherwise(own)
+    own = F.array(_sentence(text, offset, counted))
+    return F.when(text.contains("("), F.concat(own, F.transform(inner, lambda x: _sentence(x["t"], x["o"], counted)))).otherwise(own)
 
 
-def sentences(text: Column) -> Column:
-    """array<struct<text, word_count, start_offset>>; a sentence in parentheses follows the one that holds it."""
+def sentences(text: Column, counted: bool = True) -> Column:
+    """array<struct<text, word_count, start_offset>>; a sentence in parentheses follows the one that holds it. word_count is left out if not ``counted``."""
 
     def cut(x: Column) -> Column:
         # a part begins with the white space before its sentence
         ends = lambda parts: running_sum(F.transform(parts, F.length))
         placed = lambda parts: F.zip_with(parts, ends(parts), lambda p, e: F.struct(trimmed_left(p).alias("t"), e.alias("e")))
         own = let(F.split(x["t"], P.SENTENCE_END, -1), placed)
-        return F.flatten(F.transform(F.filter(own, lambda p: p["t"] != ""), lambda p: _with_inner(p["t"], p["e"] - F.length(p["t"]) + x["lead"])))
+        return F.flatten(F.transform(F.filter(own, lambda p: p["t"] != ""), lambda p: _with_inner(p["t"], p["e"] - F.length(p["t"]) + x["lead"], counted)))
 
     return let(F.struct(trimmed(text).alias("t"), leading_space(text).alias("lead")), cut)

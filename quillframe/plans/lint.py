@@ -35,7 +35,7 @@ def findings(docs: DataFrame, config: Config | None = None, dictionary: DataFram
     if not config.dictionary.enabled:
         return rules.structural(segments)
     words = dictionary if dictionary is not None else settings.dictionary(docs.sparkSession, config)
-    return terms.with_rules(rules.with_sentences(with_phrase_spans(segments, config)), terms.index(words), rules.every())
+    return terms.with_rules(rules.with_sentences(with_phrase_spans(segments, config), counted=False), terms.index(words), rules.every())
 
 
 def lint(docs: DataFrame, config: Config | None = None, dictionary: DataFrame | None = None) -> DataFrame:

@@ -35,3 +35,39 @@ def test_json_report_of_odd_values(spark):
     told = [json.loads(r["report"]) for r in report.json_rows(frame, found).collect()]
     assert told[0] == {"filesChecked": 2, "errorCount": 1, "warningCount": 1}
     assert [(r["file"], r["line"], r["column"], r["ruleCode"], r["severity"], r["message"], r["suggestion"]) for r in told[1:]] == [(r[0], r[5], None, r[6], r[7], r[8], r[9]) for r in (odd[1], odd[2], odd[0])]
+
+
+def test_findings_are_made_in_the_row(spark, docs, monkeypatch):
+    from quillframe.operators import terms
+
+    entries = (*queries.ENTRIES, ("C++", (("noun", ("C",)),)), ("a test of a", (("any", ("x",)),)), ("prior to a", ()))
+    more = ("Use C++ prior to a Test. A LOT OF tests; prıor to it. In the  Event of an event, a test of a test.", "a lot, of; in the, event of. IN THE EVENT OF")
+    frame = docs(*TEXTS, *more)
+    small = lint.findings(frame, queries.CONFIG, lexicon.table(spark, entries))
+    assert "Join" not in plan_of(small)
+    monkeypatch.setattr(terms, "TABLE_TERMS", 0)
+    joined = lint.findings(frame, queries.CONFIG, lexicon.table(spark, entries))
+    assert "BroadcastHashJoin" in plan_of(joined)
+    rows = sorted(map(str, small.collect()))
+    assert rows == sorted(map(str, joined.collect())) and sum("STE100-DICT" in r for r in rows) > 15
+
+
+def test_matches_in_texts_with_the_sign(spark):
+    from quillframe.functions import patterns as P
+    from quillframe.functions.text import SIGN, located
+
+    text = "`a` Testing, it isn't\x02 re-doing. İng lıkıng \U0001f600 x-making- "
+    frame = spark.createDataFrame([(text,), (text + SIGN,), (SIGN + SIGN + text,), ("",), (SIGN,)], "text string")
+    found = [r["m"] for r in frame.select(located(F.col("text"), f"{P.CODE}|{P.ING_FORM}", gaps=True).alias("m")).collect()]
+    assert [(m["start"], m["end"], m["value"]) for m in found[0]] == [(m["start"], m["end"], m["value"]) for m in found[1]] == [(m["start"] - 2, m["end"] - 2, m["value"]) for m in found[2]]
+    assert [m["value"] for m in found[0]] == ["`a`", "Testing", "re-doing", "lıkıng", "x-making"] and found[3:] == [[], []]
+    assert all(m["value"] == text[m["start"] : m["end"]] for m in found[0])
+
+
+def test_words_are_counted_where_they_can_be_over(spark):
+    from quillframe.operators.sentences import counted_over, word_count
+
+    texts = ["One two (three four) 5 kg `a b` \"c d\" Big Red Box.", "A b c d.", "A  b\tc d e", "A b c d e f", ""]
+    frame = spark.createDataFrame([(t, n) for t in texts for n in (-1, 0, 3, 4, 5, 8, 2**31 - 1)], "t string, n int")
+    for r in frame.select("n", word_count(F.col("t")).alias("all"), counted_over(F.col("t"), F.col("n")).alias("over")).collect():
+        assert r["over"] == (r["all"] if r["all"] > r["n"] else None)
