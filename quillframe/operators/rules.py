@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import located, masked_code, outside_code, resolve_line, truncated
+from ..functions.text import let, located, masked_code, outside_code, resolve_line, truncated
 from .sentences import counted_over, sentences
 
 FINDING = "struct<line:int,rule_code:string,severity:string,message:string,suggestion:string,rank:int,offset:int>"
@@ -120,5 +120,20 @@ def structural(segments: DataFrame, *names: str) -> DataFrame:
     return rows.select("file", F.lit(1).alias("pass"), "seg_ord", "f.rank", "f.offset", "f.line", "f.rule_code", "f.severity", "f.message", "f.suggestion")
 
 
+def worst() -> Column:
+    """struct<error, some>: whether a segment has an error, and whether it has an error or a warning.
+
+    A rule is asked only as long as the rules before it leave the answer open, and a sentence as long as those before it do.
+    """
+    some = lambda found: F.size(found) > 0
+    error = some(semicolon()) | some(contraction()) | F.exists("sentences", lambda s: counted_over(s["text"], _most_words()).isNotNull())
+    knobs = {"passive_voice": F.exists("sentences", _is_like(P.PASSIVE)), "complex_verb": F.exists("sentences", _is_like(P.COMPLEX_VERB)), "ing_form": some(ing_form())}
+    warning = some(paragraph_length())
+    for knob, hit in knobs.items():
+        severity = F.col(f"rules.{knob}")
+        error, warning = error | ((severity == "error") & hit), warning | ((severity == "warn") & hit)
+    return let(error, lambda e: F.struct(e.alias("error"), (e | warning).alias("some")))
+
+
 def code_spans(text: Column) -> Column:
     return F.transform(located(text, P.CODE), lambda m: F.struct(m["start"].alias("start"), (m["end"] - m["start"]).alias("len")))

@@ -8,6 +8,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import rules
 from .lint import ORDER
 
 
@@ -51,6 +52,14 @@ def failed(found: DataFrame, strict: bool = False) -> DataFrame:
     return found.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("failed"))
 
 
+def gate(segments: DataFrame) -> DataFrame:
+    """(strict, failed): whether the gate fails by the structural rules in strict runs, and in others. One pass over segments with mode and rules, without findings."""
+    worst = rules.with_sentences(segments, counted=False).select(rules.worst().alias("w"))
+    told = lambda c: F.coalesce(F.bool_or(F.col(f"w.{c}")), F.lit(False)).alias("failed")
+    each = worst.agg(F.array(F.struct(F.lit(True).alias("strict"), told("some")), F.struct(F.lit(False).alias("strict"), told("error"))).alias("r"))
+    return each.select(F.explode("r").alias("r")).select("r.*")
+
+
 def _totals(docs: DataFrame, found: DataFrame) -> DataFrame:
     return counts(found).crossJoin(docs.select("file").distinct().agg(F.count("*").alias("files")))
 

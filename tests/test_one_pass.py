@@ -71,3 +71,27 @@ def test_words_are_counted_where_they_can_be_over(spark):
     frame = spark.createDataFrame([(t, n) for t in texts for n in (-1, 0, 3, 4, 5, 8, 2**31 - 1)], "t string, n int")
     for r in frame.select("n", word_count(F.col("t")).alias("all"), counted_over(F.col("t"), F.col("n")).alias("over")).collect():
         assert r["over"] == (r["all"] if r["all"] > r["n"] else None)
+
+
+def test_gate_reads_documents_once(spark, docs, monkeypatch):
+    from quillframe.operators import rules
+    from quillframe.sources.config import Config
+
+    monkeypatch.setattr(queries, "markdown_docs", lambda spark, sf_dir: docs(*TEXTS))
+    gate = queries.QUERIES["gate_exit"](spark, "")
+    assert plan_of(gate).count("(?dm)^(?:[HT]") == 1 and gate.dtypes == [("strict", "boolean"), ("failed", "boolean")]
+    some = ("", None, "A.", "It isn't.", "A; b.", "The door was opened.", "It has opened.", "Re-testing.", "A. B. C. D. E. F. G.", "A b c d e f.")
+    kinds = ({}, {"passive_voice": "error"}, {"complex_verb": "error", "passive_voice": "off", "max_words_descriptive": 5}, {"ing_form": "error", "max_sentences_paragraph": 0}, {"ing_form": "off", "passive_voice": "off", "complex_verb": "off", "allow_semicolons": True, "allow_contractions": True})
+    for knobs in kinds:
+        segments = lint.prepared(docs(*some), Config(rules=knobs))
+        found = rules.structural(segments)
+        bad = {r["file"]: (r["e"], r["w"]) for r in found.groupBy("file").agg(F.count_if(F.col("severity") == "error").alias("e"), F.count_if(F.col("severity") == "warn").alias("w")).collect()}
+        worst = rules.with_sentences(segments, counted=False).select("file", rules.worst().alias("w")).groupBy("file").agg(F.bool_or("w.error").alias("e"), F.bool_or("w.some").alias("s"))
+        for r in worst.collect():
+            e, w = bad.get(r["file"], (0, 0))
+            assert (r["e"], r["s"]) == (e > 0, e + w > 0), (knobs, r)
+        strict, plain = report.gate(segments).collect()
+        assert strict["strict"] and not plain["strict"]
+        assert (strict["failed"], plain["failed"]) == (report.failed(found, True).first()["failed"], report.failed(found).first()["failed"])
+    assert [tuple(r) for r in report.gate(lint.prepared(docs("A."), Config())).collect()] == [(True, False), (False, False)]
+    assert [tuple(r) for r in report.gate(lint.prepared(docs("A."), Config()).limit(0)).collect()] == [(True, False), (False, False)]
