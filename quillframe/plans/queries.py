@@ -68,6 +68,18 @@ def markdown_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select(F.concat("source", F.lit("/"), d, F.lit(".md")).alias("file"), content.alias("content"))
 
 
+def dealt(docs: DataFrame, least: int = 1_000) -> DataFrame:
+    """Documents over all cores, where one task would read more than two cores' share of them.
+
+    A row group is read by one task, however many splits Spark makes of its file, and a document takes far longer to lint than to move.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    sizes = [r["n"] for r in docs.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    if sum(sizes) < least or max(sizes) * cores <= 2 * sum(sizes):
+        return docs
+    return docs.repartition(4 * cores, "file", "content")
+
+
 def _segments(spark, sf_dir) -> DataFrame:
     return markdown.segments(markdown_docs(spark, sf_dir))
 
@@ -269,11 +281,11 @@ def summary_by_file(spark, sf_dir):
 
 def gate_exit(spark, sf_dir):
     """Whether the gate fails in strict runs and in others."""
-    return report.gate(lint.prepared(markdown_docs(spark, sf_dir), Config()))
+    return report.gate(lint.prepared(dealt(markdown_docs(spark, sf_dir)), Config()))
 
 
 def _found(spark, sf_dir) -> DataFrame:
-    return lint.findings(markdown_docs(spark, sf_dir), CONFIG, lexicon.table(spark, ENTRIES))
+    return lint.findings(dealt(markdown_docs(spark, sf_dir)), CONFIG, lexicon.table(spark, ENTRIES))
 
 
 def report_text(spark, sf_dir):
@@ -308,7 +320,7 @@ def label_summary(spark, sf_dir):
 
 
 def full_lint(spark, sf_dir):
-    return lint.lint(markdown_docs(spark, sf_dir), CONFIG, lexicon.table(spark, ENTRIES))
+    return lint.diagnostics(_found(spark, sf_dir))
 
 
 QUERIES = {

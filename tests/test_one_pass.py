@@ -95,3 +95,15 @@ def test_gate_reads_documents_once(spark, docs, monkeypatch):
         assert (strict["failed"], plain["failed"]) == (report.failed(found, True).first()["failed"], report.failed(found).first()["failed"])
     assert [tuple(r) for r in report.gate(lint.prepared(docs("A."), Config())).collect()] == [(True, False), (False, False)]
     assert [tuple(r) for r in report.gate(lint.prepared(docs("A."), Config()).limit(0)).collect()] == [(True, False), (False, False)]
+
+
+def test_documents_of_one_row_group_are_dealt(spark, tmp_path):
+    spark.range(2_000).select(F.col("id").alias("doc_id"), F.lit("src1").alias("source"), F.lit("A test.").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    table = queries.markdown_docs(spark, tmp_path)
+    sizes = lambda df: [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes(table)) == 1 and "repartition" not in str(queries.dealt(table, least=2_001)._jdf.queryExecution().logical()).lower()
+    found = queries.dealt(table)
+    assert len(sizes(found)) >= 4 and max(sizes(found)) < 500 and sorted(found.collect()) == sorted(table.collect())
+    even = table.repartition(8)
+    assert queries.dealt(even) is even
+    assert "REPARTITION_BY_NUM" in queries.QUERIES["finding_order"](spark, tmp_path)._jdf.queryExecution().executedPlan().toString()
